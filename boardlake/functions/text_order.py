@@ -1,0 +1,21 @@
+"""A number that never decreases along the byte order of a text column."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def text_position(df: DataFrame, column: str) -> Column:
+    """Six bytes after the prefix all values share, read as one number."""
+    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    shared = F.size(
+        F.filter(
+            F.sequence(F.lit(0), F.least(F.length("lo"), F.lit(256))),
+            lambda i: (i > 0) & (F.col("lo").substr(F.lit(1), i) == F.col("hi").substr(F.lit(1), i)),
+        )
+    )
+    prefix = ends.select(F.octet_length(F.col("lo").substr(F.lit(1), shared)).alias("n")).scalar()
+    tail = F.expr(f"cast(`{column}` AS binary)")
+    window = F.rpad(F.hex(F.substring(tail, F.coalesce(prefix, F.lit(0)) + 1, F.lit(6))), 12, "0")
+    return F.coalesce(F.conv(window, 16, 10).cast("double"), F.lit(-1.0))
