@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ordered import HOT_KEY_ROWS, ordered
 
@@ -24,7 +25,7 @@ def canonical_flat_json(values: Column) -> Column:
     return F.to_json(in_order, {"ignoreNullFields": "false"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """Canonical JSON of nested documents: sorted keys at every depth, no spaces."""
     return text.map(

@@ -124,7 +124,7 @@ def name_rules(t):
 
 @query("b11_bounded_scores", """
 SELECT vec_id, round(CASE WHEN label = 9 THEN 0.0 ELSE greatest(0, least(1, s)) END, 6) AS score
-FROM (SELECT vec_id, label, list_sum(list_transform(embedding, v -> cast(v AS double))) AS s FROM embeddings)
+FROM (SELECT vec_id, label, list_sum(list_transform(embedding, lambda v: cast(v AS double))) AS s FROM embeddings)
 """)
 def bounded_scores(t):
     from ..functions.scoring import bounded_score
