@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.images import to_bytes
 from ..operators.ordered import ordered
 
 TABLES = (
@@ -109,6 +110,11 @@ FROM embeddings e CROSS JOIN (VALUES (0, 0, 0), (1, 4, 0), (2, 0, 4), (3, 4, 4))
 SELECT image_id, 'mean' AS detector, avg(v) AS score FROM v_pixel GROUP BY image_id
 UNION ALL
 SELECT image_id, 'max' AS detector, max(v) AS score FROM v_pixel GROUP BY image_id""",
+    "v_byte": "SELECT image_id, grp, ch, y, x, floor(v * 255) AS v FROM v_pixel",
+    "v_colour": """
+SELECT vec_id AS image_id, label AS grp, cast(c AS int) AS ch, cast(i // 8 AS int) AS y, cast(i % 8 AS int) AS x,
+       floor((cast(embedding[(i + c * 21) % 64 + 1] AS double) + 1) / 2 * 255) AS v
+FROM embeddings CROSS JOIN range(3) AS a(c) CROSS JOIN range(64) AS b(i)""",
     "v_pixel": """
 SELECT vec_id AS image_id, label AS grp, 0 AS ch, cast((i - 1) // 8 AS int) AS y, cast((i - 1) % 8 AS int) AS x,
        (cast(v AS double) + 1) / 2 AS v
@@ -212,3 +218,28 @@ class Tables:
                 )
             ).alias("y", "row"),
         ).select("image_id", "grp", "ch", "y", F.lit(8).alias("width"), "row")
+
+    @property
+    def v_byte_scanline(self) -> DataFrame:
+        """Images as whole numbers 0..255."""
+        return to_bytes(self.v_scanline)
+
+    @property
+    def v_colour_scanline(self) -> DataFrame:
+        """Three byte channels per image: the vector read from positions 0, 21 and 42."""
+        rows = self.embeddings.select(
+            F.col("vec_id").alias("image_id"), F.col("label").alias("grp"),
+            F.posexplode(F.array(F.lit(0), F.lit(21), F.lit(42))).alias("ch", "_from"), "embedding",
+        )
+        cells = F.transform(
+            F.sequence(F.lit(0), F.lit(7)),
+            lambda y: F.transform(
+                F.sequence(F.lit(0), F.lit(7)),
+                lambda x: F.floor(
+                    (F.get(F.col("embedding"), F.pmod(y * 8 + x + F.col("_from"), F.lit(64))).cast("double") + 1) / 2 * 255.0
+                ).cast("double"),
+            ),
+        )
+        return rows.select("image_id", "grp", "ch", F.posexplode(cells).alias("y", "row")).select(
+            "image_id", "grp", "ch", "y", F.lit(8).alias("width"), "row"
+        )
