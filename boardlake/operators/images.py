@@ -95,7 +95,7 @@ def to_hsv(scanlines: DataFrame) -> DataFrame:
         return F.struct(hue.alias("h"), F.when(top == 0, 0.0).otherwise(span * 255.0 / top).alias("s"), top.alias("v"))
 
     mixed = _planes(scanlines).withColumn("_z", F.transform(F.arrays_zip("c0", "c1", "c2"), hsv))
-    parts = F.array(*[F.transform("_z", lambda z, n=n: z[n]) for n in ("h", "s", "v")])
+    parts = F.array(*[F.col("_z")[n] for n in ("h", "s", "v")])
     return mixed.select("image_id", "y", "width", F.posexplode(parts).alias("ch", "row")).select(
         "image_id", "ch", "y", "width", "row"
     )
@@ -348,19 +348,34 @@ def _combine(rows: Sequence[Column], weights: Sequence[float]) -> Column | None:
     used = [(w, r) for w, r in zip(weights, rows, strict=True) if w != 0]
     if not used:
         return None
-    w0, r0 = used[0]
-    acc = F.transform(r0, lambda v: v * w0)
-    for w, r in used[1:]:
-        acc = F.zip_with(acc, r, lambda a, b, w=w: a + b * w)
+    def scaled(weight: float) -> Callable[[Column], Column]:
+        return lambda v: v * weight
+
+    def adding(weight: float) -> Callable[[Column, Column], Column]:
+        return lambda a, b: a + b * weight
+
+    acc = F.transform(used[0][1], scaled(used[0][0]))
+    for weight, row in used[1:]:
+        acc = F.zip_with(acc, row, adding(weight))
     return acc
 
 
-def separable(nb: Column, vertical: Sequence[float], horizontal: Sequence[float]) -> Column:
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed a single time, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def rows_of(nb: Column, size: int) -> list[Column]:
+    return [nb[i] for i in range(size)]
+
+
+def separable(rows: Sequence[Column], vertical: Sequence[float], horizontal: Sequence[float]) -> Column:
     """Weighted sum with a kernel that is the product of two vectors."""
-    column = _combine([nb[i] for i in range(len(vertical))], vertical)
-    width = F.size(column) - (len(horizontal) - 1)
-    shifted = [F.slice(column, k + 1, width) for k in range(len(horizontal))]
-    return _combine(shifted, horizontal)
+    def across(column: Column) -> Column:
+        width = F.size(column) - (len(horizontal) - 1)
+        return _combine([F.slice(column, k + 1, width) for k in range(len(horizontal))], horizontal)
+
+    return once(_combine(rows, vertical), across)
 
 
 def windowed(nb: Column, kernel: Sequence[Sequence[float]]) -> Column:
@@ -396,12 +411,12 @@ def _odd(size: int) -> int:
 
 def gaussian_blur(scanlines: DataFrame, size: int, sigma: float, border: str = "reflect101") -> DataFrame:
     k = gaussian_kernel(_odd(size), sigma)
-    return _apply(neighbours(scanlines, size // 2, border), lambda nb: separable(nb, k, k))
+    return _apply(neighbours(scanlines, size // 2, border), lambda nb: separable(rows_of(nb, size), k, k))
 
 
 def box_blur(scanlines: DataFrame, size: int) -> DataFrame:
     k = [1.0 / _odd(size)] * size
-    return _apply(neighbours(scanlines, size // 2, "reflect101"), lambda nb: separable(nb, k, k))
+    return _apply(neighbours(scanlines, size // 2, "reflect101"), lambda nb: separable(rows_of(nb, size), k, k))
 
 
 def _apply(gathered: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
@@ -430,9 +445,11 @@ def _extreme(scanlines: DataFrame, size: int, largest: bool) -> DataFrame:
         return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: pick(x, y)), rows)
 
     def shrink_window(nb: Column) -> Column:
-        column = reduce_rows([nb[i] for i in range(size)])
-        width = F.size(column) - (size - 1)
-        return reduce_rows([F.slice(column, k + 1, width) for k in range(size)])
+        def across(column: Column) -> Column:
+            width = F.size(column) - (size - 1)
+            return reduce_rows([F.slice(column, k + 1, width) for k in range(size)])
+
+        return once(reduce_rows(rows_of(nb, size)), across)
 
     return _apply(neighbours(scanlines, size // 2, "constant", outside), shrink_window)
 
@@ -480,7 +497,7 @@ DERIVATIVES = {0: SMOOTH, 1: DERIVE, 2: SECOND}
 
 
 def sobel_row(nb: Column, dx: int, dy: int) -> Column:
-    return separable(nb, DERIVATIVES[dy], DERIVATIVES[dx])
+    return separable(rows_of(nb, 3), DERIVATIVES[dy], DERIVATIVES[dx])
 
 
 def _absolute(row: Column) -> Column:
@@ -493,7 +510,7 @@ def sobel(scanlines: DataFrame, dx: int, dy: int) -> DataFrame:
 
 def scharr(scanlines: DataFrame, axis: str) -> DataFrame:
     v, h = (SCHARR_SMOOTH, DERIVE) if axis == "x" else (DERIVE, SCHARR_SMOOTH)
-    return _apply(neighbours(scanlines, 1, "reflect101"), lambda nb: _absolute(separable(nb, v, h)))
+    return _apply(neighbours(scanlines, 1, "reflect101"), lambda nb: _absolute(separable(rows_of(nb, 3), v, h)))
 
 
 def laplacian(scanlines: DataFrame, size: int = 1) -> DataFrame:
@@ -509,7 +526,7 @@ def adaptive_threshold(scanlines: DataFrame, block: int, constant: float) -> Dat
     return _apply(
         neighbours(scanlines, block // 2, "replicate"),
         lambda nb: F.zip_with(
-            "row", separable(nb, k, k), lambda v, m: F.when(v > clamp_byte(F.rint(m)) - delta, 255.0).otherwise(0.0)
+            "row", separable(rows_of(nb, block), k, k), lambda v, m: F.when(v > clamp_byte(F.rint(m)) - delta, 255.0).otherwise(0.0)
         ),
     )
 

@@ -1,13 +1,15 @@
 """Ordered computations per key that survive a key holding a large share of all rows.
 
-A plain window puts all rows of one key into one task. Here a key above a row limit is
-cut into consecutive chunks of its order, the window runs per (key, chunk), and what
-earlier chunks contribute is added from a table with one row per chunk. Small keys stay
-in one chunk, so they pay only the per-key count that finds the large ones.
-
-Size of the broadcast tables: a key counts as large when it holds more than
-``total / MAX_HOT_KEYS`` rows, so there are fewer than MAX_HOT_KEYS large keys and fewer
-than 2 * MAX_HOT_KEYS chunks, whatever the size of the input.
+A plain window puts all rows of one key into one task. Before planning, the rows per key
+are counted (pre-aggregated per task). When no key is above the row limit the plan is one
+plain window. Otherwise each large key is cut into consecutive chunks of its order, the
+window runs per (key, chunk), and what earlier chunks contribute is added from a table
+with one row per chunk.
+
+Size of what reaches the driver and is broadcast: at most MAX_HOT_KEYS keys, the largest
+ones. Any key left out holds fewer than ``total / MAX_HOT_KEYS`` rows, and the chunks of a
+key hold about ``max(hot_rows, total / MAX_CHUNKS)`` rows each, so there are at most
+MAX_HOT_KEYS + MAX_CHUNKS chunks, whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -16,47 +18,41 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_KEY_ROWS = 1_000_000
 MAX_HOT_KEYS = 8192
+MAX_CHUNKS = 32_768
 
 
 def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[f"_r_{n}"]) for n in names])
+    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[f"_r_{n}"]) for n in names], F.lit(True))
 
 
 def _renamed(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in df.columns])
 
 
-def with_chunks(
-    df: DataFrame, keys: list[str], position: Column, hot_rows: int = HOT_KEY_ROWS
-) -> DataFrame:
-    """Add ``_chunk`` (0 for small keys) and ``_hot``; chunks follow ``position``."""
+def large_keys(df: DataFrame, keys: list[str], position: Column | None = None, hot_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
+    """The keys above the row limit with their number of chunks, or None when there is none."""
+    at = (position if position is not None else F.lit(0)).cast("double")
+    sizes = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
+    )
+    found = sizes.where(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
+    if not found:
+        return None
+    per_chunk = max(hot_rows, sum(r["_n"] for r in found) // MAX_CHUNKS)
+    rows = [(*r, -(-r["_n"] // per_chunk)) for r in found]
+    schema = T.StructType([*sizes.schema.fields, T.StructField("_pieces", T.LongType())])
+    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+
+
+def with_chunks(df: DataFrame, keys: list[str], position: Column, hot: DataFrame) -> DataFrame:
+    """Add ``_chunk`` (0 for keys that are not large) and ``_hot``; chunks follow ``position``."""
     placed = df.withColumn("_pos", position.cast("double"))
-    total = placed.agg(F.count(F.lit(1)).alias("n")).scalar()
-    limit = F.greatest(F.lit(float(hot_rows)), total / F.lit(float(MAX_HOT_KEYS)))
-    measures = [
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_pos").alias("_lo"),
-        F.max("_pos").alias("_hi"),
-    ]
-    if keys:
-        hot = (
-            placed.groupBy(*keys).agg(*measures)
-            .where(F.col("_n") > limit)
-            .withColumn("_pieces", F.ceil(F.col("_n") / limit))
-        )
-        right = _renamed(hot, keys)
-        tagged = placed.join(F.broadcast(right), _null_safe(placed, right, keys), "left")
-    else:
-        one = placed.agg(*measures).where(F.col("_n") > hot_rows).withColumn(
-            "_pieces", F.ceil(F.col("_n") / limit)
-        )
-        whole = one.select(F.struct("_lo", "_hi", "_pieces").alias("s")).scalar()
-        tagged = placed.withColumn("_s", whole).select(
-            *placed.columns, F.col("_s._lo"), F.col("_s._hi"), F.col("_s._pieces")
-        )
+    right = _renamed(hot, keys)
+    tagged = placed.join(F.broadcast(right), _null_safe(placed, right, keys), "left")
     share = (F.col("_pos") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
     chunk = F.least(F.floor(share * F.col("_pieces")), F.col("_pieces") - 1)
     return tagged.select(
@@ -82,20 +78,38 @@ def ordered(
 
     ``order`` lists ascending columns that order the rows of a key totally; ``position``
     is a number that never decreases along that order. ``previous`` maps a new column to
-    the column whose value on the row before is wanted.
+    the column whose value on the row before is wanted. Finding large keys runs one job
+    over the keys when this is called.
     """
     previous, running, total = previous or {}, running or {}, total or {}
-    tagged = with_chunks(df, keys, position, hot_rows)
+    hot = large_keys(df, keys, position, hot_rows)
+    if hot is None:
+        return _one_window(df, keys, order, number, previous, running, total)
+    return _chunked(with_chunks(df, keys, position, hot), df.columns, keys, order, number, previous, running, total)
+
+
+def _one_window(df, keys, order, number, previous, running, total):
+    whole = Window.partitionBy(*(keys or [F.lit(1)]))
+    line = whole.orderBy(*order)
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    extra = [F.row_number().over(line).cast("bigint").alias(number)] if number else []
+    extra += [F.lag(source).over(line).alias(name) for name, source in previous.items()]
+    extra += [F.sum(expr).over(upto).alias(name) for name, expr in running.items()]
+    extra += [F.sum(expr).over(whole).alias(name) for name, expr in total.items()]
+    return df.select("*", *extra)
+
+
+def _chunked(tagged, columns, keys, order, number, previous, running, total):
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys, "_chunk")
-    last_cols = F.struct(*[F.col(src).alias(dst) for dst, src in previous.items()]) if previous else None
+    last = F.struct(*[F.col(source).alias(name) for name, source in previous.items()]) if previous else None
 
     rows = tagged
     if number:
         rows = rows.withColumn("_rn", F.row_number().over(inside).cast("bigint"))
     if previous:
-        rows = rows.withColumn("_prev", F.lag(last_cols).over(inside))
+        rows = rows.withColumn("_prev", F.lag(last).over(inside))
     for name, expr in running.items():
         rows = rows.withColumn(f"_run_{name}", F.sum(expr).over(upto))
     for name, expr in total.items():
@@ -103,28 +117,26 @@ def ordered(
 
     parts = [F.count(F.lit(1)).alias("_cn")]
     if previous:
-        parts.append(F.max_by(last_cols, F.struct(*order)).alias("_clast"))
+        parts.append(F.max_by(last, F.struct(*order)).alias("_clast"))
     parts += [F.sum(e).alias(f"_crun_{n}") for n, e in running.items()]
     parts += [F.sum(e).alias(f"_ctot_{n}") for n, e in total.items()]
     chunks = tagged.where("_hot").groupBy(*keys, "_chunk").agg(*parts)
-    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    by_key = Window.partitionBy(*(keys or [F.lit(1)]))
     before = by_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = [F.sum("_cn").over(before).alias("_base_n")]
     if previous:
         carry.append(F.last("_clast", ignorenulls=True).over(before).alias("_base_last"))
     carry += [F.sum(f"_crun_{n}").over(before).alias(f"_base_run_{n}") for n in running]
     carry += [F.sum(f"_ctot_{n}").over(by_key).alias(f"_base_tot_{n}") for n in total]
-    carried = chunks.select(*keys, "_chunk", *carry)
     join_keys = [*keys, "_chunk"]
-    right = _renamed(carried, join_keys)
+    right = _renamed(chunks.select(*join_keys, *carry), join_keys)
     out = rows.join(F.broadcast(right), _null_safe(rows, right, join_keys), "left")
 
-    result = [F.col(c) for c in df.columns]
+    result = [F.col(c) for c in columns]
     if number:
         result.append((F.col("_rn") + F.coalesce("_base_n", F.lit(0))).cast("bigint").alias(number))
     for name in previous:
-        seen = F.coalesce(F.col("_prev"), F.col("_base_last"))
-        result.append(seen[name].alias(name))
+        result.append(F.coalesce(F.col("_prev"), F.col("_base_last"))[name].alias(name))
     for name in running:
         earlier, own = F.col(f"_base_run_{name}"), F.col(f"_run_{name}")
         result.append(

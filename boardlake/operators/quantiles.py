@@ -1,11 +1,11 @@
-"""Exact quantiles that never hold a whole group in one task."""
+"""Exact quantiles that never hold a large group in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import HOT_KEY_ROWS, ordered
+from .ordered import HOT_KEY_ROWS, _null_safe, _renamed, large_keys, ordered
 
 
 def exact_quantiles(
@@ -19,10 +19,35 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key with a column per requested probability.
 
-    Equal values are counted first, the counts are summed along the value order, and the
-    value at the wanted rank is taken. ``interpolate=False`` gives the smallest value whose
-    cumulative share reaches the probability (lower median for 0.5).
+    ``interpolate=False`` gives the smallest value whose cumulative share reaches the
+    probability (the lower median for 0.5). Groups up to ``hot_rows`` rows use the built-in
+    aggregate. For larger ones equal values are counted, the counts are summed along the
+    value order in chunks, and the value at the wanted rank is taken.
     """
+    hot = large_keys(df, keys, F.col(value), hot_rows)
+    if hot is None:
+        return _built_in(df, keys, value, probs, interpolate)
+    names = _renamed(hot.select(*keys, F.lit(True).alias("_is_hot")), keys)
+    if not keys:
+        return _by_rank(df, keys, value, probs, interpolate, hot_rows)
+    tagged = df.join(F.broadcast(names), _null_safe(df, names, keys), "left")
+    small = tagged.where(F.col("_is_hot").isNull()).select(*df.columns)
+    large = tagged.where(F.col("_is_hot")).select(*df.columns)
+    return _built_in(small, keys, value, probs, interpolate).unionByName(
+        _by_rank(large, keys, value, probs, interpolate, hot_rows)
+    )
+
+
+def _built_in(df, keys, value, probs, interpolate):
+    def pick(p: float) -> Column:
+        if interpolate:
+            return F.percentile(value, F.lit(float(p)))
+        return F.expr(f"percentile_disc({float(p)}D) WITHIN GROUP (ORDER BY `{value}`)")
+
+    return df.groupBy(*keys).agg(*[pick(p).alias(name) for name, p in probs.items()])
+
+
+def _by_rank(df, keys, value, probs, interpolate, hot_rows):
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)

@@ -183,12 +183,16 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
 
     def visit(targets: DataFrame) -> DataFrame:
         """targets: (_qid, _f, q_block, cell), one row per cell a query must look into."""
-        wanted = targets.select("cell", "q_block").distinct()
-        left = targets.withColumn(
-            "s_block", F.explode(F.sequence(F.lit(0), (block_of[F.col("cell")] - 1).cast("int")))
+        wanted = targets.select(F.col("cell").alias("w_cell"), F.col("q_block").alias("w_block")).distinct()
+        left = targets.select(
+            "_qid", "_f", F.col("cell").alias("k_cell"), F.col("q_block").alias("k_query"),
+            F.explode(F.sequence(F.lit(0), (block_of[F.col("cell")] - 1).cast("int"))).alias("k_sample"),
         )
-        right = s.join(wanted, "cell")
-        keys = ["cell", "s_block", "q_block"]
+        right = s.join(wanted, F.col("cell") == F.col("w_cell")).select(
+            "_sid", "_label", "_f", F.col("w_cell").alias("k_cell"), F.col("w_block").alias("k_query"),
+            F.col("s_block").alias("k_sample"),
+        )
+        keys = ["k_cell", "k_sample", "k_query"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
 
     from ..sources.storage import checkpoint
@@ -196,7 +200,6 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
     occupied = sorted(info)
     at_home = q.where(F.col("home").isin(occupied)).select("_qid", "_f", "q_block", F.col("home").alias("cell"))
     first = checkpoint(visit(at_home))
-    bound = first.groupBy("_qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("reach"))
     # With several blocks per home cell the k-th distance over all of them is wanted.
     kth = top_rows(first, ["_qid"], [F.asc("distance")], k).groupBy("_qid").agg(
         F.count(F.lit(1)).alias("n"), F.max("distance").alias("reach")
@@ -219,7 +222,6 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
             | (F.col("to_pivot") - radius[F.col("cell")] <= F.col("reach") + slack * (1 + F.col("to_pivot")))
         )
     )
-    del bound
     return first.unionByName(visit(others.select("_qid", "_f", "q_block", "cell")))
 
 
@@ -285,7 +287,7 @@ def _as_model(per_dimension: DataFrame, fields: list[str]) -> DataFrame:
     listed = per_dimension.groupBy("label").agg(
         F.array_sort(F.collect_list(F.struct("dim", *fields))).alias("_d")
     )
-    return listed.select("label", *[F.transform("_d", lambda x, f=f: x[f]).alias(f) for f in fields])
+    return listed.select("label", *[F.col("_d")[f].alias(f) for f in fields])
 
 
 def _model_value(model: DataFrame) -> Column:
@@ -496,8 +498,8 @@ def linear_svm(samples: DataFrame, queries: DataFrame, key: str, features: str,
         stages.append(StandardScaler(inputCol="_v", outputCol="_w", withMean=True, withStd=True))
         column = "_w"
     n = train.count()
-    svc = LinearSVC(featuresCol=column, regParam=1.0 / (penalty * n), maxIter=50)
-    stages.append(OneVsRest(classifier=svc, featuresCol=column, labelCol="_y", predictionCol="_hat"))
+    svc = LinearSVC(featuresCol=column, regParam=1.0 / (penalty * n), maxIter=25, tol=1e-4)
+    stages.append(OneVsRest(classifier=svc, featuresCol=column, labelCol="_y", predictionCol="_hat", parallelism=8))
     model = Pipeline(stages=stages).fit(train)
     return model.transform(_with_vector(queries, features)).select(key, F.col("_hat").cast("int").alias("predicted"))
 
@@ -522,11 +524,11 @@ def pca_anomaly(train: DataFrame, queries: DataFrame, key: str, features: str, c
     from pyspark.ml.functions import vector_to_array
 
     dims = train.select(F.posexplode(features).alias("dim", "v")).groupBy("dim").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    mean = dims.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"])).scalar()
+    mean = dims.agg(F.array_sort(F.collect_list(F.struct("dim", "m")))["m"]).scalar()
 
     def centred(df: DataFrame) -> DataFrame:
         x = F.transform(features, lambda v: v.cast("double"))
-        return df.withColumn("_x", F.zip_with(x, mean, lambda a, b: a - b))
+        return df.withColumn("_mean", mean).withColumn("_x", F.zip_with(x, F.col("_mean"), lambda a, b: a - b))
 
     model = PCA(k=components, inputCol="_v", outputCol="_t").fit(_with_vector(centred(train), "_x"))
     basis = model.pc.toArray()

@@ -90,12 +90,12 @@ def heightmap_summary(t):
 
 
 @query("d22_luminance_checks", """
-SELECT image_id, round(var_pop(v), 4) AS variance, var_pop(v) < 250 AS is_blurred, round(least(abs(avg(v) - 127.5) / 127.5, 1.0), 6) AS reference_score
+SELECT image_id, round(var_pop(v) + 1e-9, 6) AS variance, var_pop(v) < 250 AS is_blurred, round(least(abs(avg(v) - 127.5) / 127.5, 1.0), 6) AS reference_score
 FROM v_byte GROUP BY image_id
 """)
 def luminance_checks(t):
     s = op.luminance_checks(t.v_byte_scanline, 250)
-    return s.select("image_id", F.round("variance", 4).alias("variance"), "is_blurred", F.round("reference_score", 6).alias("reference_score"))
+    return s.select("image_id", F.round(F.col("variance") + 1e-9, 6).alias("variance"), "is_blurred", F.round("reference_score", 6).alias("reference_score"))
 
 
 def labelled_scores(t):
@@ -172,7 +172,7 @@ def pose_age(t):
 
 @query("g11_precheck_code", """
 SELECT event_id, CASE WHEN user_id % 20 = 0 THEN 'corrupt' WHEN event_type = 'error' THEN 'checksum-invalid' WHEN value < 1 THEN 'blurred'
-  WHEN user_id % 7 = 0 THEN 'unregistered' WHEN value > 150 THEN 'motion-not-in-position' WHEN user_id > 130 THEN 'stale-pose' ELSE 'ok' END AS code
+  WHEN user_id % 7 = 0 THEN 'unregistered' WHEN value > 150 THEN 'motion-not-in-position' WHEN user_id < 70 OR user_id > 130 THEN 'stale-pose' ELSE 'ok' END AS code
 FROM events
 """)
 def precheck_code(t):
