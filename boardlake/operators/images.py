@@ -252,18 +252,19 @@ def source_index(i: Column, n: Column, border: str) -> Column:
 def pad(scanlines: DataFrame, top: int, bottom: int, left: int, right: int, border: str, value: float = 0.0) -> DataFrame:
     if min(top, bottom, left, right) < 0:
         raise ValueError("Padding values cannot be negative.")
-    sized = with_height(scanlines)
-    h, w = F.col("height").cast("int"), F.col("width")
+    # Renamed, as the select below gives new meaning to ``y``, ``width`` and ``row``.
+    sized = with_height(scanlines).withColumnsRenamed({"width": "_w", "row": "_row"})
+    h, w = F.col("height").cast("int"), F.col("_w")
     targets = F.sequence(F.lit(-top), h + bottom - 1)
     if border == "constant":
         own = F.filter(targets, lambda i: (i == F.col("y")) | ((F.col("y") == 0) & ((i < 0) | (i >= h))))
     else:
         own = F.filter(targets, lambda i: source_index(i, h, border) == F.col("y"))
-    spread = sized.withColumn("_i", F.explode(own))
+    spread = sized.withColumn("_i", F.explode(own)).withColumnRenamed("y", "_y")
     at = F.sequence(F.lit(-left), w + right - 1)
-    cells = F.transform(at, lambda j: F.get(F.col("row"), source_index(j, w, border).cast("int")))
+    cells = F.transform(at, lambda j: F.get(F.col("_row"), source_index(j, w, border).cast("int")))
     if border == "constant":
-        outside = F.col("_i") != F.col("y")
+        outside = F.col("_i") != F.col("_y")
         cells = F.transform(cells, lambda v: F.when(outside, value).otherwise(F.coalesce(v, F.lit(value))))
     return spread.select(
         "image_id", "ch", (F.col("_i") + top).alias("y"), (w + left + right).alias("width"), cells.alias("row")
@@ -271,14 +272,14 @@ def pad(scanlines: DataFrame, top: int, bottom: int, left: int, right: int, bord
 
 
 def resize_nearest(scanlines: DataFrame, width: int, height: int) -> DataFrame:
-    sized = with_height(scanlines)
+    sized = with_height(scanlines).withColumnsRenamed({"width": "_w", "row": "_row"})
     own = F.filter(
         F.sequence(F.lit(0), F.lit(height - 1)),
         lambda i: F.floor(i * F.col("height") / F.lit(height)) == F.col("y"),
     )
     cells = F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda j: F.get(F.col("row"), F.floor(j * F.col("width") / F.lit(width)).cast("int")),
+        lambda j: F.get(F.col("_row"), F.floor(j * F.col("_w") / F.lit(width)).cast("int")),
     )
     return sized.select(
         "image_id", "ch", F.explode(own).alias("y"), F.lit(width).alias("width"), cells.alias("row")
