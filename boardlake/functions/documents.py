@@ -1,78 +1,76 @@
-"""Nested JSON documents as rows of nodes."""
+"""Nested JSON documents: leaves by path, and differences between two versions."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_NODE = T.ArrayType(
-    T.StructType([T.StructField(n, T.StringType()) for n in ("path", "parent", "kind", "value")])
-)
 
 
 def _text(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def _children(value, path: str):
+def _children(value, path: str) -> dict:
+    """Direct members of a container by path, such as ``$.a[0]``."""
     if isinstance(value, dict):
-        return [(f"{path}.{k}", v) for k, v in sorted(value.items())]
-    return [(f"{path}[{i}]", v) for i, v in enumerate(value)]
+        return {f"{path}.{k}": v for k, v in value.items()}
+    return {f"{path}[{i}]": v for i, v in enumerate(value)}
 
 
-def _nodes(text: str | None):
-    if text is None:
-        return []
-    found, waiting = [], [("$", None, json.loads(text))]
+def _leaves(document) -> Iterator[tuple]:
+    waiting = [("$", document)]
     while waiting:
-        path, parent, value = waiting.pop()
-        kind = "object" if isinstance(value, dict) else "array" if isinstance(value, list) else "scalar"
-        found.append((path, parent, kind, _text(value)))
-        if kind != "scalar":
-            waiting += [(p, path, v) for p, v in _children(value, path)]
-    return found
+        path, value = waiting.pop()
+        if isinstance(value, (dict, list)) and value:
+            waiting.extend(_children(value, path).items())
+        else:
+            yield path, _text(value)
 
 
-@F.pandas_udf(_NODE)
-def json_nodes(text: pd.Series) -> pd.Series:
-    """Every node of a document: path such as ``$.a[0]``, parent path, kind and JSON text."""
-    return text.map(_nodes)
+def _differences(submitted, current) -> Iterator[tuple]:
+    """A node that only one side has is reported whole, at its own path."""
+    waiting = [("$", submitted, current)]
+    while waiting:
+        path, s, c = waiting.pop()
+        if isinstance(s, (dict, list)) and type(s) is type(c):
+            left, right = _children(s, path), _children(c, path)
+            for p in left.keys() - right.keys():
+                yield p, _text(left[p]), None
+            for p in right.keys() - left.keys():
+                yield p, None, _text(right[p])
+            waiting.extend((p, left[p], right[p]) for p in left.keys() & right.keys())
+        elif s != c:
+            yield path, _text(s), _text(c)
+
+
+def _rows(df: DataFrame, keys: list[str], texts: list[str], columns: list[str], found: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """Rows that a small function finds in the documents of each input row; no shuffle."""
+    chosen = df.select(*keys, *texts)
+    types = dict(chosen.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"{c} string" for c in columns])
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out, at = [], []
+            documents = zip(*[[json.loads(x) for x in batch[t]] for t in texts])
+            for i, row in enumerate(documents):
+                before = len(out)
+                out.extend(found(*row))
+                at.extend([i] * (len(out) - before))
+            result = batch[keys].iloc[at].reset_index(drop=True)
+            yield result.assign(**{c: [r[j] for r in out] for j, c in enumerate(columns)})
+
+    return chosen.dropna(subset=texts).mapInPandas(search, schema)
 
 
 def flatten(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Leaf values by path."""
-    nodes = df.select(*keys, F.inline(json_nodes(text)))
-    empty = F.col("value").isin("{}", "[]")
-    return nodes.where((F.col("kind") == "scalar") | empty).select(*keys, "path", "value")
+    """Leaf values by path; empty containers count as leaves."""
+    return _rows(df, keys, [text], ["path", "value"], _leaves)
 
 
 def document_diff(df: DataFrame, key: str, submitted: str, current: str) -> DataFrame:
-    """One row per differing path between two documents of each row.
-
-    Where only one side has a node the whole node is reported at the shallowest such path.
-    """
-    def side(name: str, tag: str) -> DataFrame:
-        return df.select(key, F.inline(json_nodes(name))).select(
-            key, "path", "parent", F.col("kind").alias(f"{tag}_kind"), F.col("value").alias(f"{tag}_value")
-        )
-
-    # Both sides come from the same row, so one grouping stands in for a full outer join.
-    both = (
-        side(submitted, "s").unionByName(side(current, "c"), allowMissingColumns=True)
-        .groupBy(key, "path")
-        .agg(F.max("parent").alias("parent"), *[F.max(c).alias(c) for c in ("s_kind", "s_value", "c_kind", "c_value")])
-    )
-    same = F.col("s_kind") == F.col("c_kind")
-    nested = F.coalesce(same & (F.col("s_kind") != "scalar"), F.lit(False))
-    marked = both.withColumn("_open", nested)
-    parents = marked.where("_open").select(key, F.col("path").alias("parent"))
-    children = marked.where("parent IS NOT NULL").join(parents, [key, "parent"], "left_semi")
-    roots = marked.where("parent IS NULL").select(*children.columns)
-    differs = ~F.col("_open") & ~F.col("s_value").eqNullSafe(F.col("c_value"))
-    return roots.unionByName(children).where(differs).select(
-        key, "path", F.col("s_value").alias("submitted"), F.col("c_value").alias("current")
-    )
+    """One row per differing path between the two documents of each row."""
+    return _rows(df, [key], [submitted, current], ["path", "submitted", "current"], _differences)

@@ -107,14 +107,14 @@ class OrphanTimeout(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
         event, at, active = self.last.get() if self.last.exists() else (None, None, False)
+        if active:
+            self.handle.deleteTimer(int(at) + self.timeout)
         found = []
         for row in batch.itertuples(index=False):
             if active and row.at - at >= self.timeout:
                 found.append((int(event), int(key[0]), "failed"))
             event, at, active = row.event_id, row.at, row.status not in TERMINAL
         self.last.update((int(event), int(at), bool(active)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         if active:
             self.handle.registerTimer(int(at) + self.timeout)
         yield pd.DataFrame(found, columns=["event_id", "user_id", "recovered_status"])
