@@ -42,7 +42,7 @@ def pair_rows(scanlines: DataFrame, other: DataFrame, keys: Sequence[str], f: Ca
 def shape_mismatches(observed: DataFrame, golden: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Images whose scanlines do not line up with their reference."""
     o = observed.select(*keys, "image_id", "y", F.size("row").alias("w"))
-    g = golden.select(*keys, "y", F.size("row").alias("gw"))
+    g = golden.select(*keys, "y", F.size("other_row").alias("gw"))
     heights = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("gh"))
     lines = o.join(g, [*keys, "y"], "left").groupBy(*keys, "image_id").agg(
         F.count(F.lit(1)).alias("h"), F.count_if(F.col("gw").isNull() | (F.col("gw") != F.col("w"))).alias("bad")

@@ -37,7 +37,7 @@ SELECT vec_id AS image_id FROM embeddings WHERE label = 3 OR label = 9
 def shape_mismatches(t):
     lines = t.v_scanline
     golden = op.golden_lines(lines).where(~((F.col("grp") == 3) & (F.col("y") == 7)))
-    golden = golden.withColumn("row", F.when(F.col("grp") == 9, F.slice("other_row", 1, 7)).otherwise(F.col("other_row")))
+    golden = golden.withColumn("other_row", F.when(F.col("grp") == 9, F.slice("other_row", 1, 7)).otherwise(F.col("other_row")))
     return im.shape_mismatches(lines, golden, ["grp", "ch"]).distinct()
 
 
