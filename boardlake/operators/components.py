@@ -47,9 +47,11 @@ def expected_components(observed: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def component_report(observed: DataFrame, golden: DataFrame, tolerance: float) -> DataFrame:
-    """Matched, missing and extra components."""
+    """Matched, missing and extra components; the matches are kept in a checkpoint."""
+    from ..sources.storage import checkpoint
+
     matched = match_components(observed, golden, tolerance)
-    found = matched.select("board_id", "board_type", "kind", "ref", "det_id", F.lit("matched").alias("state"))
+    found = checkpoint(matched.select("board_id", "board_type", "kind", "ref", "det_id")).withColumn("state", F.lit("matched"))
     missing = expected_components(observed, golden).join(
         found, ["board_id", "board_type", "kind", "ref"], "left_anti"
     ).select("board_id", "board_type", "kind", "ref", F.lit(-1).cast("bigint").alias("det_id"), F.lit("missing").alias("state"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .images import (
-    DERIVE, IMAGE, SMOOTH, gaussian_kernel, neighbours, pixels, rows_of, separable,
+    DERIVE, IMAGE, SMOOTH, gaussian_kernel, neighbours, once, pixels, separable,
 )
 from .quantiles import exact_quantiles
 
@@ -119,15 +119,13 @@ def _five_means(scanlines: DataFrame, golden: DataFrame, radius: int, mean) -> D
     a = neighbours(both, radius, "reflect101", name="nb_a")
     swapped = a.withColumn("_own", F.col("row")).withColumn("row", F.col("other_row"))
     b = neighbours(swapped, radius, "reflect101", name="nb_b")
-    ra, rb = rows_of(F.col("nb_a"), 2 * radius + 1), rows_of(F.col("nb_b"), 2 * radius + 1)
+    na, nb = F.col("nb_a"), F.col("nb_b")
 
-    def products(x: list[Column], y: list[Column]) -> list[Column]:
-        return [F.zip_with(p, q, lambda u, v: u * v) for p, q in zip(x, y)]
+    def products(x: Column, y: Column) -> Column:
+        cells = F.zip_with(x, y, lambda p, q: F.zip_with(p, q, lambda u, v: u * v))
+        return once(cells, mean)
 
-    m = {
-        "ma": mean(ra), "mb": mean(rb), "aa": mean(products(ra, ra)),
-        "bb": mean(products(rb, rb)), "ab": mean(products(ra, rb)),
-    }
+    m = {"ma": mean(na), "mb": mean(nb), "aa": products(na, na), "bb": products(nb, nb), "ab": products(na, nb)}
     return b.select("image_id", "ch", "y", *[v.alias(k) for k, v in m.items()])
 
 
@@ -153,7 +151,7 @@ def structural_similarity(scanlines: DataFrame, golden: DataFrame, window: int)
         bottom = (z["ma"] * z["ma"] + z["mb"] * z["mb"] + c1) * (va + vb + c2)
         return _dissimilarity(F.when(bottom > 0, top / bottom).otherwise(1.0))
 
-    m = _five_means(scanlines, golden, window // 2, lambda rows: separable(rows, k, k))
+    m = _five_means(scanlines, golden, window // 2, lambda nb: separable(nb, k, k))
     return m.select("image_id", "ch", "y", F.transform(F.arrays_zip("ma", "mb", "aa", "bb", "ab"), similarity).alias("map"))
 
 
@@ -171,13 +169,12 @@ def cross_correlation(scanlines: DataFrame, golden: DataFrame, size: int) -> Dat
         flat = (spread <= 1e-8) & (F.abs(z["ma"] - z["mb"]) <= 1e-6)
         return _dissimilarity(F.when(flat, 1.0).when(spread > 1e-8, cov / spread).otherwise(0.0))
 
-    m = _five_means(scanlines, golden, window // 2, lambda rows: separable(rows, k, k))
+    m = _five_means(scanlines, golden, window // 2, lambda nb: separable(nb, k, k))
     return m.select("image_id", "ch", "y", F.transform(F.arrays_zip("ma", "mb", "aa", "bb", "ab"), similarity).alias("map"))
 
 
 def _magnitude(nb: Column) -> Column:
-    rows = rows_of(nb, 3)
-    gx, gy = separable(rows, SMOOTH, DERIVE), separable(rows, DERIVE, SMOOTH)
+    gx, gy = separable(nb, SMOOTH, DERIVE), separable(nb, DERIVE, SMOOTH)
     return F.zip_with(gx, gy, lambda a, b: F.sqrt(a * a + b * b))
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -337,28 +336,13 @@ def neighbours(scanlines: DataFrame, radius: int, border: str, value: float = 0.
         wide = F.transform(at, lambda j: F.get(F.col("row"), source_index(j, w, border).cast("int")))
     gathered = sized.withColumn("_wide", wide).withColumn("_near", F.collect_list("_wide").over(over))
     first = F.greatest(F.lit(0), F.col("y") - radius)
-    rows = []
-    for k in range(-radius, radius + 1):
-        index = (source_index(F.col("y") + k, n, border) - first).cast("int")
-        picked = F.get(F.col("_near"), index)
-        rows.append(F.coalesce(picked, blank) if border == "constant" else picked)
-    return gathered.withColumn(name, F.array(*rows)).drop("_wide", "_near", "height")
 
+    def row_at(k: Column) -> Column:
+        picked = F.get(F.col("_near"), (source_index(F.col("y") + k, n, border) - first).cast("int"))
+        return F.coalesce(picked, blank) if border == "constant" else picked
 
-def _combine(rows: Sequence[Column], weights: Sequence[float]) -> Column | None:
-    used = [(w, r) for w, r in zip(weights, rows, strict=True) if w != 0]
-    if not used:
-        return None
-    def scaled(weight: float) -> Callable[[Column], Column]:
-        return lambda v: v * weight
-
-    def adding(weight: float) -> Callable[[Column, Column], Column]:
-        return lambda a, b: a + b * weight
-
-    acc = F.transform(used[0][1], scaled(used[0][0]))
-    for weight, row in used[1:]:
-        acc = F.zip_with(acc, row, adding(weight))
-    return acc
+    rows = F.transform(F.sequence(F.lit(-radius), F.lit(radius)), row_at)
+    return gathered.withColumn(name, rows).drop("_wide", "_near", "height")
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -366,29 +350,40 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def rows_of(nb: Column, size: int) -> list[Column]:
-    return [nb[i] for i in range(size)]
+def _numbers(values: Sequence[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
 
+def _steps(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(n - 1))
 
-def separable(rows: Sequence[Column], vertical: Sequence[float], horizontal: Sequence[float]) -> Column:
+
+def weighted_sum(row_at: Callable[[Column], Column], width: Column, weights: Sequence[float]) -> Column:
+    """Sum over ``k`` of weight ``k`` times the row that ``row_at(k)`` gives."""
+    w = _numbers(weights)
+    return F.aggregate(
+        _steps(len(weights)), F.array_repeat(F.lit(0.0), width),
+        lambda acc, k: F.zip_with(acc, row_at(k), lambda a, b: a + b * F.get(w, k)),
+    )
+
+
+def separable(nb: Column, vertical: Sequence[float], horizontal: Sequence[float]) -> Column:
     """Weighted sum with a kernel that is the product of two vectors."""
     def across(column: Column) -> Column:
         width = F.size(column) - (len(horizontal) - 1)
-        return _combine([F.slice(column, k + 1, width) for k in range(len(horizontal))], horizontal)
+        return weighted_sum(lambda k: F.slice(column, k + 1, width), width, horizontal)
 
-    return once(_combine(rows, vertical), across)
+    return once(weighted_sum(lambda k: F.get(nb, k), F.size(F.get(nb, F.lit(0))), vertical), across)
 
 
 def windowed(nb: Column, kernel: Sequence[Sequence[float]]) -> Column:
-    """Weighted sum with any small kernel."""
-    width = F.size(nb[0]) - (len(kernel[0]) - 1)
-    cells, weights = [], []
-    for i, line in enumerate(kernel):
-        for j, weight in enumerate(line):
-            if weight:
-                cells.append(F.slice(nb[i], j + 1, width))
-                weights.append(weight)
-    return _combine(cells, weights)
+    """Weighted sum with any small kernel, given row by row."""
+    across = len(kernel[0])
+    width = F.size(F.get(nb, F.lit(0))) - (across - 1)
+    return weighted_sum(
+        lambda k: F.slice(F.get(nb, F.floor(k / across).cast("int")), F.pmod(k, F.lit(across)) + 1, width),
+        width, [w for line in kernel for w in line],
+    )
 
 
 def gaussian_kernel(size: int, sigma: float) -> list[float]:
@@ -412,12 +407,12 @@ def _odd(size: int) -> int:
 
 def gaussian_blur(scanlines: DataFrame, size: int, sigma: float, border: str = "reflect101") -> DataFrame:
     k = gaussian_kernel(_odd(size), sigma)
-    return _apply(neighbours(scanlines, size // 2, border), lambda nb: separable(rows_of(nb, size), k, k))
+    return _apply(neighbours(scanlines, size // 2, border), lambda nb: separable(nb, k, k))
 
 
 def box_blur(scanlines: DataFrame, size: int) -> DataFrame:
     k = [1.0 / _odd(size)] * size
-    return _apply(neighbours(scanlines, size // 2, "reflect101"), lambda nb: separable(rows_of(nb, size), k, k))
+    return _apply(neighbours(scanlines, size // 2, "reflect101"), lambda nb: separable(nb, k, k))
 
 
 def _apply(gathered: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
@@ -442,15 +437,18 @@ def _extreme(scanlines: DataFrame, size: int, largest: bool) -> DataFrame:
     pick = F.greatest if largest else F.least
     outside = float("-inf") if largest else float("inf")
 
-    def reduce_rows(rows: Sequence[Column]) -> Column:
-        return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: pick(x, y)), rows)
+    def best_of(n: int, row_at: Callable[[Column], Column]) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(n - 1)), row_at(F.lit(0)),
+            lambda acc, k: F.zip_with(acc, row_at(k), lambda a, b: pick(a, b)),
+        )
 
     def shrink_window(nb: Column) -> Column:
         def across(column: Column) -> Column:
             width = F.size(column) - (size - 1)
-            return reduce_rows([F.slice(column, k + 1, width) for k in range(size)])
+            return best_of(size, lambda k: F.slice(column, k + 1, width))
 
-        return once(reduce_rows(rows_of(nb, size)), across)
+        return once(best_of(size, lambda k: F.get(nb, k)), across)
 
     return _apply(neighbours(scanlines, size // 2, "constant", outside), shrink_window)
 
@@ -498,7 +496,7 @@ DERIVATIVES = {0: SMOOTH, 1: DERIVE, 2: SECOND}
 
 
 def sobel_row(nb: Column, dx: int, dy: int) -> Column:
-    return separable(rows_of(nb, 3), DERIVATIVES[dy], DERIVATIVES[dx])
+    return separable(nb, DERIVATIVES[dy], DERIVATIVES[dx])
 
 
 def _absolute(row: Column) -> Column:
@@ -511,7 +509,7 @@ def sobel(scanlines: DataFrame, dx: int, dy: int) -> DataFrame:
 
 def scharr(scanlines: DataFrame, axis: str) -> DataFrame:
     v, h = (SCHARR_SMOOTH, DERIVE) if axis == "x" else (DERIVE, SCHARR_SMOOTH)
-    return _apply(neighbours(scanlines, 1, "reflect101"), lambda nb: _absolute(separable(rows_of(nb, 3), v, h)))
+    return _apply(neighbours(scanlines, 1, "reflect101"), lambda nb: _absolute(separable(nb, v, h)))
 
 
 def laplacian(scanlines: DataFrame, size: int = 1) -> DataFrame:
@@ -527,7 +525,7 @@ def adaptive_threshold(scanlines: DataFrame, block: int, constant: float) -> Dat
     return _apply(
         neighbours(scanlines, block // 2, "replicate"),
         lambda nb: F.zip_with(
-            "row", separable(rows_of(nb, block), k, k), lambda v, m: F.when(v > clamp_byte(F.rint(m)) - delta, 255.0).otherwise(0.0)
+            "row", separable(nb, k, k), lambda v, m: F.when(v > clamp_byte(F.rint(m)) - delta, 255.0).otherwise(0.0)
         ),
     )
 

@@ -28,7 +28,7 @@ def written_documents(t):
     """Documents as a labelled file tree: one folder per language and source."""
     path = fresh_path(t.spark, "documents-tree")
     (
-        t.documents.select("text", "lang", "source").repartition("lang", "source")
+        t.documents.select("text", "lang", "source").hint("rebalance", "lang", "source")
         .write.partitionBy("lang", "source").option("maxRecordsPerFile", 100_000).text(path)
     )
     return path

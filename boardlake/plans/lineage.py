@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import audit, scoring
-from ..functions.digests import canonical_flat_json, canonical_json, sha256, tree_digest, tree_digest_sql
+from ..functions.digests import canonical_flat_json, canonical_json, tree_digest_sql
 from ..functions.documents import document_diff, flatten
 from ..operators import lineage as op
 from ..sources.storage import fresh_path
 from .catalog import query
 from .views import TABLES
 
-EVENT_POSITION = F.col
-
-
-def json_text(template: str) -> str:
-    return template
-
-
 @query("a04_envelope_scan", """
 SELECT 'versions' AS collection, count(*) AS row_count, count(DISTINCT document_id) AS document_count FROM v_settings_version
 UNION ALL SELECT 'activations', count(*), count(DISTINCT document_id) FROM v_settings_version WHERE revision = 1
@@ -29,7 +22,7 @@ def envelope_scan(t):
     both = versions.withColumn("collection", F.lit("versions")).unionByName(
         versions.where("revision = 1").withColumn("collection", F.lit("activations"))
     )
-    both.write.partitionBy("collection").json(root)
+    both.hint("rebalance", "collection").write.partitionBy("collection").json(root)
     back = t.spark.read.schema("document_id bigint, revision int, id bigint, collection string").json(root)
     return back.groupBy("collection").agg(
         F.count(F.lit(1)).alias("row_count"), F.countDistinct("document_id").alias("document_count")

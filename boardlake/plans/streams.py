@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import events as st
-from ..streaming.replay import as_stream, latest_state, to_table
+from ..streaming.replay import latest_state, replay
 from .catalog import query
 from .lineage import ALIAS_SQL, METHOD_CASE, PAIRS, STATE_CASE
 
 WHOLE_LOG = "60 days"
 
 
-def stream(t):
-    return as_stream(t.events)
-
-
 @query("m01_audit_stream", f"""
 SELECT event_id, CASE method WHEN 'POST' THEN 'create' WHEN 'DELETE' THEN 'delete' ELSE 'update' END AS action, event_type AS resource_type,
   cast(user_id AS varchar) AS resource_id, CASE WHEN 200 + floor(value) < 400 THEN 'success' ELSE 'failure' END AS outcome
@@ -23,14 +19,19 @@ FROM (SELECT *, {METHOD_CASE} AS method FROM events) WHERE method <> 'GET'
 """)
 def audit_stream(t):
     path = F.concat(F.lit("/api/"), "event_type", F.lit("/"), F.col("user_id").cast("string"))
-    records = st.audit_records(stream(t), F.expr(METHOD_CASE), path, 200 + F.floor("value"))
-    return to_table(records, "audit").select("event_id", "action", "resource_type", "resource_id", "outcome")
+    records = replay(
+        t.events, lambda e: st.audit_records(e, F.expr(METHOD_CASE), path, 200 + F.floor("value")), "audit"
+    )
+    return records.select("event_id", "action", "resource_type", "resource_id", "outcome")
 
 
 @query("m02_once_per_key", "SELECT DISTINCT user_id || ':' || event_type || ':' || props AS idempotency_key FROM events")
 def once_per_key(t):
-    keyed = stream(t).select("ts", F.concat_ws(":", F.col("user_id").cast("string"), "event_type", "props").alias("idempotency_key"))
-    return to_table(st.once_per_key(keyed, "idempotency_key", "ts", WHOLE_LOG), "once").select("idempotency_key")
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", "props").alias("idempotency_key")
+    first = replay(
+        t.events, lambda e: st.once_per_key(e.select("ts", key), "idempotency_key", "ts", WHOLE_LOG), "once"
+    )
+    return first.select("idempotency_key")
 
 
 @query("m03_freshness_gate", """
@@ -38,12 +39,17 @@ SELECT event_id, CASE WHEN value - 5 < 0 OR value - 5 > 60 THEN 'stale' ELSE 'ac
 """)
 def freshness_gate(t):
     observed = F.expr("timestamp_micros(unix_micros(ts) - cast(round((value - 5) * 1000000) AS bigint))")
-    routed = st.freshness_route(stream(t), F.col("ts"), observed, 60.0)
-    return to_table(routed, "freshness").select("event_id", "route")
+    routed = replay(t.events, lambda e: st.freshness_route(e, F.col("ts"), observed, 60.0), "freshness")
+    return routed.select("event_id", "route")
 
 
-def results(t):
-    return stream(t).withColumn("result", F.when(F.col("value") < 20, "PASS").otherwise("FAIL"))
+def kpis(t, *window):
+    result = F.when(F.col("value") < 20, "PASS").otherwise("FAIL")
+    updates = replay(
+        t.events, lambda e: st.windowed_kpis(e.withColumn("result", result), "ts", WHOLE_LOG, *window), "kpis", "update"
+    )
+    folded = latest_state(updates, ["window_start", "window_end"])
+    return folded.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "total", "pass_count", "fail_count")
 
 
 @query("m04_tumbling_kpis", """
@@ -51,9 +57,7 @@ SELECT cast(time_bucket(INTERVAL 1 DAY, ts) AS timestamp) AS window_start, count
   count(*) FILTER (WHERE value >= 20) AS fail_count FROM events GROUP BY 1
 """)
 def tumbling_kpis(t):
-    updates = to_table(st.windowed_kpis(results(t), "ts", WHOLE_LOG, "1 day"), "kpis", "update")
-    folded = latest_state(updates, ["window_start", "window_end"])
-    return folded.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "total", "pass_count", "fail_count")
+    return kpis(t, "1 day")
 
 
 @query("m04_sliding_kpis", """
@@ -61,9 +65,7 @@ WITH e AS (SELECT value, time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR *
 SELECT cast(w AS timestamp) AS window_start, count(*) AS total, count(*) FILTER (WHERE value < 20) AS pass_count, count(*) FILTER (WHERE value >= 20) AS fail_count FROM e GROUP BY 1
 """)
 def sliding_kpis(t):
-    updates = to_table(st.windowed_kpis(results(t), "ts", WHOLE_LOG, "1 day", "12 hours"), "kpis", "update")
-    folded = latest_state(updates, ["window_start", "window_end"])
-    return folded.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "total", "pass_count", "fail_count")
+    return kpis(t, "1 day", "12 hours")
 
 
 @query("m05_activity_sessions", """
@@ -73,7 +75,7 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR
 SELECT user_id, session_start, session_end, event_count FROM a WHERE epoch_ms(session_end) <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)
 """)
 def activity_sessions(t):
-    closed = to_table(st.activity_sessions(stream(t), "user_id", "ts", "6 hours", "1 hour"), "sessions")
+    closed = replay(t.events, lambda e: st.activity_sessions(e, "user_id", "ts", "6 hours", "1 hour"), "sessions")
     return closed.select(
         "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
         F.col("session_end").cast("timestamp_ntz").alias("session_end"), "event_count",
@@ -86,8 +88,9 @@ SELECT event_id, user_id, status, CASE WHEN p IS NULL THEN 'ok' WHEN p IN ('comp
 FROM (SELECT event_id, user_id, {STATE_CASE} AS status, lag({STATE_CASE}) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
 """)
 def transition_stream(t):
-    log = stream(t).select("user_id", "event_id", F.expr(STATE_CASE).alias("status"))
-    return to_table(st.transition_issues(log), "transitions").select("event_id", "user_id", "status", "issue")
+    status = F.expr(STATE_CASE).alias("status")
+    issues = replay(t.events, lambda e: st.transition_issues(e.select("user_id", "event_id", status)), "transitions")
+    return issues.select("event_id", "user_id", "status", "issue")
 
 
 @query("m07_orphan_timeout", f"""
@@ -96,23 +99,27 @@ SELECT event_id, user_id, 'failed' AS recovered_status FROM n WHERE status NOT I
   AND coalesce(nxt - t_ms >= 43200000, t_ms + 43200000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events))
 """)
 def orphan_timeout(t):
-    log = stream(t).select("user_id", "event_id", "ts", F.expr(STATE_CASE).alias("status"))
-    return to_table(st.orphaned_jobs(log, "ts", "1 hour", 12 * 3600 * 1000), "orphans").select(
-        "event_id", "user_id", "recovered_status"
+    status = F.expr(STATE_CASE).alias("status")
+    orphans = replay(
+        t.events,
+        lambda e: st.orphaned_jobs(e.select("user_id", "event_id", "ts", status), "ts", "1 hour", 12 * 3600 * 1000),
+        "orphans",
     )
+    return orphans.select("event_id", "user_id", "recovered_status")
 
 
 @query("m08_stream_static_join", "SELECT event_id, full_name FROM events JOIN v_user ON v_user.id = events.user_id")
 def stream_static_join(t):
     users = t.v_user.select(F.col("id").alias("user_id"), "full_name")
-    return to_table(st.enriched(stream(t), users, "user_id"), "enriched").select("event_id", "full_name")
+    return replay(t.events, lambda e: st.enriched(e, users, "user_id"), "enriched").select("event_id", "full_name")
 
 
 @query("m09_latest_alias_stream", ALIAS_SQL)
 def latest_alias_stream(t):
-    events = stream(t).select(
+    columns = [
         F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("model_id"),
         F.when(F.col("event_type").isin("view", "click"), "candidate").otherwise("champion").alias("alias"),
         (F.col("event_id") % 7 + 1).alias("next_version"),
-    )
-    return latest_state(to_table(st.latest_alias(events), "aliases", "update"), ["model_id", "alias"])
+    ]
+    updates = replay(t.events, lambda e: st.latest_alias(e.select(*columns)), "aliases", "update")
+    return latest_state(updates, ["model_id", "alias"])

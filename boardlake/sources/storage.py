@@ -44,8 +44,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back."""
+    """Write ``df`` to the shared folder once and read it back.
+
+    Partitioned output is rebalanced first: a large partition value is spread over several
+    tasks and files, small ones share a task.
+    """
     path = fresh_path(df.sparkSession, name)
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -1,45 +1,54 @@
-"""Sources and sinks that run a stream to completion over stored events."""
+"""Runs a stream to completion over stored events, slice by slice."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import fresh_path
 
-
-def as_stream(events: DataFrame, time: str = "ts", slices: int = 4) -> DataFrame:
-    """Stored events as a file stream, one time slice per micro-batch, oldest first."""
+MAX_SLICE_ROWS = 20_000_000
+
+
+def replay(
+    events: DataFrame,
+    build: Callable[[DataFrame], DataFrame],
+    name: str,
+    mode: str = "append",
+    time: str = "ts",
+    slices: int = 4,
+) -> DataFrame:
+    """Feed stored events to a streaming query in time order and return what it wrote.
+
+    Each time slice is written in parallel to the stream's source folder, then an
+    available-now run takes it as one micro-batch, so events of a slice may come in any
+    order without being late; there are at least ``slices`` of them, and more when a slice
+    would pass MAX_SLICE_ROWS, which bounds what one key can bring into a state update.
+    All runs share one progress folder. Output is a table
+    partitioned by micro-batch; a repeated micro-batch overwrites its own folder.
+    """
     spark = events.sparkSession
-    at = F.col(time).cast("timestamp")
-    typed = events.withColumn(time, at)
-    ends = typed.agg(F.unix_micros(F.min(time)).alias("lo"), F.unix_micros(F.max(time)).alias("hi")).first()
-    root = fresh_path(spark, "event-slices")
+    typed = events.withColumn(time, F.col(time).cast("timestamp"))
+    micros = F.unix_micros(time)
+    ends = typed.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    slices = max(slices, -(-ends["n"] // MAX_SLICE_ROWS))
     width = (ends["hi"] - ends["lo"]) // slices + 1
-    for i in range(slices):  # written one after the other, so file times follow event times
-        low = ends["lo"] + i * width
-        inside = (F.unix_micros(time) >= low) & (F.unix_micros(time) < low + width)
-        typed.where(inside).coalesce(1).write.mode("append").parquet(root)
-    return spark.readStream.schema(typed.schema).option("maxFilesPerTrigger", 1).parquet(root)
-
-
-def to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run an available-now stream into a table partitioned by micro-batch.
-
-    A repeated micro-batch overwrites its own folder, so each is stored once.
-    """
-    spark = stream.sparkSession
-    out = fresh_path(spark, name)
+    source, out, progress = (fresh_path(spark, f"{name}-{part}") for part in ("source", "table", "progress"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    run = (
-        stream.writeStream.outputMode(mode).foreachBatch(save)
-        .option("checkpointLocation", fresh_path(spark, f"{name}-progress"))
-        .trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
+    for i in range(slices):
+        low = ends["lo"] + i * width
+        typed.where((micros >= low) & (micros < low + width)).write.mode("append").parquet(source)
+        stream = build(spark.readStream.schema(typed.schema).parquet(source))
+        run = (
+            stream.writeStream.outputMode(mode).foreachBatch(save)
+            .option("checkpointLocation", progress).trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
     return spark.read.parquet(out)
 
 

@@ -82,6 +82,12 @@ def main() -> int:
                 continue
             want = con.execute(q.sql).df()
             problem = compare(got, want)
+            exact = [
+                (c, str(got[c].dtype), str(want[c].dtype)) for c in sorted(got.columns)
+                if c in want.columns and str(got[c].dtype) != str(want[c].dtype)
+            ]
+            if exact:
+                print(f"note {name} {exact}")
             note = f"n={len(got)} spark {t1 - t0:.2f}s duck {time.time() - t1:.2f}s"
             if problem:
                 failed.append(name)
