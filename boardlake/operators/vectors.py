@@ -158,8 +158,10 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
             d = np.stack([_exact(bound_metric, c, v) for c in centres], axis=1)
             yield pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "d": d.min(axis=1), "all": list(d)})
 
+    from ..sources.storage import checkpoint
+
     placed = F.pandas_udf("struct<cell int, d double, all array<double>>")(place)
-    s = s.withColumn("_p", placed("_f")).select("_sid", "_label", "_f", "_p.cell", "_p.d")
+    s = checkpoint(s.withColumn("_p", placed("_f")).select("_sid", "_label", "_f", "_p.cell", "_p.d"))
     cells = s.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
     info = {r["cell"]: (r["n"], r["radius"]) for r in cells.collect()}  # at most one row per pivot
     blocks = {c: -(-n // block_rows) for c, (n, _) in info.items()}
@@ -167,10 +169,10 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
     s = s.withColumn("s_block", F.pmod(F.xxhash64("_sid"), block_of[F.col("cell")]).cast("int")).drop("d")
     total = q.count()
     q_blocks = max(1, -(-total // block_rows))
-    q = q.withColumn("_p", placed("_f")).select(
+    q = checkpoint(q.withColumn("_p", placed("_f")).select(
         "_qid", "_f", F.col("_p.cell").alias("home"), F.col("_p.all").alias("all"),
         F.pmod(F.xxhash64("_qid"), F.lit(q_blocks)).cast("int").alias("q_block"),
-    )
+    ))
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -195,8 +197,6 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
         keys = ["k_cell", "k_sample", "k_query"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
 
-    from ..sources.storage import checkpoint
-
     occupied = sorted(info)
     at_home = q.where(F.col("home").isin(occupied)).select("_qid", "_f", "q_block", F.col("home").alias("cell"))
     first = checkpoint(visit(at_home))

@@ -516,23 +516,48 @@ def review_state(t):
     )
 
 
-COMPLETENESS_SQL = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
-    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
-    "labels": ["doc_id", "quality", "toxic"],
+# Columns and types of the given tables.
+GIVEN_COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double,"
+                " l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 
-@query("h13_table_catalog", " UNION ALL ".join(
-    f"SELECT '{table}' AS table_name, '{c}' AS column_name, {i} AS ordinal, count(*) AS row_count, count(*) - count({c}) AS null_count FROM {table}"
-    for table, columns in COMPLETENESS_SQL.items() for i, c in enumerate(columns, 1)
-))
+def completeness_sql(tables: list[str], typed: bool) -> str:
+    parts = []
+    for table in tables:
+        for i, column in enumerate(GIVEN_COLUMNS[table].split(", "), 1):
+            name, kind = column.split(" ")
+            shown = f"'{kind}' AS data_type, " if typed else ""
+            parts.append(
+                f"SELECT '{table}' AS table_name, '{name}' AS column_name, {i} AS ordinal, {shown}count(*) AS row_count,"
+                f" count(*) - count({name}) AS null_count FROM {table}"
+            )
+    return " UNION ALL ".join(parts)
+
+
+CATALOGED = ["customer", "documents", "events", "labels"]
+
+
+@query("h13_table_catalog", completeness_sql(CATALOGED, False))
 def table_catalog(t):
-    return op.column_completeness({n: getattr(t, n) for n in COMPLETENESS_SQL}).drop("data_type")
+    return op.column_completeness({n: getattr(t, n) for n in CATALOGED}).drop("data_type")
 
 
-@query("h13_full_table_catalog")
+@query("h13_full_table_catalog", completeness_sql(list(TABLES), True))
 def full_table_catalog(t):
     return op.column_completeness({n: getattr(t, n) for n in TABLES})
 
