@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .images import (
-    DERIVE, IMAGE, SMOOTH, gaussian_kernel, neighbours, once, pixels, separable,
+    DERIVE, IMAGE, SMOOTH, gaussian_kernel, neighbours, on_rows, pixels, separable,
 )
 from .quantiles import exact_quantiles
 
@@ -113,30 +115,23 @@ def absolute_difference(scanlines: DataFrame, golden: DataFrame) -> DataFrame:
     )
 
 
-def _five_means(scanlines: DataFrame, golden: DataFrame, radius: int, mean) -> DataFrame:
-    """Local means of both images, their squares and their product from one gathering."""
-    both = against_golden(scanlines, golden)
-    a = neighbours(both, radius, "reflect101", name="nb_a")
-    swapped = a.withColumn("_own", F.col("row")).withColumn("row", F.col("other_row"))
-    b = neighbours(swapped, radius, "reflect101", name="nb_b")
-    na, nb = F.col("nb_a"), F.col("nb_b")
+def _compared(scanlines: DataFrame, golden: DataFrame, radius: int, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Anomaly map from the neighbourhoods of both images."""
+    both = neighbours(against_golden(scanlines, golden), radius, "reflect101", name="nb_a")
+    both = neighbours(both.withColumn("row", F.col("other_row")), radius, "reflect101", name="nb_b")
+    return both.select("image_id", "ch", "y", on_rows(kernel, 2 * radius + 1, "nb_a", "nb_b").alias("map"))
 
-    def products(x: Column, y: Column) -> Column:
-        cells = F.zip_with(x, y, lambda p, q: F.zip_with(p, q, lambda u, v: u * v))
-        return once(cells, mean)
 
-    m = {"ma": mean(na), "mb": mean(nb), "aa": products(na, na), "bb": products(nb, nb), "ab": products(na, nb)}
-    return b.select("image_id", "ch", "y", *[v.alias(k) for k, v in m.items()])
-
-
-def _moments(z: Column) -> tuple[Column, Column, Column]:
+def _moments(a: np.ndarray, b: np.ndarray, k: list[float]) -> tuple[np.ndarray, ...]:
+    """Local means, variances and covariance of two blocks under weights ``k``."""
+    ma, mb = separable(a, k, k), separable(b, k, k)
     return (
-        z["aa"] - z["ma"] * z["ma"], z["bb"] - z["mb"] * z["mb"], z["ab"] - z["ma"] * z["mb"],
+        ma, mb, separable(a * a, k, k) - ma * ma, separable(b * b, k, k) - mb * mb, separable(a * b, k, k) - ma * mb,
     )
 
 
-def _dissimilarity(s: Column) -> Column:
-    return (1.0 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))) / 2.0
+def _dissimilarity(similarity: np.ndarray) -> np.ndarray:
+    return (1.0 - np.clip(similarity, -1.0, 1.0)) / 2.0
 
 
 def structural_similarity(scanlines: DataFrame, golden: DataFrame, window: int) -> DataFrame:
@@ -145,14 +140,11 @@ def structural_similarity(scanlines: DataFrame, golden: DataFrame, window: int)
     k = gaussian_kernel(window, max(0.5, 1.5 * window / 11.0))
     c1, c2 = 0.01**2, 0.03**2
 
-    def similarity(z: Column) -> Column:
-        va, vb, cov = _moments(z)
-        top = (2.0 * z["ma"] * z["mb"] + c1) * (2.0 * cov + c2)
-        bottom = (z["ma"] * z["ma"] + z["mb"] * z["mb"] + c1) * (va + vb + c2)
-        return _dissimilarity(F.when(bottom > 0, top / bottom).otherwise(1.0))
+    def compare(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ma, mb, va, vb, cov = _moments(a, b, k)
+        return _dissimilarity((2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2)))
 
-    m = _five_means(scanlines, golden, window // 2, lambda nb: separable(nb, k, k))
-    return m.select("image_id", "ch", "y", F.transform(F.arrays_zip("ma", "mb", "aa", "bb", "ab"), similarity).alias("map"))
+    return _compared(scanlines, golden, window // 2, compare)
 
 
 def cross_correlation(scanlines: DataFrame, golden: DataFrame, size: int) -> DataFrame:
@@ -163,40 +155,31 @@ def cross_correlation(scanlines: DataFrame, golden: DataFrame, size: int) -> Dat
         raise ValueError("Images must be at least three pixels wide and high.")
     k = [1.0 / window] * window
 
-    def similarity(z: Column) -> Column:
-        va, vb, cov = _moments(z)
-        spread = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
-        flat = (spread <= 1e-8) & (F.abs(z["ma"] - z["mb"]) <= 1e-6)
-        return _dissimilarity(F.when(flat, 1.0).when(spread > 1e-8, cov / spread).otherwise(0.0))
-
-    m = _five_means(scanlines, golden, window // 2, lambda nb: separable(nb, k, k))
-    return m.select("image_id", "ch", "y", F.transform(F.arrays_zip("ma", "mb", "aa", "bb", "ab"), similarity).alias("map"))
-
+    def compare(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ma, mb, va, vb, cov = _moments(a, b, k)
+        spread = np.sqrt(np.maximum(va, 0.0) * np.maximum(vb, 0.0))
+        flat = spread <= 1e-8
+        similarity = np.where(flat, 0.0, cov / np.where(flat, 1.0, spread))
+        return _dissimilarity(np.where(flat & (np.abs(ma - mb) <= 1e-6), 1.0, similarity))
 
-def _magnitude(nb: Column) -> Column:
-    gx, gy = separable(nb, SMOOTH, DERIVE), separable(nb, DERIVE, SMOOTH)
-    return F.zip_with(gx, gy, lambda a, b: F.sqrt(a * a + b * b))
+    return _compared(scanlines, golden, window // 2, compare)
 
 
-def _two_magnitudes(scanlines: DataFrame, golden: DataFrame) -> DataFrame:
-    both = neighbours(against_golden(scanlines, golden), 1, "reflect101", name="nb_a")
-    both = neighbours(both.withColumn("row", F.col("other_row")), 1, "reflect101", name="nb_b")
-    return both.select("image_id", "ch", "y", _magnitude(F.col("nb_a")).alias("ga"), _magnitude(F.col("nb_b")).alias("gb"))
+def _magnitude(block: np.ndarray) -> np.ndarray:
+    return np.sqrt(separable(block, SMOOTH, DERIVE) ** 2 + separable(block, DERIVE, SMOOTH) ** 2)
 
 
 def gradient_difference(scanlines: DataFrame, golden: DataFrame) -> DataFrame:
-    return _two_magnitudes(scanlines, golden).select(
-        "image_id", "ch", "y", F.zip_with("ga", "gb", lambda a, b: F.abs(a - b) / (4.0 * math.sqrt(2.0))).alias("map")
-    )
+    scale = 4.0 * math.sqrt(2.0)
+    return _compared(scanlines, golden, 1, lambda a, b: np.abs(_magnitude(a) - _magnitude(b)) / scale)
 
 
 def edge_difference(scanlines: DataFrame, golden: DataFrame, threshold: float) -> DataFrame:
     """Where one image has an edge and the other none; an edge is a strong gradient."""
     if not 0.0 <= threshold <= 1.0:
         raise ValueError("Edge threshold must be between zero and one.")
-    return _two_magnitudes(scanlines, golden).select(
-        "image_id", "ch", "y",
-        F.zip_with("ga", "gb", lambda a, b: F.when((a > threshold) != (b > threshold), 1.0).otherwise(0.0)).alias("map"),
+    return _compared(
+        scanlines, golden, 1, lambda a, b: ((_magnitude(a) > threshold) != (_magnitude(b) > threshold)).astype(float)
     )
 
 
@@ -210,55 +193,45 @@ def mask_xor(masks: DataFrame, golden: DataFrame) -> DataFrame:
 def template_matches(scanlines: DataFrame, templates: DataFrame, height: int, method: str) -> DataFrame:
     """Best placement of the group's template in every image.
 
-    ``templates`` has one row per group: ``template`` as ``height`` rows. Each output line
-    gathers as many rows as the template is high; sums run over shifted slices.
+    ``templates`` has one row per group: ``template`` as ``height`` rows, of one size. Each
+    output line gathers as many rows as the template is high; sums run over shifted slices.
     """
     if method not in ("sqdiff", "sqdiff-normed", "ccorr-normed", "ccoeff-normed"):
         raise ValueError("Template matching method is unsupported.")
-    t = templates.select("grp", "template", F.size("template").alias("th"), F.size(F.col("template")[0]).alias("tw"))
+    t = templates.select(
+        "grp", "template", F.size("template").alias("height"), F.size(F.col("template")[0]).alias("width")
+    )
     over = Window.partitionBy(*IMAGE).orderBy("y").rowsBetween(0, height - 1)
-    placed = scanlines.join(t, "grp").withColumn("_rows", F.collect_list("row").over(over)).where(F.size("_rows") == height)
-    out_width = F.size("row") - F.col("tw") + 1
-    steps = F.sequence(F.lit(0), F.col("th") * F.col("tw") - 1)
-    zeros = F.array_repeat(F.lit(0.0), out_width)
-
-    def summed(term) -> Column:
-        def step(acc: Column, k: Column) -> Column:
-            dy, dx = F.floor(k / F.col("tw")).cast("int"), F.pmod(k, F.col("tw"))
-            weight = F.get(F.get(F.col("template"), dy), dx)
-            line = F.slice(F.get(F.col("_rows"), dy), dx + 1, out_width)
-            return F.zip_with(acc, line, lambda a, v: a + term(v, weight))
-
-        return F.aggregate(steps, zeros, step)
-
-    n = (F.col("th") * F.col("tw")).cast("double")
-    flat = F.flatten("template")
-    t1 = F.aggregate(flat, F.lit(0.0), lambda a, v: a + v)
-    t2 = F.aggregate(flat, F.lit(0.0), lambda a, v: a + v * v)
-    sums = placed.select(
-        "image_id", "ch", "y", "th", "tw", t1.alias("t1"), t2.alias("t2"), n.alias("n"),
-        summed(lambda v, w: v * w).alias("vt"), summed(lambda v, w: v * v).alias("vv"), summed(lambda v, w: v).alias("v1"),
+    placed = scanlines.drop("width").join(t, "grp").withColumn("_rows", F.collect_list("row").over(over)).where(
+        F.size("_rows") == height
     )
 
-    def value(z: Column) -> Column:
-        t1, t2, n = F.col("t1"), F.col("t2"), F.col("n")
+    def match(lines: np.ndarray, patches: np.ndarray) -> np.ndarray:
+        # Rows of a batch may belong to groups with different templates of one size.
+        wide = patches.shape[2]
+        out = lines.shape[2] - wide + 1
+        vt = vv = v1 = 0.0
+        for dy in range(height):
+            for dx in range(wide):
+                v, w = lines[:, dy, dx:dx + out], patches[:, dy, dx:dx + 1]
+                vt, vv, v1 = vt + v * w, vv + v * v, v1 + v
+        n, t1, t2 = height * wide, patches.sum(axis=(1, 2))[:, None], (patches**2).sum(axis=(1, 2))[:, None]
         if method == "sqdiff":
-            return z["vv"] - 2.0 * z["vt"] + t2
+            return vv - 2.0 * vt + t2
         if method == "sqdiff-normed":
-            return (z["vv"] - 2.0 * z["vt"] + t2) / F.sqrt(t2 * z["vv"])
+            return (vv - 2.0 * vt + t2) / np.sqrt(t2 * vv)
         if method == "ccorr-normed":
-            return z["vt"] / F.sqrt(t2 * z["vv"])
-        top = z["vt"] - z["v1"] * t1 / n
-        return top / F.sqrt((t2 - t1 * t1 / n) * (z["vv"] - z["v1"] * z["v1"] / n))
+            return vt / np.sqrt(t2 * vv)
+        spread = np.sqrt(np.maximum((t2 - t1 * t1 / n) * (vv - v1 * v1 / n), 0.0))
+        flat = spread <= 1e-12
+        return np.where(flat, 0.0, (vt - v1 * t1 / n) / np.where(flat, 1.0, spread))
 
-    cells = sums.select(
-        "image_id", "y", "th", "tw", F.posexplode(F.transform(F.arrays_zip("vt", "vv", "v1"), value)).alias("x", "m")
+    cells = placed.select(
+        "image_id", "y", "height", "width", F.posexplode(on_rows(match, height, "_rows", "template")).alias("x", "m")
     )
     lower_is_better = method.startswith("sqdiff")
     score = F.round(F.col("m"), 9) if lower_is_better else -F.round(F.col("m"), 9)
-    best = cells.groupBy("image_id").agg(
-        F.min(F.struct(score.alias("s"), "y", "x", F.col("th").alias("height"), F.col("tw").alias("width"))).alias("b")
-    )
+    best = cells.groupBy("image_id").agg(F.min(F.struct(score.alias("s"), "y", "x", "height", "width")).alias("b"))
     m = F.col("b.s")
     quality = {
         "sqdiff": F.when(m <= 1e-12, 1.0).otherwise(1.0 / (1.0 + m)), "sqdiff-normed": 1.0 - m,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -12,12 +14,22 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    context = spark.sparkContext
+    if not any(name.endswith("/boardlake.zip") for name in context.listFiles):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="boardlake-code-"), "boardlake")
+        context.addPyFile(shutil.make_archive(base, "zip", root, "boardlake"))
+
+
 def local_session(name: str = "boardlake", cpus: str | None = None) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     cores = cpus or os.environ.get("BENCH_CPUS", "8")
@@ -33,4 +45,5 @@ def local_session(name: str = "boardlake", cpus: str | None = None) -> SparkSess
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
