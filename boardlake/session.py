@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import shutil
-import tempfile
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,13 +21,12 @@ SETTINGS = {
 }
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application."""
-    context = spark.sparkContext
-    if not any(name.endswith("/boardlake.zip") for name in context.listFiles):
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        base = os.path.join(tempfile.mkdtemp(prefix="boardlake-code-"), "boardlake")
-        context.addPyFile(shutil.make_archive(base, "zip", root, "boardlake"))
+def ship_package() -> None:
+    """Send this package's functions along with the tasks that use them.
+
+    Workers, and the helper process of stateful streams, then need no copy of their own.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["boardlake"])
 
 
 def local_session(name: str = "boardlake", cpus: str | None = None) -> SparkSession:
@@ -45,5 +44,5 @@ def local_session(name: str = "boardlake", cpus: str | None = None) -> SparkSess
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ship_package(spark)
+    ship_package()
     return spark
