@@ -134,13 +134,16 @@ def mixed(docs: DataFrame, shares: dict[str, int] | None = None, *, cycle: int =
     narrow = docs.select("doc_id", "source", F.xxhash64(text_of()).cast("string").alias("text"))
     rows = numbered(narrow, plan, seed, slice_rows).select("_source", "_doc", "_nth")
     # Places of the blocks: one row per block, made from the counts alone.
-    blocks = plan.select(F.col("source").alias("_p"), "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("n") / block_rows))).alias("block"))
+    last, run = F.ceil(F.col("n") / block_rows), 10_000
+    runs = plan.select(F.col("source").alias("_p"), "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((last - 1) / run))).alias("_run")).repartition("_p", "_run")
+    inner = F.sequence(F.col("_run") * run + 1, F.least(last, (F.col("_run") + 1) * run))
+    blocks = runs.select("_p", "n", F.explode(inner).alias("block"))
     blocks = _slotted(blocks, plan, "_p", "block").withColumn("_size", F.least(F.lit(block_rows), F.col("n") - (F.col("block") - 1) * block_rows))
     # Rows before a cycle: each source has given its share of every cycle, or all it has.
     ends = checkpoint(plan.agg(F.collect_list(F.struct("share", "n")).alias("_ends"), F.lit(0).cast("bigint").alias("_zero")))
     start = F.aggregate("_ends", F.lit(0).cast("bigint"), lambda a, s: a + F.least(s["n"], F.col("cycle") * s["share"] * block_rows))
     inside = Window.partitionBy("cycle").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("_at", start + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    placed = blocks.join(F.broadcast(ends), F.col("cycle") * 0 == F.col("_zero")).withColumn("_at", start + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     placed = checkpoint(placed.select(F.col("_p").alias("_bs"), F.col("block").alias("_bb"), "cycle", "slot", "_at"))
     rows = rows.withColumn("block", F.floor((F.col("_nth") - 1) / block_rows) + 1)
     on = rows["_source"].eqNullSafe(placed["_bs"]) & (rows["block"] == placed["_bb"])
