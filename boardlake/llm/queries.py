@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dups, quality, reputation, secrets, warc
+from . import language, line_dedup, mixing, near_dups, neighbours, pieces, quality, reputation, secrets, warc
 from .common import prepare
 from .oracles import SQL  # noqa: F401
 
@@ -28,12 +28,32 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("_row.doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", "lossless")
+
+
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dups.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", near_dups.stays().alias("kept"))
 
 
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = language.held_out(F.col("doc_id"))
+    filters = language.learn(docs.where(~apart))
+    found = language.identified(docs.select("doc_id", "text"), filters)
+    return found.select("_row.doc_id", language.held_out(F.col("_row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

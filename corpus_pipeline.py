@@ -7,8 +7,9 @@ again before the next one. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from boardlake.llm import line_dedup, mixing, near_dups, quality
+from boardlake.llm import line_dedup, mixing, near_dups, pieces, quality
 from boardlake.llm.common import prepare, saved
 
 
@@ -32,11 +33,18 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mixed_order(docs)
 
 
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document that is left, with the source and whether they decode to the text."""
+    prepare(spark)
+    return pieces.encode(docs).select("_row.doc_id", "_row.source", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces", "lossless")
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", shared_lines),
     ("near duplicates", near_duplicates),
     ("source mix", source_mix),
+    ("piece encoding", piece_encoding),
 ]
 
 #: The sampled segmentations and the near-duplicate stage have no SQL form.
