@@ -38,7 +38,7 @@ CURVES = 4
 DIMENSIONS = 8
 BITS = 7
 BLOCK_ROWS = 256
-GROUP_BLOCKS = 16
+GROUP_BLOCKS = 64
 SEGMENT_BLOCKS = 64
 SPARE = 12
 RECALL = 0.95
