@@ -6,13 +6,14 @@
    nothing and are left out. Two linked classes share at least ``least_overlap`` sketch values
    (below), so they share one within the rarest ``size - least_overlap + 1`` values of each:
    those make the inverted lists, and very common passages drop out of them by themselves.
-3. Lists of up to ``LIST_ROWS`` classes give their pairs. From a longer list no pairs are made.
-   Its most central class is the pivot, every member is compared with the pivot on full
-   sets, and members linked with it are done among themselves. A member that is not can only
-   be linked with another one through shingles the pivot lacks (a bound on the intersection
-   that is checked per member), so lists over those shingles replace the long list. Where the
-   bound leaves a member open, it goes to another round with the possible partners. Each round
-   removes the pivot, so the rounds end; no link is lost and the work stays near linear.
+3. Lists of up to ``LIST_ROWS`` classes give their pairs. Longer ones do not. Their most central
+   class is the pivot, lists with the same pivot form a group, and each member is compared with
+   the pivot on full sets; members linked with it need no further test among themselves. For the
+   others: the group's core is all shingles that more than ``LIST_ROWS`` members have. Two
+   members share no more than the smaller of their parts in the core, and what they share
+   outside it. So a pair either meets in a short list outside the core, or both have enough
+   of the core for a link by itself. The latter are compared with one pivot of theirs after the
+   other until few are left open, and those with all. The bounds are exact, no link is lost.
 4. Pairs pass the union-sketch estimate, then 100 * intersection >= 85 * union on full sets.
 5. Links are contracted to components, round by round, in tables.
 
@@ -45,6 +46,7 @@ LEAST_SHARED = 40
 PERCENT = 85
 LIST_ROWS = 64
 SENT_ROWS = 500_000
+PAIRS_AT_ONCE = 2_000_000
 
 
 def small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
@@ -150,41 +152,60 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return rows.where(100 * F.col("both") >= percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
 
 
-def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent: int = PERCENT, limit: int = LIST_ROWS) -> tuple[list[DataFrame], list[DataFrame]]:
+def _possible(shared: Column, percent: int) -> Column:
+    """Whether ``shared`` shingles can do for a link with the smallest partner there is."""
+    return (100 + percent) * shared >= percent * (F.col("n") + F.greatest("low", F.ceil(F.col("n") * percent / 100.0)))
+
+
+def _against(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (``pivot``, ``node``, ...) with ``n``, ``linked`` and the set of the node."""
+    held = sets.select(F.col("node").alias("_n"), "set")
+    theirs = sets.select(F.col("node").alias("_p"), F.col("set").alias("pset"))
+    found = rows.join(held, F.col("node") == F.col("_n")).join(theirs, F.col("pivot") == F.col("_p"))
+    both, n = F.size(F.array_intersect("set", "pset")), F.size("set")
+    return found.select(*rows.columns, n.alias("n"), (100 * both >= percent * (n + F.size("pset") - both)).alias("linked"), "set")
+
+
+def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent: int = PERCENT, limit: int = LIST_ROWS, at_once: int = PAIRS_AT_ONCE) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links and further candidate pairs of long lists (``value``, ``node``); see the module's text."""
-    links, pairs = [], []
-    lists = checkpoint(lists.select("value", "node", F.lit(True).alias("open")).join(central, "node").select("value", "node", "open", "central"))
-    while count_rows(lists):
-        best = F.max_by("node", F.struct("central", "node"))
-        pivots = checkpoint(lists.where("open").groupBy("value").agg(best.alias("pivot")))
-        # Lists with the same pivot become one.
-        groups = lists.join(pivots, "value").where("node <> pivot").groupBy("pivot", "node").agg(F.bool_or("open").alias("open"), F.max("central").alias("central"))
-        held = sets.select(F.col("node").alias("_n"), "set")
-        theirs = sets.select(F.col("node").alias("_p"), F.col("set").alias("pset"))
-        rows = checkpoint(groups).join(held, F.col("node") == F.col("_n")).join(theirs, F.col("pivot") == F.col("_p"))
-        rows = rows.withColumn("both", F.size(F.array_intersect("set", "pset"))).select(
-            "pivot", "node", "central", "both", F.size("set").alias("n"),
-            (100 * F.col("both") >= percent * (F.size("set") + F.size("pset") - F.col("both"))).alias("linked"),
-            F.array_except("set", "pset").alias("more"), "open",
-        )
-        rows = saved(rows.withColumn("open", F.col("open") & ~F.col("linked")), "near-pivot")
-        links.append(rows.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        # Lists over what the pivot lacks, those with an open member.
-        over = rows.select("pivot", "node", "open", "central", F.explode("more").alias("value"))
-        alive = over.groupBy("pivot", "value").agg(F.count(F.lit(1)).alias("_c"), F.bool_or("open").alias("_o")).where("_c > 1 and _o")
-        alive = saved(alive.select(F.col("pivot").alias("_p"), F.col("value").alias("_v"), "_c"), "near-over")
-        over = over.join(alive, (F.col("pivot") == F.col("_p")) & (F.col("value") == F.col("_v")))
-        pairs.append(list_pairs(over.where(F.col("_c") <= limit), ["pivot", "value"], "open"))
-        longer = over.where(F.col("_c") > limit).select(F.xxhash64("pivot", "value").alias("value"), "node", "open", "central")
-        # Members the bound leaves open: similar enough to one as small as the group's smallest.
-        low = checkpoint(rows.groupBy(F.col("pivot").alias("_p")).agg(F.min("n").alias("low")))
-        sized = rows.join(low, F.col("pivot") == F.col("_p"))
-        total = (100 + percent) * F.col("both") - percent * F.col("n")  # percent times the largest partner
-        unsure = F.col("open") & (total >= percent * F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100.0)))
-        most = checkpoint(sized.where(unsure).groupBy(F.col("pivot").alias("_q")).agg((F.max(total) / percent).alias("most")))
-        again = sized.withColumn("open", unsure).join(most, F.col("pivot") == F.col("_q")).where(F.col("open") | (F.col("n") <= F.col("most")))
-        again = again.select(F.xxhash64("pivot", F.lit("again")).alias("value"), "node", "open", "central")
-        lists = checkpoint(longer.unionByName(again))
+    if not count_rows(lists):
+        return [], []
+    lists = lists.join(central, "node")
+    pivots = saved(lists.groupBy(F.col("value").alias("_v")).agg(F.max_by("node", F.struct("central", "node")).alias("pivot")), "near-pivots")
+    # Lists with the same pivot become one group.
+    groups = lists.join(pivots, F.col("value") == F.col("_v")).groupBy("pivot", "node").agg(F.max("central").alias("central"))
+    rows = saved(_against(saved(groups, "near-groups"), sets, percent), "near-members")
+    links = [rows.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))]
+    # Shingles of more than ``limit`` members are the group's core; the others make short lists.
+    shingles = rows.select("pivot", "node", F.explode("set").alias("value"))
+    counts = shingles.groupBy(F.col("pivot").alias("_p"), F.col("value").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    held = shingles.join(saved(counts, "near-counts"), (F.col("pivot") == F.col("_p")) & (F.col("value") == F.col("_v")))
+    in_core = (F.col("_c") > limit).cast("long")
+    sums = held.groupBy("pivot", "node").agg(F.sum(in_core).alias("core"), F.sum(1 - in_core).alias("others"))
+    low = rows.groupBy("pivot").agg(F.min("n").alias("low"))
+    facts = rows.select("pivot", "node", "central", "n", "linked").join(sums, ["pivot", "node"]).join(low, "pivot")
+    facts = saved(facts.select(
+        F.col("pivot").alias("_fp"), F.col("node").alias("_fn"), "central", (~F.col("linked")).alias("open"),
+        _possible(F.col("core"), percent).alias("heavy"), _possible(F.col("core") + F.col("others"), percent).alias("alive"),
+    ), "near-facts")
+    short = held.where(F.col("_c") <= limit).join(facts.where("alive"), (F.col("pivot") == F.col("_fp")) & (F.col("node") == F.col("_fn")))
+    pairs = [list_pairs(short.select("pivot", "value", "node", "open"), ["pivot", "value"], "open")]
+    # Members whose core alone may do: pivots in turn, until the pairs left are few.
+    heavy = facts.where("heavy").select(F.col("_fp").alias("group"), F.col("_fn").alias("node"), "central", "open")
+    while True:
+        left = heavy.groupBy("group").agg((F.sum(F.col("open").cast("long")) * F.count(F.lit(1))).alias("n")).agg(F.sum("n")).first()[0] or 0
+        if left <= at_once:
+            break
+        turn = saved(heavy.where("open").groupBy(F.col("group").alias("_g")).agg(F.max_by("node", F.struct("central", "node")).alias("pivot")), "near-turn")
+        asked = heavy.join(turn, F.col("group") == F.col("_g")).select("group", "node", "central", "open", "pivot")
+        asked = saved(_against(asked, sets, percent).drop("set"), "near-asked")
+        links.append(asked.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        still = F.col("open") & ~F.col("linked") & (F.col("node") != F.col("pivot"))
+        rest = heavy.join(turn, F.col("group") == F.col("_g"), "left_anti").unionByName(asked.select("group", "node", "central", still.alias("open")))
+        heavy = saved(rest, "near-heavy")
+    asking = heavy.where("open").select(F.col("group").alias("_g"), F.col("node").alias("x"))
+    crossed = heavy.join(saved(asking, "near-open"), F.col("group") == F.col("_g")).where(F.col("node") != F.col("x"))
+    pairs.append(crossed.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct())
     return links, pairs
 
 
