@@ -9,8 +9,8 @@
 3. Lists of up to ``LIST_ROWS`` classes give their pairs. Longer ones do not. Their most central
    class is the pivot, lists with the same pivot form a group, and each member is compared with
    the pivot on full sets; members linked with it need no further test among themselves. For the
-   others: the group's core is all shingles that more than ``LIST_ROWS`` members have. Two
-   members share no more than the smaller of their parts in the core, and what they share
+   others: the group's core is the pivot's shingles and all that more than ``LIST_ROWS`` members
+   have. Two members share no more than the smaller of their parts in the core, and what they share
    outside it. So a pair either meets in a short list outside the core, or both have enough
    of the core for a link by itself. The latter are compared with one pivot of theirs after the
    other until few are left open, and those with all. The bounds are exact, no link is lost.
@@ -158,12 +158,13 @@ def _possible(shared: Column, percent: int) -> Column:
 
 
 def _against(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``rows`` (``pivot``, ``node``, ...) with ``n``, ``linked`` and the set of the node."""
+    """``rows`` (``pivot``, ``node``, ...) with the set size ``n``, ``both``, ``linked`` and ``more``, what the pivot lacks."""
     held = sets.select(F.col("node").alias("_n"), "set")
     theirs = sets.select(F.col("node").alias("_p"), F.col("set").alias("pset"))
     found = rows.join(held, F.col("node") == F.col("_n")).join(theirs, F.col("pivot") == F.col("_p"))
-    both, n = F.size(F.array_intersect("set", "pset")), F.size("set")
-    return found.select(*rows.columns, n.alias("n"), (100 * both >= percent * (n + F.size("pset") - both)).alias("linked"), "set")
+    more, n = F.array_except("set", "pset"), F.size("set")
+    found = found.select(*rows.columns, n.alias("n"), F.size("pset").alias("_pn"), more.alias("more")).withColumn("both", F.col("n") - F.size("more"))
+    return found.withColumn("linked", 100 * F.col("both") >= percent * (F.col("n") + F.col("_pn") - F.col("both"))).drop("_pn")
 
 
 def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent: int = PERCENT, limit: int = LIST_ROWS, at_once: int = PAIRS_AT_ONCE) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -176,17 +177,19 @@ def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent
     groups = lists.join(pivots, F.col("value") == F.col("_v")).groupBy("pivot", "node").agg(F.max("central").alias("central"))
     rows = saved(_against(saved(groups, "near-groups"), sets, percent), "near-members")
     links = [rows.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))]
-    # Shingles of more than ``limit`` members are the group's core; the others make short lists.
-    shingles = rows.select("pivot", "node", F.explode("set").alias("value"))
+    # The pivot's shingles and those of more than ``limit`` members are the group's core; the
+    # others make short lists.
+    shingles = rows.select("pivot", "node", F.explode("more").alias("value"))
     counts = shingles.groupBy(F.col("pivot").alias("_p"), F.col("value").alias("_v")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
     held = shingles.join(saved(counts, "near-counts"), (F.col("pivot") == F.col("_p")) & (F.col("value") == F.col("_v")))
     in_core = (F.col("_c") > limit).cast("long")
     sums = held.groupBy("pivot", "node").agg(F.sum(in_core).alias("core"), F.sum(1 - in_core).alias("others"))
     low = rows.groupBy("pivot").agg(F.min("n").alias("low"))
-    facts = rows.select("pivot", "node", "central", "n", "linked").join(sums, ["pivot", "node"]).join(low, "pivot")
+    facts = rows.select("pivot", "node", "central", "n", "both", "linked").join(sums, ["pivot", "node"], "left").join(low, "pivot")
+    core = F.col("both") + F.coalesce("core", F.lit(0))
     facts = saved(facts.select(
         F.col("pivot").alias("_fp"), F.col("node").alias("_fn"), "central", (~F.col("linked")).alias("open"),
-        _possible(F.col("core"), percent).alias("heavy"), _possible(F.col("core") + F.col("others"), percent).alias("alive"),
+        _possible(core, percent).alias("heavy"), _possible(core + F.coalesce("others", F.lit(0)), percent).alias("alive"),
     ), "near-facts")
     short = held.where(F.col("_c") <= limit).join(facts.where("alive"), (F.col("pivot") == F.col("_fp")) & (F.col("node") == F.col("_fn")))
     pairs = [list_pairs(short.select("pivot", "value", "node", "open"), ["pivot", "value"], "open")]
@@ -198,7 +201,7 @@ def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent
             break
         turn = saved(heavy.where("open").groupBy(F.col("group").alias("_g")).agg(F.max_by("node", F.struct("central", "node")).alias("pivot")), "near-turn")
         asked = heavy.join(turn, F.col("group") == F.col("_g")).select("group", "node", "central", "open", "pivot")
-        asked = saved(_against(asked, sets, percent).drop("set"), "near-asked")
+        asked = saved(_against(asked, sets, percent).drop("more"), "near-asked")
         links.append(asked.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         still = F.col("open") & ~F.col("linked") & (F.col("node") != F.col("pivot"))
         rest = heavy.join(turn, F.col("group") == F.col("_g"), "left_anti").unionByName(asked.select("group", "node", "central", still.alias("open")))
