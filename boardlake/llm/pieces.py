@@ -255,7 +255,8 @@ def sampled(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed: int = S
     counts = np.array([len(s) for s in split], np.int64)
     if not counts.sum():
         return [np.zeros(0, np.int32) for _ in texts]
-    codes, distinct = pd.factorize(np.array([c for s in split for c in s], dtype=object))
+    distinct: dict[str, int] = {}
+    codes = np.fromiter((distinct.setdefault(c, len(distinct)) for s in split for c in s), np.int64, counts.sum())
     grid = lattices(list(distinct), vocab)
     lengths = grid.size[codes]
     offset = np.cumsum(lengths) - lengths
