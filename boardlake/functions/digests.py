@@ -37,7 +37,6 @@ def tree_digest(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    position: Column,
     item: Column,
     *,
     fanout: int = FANOUT,
@@ -47,16 +46,18 @@ def tree_digest(
     """Digest of each key's rows in order, without gathering a key in one place.
 
     Rows are hashed, runs of ``fanout`` consecutive hashes are joined and hashed again, and
-    so on for ``levels`` levels, so no group holds more than ``fanout`` short texts. The
-    top level covers ``fanout ** levels`` rows per key.
+    so on for ``levels`` levels. The top level joins all that is left of a key, which is one
+    run up to ``fanout ** levels`` rows (10^12) and a hash per 10^8 rows beyond, so every key
+    has one digest.
     """
     hashed = ordered(
-        df.select(*keys, *[c for c in order if c not in keys], position.alias("_at"), F.sha2(item, 256).alias("_h")),
-        keys, order, F.col("_at"), number="_seq", hot_rows=hot_rows,
+        df.select(*keys, *[c for c in order if c not in keys], F.sha2(item, 256).alias("_h")),
+        keys, order, number="_seq", hot_rows=hot_rows,
     ).select(*keys, "_seq", "_h", F.lit(1).cast("bigint").alias("_n"))
-    for _ in range(levels):
+    for level in range(levels):
+        block = F.floor((F.col("_seq") - 1) / F.lit(fanout)) if level + 1 < levels else F.lit(0)
         hashed = (
-            hashed.withColumn("_block", F.floor((F.col("_seq") - 1) / F.lit(fanout)).cast("bigint"))
+            hashed.withColumn("_block", block.cast("bigint"))
             .groupBy(*keys, "_block")
             .agg(F.array_sort(F.collect_list(F.struct("_seq", "_h"))).alias("_list"), F.sum("_n").alias("_n"))
             .select(
@@ -75,9 +76,10 @@ def tree_digest_sql(source: str, keys: list[str], order: str, item: str, fanout:
         f"SELECT {by}row_number() OVER ({part}ORDER BY {order}) AS seq, sha256({item}) AS h,"
         f" cast(1 AS bigint) AS n FROM {source}"
     )
-    for _ in range(levels):
+    for level in range(levels):
+        block = f"(seq - 1) // {fanout} + 1" if level + 1 < levels else "1"
         sql = (
-            f"SELECT {by}(seq - 1) // {fanout} + 1 AS seq, sha256(string_agg(h, '' ORDER BY seq)) AS h,"
-            f" cast(sum(n) AS bigint) AS n FROM ({sql}) GROUP BY {by}(seq - 1) // {fanout} + 1"
+            f"SELECT {by}block AS seq, sha256(string_agg(h, '' ORDER BY seq)) AS h, cast(sum(n) AS bigint) AS n"
+            f" FROM (SELECT *, {block} AS block FROM ({sql})) GROUP BY {by}block"
         )
     return f"SELECT {by}h AS digest, n AS item_count FROM ({sql})"

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import sha256, tree_digest
-from ..functions.text_order import text_position
 from .ordered import HOT_KEY_ROWS, ordered
 from .quantiles import exact_quantiles
 
@@ -69,7 +68,7 @@ def ordered_split(
     if not (0 < train < 1 and 0 < validation < 1 and train + validation < 1):
         raise ValueError("Split ratios must be between zero and one and leave a test share.")
     numbered = ordered(
-        df, [], [order], F.col(order), number="_rn", total={"_all": F.lit(1)}, hot_rows=hot_rows
+        df, [], [order], number="_rn", total={"_all": F.lit(1)}, hot_rows=hot_rows
     )
     first = F.floor(F.col("_all") * F.lit(train))
     second = first + F.floor(F.col("_all") * F.lit(validation))
@@ -101,7 +100,7 @@ def fit_categories(train: DataFrame, column: str) -> DataFrame:
         train.where(F.coalesce(F.col(column), F.lit("")) != "")
         .groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     )
-    coded = ordered(counts, [], ["value"], text_position(counts, "value"), number="code")
+    coded = ordered(counts, [], ["value"], number="code")
     best = counts.agg(F.max("n")).scalar()
     top = counts.where(F.col("n") == best).agg(F.min("value")).scalar()
     return coded.select("value", "n", (F.col("code") - 1).alias("code"), (F.col("value") == top).alias("is_most_frequent"))
@@ -184,12 +183,12 @@ def first_seen_duplicates(files: DataFrame, content_key: str, order: list[str])
 
 
 def running_limit(
-    df: DataFrame, keys: list[str], order: list[str], position: Column, size: Column,
+    df: DataFrame, keys: list[str], order: list[str], size: Column,
     max_bytes: int, max_files: int, hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Files up to the limit are accepted, the one that crosses it is flagged, later ones skipped."""
     run = ordered(
-        df.withColumn("_size", size), keys, order, position,
+        df.withColumn("_size", size), keys, order,
         number="file_number", running={"total_bytes": F.col("_size")}, hot_rows=hot_rows,
     )
     over = (F.col("file_number") > max_files) | (F.col("total_bytes") > max_bytes)
@@ -262,7 +261,7 @@ def new_contents(incoming: DataFrame, store: DataFrame, content: str, key: str)
 def class_ids(items: DataFrame, label: str) -> DataFrame:
     """Class map by sorted name, ids from zero."""
     names = items.select(F.col(label).alias("class_name")).distinct()
-    return ordered(names, [], ["class_name"], text_position(names, "class_name"), number="_id").select(
+    return ordered(names, [], ["class_name"], number="_id").select(
         "class_name", (F.col("_id") - 1).alias("class_id")
     )
 
@@ -273,10 +272,10 @@ def version_items(items: DataFrame, label: str) -> DataFrame:
     return items.join(classes, items[label] == classes["class_name"])
 
 
-def version_manifest(items: DataFrame, order: str, position: Column, fields: list[str]) -> DataFrame:
+def version_manifest(items: DataFrame, order: str, fields: list[str]) -> DataFrame:
     """One row: version id over all items in order, totals and class count."""
     line = F.concat_ws("|", *[F.col(f).cast("string") for f in fields])
-    digest = tree_digest(items, [], [order], position, line)
+    digest = tree_digest(items, [], [order], line)
     totals = items.agg(
         F.count(F.lit(1)).alias("n"), F.sum("byte_length").alias("b"), F.countDistinct("class_id").alias("c")
     ).select(F.struct("*").alias("s")).scalar()
@@ -300,7 +299,7 @@ def config_digest(config: dict) -> str:
 
 def collision_names(df: DataFrame, folder: list[str], name: str, key: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Give the second and later equal names in a folder the suffix ``-1``, ``-2``, ..."""
-    numbered = ordered(df, [*folder, name], [key], F.col(key), number="_n", hot_rows=hot_rows)
+    numbered = ordered(df, [*folder, name], [key], number="_n", hot_rows=hot_rows)
     suffix = F.when(F.col("_n") > 1, F.concat(F.lit("-"), (F.col("_n") - 1).cast("string"))).otherwise("")
     return numbered.withColumn("stored_name", F.concat(F.col(name), suffix)).drop("_n")
 

@@ -82,26 +82,26 @@ class Registry:
 
 # ---------------------------------------------------------------- verified side inputs
 
-def store_artifact(df: DataFrame, name: str, key: str, position: Column) -> tuple[str, str, int]:
+def store_artifact(df: DataFrame, name: str, key: str) -> tuple[str, str, int]:
     """Write a side table; returns its path, digest and row count."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    digest, count = _digest(df.sparkSession.read.parquet(path), key, position)
+    digest, count = _digest(df.sparkSession.read.parquet(path), key)
     return path, digest, count
 
 
-def load_artifact(spark, path: str, key: str, position: Column, digest: str, count: int) -> DataFrame:
+def load_artifact(spark, path: str, key: str, digest: str, count: int) -> DataFrame:
     """Read a side table after checking digest and row count once."""
     df = spark.read.parquet(path)
-    found = _digest(df, key, position)
+    found = _digest(df, key)
     if found != (digest, count):
         raise ValueError("Artifact is missing or fails its integrity check.")
     return df
 
 
-def _digest(df: DataFrame, key: str, position: Column) -> tuple[str, int]:
+def _digest(df: DataFrame, key: str) -> tuple[str, int]:
     line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    row = tree_digest(df, [], [key], position, line).first()
+    row = tree_digest(df, [], [key], line).first()
     return (row["digest"], row["item_count"]) if row else ("", 0)
 
 

@@ -177,7 +177,7 @@ def gradient_difference(scanlines: DataFrame, golden: DataFrame) -> DataFrame:
 def edge_difference(scanlines: DataFrame, golden: DataFrame, threshold: float) -> DataFrame:
     """Where one image has an edge and the other none; an edge is a strong gradient."""
     if not 0.0 <= threshold <= 1.0:
-        raise ValueError("Edge threshold must be between zero and one.")
+        raise ValueError("threshold is a share of the largest gradient, from 0 to 1")
     return _compared(
         scanlines, golden, 1, lambda a, b: ((_magnitude(a) > threshold) != (_magnitude(b) > threshold)).astype(float)
     )
@@ -197,7 +197,7 @@ def template_matches(scanlines: DataFrame, templates: DataFrame, height: int, me
     output line gathers as many rows as the template is high; sums run over shifted slices.
     """
     if method not in ("sqdiff", "sqdiff-normed", "ccorr-normed", "ccoeff-normed"):
-        raise ValueError("Template matching method is unsupported.")
+        raise ValueError("no such way to compare with a template")
     t = templates.select(
         "grp", "template", F.size("template").alias("height"), F.size(F.col("template")[0]).alias("width")
     )

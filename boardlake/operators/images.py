@@ -124,7 +124,7 @@ def normalize(scanlines: DataFrame, alpha: float, beta: float) -> DataFrame:
 
 def gamma(scanlines: DataFrame, value: float) -> DataFrame:
     if value <= 0:
-        raise ValueError("Gamma must be greater than zero.")
+        raise ValueError("gamma has to be positive")
     return map_rows(scanlines, lambda v: F.floor(clamp_byte(F.pow(v / 255.0, F.lit(value)) * 255.0)).cast("double"))
 
 
@@ -199,7 +199,7 @@ def masked(v: Column, mask: Column) -> Column:
 
 def blended(alpha: float) -> Callable[[Column, Column], Column]:
     if not 0.0 <= alpha <= 1.0:
-        raise ValueError("Blend alpha must be between zero and one.")
+        raise ValueError("alpha is a share, from 0 to 1")
     return lambda v, o: v * (1.0 - alpha) + o * alpha
 
 
@@ -254,7 +254,7 @@ def source_index(i: Column, n: Column, border: str) -> Column:
 
 def pad(scanlines: DataFrame, top: int, bottom: int, left: int, right: int, border: str, value: float = 0.0) -> DataFrame:
     if min(top, bottom, left, right) < 0:
-        raise ValueError("Padding values cannot be negative.")
+        raise ValueError("a margin has no fewer than 0 pixels")
     # Renamed, as the select below gives new meaning to ``y``, ``width`` and ``row``.
     sized = with_height(scanlines).withColumnsRenamed({"width": "_w", "row": "_row"})
     h, w = F.col("height").cast("int"), F.col("_w")

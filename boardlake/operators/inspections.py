@@ -86,7 +86,7 @@ def kpis(inspections: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def evidence_pages(
-    results: DataFrame, evidence: DataFrame, order: list[str], position: Column, item: Column,
+    results: DataFrame, evidence: DataFrame, order: list[str], item: Column,
     rows_per_page: int = EVIDENCE_PAGE_ROWS,
 ) -> DataFrame:
     """Results with their evidence in order, as pages of bounded size.
@@ -95,7 +95,7 @@ def evidence_pages(
     with very many rows spreads over several pages and no array outgrows the limit. Results
     without evidence keep one row with a null page.
     """
-    numbered = ordered(evidence, ["result_id"], order, position, number="seq")
+    numbered = ordered(evidence, ["result_id"], order, number="seq")
     nested = (
         numbered.withColumn("page", F.floor((F.col("seq") - 1) / F.lit(rows_per_page)).cast("bigint"))
         .groupBy("result_id", "page")

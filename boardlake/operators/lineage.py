@@ -50,7 +50,7 @@ def export_lines(versions: DataFrame) -> DataFrame:
 def export_envelope(versions: DataFrame) -> DataFrame:
     """Counts and one checksum over all lines in (document, revision, id) order."""
     lines = export_lines(versions)
-    digest = tree_digest(lines, [], ["document_id", "revision", "id"], F.col("document_id"), F.col("line"))
+    digest = tree_digest(lines, [], ["document_id", "revision", "id"], F.col("line"))
     documents = lines.agg(F.countDistinct("document_id")).scalar()
     return digest.select(
         F.lit(1).alias("schema_version"), documents.alias("document_count"),
@@ -128,20 +128,20 @@ def with_both_versions(events: DataFrame, versions: DataFrame, actors: DataFrame
     )
 
 
-def version_numbers(rows: DataFrame, keys: list[str], order: list[str], position: Column, hot_rows: int = HOT_KEY_ROWS):
+def version_numbers(rows: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_KEY_ROWS):
     """Next version number per key for a bulk load, in creation order."""
-    return ordered(rows, keys, order, position, number="version", hot_rows=hot_rows)
+    return ordered(rows, keys, order, number="version", hot_rows=hot_rows)
 
 
-def activation_chain(events: DataFrame, key: str, order: list[str], position: Column, profile: str, hot_rows: int = HOT_KEY_ROWS):
+def activation_chain(events: DataFrame, key: str, order: list[str], profile: str, hot_rows: int = HOT_KEY_ROWS):
     """Profile active before each activation; null for the first and when unchanged."""
-    seen = ordered(events, [key], order, position, previous={"_before": profile}, hot_rows=hot_rows)
+    seen = ordered(events, [key], order, previous={"_before": profile}, hot_rows=hot_rows)
     return seen.withColumn("previous_profile", F.nullif(F.col("_before"), F.col(profile))).drop("_before")
 
 
-def revision_gaps(versions: DataFrame, key: str, revision: str, order: list[str], position: Column, hot_rows: int = HOT_KEY_ROWS):
+def revision_gaps(versions: DataFrame, key: str, revision: str, order: list[str], hot_rows: int = HOT_KEY_ROWS):
     """Revisions that do not follow their predecessor by one."""
-    seen = ordered(versions, [key], order, position, previous={"previous_revision": revision}, hot_rows=hot_rows)
+    seen = ordered(versions, [key], order, previous={"previous_revision": revision}, hot_rows=hot_rows)
     expected = F.coalesce(F.col("previous_revision"), F.lit(0)) + 1
     return seen.withColumn("expected_revision", expected).where(F.col(revision) != expected)
 
@@ -156,17 +156,17 @@ def transition_issue(previous: Column, status: Column) -> Column:
     )
 
 
-def check_transitions(events: DataFrame, key: str, status: str, order: list[str], position: Column, hot_rows: int = HOT_KEY_ROWS):
+def check_transitions(events: DataFrame, key: str, status: str, order: list[str], hot_rows: int = HOT_KEY_ROWS):
     """Previous status and verdict for each event of a job log."""
-    seen = ordered(events, [key], order, position, previous={"previous_status": status}, hot_rows=hot_rows)
+    seen = ordered(events, [key], order, previous={"previous_status": status}, hot_rows=hot_rows)
     return seen.withColumn("issue", transition_issue(F.col("previous_status"), F.col(status)))
 
 
-def check_progress(events: DataFrame, key: str, stage: str, units: str, order: list[str], position: Column, hot_rows: int = HOT_KEY_ROWS):
+def check_progress(events: DataFrame, key: str, stage: str, units: str, order: list[str], hot_rows: int = HOT_KEY_ROWS):
     """Stage must not go back; units must grow within a stage."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col(stage)).cast("int")
     seen = ordered(
-        events.withColumn("_rank", rank), [key], order, position,
+        events.withColumn("_rank", rank), [key], order,
         previous={"_last_rank": "_rank", "_last_units": units}, hot_rows=hot_rows,
     )
     issue = (
@@ -178,8 +178,8 @@ def check_progress(events: DataFrame, key: str, stage: str, units: str, order: l
     return seen.withColumn("issue", issue).drop("_rank", "_last_rank", "_last_units")
 
 
-def evidence_digests(node_runs: DataFrame, key: str, order: list[str], position: Column, item: Column) -> DataFrame:
-    return tree_digest(node_runs, [key], order, position, item)
+def evidence_digests(node_runs: DataFrame, key: str, order: list[str], item: Column) -> DataFrame:
+    return tree_digest(node_runs, [key], order, item)
 
 
 def replay_comparison(stored: DataFrame, recomputed: DataFrame, key: str) -> DataFrame:

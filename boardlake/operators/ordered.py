@@ -1,15 +1,16 @@
 """Ordered computations per key that survive a key holding a large share of all rows.
 
 A plain window puts all rows of one key into one task. Before planning, the rows per key
-are counted (pre-aggregated per task). When no key is above the row limit the plan is one
-plain window. Otherwise each large key is cut into consecutive chunks of its order, the
-window runs per (key, chunk), and what earlier chunks contribute is added from a table
-with one row per chunk.
-
-Size of what reaches the driver and is broadcast: at most MAX_HOT_KEYS keys, the largest
-ones. Any key left out holds fewer than ``total / MAX_HOT_KEYS`` rows, and the chunks of a
-key hold about ``max(hot_rows, total / MAX_CHUNKS)`` rows each, so there are at most
-MAX_HOT_KEYS + MAX_CHUNKS chunks, whatever the size of the input.
+are counted (pre-aggregated per task; one row reaches the driver). When no key is above the
+row limit the plan is one plain window. Otherwise the rows are range-partitioned once by key
+and the full order, so chunks are cut by rank: far values, ties and bursts do not matter.
+The window runs per (key, chunk), and what earlier chunks contribute is added from a table
+with one row per chunk of the keys that lie in several chunks. Each border between two
+chunks cuts one key at most, so that table has fewer than ``2 * chunks`` rows, whatever the
+number of keys. It is broadcast.
+
+The number of chunks follows the number of rows up to MAX_CHUNKS, the most partitions asked
+of Spark; beyond that chunks grow with the input, for all keys alike.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.storage import checkpoint
 
 HOT_KEY_ROWS = 1_000_000
-MAX_HOT_KEYS = 8192
-MAX_CHUNKS = 32_768
+MAX_CHUNKS = 8192
 
 
 def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
@@ -33,40 +34,23 @@ def _renamed(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in df.columns])
 
 
-def large_keys(df: DataFrame, keys: list[str], position: Column | None = None, hot_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
-    """The keys above the row limit with their number of chunks, or None when there is none."""
-    at = (position if position is not None else F.lit(0)).cast("double")
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")
-    )
-    found = sizes.where(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
-    if not found:
-        return None
-    per_chunk = max(hot_rows, sum(r["_n"] for r in found) // MAX_CHUNKS)
-    rows = [(*r, -(-r["_n"] // per_chunk)) for r in found]
-    schema = T.StructType([*sizes.schema.fields, T.StructField("_pieces", T.LongType())])
-    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
-
-
-def with_chunks(df: DataFrame, keys: list[str], position: Column, hot: DataFrame) -> DataFrame:
-    """Add ``_chunk`` (0 for keys that are not large) and ``_hot``; chunks follow ``position``."""
-    placed = df.withColumn("_pos", position.cast("double"))
-    right = _renamed(hot, keys)
-    tagged = placed.join(F.broadcast(right), _null_safe(placed, right, keys), "left")
-    share = (F.col("_pos") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    chunk = F.least(F.floor(share * F.col("_pieces")), F.col("_pieces") - 1)
-    return tagged.select(
-        *df.columns,
-        F.coalesce(chunk, F.lit(0)).cast("bigint").alias("_chunk"),
-        F.col("_pieces").isNotNull().alias("_hot"),
-    )
+def chunks_needed(df: DataFrame, keys: list[str], hot_rows: int = HOT_KEY_ROWS) -> int:
+    """Chunks to cut the rows into, or 0 when no key is above the row limit."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    most, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    return min(-(-rows // hot_rows), MAX_CHUNKS) if (most or 0) > hot_rows else 0
+
+
+def with_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int) -> DataFrame:
+    """Add ``_chunk``, the number of the row's range of (key, order). Checkpointed, so that a
+    repeated task cannot place a row differently."""
+    return checkpoint(df.repartitionByRange(chunks, *keys, *order).withColumn("_chunk", F.spark_partition_id()))
 
 
 def ordered(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    position: Column,
     *,
     number: str | None = None,
     previous: dict[str, str] | None = None,
@@ -76,16 +60,15 @@ def ordered(
 ) -> DataFrame:
     """Row numbers, previous-row values, running sums and key totals in one pass.
 
-    ``order`` lists ascending columns that order the rows of a key totally; ``position``
-    is a number that never decreases along that order. ``previous`` maps a new column to
-    the column whose value on the row before is wanted. Finding large keys runs one job
-    over the keys when this is called.
+    ``order`` lists ascending columns that order the rows of a key totally. ``previous`` maps
+    a new column to the column whose value on the row before is wanted. Finding large keys
+    runs one job over the keys when this is called.
     """
     previous, running, total = previous or {}, running or {}, total or {}
-    hot = large_keys(df, keys, position, hot_rows)
-    if hot is None:
+    chunks = chunks_needed(df, keys, hot_rows)
+    if not chunks:
         return _one_window(df, keys, order, number, previous, running, total)
-    return _chunked(with_chunks(df, keys, position, hot), df.columns, keys, order, number, previous, running, total)
+    return _chunked(with_chunks(df, keys, order, chunks), df.columns, keys, order, number, previous, running, total)
 
 
 def _one_window(df, keys, order, number, previous, running, total):
@@ -120,16 +103,16 @@ def _chunked(tagged, columns, keys, order, number, previous, running, total):
         parts.append(F.max_by(last, F.struct(*order)).alias("_clast"))
     parts += [F.sum(e).alias(f"_crun_{n}") for n, e in running.items()]
     parts += [F.sum(e).alias(f"_ctot_{n}") for n, e in total.items()]
-    chunks = tagged.where("_hot").groupBy(*keys, "_chunk").agg(*parts)
+    chunks = tagged.groupBy(*keys, "_chunk").agg(*parts)
     by_key = Window.partitionBy(*(keys or [F.lit(1)]))
     before = by_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = [F.sum("_cn").over(before).alias("_base_n")]
+    carry = [F.sum("_cn").over(before).alias("_base_n"), F.count(F.lit(1)).over(by_key).alias("_parts")]
     if previous:
         carry.append(F.last("_clast", ignorenulls=True).over(before).alias("_base_last"))
     carry += [F.sum(f"_crun_{n}").over(before).alias(f"_base_run_{n}") for n in running]
     carry += [F.sum(f"_ctot_{n}").over(by_key).alias(f"_base_tot_{n}") for n in total]
     join_keys = [*keys, "_chunk"]
-    right = _renamed(chunks.select(*join_keys, *carry), join_keys)
+    right = _renamed(chunks.select(*join_keys, *carry).where("_parts > 1").drop("_parts"), join_keys)
     out = rows.join(F.broadcast(right), _null_safe(rows, right, join_keys), "left")
 
     result = [F.col(c) for c in columns]

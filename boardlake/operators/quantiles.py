@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import HOT_KEY_ROWS, _null_safe, _renamed, large_keys, ordered
+from .ordered import HOT_KEY_ROWS, chunks_needed, ordered
 
 
 def exact_quantiles(
@@ -20,22 +20,13 @@ def exact_quantiles(
     """One row per key with a column per requested probability.
 
     ``interpolate=False`` gives the smallest value whose cumulative share reaches the
-    probability (the lower median for 0.5). Groups up to ``hot_rows`` rows use the built-in
-    aggregate. For larger ones equal values are counted, the counts are summed along the
-    value order in chunks, and the value at the wanted rank is taken.
+    probability (the lower median for 0.5). While no group has more than ``hot_rows`` rows,
+    the built-in aggregate does. Otherwise equal values are counted, the counts are summed
+    along the value order in chunks, and the value at the wanted rank is taken.
     """
-    hot = large_keys(df, keys, F.col(value), hot_rows)
-    if hot is None:
+    if not chunks_needed(df, keys, hot_rows):
         return _built_in(df, keys, value, probs, interpolate)
-    names = _renamed(hot.select(*keys, F.lit(True).alias("_is_hot")), keys)
-    if not keys:
-        return _by_rank(df, keys, value, probs, interpolate, hot_rows)
-    tagged = df.join(F.broadcast(names), _null_safe(df, names, keys), "left")
-    small = tagged.where(F.col("_is_hot").isNull()).select(*df.columns)
-    large = tagged.where(F.col("_is_hot")).select(*df.columns)
-    return _built_in(small, keys, value, probs, interpolate).unionByName(
-        _by_rank(large, keys, value, probs, interpolate, hot_rows)
-    )
+    return _by_rank(df, keys, value, probs, interpolate, hot_rows)
 
 
 def _built_in(df, keys, value, probs, interpolate):
@@ -48,13 +39,10 @@ def _built_in(df, keys, value, probs, interpolate):
 
 
 def _by_rank(df, keys, value, probs, interpolate, hot_rows):
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    # A null value counts for nothing, but keeps a group that has no other.
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_c"))
     ranked = ordered(
-        counts, keys, [value], F.col(value).cast("double"),
+        counts, keys, [value],
         running={"_cum": F.col("_c")}, total={"_n": F.col("_c")}, hot_rows=hot_rows,
     )
     picks, columns = [], []

@@ -118,7 +118,7 @@ def auroc(scores: DataFrame, detector: str, score: str, positive: Column, hot_ro
     values = scores.groupBy(detector, score).agg(
         F.count(F.lit(1)).alias("c"), F.count_if(positive).alias("p")
     )
-    ranked = ordered(values, [detector], [score], F.col(score), running={"cum": F.col("c")}, hot_rows=hot_rows)
+    ranked = ordered(values, [detector], [score], running={"cum": F.col("c")}, hot_rows=hot_rows)
     rank = F.col("cum") - (F.col("c") - 1) / 2.0
     sums = ranked.groupBy(detector).agg(
         F.sum(F.col("p") * rank).alias("r"), F.sum("p").cast("double").alias("np"), F.sum("c").cast("double").alias("n")
@@ -128,10 +128,10 @@ def auroc(scores: DataFrame, detector: str, score: str, positive: Column, hot_ro
     return sums.select(detector, F.when((F.col("np") > 0) & (negatives > 0), area).alias("auroc"))
 
 
-def visit_limit(visits: DataFrame, key: str, order: list[str], position: Column, limit: int, hot_rows: int = HOT_KEY_ROWS):
+def visit_limit(visits: DataFrame, key: str, order: list[str], limit: int, hot_rows: int = HOT_KEY_ROWS):
     if limit < 1:
-        raise ValueError("Counter limit must be at least one.")
-    counted = ordered(visits, [key], order, position, number="visit", hot_rows=hot_rows)
+        raise ValueError("limit has to allow one visit or more")
+    counted = ordered(visits, [key], order, number="visit", hot_rows=hot_rows)
     return counted.withColumn("branch", F.when(F.col("visit") < limit, "under-limit").otherwise("limit-reached"))
 
 
@@ -144,7 +144,7 @@ def empirical_rank(scores: DataFrame, detector: str, score: str, reference: Colu
     """Share of reference scores at or below each score, per detector."""
     values = scores.groupBy(detector, score).agg(F.count_if(reference).alias("ok"))
     ranked = ordered(
-        values, [detector], [score], F.col(score), running={"_upto": F.col("ok")}, total={"_all": F.col("ok")}, hot_rows=hot_rows
+        values, [detector], [score], running={"_upto": F.col("ok")}, total={"_all": F.col("ok")}, hot_rows=hot_rows
     ).select(detector, score, (F.col("_upto") / F.col("_all")).alias("normalized"))
     return scores.join(ranked, [detector, score])
 

@@ -103,7 +103,7 @@ def nearest(
     inequality, with every cell and every query group cut into blocks of bounded size.
     """
     if metric not in METRICS:
-        raise ValueError(f"Unsupported distance metric: {metric}.")
+        raise ValueError(f"no distance named {metric!r}")
     label = F.col("label").cast("string") if "label" in samples.columns else F.lit("")
     s = samples.select(F.col(sample_id).alias("_sid"), label.alias("_label"), F.col(features).alias("_f"))
     q = queries.select(F.col(query_id).alias("_qid"), F.col(features).alias("_f"))

@@ -74,7 +74,7 @@ SELECT split, digest, item_count FROM d
 """)
 def split_manifest(t):
     line = F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
-    return tree_digest(customer_split(t), ["split"], ["c_custkey"], F.col("c_custkey"), line)
+    return tree_digest(customer_split(t), ["split"], ["c_custkey"], line)
 
 
 STORE_SQL = """
@@ -220,7 +220,7 @@ def ragged_rows(t):
     )
     path = fresh_path(t.spark, "ragged-csv")
     t.customer.select(line).write.text(path)
-    return lf.line_shape(t.spark.read.text(path), ",", 3)
+    return lf.csv_shape(t.spark, path, ",", 3)
 
 
 @query("d05_category_totals", """
@@ -312,7 +312,7 @@ FROM (SELECT *, row_number() OVER w AS k, sum(n_chars) OVER w AS run FROM docume
 def running_limit(t):
     docs = t.documents.select("doc_id", "source", "n_chars")
     return op.running_limit(
-        docs, ["source"], ["doc_id"], F.col("doc_id"), F.col("n_chars"), 60_000, 30
+        docs, ["source"], ["doc_id"], F.col("n_chars"), 60_000, 30
     ).select("doc_id", "source", "file_number", "total_bytes", "state")
 
 
@@ -446,7 +446,7 @@ FROM ({tree_digest_sql(ITEM_SQL, [], 'doc_id', 'item')})
 def version_manifest(t):
     items = op.version_items(dataset_items(t), "lang")
     return op.version_manifest(
-        items, "doc_id", F.col("doc_id"), ["logical_path", "sha256", "byte_length", "class_id"]
+        items, "doc_id", ["logical_path", "sha256", "byte_length", "class_id"]
     )
 
 
@@ -488,7 +488,7 @@ FROM ({tree_digest_sql('customer', [], 'c_custkey', "concat_ws('|', cast(c_custk
 """)
 def preparation_snapshot(t):
     line = F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment")
-    digest = tree_digest(t.customer, [], ["c_custkey"], F.col("c_custkey"), line)
+    digest = tree_digest(t.customer, [], ["c_custkey"], line)
     n = F.col("item_count")
     first, second = F.floor(n * 0.7), F.floor(n * 0.15)
     return digest.select(

@@ -43,8 +43,8 @@ def scalar_extension(t):
 @query("n02_verified_side_input", "SELECT i.id, r.slug FROM v_inspection i JOIN v_recipe r ON r.id = i.recipe_id WHERE r.is_active")
 def verified_side_input(t):
     recipes = t.v_recipe.where("is_active")
-    stored = op.store_artifact(recipes, "recipes", "id", F.col("id"))
-    checked = op.load_artifact(t.spark, stored[0], "id", F.col("id"), *stored[1:])
+    stored = op.store_artifact(recipes, "recipes", "id")
+    checked = op.load_artifact(t.spark, stored[0], "id", *stored[1:])
     return t.v_inspection.select("id", "recipe_id").join(
         checked.select(F.col("id").alias("recipe_id"), "slug"), "recipe_id"
     ).select("id", "slug")

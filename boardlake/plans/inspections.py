@@ -225,9 +225,8 @@ FROM v_inspection i LEFT JOIN (
 """)
 def detail_with_evidence(t):
     item = F.concat_ws(":", F.col("id").cast("string"), "defect_type", "severity")
-    position = F.unix_micros(F.col("detected_at").cast("timestamp"))
     pages = op.evidence_pages(
-        t.v_inspection.select("id", "board_serial", "result"), t.v_defect, ["detected_at", "id"], position, item
+        t.v_inspection.select("id", "board_serial", "result"), t.v_defect, ["detected_at", "id"], item
     )
     return pages.select(
         "id", "board_serial", "result", F.coalesce("page", F.lit(0)).cast("bigint").alias("page"),
@@ -316,8 +315,7 @@ FROM v_settings_version
 """)
 def export_order(t):
     return ordered(
-        t.v_settings_version, [], ["created_by", "document_id", "revision", "created_at", "id"],
-        F.coalesce(F.col("created_by"), F.lit(-1)), number="position",
+        t.v_settings_version, [], ["created_by", "document_id", "revision", "created_at", "id"], number="position",
     ).select("document_id", "revision", "id", "created_by", "position")
 
 

@@ -250,8 +250,7 @@ SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY
 """)
 def next_version_numbers(t):
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
-    at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    return op.version_numbers(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], at).select(
+    return op.version_numbers(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select(
         "o_orderkey", "o_custkey", "version"
     )
 
@@ -273,7 +272,7 @@ SELECT event_id, user_id, event_type, nullif(lag(event_type) OVER (PARTITION BY
 FROM events
 """)
 def activation_chain(t):
-    return op.activation_chain(event_log(t, "event_type"), "user_id", ["event_id"], F.col("event_id"), "event_type")
+    return op.activation_chain(event_log(t, "event_type"), "user_id", ["event_id"], "event_type")
 
 
 @query("e09_revision_gaps", """
@@ -283,7 +282,7 @@ WHERE revision <> expected_revision
 """)
 def revision_gaps(t):
     return op.revision_gaps(
-        t.v_settings_version, "document_id", "revision", ["revision", "id"], F.col("revision")
+        t.v_settings_version, "document_id", "revision", ["revision", "id"]
     ).select("document_id", "id", "revision", "expected_revision")
 
 
@@ -305,7 +304,7 @@ SELECT event_id, user_id, status, CASE WHEN p IS NULL THEN 'ok' WHEN p IN ('comp
 FROM (SELECT event_id, user_id, {STATE_CASE} AS status, lag({STATE_CASE}) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
 """)
 def transition_check(t):
-    return op.check_transitions(job_log(t), "user_id", "status", ["event_id"], F.col("event_id")).select(
+    return op.check_transitions(job_log(t), "user_id", "status", ["event_id"]).select(
         "event_id", "user_id", "status", "issue"
     )
 
@@ -321,7 +320,7 @@ FROM (SELECT *, lag(s) OVER w AS ls, lag(value) OVER w AS lv FROM (
   WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 """)
 def progress_check(t):
-    return op.check_progress(job_log(t), "user_id", "status", "value", ["event_id"], F.col("event_id")).select(
+    return op.check_progress(job_log(t), "user_id", "status", "value", ["event_id"]).select(
         "event_id", "user_id", "issue"
     )
 
@@ -469,9 +468,9 @@ SELECT a.user_id, a.digest, a.digest = b.digest AS replay_matches FROM a JOIN b
 def replay_comparison(t):
     e = t.events
     item = F.expr(ITEM)
-    fresh = op.evidence_digests(e, "user_id", ["event_id"], F.col("event_id"), item)
+    fresh = op.evidence_digests(e, "user_id", ["event_id"], item)
     stored = op.evidence_digests(
-        e, "user_id", ["event_id"], F.col("event_id"), F.when(F.col("value") > 300, "x").otherwise(item)
+        e, "user_id", ["event_id"], F.when(F.col("value") > 300, "x").otherwise(item)
     )
     return op.replay_comparison(stored, fresh, "user_id")
 

@@ -123,7 +123,7 @@ SELECT event_id, user_id, n AS visit, CASE WHEN n < 10 THEN 'under-limit' ELSE '
  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
 """)
 def visit_limit(t):
-    return op.visit_limit(t.events.select("event_id", "user_id"), "user_id", ["event_id"], F.col("event_id"), 10)
+    return op.visit_limit(t.events.select("event_id", "user_id"), "user_id", ["event_id"], 10)
 
 
 @query("e12_top_k_mean", """

@@ -163,8 +163,7 @@ class Tables:
     def _view(self, name: str) -> DataFrame:
         if name == "v_line":
             return ordered(
-                self.lineitem, ["l_orderkey"], ["l_partkey", "l_extendedprice"],
-                F.col("l_partkey"), number="line_no",
+                self.lineitem, ["l_orderkey"], ["l_partkey", "l_extendedprice"], number="line_no",
             )
         if name == "v_model_version":
             base = self.spark.sql(
@@ -172,7 +171,7 @@ class Tables:
                 " o_orderkey % 4 <> 0 AS evidence_passed, o_orderkey % 5 <> 0 AS run_completed FROM {o}",
                 o=self.orders,
             )
-            return ordered(base, ["model_name"], ["id"], F.col("id"), number="version")
+            return ordered(base, ["model_name"], ["id"], number="version")
         if name == "v_promotion":
             base = self.spark.sql(
                 "SELECT event_id AS id, user_id % 20 AS model_id,"
@@ -181,7 +180,7 @@ class Tables:
                 e=self.events,
             )
             return ordered(
-                base, ["model_id", "alias"], ["id"], F.col("id"),
+                base, ["model_id", "alias"], ["id"],
                 previous={"previous_version": "next_version"},
             )
         if name == "v_roi":

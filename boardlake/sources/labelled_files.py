@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-import csv
+from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DELIMITERS = [",", ";", "\t", "|"]
 RESERVED_FOLDERS = ["preparations", "artifacts", "training-jobs"]
+SAMPLE_CHARACTERS = 8192
+MAX_COLUMNS = 200_000
+WHITE_SPACE = " \t\n\x0b\x0c\r"
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def scan_tree(spark: SparkSession, root: str, extensions: list[str], with_content: bool = False) -> DataFrame:
     """One row per file below ``root``; hidden names and reserved folders are left out.
 
-    Without ``with_content`` only file metadata is read.
+    Extensions match in either case. Files directly below a dataset have a null category.
+    Spark's file sources never list names that start with ``_``. Without ``with_content``
+    only file metadata is read.
     """
+    either_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
+        .option("pathGlobFilter", "*.{" + ",".join(either_case) + "}")
         .load(root)
     )
     relative = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
@@ -34,8 +41,9 @@ def scan_tree(spark: SparkSession, root: str, extensions: list[str], with_conten
         "modificationTime",
         *(["content"] if with_content else []),
     )
-    hidden = F.col("filename").startswith(".") | F.col("category").startswith(".")
-    return files.where(~hidden & ~F.col("category").isin(RESERVED_FOLDERS))
+    folder = F.coalesce("category", F.lit(""))
+    hidden = F.col("filename").startswith(".") | folder.startswith(".") | F.col("dataset").startswith(".")
+    return files.where(~hidden & ~folder.isin(RESERVED_FOLDERS))
 
 
 def file_digests(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
@@ -44,37 +52,68 @@ def file_digests(spark: SparkSession, root: str, extensions: list[str]) -> DataF
 
 
 def detect_delimiter(sample: str) -> str:
-    counts = {d: sample.count(d) for d in DELIMITERS}
-    best = max(DELIMITERS, key=lambda d: counts[d])
-    if counts[best] == 0:
-        raise ValueError("CSV delimiter could not be detected.")
+    """The delimiter that occurs most often; the first of the list among equals."""
+    best = max(DELIMITERS, key=sample.count)
+    if best not in sample:
+        raise ValueError(f"None of {DELIMITERS} occurs at the start of the input.")
     return best
 
 
+def _start_of(lines: DataFrame, size: int = SAMPLE_CHARACTERS) -> str:
+    """The first ``size`` characters; few lines do unless they are very short."""
+    head = lines.select(F.substring("value", 1, size).alias("value"))
+    for count in (64, size):
+        text = "\n".join(r["value"] for r in head.limit(count).collect())
+        if len(text) >= size:
+            break
+    return text.lstrip(BYTE_ORDER_MARK)[:size]
+
+
+def _csv_reader(spark: SparkSession, lines: DataFrame, delimiter: str) -> DataFrameReader:
+    """A reader of text columns. Only a record that goes over several lines makes a line with an
+    odd number of quotes; without such lines files are split among tasks, with them each file
+    is one task, as its quotes have to be followed from the start."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    over_lines, broken = lines.select(F.max(quotes % 2 == 1), F.max(~F.is_valid_utf8("value"))).first()
+    if broken:
+        raise ValueError("The input has bytes that are not UTF-8.")
+    return (
+        spark.read.option("sep", delimiter).option("escape", '"').option("maxColumns", MAX_COLUMNS)
+        .option("maxCharsPerColumn", -1).option("multiLine", bool(over_lines))
+    )
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with the delimiter found in a short prefix; every column is text, nothing is
-    inferred, and the whole input is read in parallel."""
-    lines = [r.value for r in spark.read.text(path).limit(64).collect()]
-    sample = "\n".join(lines)[:8192].lstrip("﻿")
-    delimiter = detect_delimiter(sample)
-    header = next(csv.reader([sample.split("\n", 1)[0]], delimiter=delimiter))
-    names = [name.strip() for name in header]
-    if not names or any(not n for n in names):
-        raise ValueError("CSV headers must not be empty.")
-    if len(set(names)) != len(names):
-        raise ValueError("CSV headers must be unique.")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.schema(schema).option("header", True).option("sep", delimiter).option("escape", '"').csv(path)
-    return df.select(*[F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names])
-
-
-def line_shape(lines: DataFrame, delimiter: str, width: int, column: str = "value") -> DataFrame:
-    """Rows, blank rows and ragged rows of raw CSV lines."""
-    bare = F.regexp_replace(F.col(column), r'"(?:[^"]|"")*"', "")
-    cells = F.size(F.split(bare, "\\" + delimiter, -1))
-    blank = F.trim(F.replace(bare, F.lit(delimiter), F.lit(""))) == ""
-    return lines.select(cells.alias("cells"), blank.alias("blank")).agg(
+    """CSV with the delimiter found in its first characters; every column is text.
+
+    Names come from the whole first record, however wide. Cells are stripped, missing ones are
+    empty, surplus ones are left out, and so are rows without any content.
+    """
+    lines = spark.read.text(path)
+    reader = _csv_reader(spark, lines, detect_delimiter(_start_of(lines)))
+    first = reader.csv(path).first()
+    names = [(cell or "").lstrip(BYTE_ORDER_MARK).strip() for cell in first]
+    unusable = [name for name, times in Counter(names).items() if times > 1 or not name]
+    if unusable:
+        raise ValueError(f"Column names that are empty or repeated: {unusable}.")
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
+    cells = [F.coalesce(F.trim(f"_{i}", F.lit(WHITE_SPACE)), F.lit("")).alias(f"_{i}") for i in range(len(names))]
+    rows = reader.option("header", True).schema(schema).csv(path).select(*cells)
+    filled = F.exists(F.array(*rows.columns), lambda cell: cell != "")
+    return rows.where(filled).toDF(*names)
+
+
+def csv_shape(spark: SparkSession, path: str, delimiter: str, width: int) -> DataFrame:
+    """Rows, blank rows and ragged rows (of another width) of CSV files without a header."""
+    names = [f"_{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_ragged"]])
+    reader = _csv_reader(spark, spark.read.text(path), delimiter)
+    rows = reader.schema(schema).option("columnNameOfCorruptRecord", "_ragged").csv(path)
+    filled = F.exists(F.array(*names), lambda cell: F.trim(cell, F.lit(WHITE_SPACE)) != "")
+    surplus = F.replace(F.coalesce("_ragged", F.lit("")), F.lit(delimiter), F.lit(""))
+    blank = ~F.coalesce(filled, F.lit(False)) & (F.trim(surplus, F.lit(WHITE_SPACE + '"')) == "")
+    return rows.select(blank.alias("blank"), F.col("_ragged").isNotNull().alias("ragged")).agg(
         F.count_if(~F.col("blank")).alias("row_count"),
         F.count_if("blank").alias("blank_count"),
-        F.count_if(~F.col("blank") & (F.col("cells") != width)).alias("ragged_count"),
+        F.count_if(~F.col("blank") & F.col("ragged")).alias("ragged_count"),
     )

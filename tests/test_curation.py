@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from boardlake.functions import files as ff
 from boardlake.functions.documents import document_diff, flatten
-from boardlake.functions.text_order import text_position
 from boardlake.operators import curation as op
 from boardlake.operators import inspections as ins
 from boardlake.sources import labelled_files as lf
@@ -71,13 +70,6 @@ def test_most_frequent_tie_takes_smallest(spark):
     assert [r["is_most_frequent"] for r in got] == [True, False, False]
 
 
-def test_text_position_follows_text_order(spark):
-    words = ["item-9", "item-10", "item-a", "item-", "item-é", "item-10x"]
-    df = text_frame(spark, [(w,) for w in words], ["w"])
-    got = [r["w"] for r in df.withColumn("p", text_position(df, "w")).orderBy("p", "w").collect()]
-    assert got == [r["w"] for r in df.orderBy("w").collect()]
-
-
 def test_delimiter_detection(spark, tmp_path):
     assert lf.detect_delimiter("a;b;c\n1;2;3") == ";"
     with pytest.raises(ValueError):
@@ -90,6 +82,39 @@ def test_delimiter_detection(spark, tmp_path):
         lf.read_csv(spark, str(tmp_path / "y.csv"))
 
 
+def test_csv_records(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,note\n1,"x\ny"\n , \n2\n3,a,b\n')
+    rows = lf.read_csv(spark, str(tmp_path / "q.csv")).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [("1", "x\ny"), ("2", ""), ("3", "a")]
+    (tmp_path / "s.csv").write_text('1,"x\ny"\n,\n2\n3,a,b\n')
+    assert tuple(lf.csv_shape(spark, str(tmp_path / "s.csv"), ",", 2).first()) == (3, 1, 2)
+    names = [f"column_{i:04d}" for i in range(1000)]
+    (tmp_path / "w.csv").write_text(",".join(names) + "\n" + ",".join(map(str, range(1000))) + "\n")
+    wide = lf.read_csv(spark, str(tmp_path / "w.csv"))
+    assert wide.columns == names and wide.first()["column_0999"] == "999"
+    (tmp_path / "b.csv").write_bytes(b"id,n\n1,\xff\n")
+    with pytest.raises(ValueError):
+        lf.read_csv(spark, str(tmp_path / "b.csv"))
+
+
+def test_jpeg_frames():
+    frame = b"\xff\xc2" + (17).to_bytes(2, "big") + b"\x08" + (5).to_bytes(2, "big") + (9).to_bytes(2, "big") + bytes(10)
+    comment = b"\xff\xfe" + (4).to_bytes(2, "big") + b"hi"
+    assert ff._frame_size(b"\xff\xd8" + comment + b"\xff\xff" + frame) == (9, 5)
+    assert ff._frame_size(b"\xff\xd8" + b"\xff" * 200 + frame[1:]) == (9, 5)
+    assert ff._frame_size(b"\xff\xd8" + comment + frame[:8]) is None
+    assert ff._frame_size(b"\xff\xd8\xff\xda" + frame) is None and ff._frame_size(b"") is None
+
+
+def test_tree_scan_keeps_files_without_category(spark, tmp_path):
+    for path in ("boards/a.PNG", "boards/ok/b.Jpg", "boards/.x/c.png"):
+        file = tmp_path / path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(b"x")
+    got = lf.scan_tree(spark, f"file:{tmp_path}", ["png", "jpg"]).orderBy("filename").collect()
+    assert [(r["category"], r["filename"]) for r in got] == [(None, "a.PNG"), ("ok", "b.Jpg")]
+
+
 def test_tree_scan_leaves_out_hidden_and_reserved(spark, tmp_path):
     for path in ("boards/ok/a.png", "boards/ok/.hidden.png", "boards/ng/b.png", "boards/artifacts/c.png", "boards/ok/d.txt"):
         file = tmp_path / path
@@ -110,7 +135,7 @@ def test_tampered_file_is_reported(spark):
 def test_running_limit_on_a_large_source(spark):
     df = spark.range(100).select("id", F.lit("s").alias("source"), F.lit(10).alias("size"))
     for hot in (1000, 7):
-        got = op.running_limit(df, ["source"], ["id"], F.col("id"), F.col("size"), 555, 1000, hot_rows=hot).groupBy("state").count().collect()
+        got = op.running_limit(df, ["source"], ["id"], F.col("size"), 555, 1000, hot_rows=hot).groupBy("state").count().collect()
         assert {r["state"]: r["count"] for r in got} == {"accepted": 55, "byte-limit-exceeded": 1, "skipped": 44}
 
 
@@ -126,7 +151,7 @@ def test_document_diff_reports_shallowest_path(spark):
 def test_evidence_pages_keep_everything(spark):
     results = spark.createDataFrame([(1,), (2,)], "id bigint")
     evidence = spark.range(25).select(F.lit(1).cast("bigint").alias("result_id"), F.col("id").alias("at"))
-    pages = ins.evidence_pages(results, evidence, ["at"], F.col("at"), F.col("at"), rows_per_page=10).orderBy("id", "page").collect()
+    pages = ins.evidence_pages(results, evidence, ["at"], F.col("at"), rows_per_page=10).orderBy("id", "page").collect()
     assert [(r["id"], r["page"], len(r["items"] or [])) for r in pages] == [(1, 0, 10), (1, 1, 10), (1, 2, 5), (2, None, 0)]
     assert sum((r["items"] for r in pages[:3]), []) == list(range(25))
 

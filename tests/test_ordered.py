@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from boardlake.operators.ordered import large_keys, ordered
+from boardlake.functions.digests import tree_digest
+from boardlake.operators.ordered import chunks_needed, ordered, with_chunks
 from boardlake.operators.quantiles import exact_quantiles
 
 
@@ -31,21 +32,46 @@ def options(rows):
 @pytest.mark.parametrize("keys", [["k"], []])
 @pytest.mark.parametrize("hot_rows", [10, 50, 200])
 def test_chunked_equals_plain(rows, keys, hot_rows):
-    assert large_keys(rows, keys, F.col("id"), hot_rows) is not None
-    plain = ordered(rows, keys, ["id"], F.col("id"), **options(rows)).toPandas().sort_values("id", ignore_index=True)
-    split = ordered(rows, keys, ["id"], F.col("id"), hot_rows=hot_rows, **options(rows)).toPandas().sort_values("id", ignore_index=True)
+    assert chunks_needed(rows, keys, hot_rows) > 1
+    plain = ordered(rows, keys, ["id"], **options(rows)).toPandas().sort_values("id", ignore_index=True)
+    split = ordered(rows, keys, ["id"], hot_rows=hot_rows, **options(rows)).toPandas().sort_values("id", ignore_index=True)
     pd.testing.assert_frame_equal(plain, split[plain.columns], check_dtype=False)
 
 
 def test_chunked_with_ties_in_position(rows):
-    plain = ordered(rows, ["k"], ["v", "id"], F.col("v"), number="n", running={"r": F.col("id")}).toPandas()
-    split = ordered(rows, ["k"], ["v", "id"], F.col("v"), number="n", running={"r": F.col("id")}, hot_rows=20).toPandas()
+    plain = ordered(rows, ["k"], ["v", "id"], number="n", running={"r": F.col("id")}).toPandas()
+    split = ordered(rows, ["k"], ["v", "id"], number="n", running={"r": F.col("id")}, hot_rows=20).toPandas()
     a, b = plain.sort_values("id", ignore_index=True), split.sort_values("id", ignore_index=True)
     pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
 
 
+def test_chunks_are_cut_by_rank(spark):
+    """One far value and many hot keys; no chunk is far above its share."""
+    far = spark.range(20_000).select(F.lit(1).alias("k"), F.when(F.col("id") == 0, 10**15).otherwise(F.col("id")).alias("id"))
+    sizes = with_chunks(far, ["k"], ["id"], 20).groupBy("_chunk").count().toPandas()["count"]
+    assert sizes.max() <= 2000 and len(sizes) == 20
+    keys = spark.range(60_000).select((F.col("id") % 20_000).alias("k"), "id")
+    assert with_chunks(keys, ["k"], ["id"], 16).groupBy("_chunk").count().toPandas()["count"].max() <= 7500
+    many = keys.where("k < 2000")
+    plain = ordered(many, ["k"], ["id"], number="n").toPandas().sort_values("id", ignore_index=True)
+    split = ordered(many, ["k"], ["id"], number="n", hot_rows=2).toPandas().sort_values("id", ignore_index=True)
+    pd.testing.assert_frame_equal(plain, split[plain.columns], check_dtype=False)
+
+
+def test_equal_positions(spark):
+    same = spark.range(500).select(F.lit(1).alias("k"), F.lit(5).alias("v"), "id")
+    split = ordered(same, ["k"], ["v", "id"], number="n", hot_rows=50).toPandas()
+    assert (split["n"] == split["id"] + 1).all()
+
+
+def test_digest_past_its_levels(spark):
+    rows = spark.range(20).select((F.col("id") % 2).alias("k"), "id")
+    got = tree_digest(rows, ["k"], ["id"], F.col("id").cast("string"), fanout=2).collect()
+    assert sorted((r["k"], r["item_count"]) for r in got) == [(0, 10), (1, 10)]
+
+
 def test_no_large_key_gives_one_window(rows):
-    plan = ordered(rows, ["k"], ["id"], F.col("id"), number="n")._jdf.queryExecution().executedPlan().toString()
+    plan = ordered(rows, ["k"], ["id"], number="n")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Window ") == 1
 
 

@@ -63,10 +63,10 @@ def test_transitions_and_progress(spark):
         [(1, 1, "queued"), (1, 2, "preparing-dataset"), (1, 3, "failed"), (1, 4, "queued"), (2, 1, "queued"), (2, 2, "training")],
         "job int, seq int, status string",
     )
-    got = lin.check_transitions(log, "job", "status", ["seq"], F.col("seq")).orderBy("job", "seq").collect()
+    got = lin.check_transitions(log, "job", "status", ["seq"]).orderBy("job", "seq").collect()
     assert [r["issue"] for r in got] == ["ok", "ok", "ok", "after-terminal", "ok", "illegal-transition"]
     steps = spark.createDataFrame([(1, 1, "training", 5), (1, 2, "training", 5), (1, 3, "validating", 9), (1, 4, "other", 1)], "job int, seq int, status string, units int")
-    got = lin.check_progress(steps, "job", "status", "units", ["seq"], F.col("seq")).orderBy("seq").collect()
+    got = lin.check_progress(steps, "job", "status", "units", ["seq"]).orderBy("seq").collect()
     assert [r["issue"] for r in got] == ["ok", "units-not-growing", "stage-regressed", "unsupported-stage"]
 
 
@@ -122,10 +122,10 @@ def test_parameters_and_registry(spark):
 
 
 def test_side_input_is_verified(spark):
-    path, digest, count = ext.store_artifact(spark.range(5), "side", "id", F.col("id"))
-    assert ext.load_artifact(spark, path, "id", F.col("id"), digest, count).count() == 5
+    path, digest, count = ext.store_artifact(spark.range(5), "side", "id")
+    assert ext.load_artifact(spark, path, "id", digest, count).count() == 5
     with pytest.raises(ValueError):
-        ext.load_artifact(spark, path, "id", F.col("id"), "0" * 64, count)
+        ext.load_artifact(spark, path, "id", "0" * 64, count)
 
 
 def test_schemas_and_export(spark, tmp_path):
