@@ -51,7 +51,7 @@ def test_canonical_json_keeps_python_numbers(spark):
 
 def test_tree_digest_depends_on_order_and_all_rows(spark):
     df = spark.range(25).withColumn("k", F.col("id") % 2)
-    args = (["k"], ["id"], F.col("id"), F.col("id").cast("string"))
+    args = (["k"], ["id"], F.col("id").cast("string"))
     base = {r["k"]: r["digest"] for r in tree_digest(df, *args, fanout=3, levels=4).collect()}
     hot = {r["k"]: r["digest"] for r in tree_digest(df, *args, fanout=3, levels=4, hot_rows=4).collect()}
     less = {r["k"]: r["digest"] for r in tree_digest(df.where("id <> 11"), *args, fanout=3, levels=4).collect()}
