@@ -25,12 +25,22 @@ def canonical_flat_json(values: Column) -> Column:
     return F.to_json(in_order, {"ignoreNullFields": "false"})
 
 
+def _canonical(text: str | None, ascii_only: bool) -> str | None:
+    if text is None:
+        return None
+    return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only)
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
-    """Canonical JSON of nested documents: sorted keys at every depth, no spaces."""
-    return text.map(
-        lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"))
-    )
+    """Canonical JSON of nested documents: sorted keys at every depth, no spaces, ASCII only."""
+    return text.map(lambda t: _canonical(t, ascii_only=True))
+
+
+@F.pandas_udf(T.StringType())
+def canonical_settings_json(text: pd.Series) -> pd.Series:
+    """The same with letters beyond ASCII as they are, the form of settings checksums."""
+    return text.map(lambda t: _canonical(t, ascii_only=False))
 
 
 def tree_digest(

@@ -9,8 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def _text(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+class NoDocument:
+    """What stands for a document that a row does not have; equal to itself in every process."""
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, NoDocument)
+
+    __hash__ = object.__hash__
+
+
+NO_DOCUMENT = NoDocument()
+
+
+def _text(value) -> str | None:
+    return None if value == NO_DOCUMENT else json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
 def _children(value, path: str) -> dict:
@@ -47,7 +59,10 @@ def _differences(submitted, current) -> Iterator[tuple]:
 
 
 def _rows(df: DataFrame, keys: list[str], texts: list[str], columns: list[str], found: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """Rows that a small function finds in the documents of each input row; no shuffle."""
+    """Rows that a small function finds in the documents of each input row; no shuffle.
+
+    A null text is no document, unlike the text ``null``.
+    """
     chosen = df.select(*keys, *texts)
     types = dict(chosen.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"{c} string" for c in columns])
@@ -55,7 +70,7 @@ def _rows(df: DataFrame, keys: list[str], texts: list[str], columns: list[str],
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, at = [], []
-            documents = zip(*[[json.loads(x) for x in batch[t]] for t in texts])
+            documents = zip(*[[NO_DOCUMENT if x is None else json.loads(x) for x in batch[t]] for t in texts])
             for i, row in enumerate(documents):
                 before = len(out)
                 out.extend(found(*row))
@@ -63,7 +78,7 @@ def _rows(df: DataFrame, keys: list[str], texts: list[str], columns: list[str],
             result = batch[keys].iloc[at].reset_index(drop=True)
             yield result.assign(**{c: [r[j] for r in out] for j, c in enumerate(columns)})
 
-    return chosen.dropna(subset=texts).mapInPandas(search, schema)
+    return chosen.dropna(how="all", subset=texts).mapInPandas(search, schema)
 
 
 def flatten(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -72,5 +87,8 @@ def flatten(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def document_diff(df: DataFrame, key: str, submitted: str, current: str) -> DataFrame:
-    """One row per differing path between the two documents of each row."""
+    """One row per differing path between the two documents of each row.
+
+    Where only one of them is there, it is reported whole at ``$``.
+    """
     return _rows(df, [key], [submitted, current], ["path", "submitted", "current"], _differences)

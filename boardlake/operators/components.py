@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import checkpoint
+
 
 def match_components(observed: DataFrame, golden: DataFrame, tolerance: float) -> DataFrame:
-    """Mutually nearest pairs of the same board type and kind within ``tolerance``.
+    """One-to-one pairs of the same board type and kind within ``tolerance``, nearest first.
 
     Candidates meet through grid cells as wide as the tolerance: a golden component is
     placed in its cell and the eight around it, so a detection joins only what can be in
-    reach. Best partners are taken by min aggregates on both sides (in place of an optimal
-    assignment), ties by reference and detection number.
+    reach. Every round takes the mutually best pairs by min aggregates on both sides, ties by
+    reference and detection number, and goes on with candidates that touch none of them,
+    until no candidate is left. Each round checkpoints its pairs and candidates.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(float(tolerance))).cast("bigint")
     spread = F.array(*[F.lit(d) for d in (-1, 0, 1)])
@@ -29,6 +31,19 @@ def match_components(observed: DataFrame, golden: DataFrame, tolerance: float) -
     near = o.join(g, ["board_type", "kind", "_cx", "_cy"]).withColumn("distance", F.round(F.sqrt(dx * dx + dy * dy), 9)).where(
         F.col("distance") <= tolerance
     )
+    board = ["board_id", "board_type", "kind"]
+    left = checkpoint(near.select(*board, "det_id", "ref", "distance", "x", "y", "gx", "gy", "angle", "g_angle"))
+    matched = None
+    while not left.isEmpty():
+        pairs = checkpoint(_mutual_best(left))
+        matched = pairs if matched is None else checkpoint(matched.unionByName(pairs))
+        for side in ("det_id", "ref"):
+            left = left.join(pairs.select(*board, side), [*board, side], "left_anti")
+        left = checkpoint(left)
+    return _mutual_best(left) if matched is None else matched
+
+
+def _mutual_best(near: DataFrame) -> DataFrame:
     own = ["board_id", "board_type", "kind", "det_id"]
     # Each detection keeps its best reference; each reference then its best such detection.
     by_detection = near.groupBy(*own).agg(
@@ -40,19 +55,22 @@ def match_components(observed: DataFrame, golden: DataFrame, tolerance: float) -
     return by_detection.join(by_reference, ["board_id", "board_type", "kind", "ref", "det_id"])
 
 
-def expected_components(observed: DataFrame, golden: DataFrame) -> DataFrame:
-    """Golden components each board should have; a board has the type of its detections."""
-    boards = observed.select("board_id", "board_type").distinct()
-    return boards.join(golden.select("board_type", "ref", "kind"), "board_type")
+def board_list(observed: DataFrame, boards: DataFrame | None = None) -> DataFrame:
+    """Boards with their type; without a list of ``boards``, those that have a detection."""
+    return (observed if boards is None else boards).select("board_id", "board_type").distinct()
 
 
-def component_report(observed: DataFrame, golden: DataFrame, tolerance: float) -> DataFrame:
-    """Matched, missing and extra components; the matches are kept in a checkpoint."""
-    from ..sources.storage import checkpoint
+def expected_components(observed: DataFrame, golden: DataFrame, boards: DataFrame | None = None) -> DataFrame:
+    """Golden components each board should have, boards without any detection too if listed."""
+    boards = board_list(observed, boards)
+    return boards.join(golden.select("board_type", "ref", "kind"), "board_type")
+
 
+def component_report(observed: DataFrame, golden: DataFrame, tolerance: float, boards: DataFrame | None = None) -> DataFrame:
+    """Matched, missing and extra components."""
     matched = match_components(observed, golden, tolerance)
-    found = checkpoint(matched.select("board_id", "board_type", "kind", "ref", "det_id")).withColumn("state", F.lit("matched"))
-    missing = expected_components(observed, golden).join(
+    found = matched.select("board_id", "board_type", "kind", "ref", "det_id").withColumn("state", F.lit("matched"))
+    missing = expected_components(observed, golden, boards).join(
         found, ["board_id", "board_type", "kind", "ref"], "left_anti"
     ).select("board_id", "board_type", "kind", "ref", F.lit(-1).cast("bigint").alias("det_id"), F.lit("missing").alias("state"))
     extra = observed.join(found, ["board_id", "board_type", "kind", "det_id"], "left_anti").select(
@@ -61,12 +79,12 @@ def component_report(observed: DataFrame, golden: DataFrame, tolerance: float) -
     return found.unionByName(missing).unionByName(extra)
 
 
-def count_deviation(observed: DataFrame, golden: DataFrame) -> DataFrame:
+def count_deviation(observed: DataFrame, golden: DataFrame, boards: DataFrame | None = None) -> DataFrame:
     """Absolute difference of component counts per board and kind."""
     have = observed.groupBy("board_id", "board_type", "kind").agg(F.count(F.lit(1)).alias("n"))
     want = golden.groupBy("board_type", "kind").agg(F.count(F.lit(1)).alias("g"))
-    boards = observed.select("board_id", "board_type").distinct().join(want, "board_type")
-    return boards.join(have, ["board_id", "board_type", "kind"], "full_outer").select(
+    expected = board_list(observed, boards).join(want, "board_type")
+    return expected.join(have, ["board_id", "board_type", "kind"], "full_outer").select(
         "board_id", "board_type", "kind",
         F.abs(F.coalesce("n", F.lit(0)) - F.coalesce("g", F.lit(0))).alias("deviation"),
     )

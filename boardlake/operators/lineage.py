@@ -43,7 +43,7 @@ def export_lines(versions: DataFrame) -> DataFrame:
     line = F.to_json(F.struct(
         F.col("created_by").alias("createdBy"), F.col("document_id").alias("documentId"), F.col("id").alias("id"),
         F.col("revision").alias("revision"),
-    ))
+    ), {"ignoreNullFields": "false"})
     return versions.select("document_id", "revision", "id", line.alias("line"))
 
 

@@ -14,9 +14,11 @@ o AS MATERIALIZED (SELECT * FROM v_component_obs), g AS MATERIALIZED (SELECT * F
 near AS MATERIALIZED (SELECT o.board_id, o.board_type, o.kind, o.det_id, g.ref, o.x, o.y, g.x AS gx, g.y AS gy, o.angle, g.angle AS g_angle,
    round(sqrt((o.x - g.x) * (o.x - g.x) + (o.y - g.y) * (o.y - g.y)), 9) AS distance FROM o JOIN g ON g.board_type = o.board_type AND g.kind = o.kind
    AND abs(o.x - g.x) <= {TOLERANCE + 1} WHERE round(sqrt((o.x - g.x) * (o.x - g.x) + (o.y - g.y) * (o.y - g.y)), 9) <= {TOLERANCE}),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY board_id, board_type, kind, det_id ORDER BY distance, ref) AS rd,
-   row_number() OVER (PARTITION BY board_id, board_type, kind, ref ORDER BY distance, det_id) AS rr FROM near),
-matched AS MATERIALIZED (SELECT * FROM ranked WHERE rd = 1 AND rr = 1)
+taken AS (SELECT board_id, board_type, kind, list_reduce(list([{{'ref': ref, 'det_id': det_id}}] ORDER BY distance, ref, det_id), lambda acc, p:
+   CASE WHEN len(list_filter(acc, lambda q: q.ref = p[1].ref OR q.det_id = p[1].det_id)) > 0 THEN acc ELSE list_concat(acc, p) END) AS pairs
+  FROM near GROUP BY board_id, board_type, kind),
+matched AS MATERIALIZED (SELECT near.* FROM near JOIN (SELECT board_id, board_type, kind, unnest(pairs, recursive := true) FROM taken)
+  USING (board_id, board_type, kind, ref, det_id))
 """
 REPORT = """
 report AS MATERIALIZED (SELECT board_id, board_type, kind, ref, det_id, 'matched' AS state FROM matched

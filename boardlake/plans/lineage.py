@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import audit, scoring
-from ..functions.digests import canonical_flat_json, canonical_json, tree_digest_sql
+from ..functions.digests import canonical_flat_json, canonical_json, canonical_settings_json, tree_digest_sql
 from ..functions.documents import document_diff, flatten
 from ..operators import lineage as op
 from ..sources.storage import fresh_path
@@ -327,15 +327,27 @@ def progress_check(t):
 
 @query("g02_canonical_json_nested", """
 SELECT event_id, j AS canonical, sha256(j) AS checksum_sha256 FROM (SELECT event_id,
- '{"props":' || replace(props, ' ', '') || ',"tags":[' || user_id ||
-   CASE WHEN value > 100 THEN '' ELSE ',"x"' END || '],"type":"' || event_type || '"}' AS j FROM events WHERE event_type NOT IN ('purchase', 'error'))
+ '{' || CASE WHEN event_type = 'purchase' THEN '"extra":{"a":1,"b":[1,2]},' ELSE '' END || '"props":' || replace(props, ' ', '') || ',"tags":[' || user_id ||
+   CASE WHEN value > 100 THEN '' ELSE ',"x"' END || '],"type":"' || CASE WHEN event_type = 'error' THEN 'ERR' ELSE event_type END || '"}' AS j FROM events)
 """)
 def canonical_json_nested(t):
-    pair = settings_pair(t).join(t.events.where("event_type NOT IN ('purchase', 'error')").select("event_id"), "event_id")
-    done = pair.select("event_id", canonical_json("submitted").alias("canonical"))
+    done = settings_pair(t).select("event_id", canonical_json("submitted").alias("canonical"))
     return done.withColumn("checksum_sha256", F.sha2("canonical", 256))
 
 
+@query("g02_settings_checksum", """
+SELECT id, j AS canonical, sha256(j) AS checksum_sha256 FROM (SELECT o_orderkey AS id,
+ '{"größe":{"é":' || o_custkey || ',"ü":null},"名":"' || o_orderpriority || '"}' AS j FROM orders)
+""")
+def settings_checksum(t):
+    """Nested documents with letters beyond ASCII, in the form of settings checksums."""
+    text = F.concat(
+        F.lit('{"名": "'), "o_orderpriority", F.lit('", "größe": {"ü": null, "é": '), F.col("o_custkey").cast("string"), F.lit("}}"),
+    )
+    done = t.orders.select(F.col("o_orderkey").alias("id"), canonical_settings_json(text).alias("canonical"))
+    return done.withColumn("checksum_sha256", F.sha2(F.col("canonical").cast("binary"), 256))
+
+
 @query("g02_canonical_json_flat", """
 SELECT o_orderkey, j AS canonical, sha256(j) AS checksum_sha256 FROM (SELECT o_orderkey,
  '{"customer":"' || o_custkey || '","owner":' || CASE WHEN o_orderstatus = 'P' THEN 'null' ELSE '"' || o_orderpriority || '"' END

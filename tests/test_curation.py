@@ -162,3 +162,9 @@ def test_yield_rounds_half_up_and_empty_is_zero(spark):
     assert ins.kpis(spark.createDataFrame(rows, schema)).first()["first_pass_yield"] == 6.3
     empty = ins.kpis(spark.createDataFrame([], schema)).first()
     assert (empty["total_inspections"], empty["first_pass_yield"], empty["total_defects"]) == (0, 0.0, 0)
+
+
+def test_document_diff_with_a_document_on_one_side_only(spark):
+    df = spark.createDataFrame([(1, '{"a": 1}', None), (2, None, "[1]"), (3, None, None), (4, "null", None)], "id int, s string, c string")
+    got = {tuple(r) for r in document_diff(df, "id", "s", "c").collect()}
+    assert got == {(1, "$", '{"a":1}', None), (2, "$", None, "[1]"), (4, "$", "null", None)}

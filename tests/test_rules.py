@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardlake.functions import audit, scoring
-from boardlake.functions.digests import canonical_json, tree_digest
+from boardlake.functions.digests import canonical_json, canonical_settings_json, tree_digest
 from boardlake.operators import components as comp
 from boardlake.operators import extensions as ext
 from boardlake.operators import lineage as lin
@@ -156,3 +156,39 @@ def test_shared_folder_comes_from_the_session():
     assert storage.fresh_path(_Session("yarn", "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
     with pytest.raises(RuntimeError):
         storage.shared_folder(_Session("yarn"))
+
+
+def test_settings_form_keeps_letters_beyond_ascii(spark):
+    df = spark.createDataFrame([('{"b": {"z": null, "a": "\u00e9"}, "a": 1}',), (None,)], "t string")
+    got = [tuple(r) for r in df.select(canonical_settings_json("t"), canonical_json("t")).collect()]
+    assert got == [('{"a":1,"b":{"a":"\u00e9","z":null}}', '{"a":1,"b":{"a":"\\u00e9","z":null}}'), (None, None)]
+
+
+def test_matching_goes_on_after_the_best_pairs(spark):
+    golden = spark.createDataFrame([(1, "r", 1, 0.0, 0.0, 0.0), (1, "r", 2, 3.0, 0.0, 0.0)], "board_type int, kind string, ref int, x double, y double, angle double")
+    seen = spark.createDataFrame(
+        [(7, 1, "r", 10, 1.4, 0.0, 0.0), (7, 1, "r", 11, -2.0, 0.0, 0.0), (7, 1, "r", 12, 1.7, 0.0, 0.0), (8, 1, "r", 13, 1.0, 0.0, 0.0), (8, 1, "r", 14, 0.5, 0.0, 0.0)],
+        "board_id int, board_type int, kind string, det_id long, x double, y double, angle double",
+    )
+    got = {(r["board_id"], r["ref"], r["det_id"]) for r in comp.match_components(seen, golden, 5.0).collect()}
+    # Detection 13 comes second at its nearest reference and takes the other one.
+    assert got == {(7, 1, 10), (7, 2, 12), (8, 1, 14), (8, 2, 13)}
+    none = comp.match_components(seen.where("false"), golden, 5.0)
+    assert none.count() == 0
+
+
+def test_listed_boards_without_detections_miss_everything(spark):
+    golden = spark.createDataFrame([(1, "r", 1, 0.0, 0.0, 0.0)], "board_type int, kind string, ref int, x double, y double, angle double")
+    seen = spark.createDataFrame([(7, 1, "r", 10, 1.0, 0.0, 0.0)], "board_id int, board_type int, kind string, det_id long, x double, y double, angle double")
+    boards = spark.createDataFrame([(7, 1), (8, 1)], "board_id int, board_type int")
+    got = {(r["board_id"], r["state"]) for r in comp.component_report(seen, golden, 5.0, boards).collect()}
+    assert got == {(7, "matched"), (8, "missing")}
+    counts = {(r["board_id"], r["deviation"]) for r in comp.count_deviation(seen, golden, boards).collect()}
+    assert counts == {(7, 0), (8, 1)}
+
+
+def test_export_lines_keep_a_null_creator(spark):
+    from boardlake.operators.lineage import export_lines
+
+    df = spark.createDataFrame([(1, 2, 3, None)], "document_id long, revision int, id long, created_by long")
+    assert export_lines(df).first()["line"] == '{"createdBy":null,"documentId":1,"id":3,"revision":2}'
