@@ -6,7 +6,8 @@ row per task. The lines to drop come back per document as a set of hashes, and e
 filtered and put together again in line order where it stands; texts are shuffled once.
 
 Defined cases: a null or empty text is one empty line. Rows with the same doc_id count as one
-document; rows without doc_id count together as one document that comes after all others.
+document; rows without doc_id count together as one document that comes after all others, but
+their sets are made per text, so that such rows, however many, are never gathered.
 Extra columns pass through.
 """
 
@@ -29,33 +30,38 @@ def key_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("second"), key).alias("b"))
 
 
+def _part() -> Column:
+    """Null but for rows without doc_id, which it tells apart by their text."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(text_of()))
+
+
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = 2) -> DataFrame:
-    """One row per document (``_doc``) with the ``_drop`` set of line hashes it must lose.
+    """One row per document (``_doc``, ``_part``) with the ``_drop`` set of line hashes it must lose.
 
     ``min_documents`` above two needs the count of distinct documents instead of the two ends.
     """
-    lines = docs.select(F.col("doc_id").alias("_doc"), F.explode(F.split(text_of(), "\n")).alias("_line"))
-    keys = lines.select("_doc", line_key(F.col("_line")).alias("_key")).where(F.length("_key") >= min_chars)
-    hashed = keys.select("_doc", key_hash(F.col("_key")).alias("_h")).select("_doc", "_h.a", "_h.b")
+    lines = docs.select(F.col("doc_id").alias("_doc"), _part().alias("_part"), F.explode(F.split(text_of(), "\n")).alias("_line"))
+    keys = lines.select("_doc", "_part", line_key(F.col("_line")).alias("_key")).where(F.length("_key") >= min_chars)
+    hashed = keys.select("_doc", "_part", key_hash(F.col("_key")).alias("_h")).select("_doc", "_part", "_h.a", "_h.b")
     if min_documents == 2:
         ends = hashed.groupBy("a", "b").agg(
             F.min("_doc").alias("_first"), F.max("_doc").alias("_last"), F.bool_or(F.col("_doc").isNull()).alias("_none")
         )
         many = ends.where((F.col("_first") != F.col("_last")) | (F.col("_none") & F.col("_first").isNotNull()))
     else:
-        once = hashed.distinct()
+        once = hashed.select("_doc", "a", "b").distinct()
         many = once.groupBy("a", "b").agg(F.min("_doc").alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_documents)
     # Written once: the join below then shuffles both sides, and a hot hash can be split.
     many = saved(many.select("a", "b", "_first"), "shared-lines")
     found = hashed.join(many, ["a", "b"]).where(~F.col("_doc").eqNullSafe(F.col("_first")))
-    return found.groupBy("_doc").agg(F.collect_set(F.struct("a", "b")).alias("_drop"))
+    return found.groupBy("_doc", "_part").agg(F.collect_set(F.struct("a", "b")).alias("_drop"))
 
 
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = 2) -> DataFrame:
     """``_row``, ``n_lines``, ``n_dropped`` and ``_kept``, the text that stays."""
-    drop = shared_lines(docs, min_chars, min_documents).withColumnRenamed("_doc", "_doc2")
-    rows = packed(docs, F.col("doc_id").alias("_doc"), text_of().alias("_text"))
-    joined = rows.join(drop, F.col("_doc").eqNullSafe(F.col("_doc2")), "left")
+    drop = shared_lines(docs, min_chars, min_documents).withColumnsRenamed({"_doc": "_doc2", "_part": "_part2"})
+    rows = packed(docs, F.col("doc_id").alias("_doc"), _part().alias("_part"), text_of().alias("_text"))
+    joined = rows.join(drop, F.col("_doc").eqNullSafe(F.col("_doc2")) & F.col("_part").eqNullSafe(F.col("_part2")), "left")
 
     def stays(names: Column):
         def keep(line: Column) -> Column:

@@ -218,6 +218,14 @@ def test_shared_lines_stay_in_the_first_document(spark):
     assert got == {2: "own", 1: "a shared line\na shared line", None: "x", 3: "short\nother words here"}
 
 
+def test_rows_without_id_are_one_document_but_never_gathered(spark):
+    rows = [(None, f"a shared line\nonly without id\nrow number {i % 20}") for i in range(40)] + [(5, "a shared line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.cleaned(docs).collect())
+    assert got == Counter([(None, f"only without id\nrow number {i % 20}") for i in range(40)] + [(5, "a shared line")])
+    assert line_dedup.shared_lines(docs).agg(F.max(F.size("_drop"))).first()[0] == 1 and line_dedup.shared_lines(docs).count() == 20
+
+
 # 7
 def test_weak_parts_need_their_complement(spark):
     far = "z " * 300
