@@ -101,11 +101,13 @@ def with_measures(docs: DataFrame, names: list[str] | None = None, text: str = "
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
     """The rules, those first that reject most of the rows still left per unit of cost.
 
-    The sample takes about ``sample_rows`` rows by a hash of the text. What reaches the driver
+    The sample takes about ``sample_rows`` rows by a hash of id and text, so that copies with
+    ids of their own are not taken or left together. What reaches the driver
     is one row per set of failed rules, so no more than the sample has rows.
     """
     every = max(1, count_rows(docs) // sample_rows)
-    sample = docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(every)) == 0)
+    key = [F.col(c) for c in ("doc_id", text) if c in docs.columns]
+    sample = docs.where(F.pmod(F.xxhash64(*key), F.lit(every)) == 0)
     needs = sorted({n for r in rules for n in r.needs})
     rows = with_measures(sample, needs, text)
     measures = {n: F.col(n) for n in needs}
