@@ -13,7 +13,11 @@
    have. Two members share no more than the smaller of their parts in the core, and what they share
    outside it. So a pair either meets in a short list outside the core, or both have enough
    of the core for a link by itself. The latter are compared with one pivot of theirs after the
-   other until few are left open, and those with all. The bounds are exact, no link is lost.
+   other until few pairs are left, and those are asked. A member linked with a pivot is closed
+   toward the others linked with it, and goes on to be asked, in a group of its own, against the
+   members closed before that may still be linked with it: Jaccard distance is a metric, so their
+   distances to each pivot differ by no more than a link has; and two that are connected by links
+   found so far need no test. The bounds are exact, no link is lost.
 4. Pairs pass the union-sketch estimate, then 100 * intersection >= 85 * union on full sets.
 5. Links are contracted to components, round by round, in tables.
 
@@ -47,6 +51,10 @@ PERCENT = 85
 LIST_ROWS = 64
 SENT_ROWS = 500_000
 PAIRS_AT_ONCE = 2_000_000
+#: Groups within groups that take pivots; what is left of deeper ones is asked pair by pair.
+TURNS_DEEP = 4
+#: Of members whose core alone may do: in each group, those ``open`` are asked against those ``other``.
+HEAVY = ("group", "node", "central", "open", "other", "far", "label")
 
 
 def small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
@@ -158,13 +166,26 @@ def _possible(shared: Column, percent: int) -> Column:
 
 
 def _against(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``rows`` (``pivot``, ``node``, ...) with the set size ``n``, ``both``, ``linked`` and ``more``, what the pivot lacks."""
+    """``rows`` (``pivot``, ``node``, ...) with the set size ``n``, ``both``, ``linked``, the distance ``apart`` and ``more``, what the pivot lacks."""
     held = sets.select(F.col("node").alias("_n"), "set")
     theirs = sets.select(F.col("node").alias("_p"), F.col("set").alias("pset"))
     found = rows.join(held, F.col("node") == F.col("_n")).join(theirs, F.col("pivot") == F.col("_p"))
     more, n = F.array_except("set", "pset"), F.size("set")
     found = found.select(*rows.columns, n.alias("n"), F.size("pset").alias("_pn"), more.alias("more")).withColumn("both", F.col("n") - F.size("more"))
-    return found.withColumn("linked", 100 * F.col("both") >= percent * (F.col("n") + F.col("_pn") - F.col("both"))).drop("_pn")
+    union = F.col("n") + F.col("_pn") - F.col("both")
+    return found.withColumn("linked", 100 * F.col("both") >= percent * union).withColumn("apart", 1 - F.col("both") / union).drop("_pn")
+
+
+def _unconnected(heavy: DataFrame, labels: DataFrame) -> DataFrame:
+    """``heavy`` without the members that are connected with all that their group still asks for."""
+    named = heavy.drop("label").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
+    named = saved(named.withColumn("label", F.coalesce("label", "node")), "near-labelled")
+    sides = [F.when(F.col(side), F.col("label")) for side in ("open", "other")]
+    ends = named.groupBy(F.col("group").alias("_g")).agg(*[f(side).alias(f"_{f.__name__}{k}") for k, side in enumerate(sides) for f in (F.min, F.max)])
+    rows = named.join(small(checkpoint(ends.where("_min0 is not null and _min1 is not null"))), F.col("group") == F.col("_g"))
+    known = [(F.col(f"_min{k}") == F.col(f"_max{k}")) & (F.col("label") == F.col(f"_min{k}")) for k in (0, 1)]
+    rows = rows.select(*[(F.col(c) & ~known[1]).alias(c) if c == "open" else (F.col(c) & ~known[0]).alias(c) if c == "other" else F.col(c) for c in HEAVY])
+    return saved(rows.where("open or other"), "near-heavy")
 
 
 def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent: int = PERCENT, limit: int = LIST_ROWS, at_once: int = PAIRS_AT_ONCE) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -185,30 +206,50 @@ def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent
     in_core = (F.col("_c") > limit).cast("long")
     sums = held.groupBy("pivot", "node").agg(F.sum(in_core).alias("core"), F.sum(1 - in_core).alias("others"))
     low = rows.groupBy("pivot").agg(F.min("n").alias("low"))
-    facts = rows.select("pivot", "node", "central", "n", "both", "linked").join(sums, ["pivot", "node"], "left").join(low, "pivot")
+    facts = rows.select("pivot", "node", "central", "n", "both", "linked", "apart").join(sums, ["pivot", "node"], "left").join(low, "pivot")
     core = F.col("both") + F.coalesce("core", F.lit(0))
     facts = saved(facts.select(
-        F.col("pivot").alias("_fp"), F.col("node").alias("_fn"), "central", (~F.col("linked")).alias("open"),
+        F.col("pivot").alias("_fp"), F.col("node").alias("_fn"), "central", "apart", (~F.col("linked")).alias("open"),
         _possible(core, percent).alias("heavy"), _possible(core + F.coalesce("others", F.lit(0)), percent).alias("alive"),
     ), "near-facts")
     short = held.where(F.col("_c") <= limit).join(facts.where("alive"), (F.col("pivot") == F.col("_fp")) & (F.col("node") == F.col("_fn")))
     pairs = [list_pairs(short.select("pivot", "value", "node", "open"), ["pivot", "value"], "open")]
     # Members whose core alone may do: pivots in turn, until the pairs left are few.
-    heavy = facts.where("heavy").select(F.col("_fp").alias("group"), F.col("_fn").alias("node"), "central", "open")
+    reach = 1 - percent / 100 + 1e-9
+    heavy = facts.where("heavy").select(
+        F.col("_fp").cast("string").alias("group"), F.col("_fn").alias("node"), "central", "open", F.lit(True).alias("other"),
+        F.array("apart").alias("far"), F.col("_fn").alias("label"),
+    )
+    labels = None
     while True:
-        left = heavy.groupBy("group").agg((F.sum(F.col("open").cast("long")) * F.count(F.lit(1))).alias("n")).agg(F.sum("n")).first()[0] or 0
-        if left <= at_once:
+        asks = F.sum(F.col("open").cast("long")) * F.sum(F.col("other").cast("long"))
+        sizes = checkpoint(heavy.groupBy(F.col("group").alias("_s")).agg(asks.alias("_asks")).where("_asks > 0"))
+        may_turn = F.size(F.split("group", "/")) <= TURNS_DEEP
+        if (sizes.withColumnRenamed("_s", "group").where(may_turn).agg(F.sum("_asks")).first()[0] or 0) <= at_once:
             break
+        heavy = saved(heavy.join(small(sizes), F.col("group") == F.col("_s"), "left_semi"), "near-asking")
+        kept, heavy = heavy.where(~may_turn), heavy.where(may_turn)
         turn = saved(heavy.where("open").groupBy(F.col("group").alias("_g")).agg(F.max_by("node", F.struct("central", "node")).alias("pivot")), "near-turn")
-        asked = heavy.join(turn, F.col("group") == F.col("_g")).select("group", "node", "central", "open", "pivot")
-        asked = saved(_against(asked, sets, percent).drop("more"), "near-asked")
-        links.append(asked.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        still = F.col("open") & ~F.col("linked") & (F.col("node") != F.col("pivot"))
-        rest = heavy.join(turn, F.col("group") == F.col("_g"), "left_anti").unionByName(asked.select("group", "node", "central", still.alias("open")))
-        heavy = saved(rest, "near-heavy")
-    asking = heavy.where("open").select(F.col("group").alias("_g"), F.col("node").alias("x"))
-    crossed = heavy.join(saved(asking, "near-open"), F.col("group") == F.col("_g")).where(F.col("node") != F.col("x"))
-    pairs.append(crossed.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct())
+        asked = heavy.join(turn, F.col("group") == F.col("_g")).select(*HEAVY, "pivot")
+        asked = saved(_against(asked, sets, percent).drop("more").withColumn("far", F.concat("far", F.array("apart"))), "near-asked")
+        found = asked.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).where("a <> b")
+        links.append(found)
+        not_pivot = F.col("node") != F.col("pivot")
+        rest = asked.where(not_pivot).withColumn("open", F.col("open") & ~F.col("linked"))
+        # Those closed now have not met the members closed before that are not linked with this pivot;
+        # the next pivot is one of the latter.
+        before = F.col("other") & ~F.col("open") & ~F.col("linked") & (F.col("apart") <= 2 * reach)
+        apart = asked.where(not_pivot & ((F.col("open") & F.col("linked")) | before)).withColumn("other", F.col("open")).withColumn("open", ~F.col("other"))
+        apart = apart.withColumn("group", F.concat_ws("/", "group", F.col("pivot").cast("string")))
+        known = [x.select("a", "b") for x in ([labels.select(F.col("node").alias("a"), F.col("label").alias("b"))] if labels is not None else links[:1])]
+        labels = components(reduce(DataFrame.unionByName, [*known, found]))
+        heavy = _unconnected(rest.select(*HEAVY).unionByName(apart.select(*HEAVY)).unionByName(kept), labels)
+    asking = heavy.where("open").select(F.col("group").alias("_g"), F.col("node").alias("x"), F.col("far").alias("_far"), F.col("label").alias("_label"))
+    crossed = heavy.where("other").join(saved(asking, "near-open"), F.col("group") == F.col("_g")).where(F.col("node") != F.col("x"))
+    if labels is not None:
+        crossed = crossed.where(F.col("label") != F.col("_label"))
+    near = ~F.exists(F.zip_with("far", "_far", lambda p, q: F.abs(p - q)), lambda gap: gap > reach)
+    pairs.append(crossed.where(near).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct())
     return links, pairs
 
 

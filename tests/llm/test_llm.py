@@ -1,5 +1,6 @@
 """The training-data operators: edge cases, brute force, round trips and accuracy."""
 
+import functools
 import hashlib
 import os
 import random
@@ -161,6 +162,56 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == set(label)
 
 
+def brute_force(docs, percent=85):
+    """The smallest doc_id of every document's component, from all pairs."""
+    sets = {}
+    for i, text in docs:
+        w = text.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and label[a] != label[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    low, high = sorted((label[a], label[b]))
+                    label = {i: low if x == high else x for i, x in label.items()}
+    return label
+
+
+def chain_like(rng, states, copies, words=120):
+    """Families whose next states alone are similar; each state has many variants."""
+    docs, base = [], [f"t{i}" for i in range(words)]
+    for state in range(states):
+        for _ in range(copies):
+            text = list(base)
+            for k in range(state):
+                text[10 * k + 4 : 10 * k + 8] = [f"s{k}x{j}" for j in range(4)]
+            text[-1] = f"own{rng.randrange(10**9)}"
+            docs.append(" ".join(text))
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize(("states", "pivots"), [(6, (1, 4)), (9, (1, 7, 4))])
+def test_links_between_members_of_different_pivots(spark, states, pivots):
+    prepare(spark)
+    docs = chain_like(random.Random(states), states, 70)
+    want = brute_force(docs)
+    numbers, sets = {}, []
+    for i, text in docs:
+        w = text.split()
+        sets.append((i, sorted(numbers.setdefault(tuple(w[k : k + 5]), len(numbers)) for k in range(len(w) - 4))))
+    frame = spark.createDataFrame(sets, "node long, set array<long>").cache()
+    lists = frame.select(F.lit(0).cast("long").alias("value"), "node")
+    state = {i: len({w.split("x")[0] for w in text.split() if w[0] == "s"}) for i, text in docs}
+    central = spark.createDataFrame([(i, 9 - pivots.index(k) if k in pivots else 0) for i, k in state.items()], "node long, central long")
+    links, pairs = near_dups.around_pivots(lists, frame, central, at_once=20)
+    found = functools.reduce(lambda x, y: x.unionByName(y), [*links, *[near_dups.confirmed(p, frame) for p in pairs]])
+    got = {r["node"]: r["label"] for r in near_dups.components(found).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
 # 4
 @data
 def test_languages_of_held_out_documents(spark):
