@@ -33,6 +33,7 @@ all. Ties cannot matter: components do not depend on order. Only doc_id and text
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -57,6 +58,16 @@ TURNS_DEEP = 4
 HEAVY = ("group", "node", "central", "open", "other", "far", "label")
 
 
+def least_shared(percent: int, k: int = K) -> int:
+    """Sketch values shared at this similarity but for a probability below 1e-5; no more than ``LEAST_SHARED``."""
+    p, below = percent / 100, 0.0
+    for n in range(LEAST_SHARED):
+        below += math.comb(k, n) * p**n * (1 - p) ** (k - n)
+        if below >= 1e-5:
+            return n
+    return LEAST_SHARED
+
+
 def small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     """``df``, a key or two per row, sent to every task if its rows are counted and few."""
     return F.broadcast(df) if count_rows(df) <= rows else df
@@ -113,11 +124,11 @@ def least_overlap(size: Column, k: int = K, percent: int = PERCENT, least: int =
     return F.when(size * 100 <= k * percent, exact).otherwise(F.least(exact, F.lit(least)))
 
 
-def index(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+def index(shared: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Inverted lists over each class's rarest values, and the centrality of each class."""
     entry = F.array_sort(F.collect_list(F.struct("df", "value")))
     held = shared.groupBy("node", "size").agg(entry.alias("held"), F.sum("df").alias("central"))
-    room = F.col("size") - least_overlap(F.col("size")) + 1 - (F.col("size") - F.size("held"))
+    room = F.col("size") - least_overlap(F.col("size"), percent=percent, least=least_shared(percent)) + 1 - (F.col("size") - F.size("held"))
     held = saved(held.withColumn("held", F.slice("held", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).where(F.size("held") > 0), "near-index")
     return held.select("node", F.explode("held.value").alias("value")), held.select("node", "central")
 
@@ -275,21 +286,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, ``th``, n_shingles and component_id of every row."""
     rows = saved(sketches(docs), "near-sketches")
     first = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
     classes = saved(first.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    lists, central = index(shared_values(classes))
+    lists, central = index(shared_values(classes), percent)
     short, long = _sized(lists, ["value"], LIST_ROWS)
-    pairs = saved(plausible(list_pairs(short, ["value"]), classes), "near-pairs")
+    pairs = saved(plausible(list_pairs(short, ["value"]), classes, least=least_shared(percent)), "near-pairs")
     long = checkpoint(long.select("value", "node"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
     sets = saved(full_sets(docs, checkpoint(classes.join(wanted, "node").select("node", "digest", "first"))), "near-sets")
-    links, more = around_pivots(long, sets, central)
-    found = confirmed(pairs, sets)
+    links, more = around_pivots(long, sets, central, percent)
+    found = confirmed(pairs, sets, percent)
     for extra in more:
-        found = found.unionByName(confirmed(plausible(extra, classes), sets))
+        found = found.unionByName(confirmed(plausible(extra, classes, least=least_shared(percent)), sets, percent))
     labels = components(reduce(DataFrame.unionByName, links, found))
     named = classes.select("digest", "first", "node").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     named = checkpoint(named.select("digest", "first", F.coalesce("label", "node").alias("label")))
@@ -303,12 +314,12 @@ def stays() -> Column:
     return F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group left, the one with the smallest doc_id.
 
     Rows that repeat both doc_id and text stay once.
     """
-    found = saved(groups(docs), "near-groups")
+    found = saved(groups(docs, percent), "near-groups")
     key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th")]
     gone = checkpoint(found.where(~stays()).select(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).distinct())
     on = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from boardlake.llm import line_dedup, mixing, near_dups, pieces, quality
 from boardlake.llm.common import prepare, saved
 
+#: Similarity from which documents are near-duplicates here; the query op3 has its own, 85.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
@@ -25,7 +28,7 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return near_dups.one_of_each(docs)
+    return near_dups.one_of_each(docs, NEAR_PERCENT)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,6 +212,18 @@ def test_links_between_members_of_different_pivots(spark, states, pivots):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_pipeline_takes_copies_from_four_fifths(spark):
+    import corpus_pipeline
+
+    words = [f"t{i}" for i in range(104)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:50], "x", *words[51:60], "v", *words[61:]]))]
+    assert set(brute_force(docs).values()) == {1, 2} and set(brute_force(docs, 80).values()) == {1}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()] == [1]
+    assert near_dups.least_shared(85) == 40 and near_dups.least_shared(80) == 36
+    assert near_dups.one_of_each(frame).count() == 2
+
+
 # 4
 @data
 def test_languages_of_held_out_documents(spark):
