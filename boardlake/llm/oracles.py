@@ -1,6 +1,8 @@
 """SQL twins of the operators' queries, for DuckDB."""
 
 from .mixing import BLOCK_ROWS, CYCLE, SEED
+from .resampling import BUCKETS, DRAWN_PERCENT, LEAST_WORDS
+from .resampling import SEED as DRAW_SEED
 from .reputation import MAX_BAD, SECOND_LEVEL, Z
 from .secrets import ACCESS, ASSIGN, ENDPOINT, HEX, IDENT, SCOPE, VALUE
 
@@ -202,7 +204,85 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM m
 """
 
+#: The 256 values of the byte-wise CRC-32, and the CRC of a text column ``h`` in hex.
+_CRC_TABLE = "SELECT list(list_reduce(list_concat([i], range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY i) AS tab FROM range(256) t(i)"
+
+
+def _crc(h: str) -> str:
+    each = f"list_transform(range(length({h}) // 2), lambda i: cast('0x' || {h}[2 * i + 1:2 * i + 2] AS bigint))"
+    return f"xor(list_reduce(list_concat([4294967295], {each}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+RESAMPLING = f"""
+WITH crc AS ({_CRC_TABLE}),
+texts AS (SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+w AS (SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+f AS (SELECT side, doc_id, unnest(w) AS f FROM w),
+b AS (SELECT f, {_crc('h')} % {BUCKETS} AS b FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)), crc),
+n AS (SELECT b, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN b USING (f) GROUP BY b),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM n),
+gain AS (
+  SELECT b, floor(1000.0::double * ln((n.t + 1)::double * (total.s + {BUCKETS})::double / ((n.s + 1)::double * (total.t + {BUCKETS})::double)))::bigint AS g FROM n, total
+),
+weight AS (SELECT doc_id, sum(g) AS weight FROM f JOIN b USING (f) JOIN gain USING (b) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, cast(len(w) AS bigint) AS n_features, cast(coalesce(weight, 0) AS bigint) AS weight,
+    cast(coalesce(weight, 0) AS bigint) + floor(-1000.0::double * ln(-ln((cast('0x' || sha256('{DRAW_SEED}:' || doc_id)[1:8] AS bigint)::double + 0.5::double) / 4294967296.0::double)))::bigint AS score
+  FROM w LEFT JOIN weight USING (doc_id) WHERE side = 0
+),
+may AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= {LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {DRAWN_PERCENT} * n // 100 THEN place END AS rank FROM scored LEFT JOIN may USING (doc_id)
+"""
+
+
+def _levels(name: str, levels: int) -> str:
+    """CTEs of a forest's levels above ``{name}0`` (grp, slot, node, n) and of the runs on each."""
+    out = []
+    for k in range(1, levels + 1):
+        out.append(f"{name}r{k} AS MATERIALIZED (SELECT grp, slot // 3 AS run, list(node ORDER BY slot) AS nodes, any_value(n) AS n FROM {name}{k - 1} GROUP BY grp, slot // 3)")
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT grp, run AS slot, CASE WHEN n > 1 THEN sha256(array_to_string(nodes, '')) ELSE nodes[1] END AS node, (n + 2) // 3 AS n FROM {name}r{k})")
+    return ",\n".join(out)
+
+
+def _paths(name: str, runs: str, levels: int, start: str) -> str:
+    """CTEs that fold ``start`` (grp, slot, proof, fold, ...) along the runs."""
+    out = [f"{name}0 AS ({start})"]
+    for k in range(1, levels + 1):
+        left, right = "array_to_string(nodes[1:slot % 3], '')", "array_to_string(nodes[slot % 3 + 2:], '')"
+        out.append(f"""{name}{k} AS (
+  SELECT p.* REPLACE (slot // 3 AS slot, CASE WHEN r.n > 1 THEN proof || {left} || {right} ELSE proof END AS proof,
+    CASE WHEN r.n > 1 THEN sha256({left} || fold || {right}) ELSE fold END AS fold)
+  FROM {name}{k - 1} p JOIN {runs}r{k} r ON r.grp = p.grp AND r.run = p.slot // 3)""")
+    return ",\n".join(out)
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+_DEEP, _TOP = 11, 6
+MANIFEST = f"""
+WITH crc AS ({_CRC_TABLE}),
+leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('s' || source, '') AS grp, source, {_leaf('text')} AS leaf,
+    CASE WHEN {_crc('h')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS fold
+  FROM (SELECT *, hex(encode(doc_id::varchar)) AS h FROM documents), crc
+),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+),
+a0 AS MATERIALIZED (SELECT grp, slot, leaf AS node, n FROM placed),
+{_levels('a', _DEEP)},
+sub AS MATERIALIZED (SELECT grp, node, row_number() OVER (ORDER BY grp) - 1 AS nth, count(*) OVER () AS n FROM a{_DEEP}),
+b0 AS MATERIALIZED (SELECT 0 AS grp, nth AS slot, node, n FROM sub),
+{_levels('b', _TOP)},
+{_paths('p', 'a', _DEEP, "SELECT doc_id, grp, leaf, slot, '' AS proof, fold FROM placed")},
+{_paths('q', 'b', _TOP, f"SELECT doc_id, 0 AS grp, leaf, sub.node AS subroot, nth AS slot, proof, fold FROM p{_DEEP} JOIN sub USING (grp)")}
+SELECT doc_id, leaf, subroot, b{_TOP}.node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = b{_TOP}.node AS verified FROM q{_TOP}, b{_TOP}
+"""
+
 SQL: dict[str, str] = {
     "op1_source_mix": MIX, "op3_near_duplicates": NEAR, "op6_line_dedup": LINES, "op7_secrets": SECRETS, "op8_warc": WARC,
-    "op9_url_reputation": REPUTATION, "op10_quality": QUALITY,
+    "op9_url_reputation": REPUTATION, "op10_quality": QUALITY, "op12_merkle_manifest": MANIFEST, "op13_importance_resampling": RESAMPLING,
 }

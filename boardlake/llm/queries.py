@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, mixing, near_dups, neighbours, pieces, quality, reputation, secrets, warc
+from . import language, line_dedup, manifest, mixing, near_dups, neighbours, pieces, quality, reputation, resampling, secrets, toxicity, warc
 from .common import prepare
 from .oracles import SQL  # noqa: F401
 
@@ -98,3 +98,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), rejected.isNull().alias("kept"),
     )
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = toxicity.training_rows(docs.where(~language.held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, toxicity.fit(training))
+    apart = language.held_out(F.col("_row.doc_id")).alias("held_out")
+    return found.select("_row.doc_id", apart, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), tamper=True)
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
