@@ -7,11 +7,12 @@ is (noisy-or), with a small leak for labels that no sentence explains:
     P(toxic) = 1 - (1 - leak) * product of (1 - p) over the sentences
 
 Features are lower-cased words and their runs of four and five letters, borders included, so
-inflected forms of a known word count too. Those most associated with the label over all labelled
-documents (log-likelihood ratio) are the vocabulary. Weights, bias and leak follow the gradient of the
-documents' likelihood, over all labelled documents: tasks add up gradients of their documents, one
-number per weight reaches the driver per step. The documents come as a table of known features
-per sentence, so texts are not read again.
+inflected forms of a known word count too. How often a feature is in a word of a toxic or of a clean document
+is counted over all labelled documents, each word of a document once; the features most associated with
+toxic ones (log-likelihood ratio) are the vocabulary. A text is searched for all of them in one pass (Aho-Corasick).
+Weights, which are never negative (no word makes a sentence harmless), bias and leak follow the gradient of the documents' likelihood, over all labelled documents: tasks add up
+gradients of their documents, one number per weight reaches the driver per step. The documents come as a table
+of known features per sentence, so texts are not read again.
 
 A document's score is P(toxic). The sentences with a probability of at least ``LEAST`` are
 located by start and end in code points.
@@ -27,54 +28,52 @@ are not looked at. Ties between features at the end of the vocabulary go to the
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed, saved
 from .near_dups import small
 
-VOCABULARY = 4096
+VOCABULARY = 16_384
 #: Log-likelihood ratio a feature needs; chance reaches it about once in 10^4 features, which the ridge keeps small.
 LEAST_RATIO = 15.0
 STEPS = 40
 RATE = 0.3
 RIDGE = 1.0
 LEAST = 0.5
-HELD_FEATURES = 500_000
-HELD_WORDS = 200_000
-TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
+HELD_WORDS = 500_000
+ENDS = ".!?\n"
 SHORT, LONG = 4, 5
+_tables: list[np.ndarray] = []
 
 
-def word_features(word: str) -> list[str]:
-    """The word within its borders and its runs of letters."""
-    whole = f"<{word}>"
-    runs = {whole[i : i + k] for k in (SHORT, LONG) for i in range(len(whole) - k + 1)}
-    return sorted(runs | {whole})
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: what a letter becomes in lower case (a space for anything else), and whether it ends a sentence."""
+    if not _tables:
+        small = np.full(0x110000, 32, np.uint32)
+        for c in range(0x110000):
+            if chr(c).isalpha():
+                low = chr(c).lower()
+                small[c] = ord(low) if len(low) == 1 else c
+        ends = np.zeros(0x110000, bool)
+        ends[[ord(c) for c in ENDS]] = True
+        _tables.extend([small, ends])
+    return _tables[0], _tables[1]
 
 
-def sentences(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
-    """Start, end and lower-cased words of each sentence that has words, in code points."""
-    start, end, words = 0, 0, []
-    for m in TOKEN.finditer(text or ""):
-        token = m.group()
-        if token[0] in ".!?\n":
-            if words:
-                yield start, end, words
-                words = []
-        else:
-            if not words:
-                start = m.start()
-            end = m.end()
-            words.append(token.lower())
-    if words:
-        yield start, end, words
+def plain(text: str | None) -> tuple[str, np.ndarray, np.ndarray]:
+    """The text with letters in lower case and spaces for the rest, one space around it; where it is a
+    letter, and where sentences end. Positions are those of the text plus one."""
+    small, ends = _letters()
+    points = np.frombuffer(f" {text or ''} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = small[points]
+    return found.tobytes().decode("utf-32-le", "surrogatepass"), found != 32, np.flatnonzero(ends[points])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -83,47 +82,63 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(small(known), F.col("doc_id") == F.col("_l")).select(F.col("text").cast("string").alias("text"), "toxic")
 
 
-def feature_counts(training: DataFrame) -> DataFrame:
-    """``feature`` and the documents of either label that hold it, over all of them; each task sends sums."""
+def word_counts(training: DataFrame) -> DataFrame:
+    """``word`` and the documents of either label that hold it, over all of them; each task sends sums."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list[int]] = {}
+        held: tuple[dict[str, int], dict[str, int]] = ({}, {})
 
-        def frame() -> pd.DataFrame:
-            out = pd.DataFrame({"feature": list(held), "clean": [v[0] for v in held.values()], "toxic": [v[1] for v in held.values()]})
-            held.clear()
-            return out
+        def frames() -> Iterator[pd.DataFrame]:
+            for toxic, counts in enumerate(held):
+                if counts:
+                    yield pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "n": list(counts.values()), "toxic": bool(toxic)})
+                    counts.clear()
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                words = {w for _, _, found in sentences(text) for w in found}
-                for feature in {f for w in words for f in word_features(w)}:
-                    held.setdefault(feature, [0, 0])[1 if toxic else 0] += 1
-                if len(held) > HELD_FEATURES:
-                    yield frame()
-        if held:
-            yield frame()
+                counts = held[1 if toxic else 0]
+                for word in set(plain(text)[0].split()):
+                    counts[word] = counts.get(word, 0) + 1
+                if len(held[0]) + len(held[1]) > HELD_WORDS:
+                    yield from frames()
+        yield from frames()
 
-    return training.mapInPandas(rows, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = training.mapInPandas(rows, "word string, n long, toxic boolean")
+    sums = [F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(name) for t, name in ((False, "clean"), (True, "toxic"))]
+    return found.groupBy("word").agg(*sums)
+
+
+def word_features(word: Column) -> Column:
+    """The word within spaces and its runs of letters, each once."""
+    whole = F.concat(F.lit(" "), word, F.lit(" "))
+    size = F.length(whole)
+
+    def runs(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1)))
+        return F.filter(F.transform(starts, lambda i: F.substring(whole, i, F.lit(k))), lambda run: F.length(run) == k)
+
+    return F.array_union(F.array_union(runs(SHORT), runs(LONG)), F.array(whole))
 
 
 def vocabulary(training: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The ``size`` features most associated with the label."""
-    n = {r["toxic"]: r["n"] for r in training.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    clean, toxic = n.get(False, 0), n.get(True, 0)
+    """The ``size`` features most associated with toxic documents."""
+    words = saved(word_counts(training), "toxicity-words")
+    total = words.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    clean, toxic = total
     if not clean or not toxic:
         return []
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    counts = words.select(F.explode(word_features(F.col("word"))).alias("feature"), "clean", "toxic").groupBy("feature").agg(
+        F.sum("clean").cast("double").alias("clean"), F.sum("toxic").cast("double").alias("toxic"))
+    a, b = F.col("toxic"), F.col("clean")
     share = (a + b) / float(clean + toxic)
 
-    def cell(seen, expected):
+    def cell(seen: Column, expected: Column) -> Column:
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
-    def side(seen, rows):
-        return cell(seen, rows * share) + cell(F.lit(float(rows)) - seen, rows * (1 - share))
+    def side(seen: Column, pairs: int) -> Column:
+        return cell(seen, pairs * share) + cell(F.lit(float(pairs)) - seen, pairs * (1 - share))
 
-    ratio = 2 * (side(a, toxic) + side(b, clean))
-    kept = feature_counts(training).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    kept = counts.withColumn("ratio", 2 * (side(a, toxic) + side(b, clean))).where((F.col("ratio") >= LEAST_RATIO) & (a * float(clean) > b * float(toxic)))
     return [r["feature"] for r in kept.orderBy(F.desc("ratio"), "feature").limit(size).select("feature").collect()]
 
 
@@ -135,37 +150,52 @@ class Model:
     weights: np.ndarray
     bias: float = -6.0
     leak: float = -6.0
-    _words: dict[str, tuple] = field(default_factory=dict, repr=False)
+    _automaton: ahocorasick.Automaton | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_words": {}}
-
-    def known(self, word: str) -> tuple:
-        """Numbers of the word's features in the vocabulary."""
-        found = self._words.get(word)
-        if found is None:
-            found = tuple(self.index[f] for f in word_features(word) if f in self.index)
-            if len(word) <= 64:
-                if len(self._words) >= HELD_WORDS:
-                    self._words.clear()
-                self._words[word] = found
-        return found
+        return {**self.__dict__, "_automaton": None}
+
+    def known(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known features in a plain text, and the position of a letter of each."""
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for feature, k in self.index.items():
+                self._automaton.add_word(feature, (k, len(feature) - 2))
+            self._automaton.make_automaton()
+        if not self.index:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # A feature's second character is never a border.
+        found = [(k, end - back) for end, (k, back) in self._automaton.iter(text)]
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    def bag(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sentences with words but without known features, then the others: which they are, their features and how many; and the letters.
+
+        A text without words is one sentence.
+        """
+        line, letter, ends = plain(text)
+        ids, at = self.known(line)
+        sentence = np.searchsorted(ends, at)
+        order = np.argsort(sentence, kind="stable")
+        which, sizes = np.unique(sentence, return_counts=True)
+        before = np.concatenate([[0], np.cumsum(letter)])
+        cuts = before[np.concatenate([[0], ends, [len(letter)]])]
+        return max(int((np.diff(cuts) > 0).sum()), 1) - len(which), which, ids[order], sizes, letter
 
     def judge(self, text: str | None, least: float = LEAST) -> tuple[float, list[dict]]:
         """The document's score, and the sentences that are toxic by themselves."""
-        plain, logs, located, none = 0, 0.0, [], True
-        for start, end, words in sentences(text):
-            none = False
-            ids = [k for w in words for k in self.known(w)]
-            if not ids:
-                plain += 1
-                continue
-            p = float(_sigmoid(self.bias + self.weights[ids].sum()))
-            logs += math.log1p(-min(p, 1 - 1e-12))
-            if p >= least:
-                located.append({"start": start, "end": end, "score": p})
-        logs += (plain + none) * math.log1p(-float(_sigmoid(self.bias))) + math.log1p(-float(_sigmoid(self.leak)))
-        return min(max(-math.expm1(logs), 0.0), 1.0), located
+        rest, which, ids, sizes, letter = self.bag(text)
+        p = _sigmoid(self.bias + np.bincount(np.repeat(np.arange(len(sizes)), sizes), self.weights[ids], len(sizes)))
+        logs = np.log1p(-np.minimum(p, 1 - 1e-12)).sum() + rest * np.log1p(-_sigmoid(self.bias)) + np.log1p(-_sigmoid(self.leak))
+        located = []
+        if (p >= least).any():
+            ends = plain(text)[2]
+            cuts = np.concatenate([[0], ends, [len(letter)]])
+            for k, score in zip(which[p >= least], p[p >= least]):
+                inside = cuts[k] + np.flatnonzero(letter[cuts[k] : cuts[k + 1]])
+                located.append({"start": int(inside[0]) - 1, "end": int(inside[-1]), "score": float(score)})
+        return float(min(max(-np.expm1(logs), 0.0), 1.0)), located
 
 
 def _sigmoid(z):
@@ -179,14 +209,13 @@ def bags(training: DataFrame, index: dict[str, int]) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
         for batch in batches:
-            plain, ids, sizes = [], [], []
+            plain_ones, ids, sizes = [], [], []
             for text in batch["text"]:
-                found = [[k for w in words for k in model.known(w)] for _, _, words in sentences(text)]
-                marked = [x for x in found if x]
-                plain.append(max(len(found), 1) - len(marked))
-                ids.append(np.array([k for x in marked for k in x], np.int32))
-                sizes.append(np.array([len(x) for x in marked], np.int32))
-            yield pd.DataFrame({"toxic": batch["toxic"], "plain": plain, "ids": pd.Series(ids, dtype=object), "sizes": pd.Series(sizes, dtype=object)})
+                rest, _, known, counts, _ = model.bag(text)
+                plain_ones.append(rest)
+                ids.append(known.astype(np.int32))
+                sizes.append(counts.astype(np.int32))
+            yield pd.DataFrame({"toxic": batch["toxic"], "plain": plain_ones, "ids": pd.Series(ids, dtype=object), "sizes": pd.Series(sizes, dtype=object)})
 
     return training.mapInPandas(rows, "toxic int, plain long, ids array<int>, sizes array<int>")
 
@@ -246,6 +275,7 @@ def fit(training: DataFrame, size: int = VOCABULARY, steps: int = STEPS, rate: f
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient * gradient
         pace = rate * (1 - step / (steps + 1)) ** 0.5
         at = at - pace * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
+        at[:width] = np.maximum(at[:width], 0.0)
     return Model(index, at[:width], float(at[width]), float(at[width + 1]))
 
 
