@@ -43,6 +43,8 @@ from .near_dups import small
 VOCABULARY = 16_384
 #: Log-likelihood ratio a feature needs; chance reaches it about once in 10^4 features, which the ridge keeps small.
 LEAST_RATIO = 15.0
+#: How many times as often a feature must occur in words of toxic documents; common letters pass any count by chance of topic.
+LEAST_LIFT = 4.0
 STEPS = 40
 RATE = 0.3
 RIDGE = 1.0
@@ -138,7 +140,7 @@ def vocabulary(training: DataFrame, size: int = VOCABULARY) -> list[str]:
     def side(seen: Column, pairs: int) -> Column:
         return cell(seen, pairs * share) + cell(F.lit(float(pairs)) - seen, pairs * (1 - share))
 
-    kept = counts.withColumn("ratio", 2 * (side(a, toxic) + side(b, clean))).where((F.col("ratio") >= LEAST_RATIO) & (a * float(clean) > b * float(toxic)))
+    kept = counts.withColumn("ratio", 2 * (side(a, toxic) + side(b, clean))).where((F.col("ratio") >= LEAST_RATIO) & (a * float(clean) >= LEAST_LIFT * b * float(toxic)))
     return [r["feature"] for r in kept.orderBy(F.desc("ratio"), "feature").limit(size).select("feature").collect()]
 
 
@@ -203,7 +205,10 @@ def _sigmoid(z):
 
 
 def bags(training: DataFrame, index: dict[str, int]) -> DataFrame:
-    """Per document its label, the sentences without known features, and the known features of the others."""
+    """Per document its label, the sentences without known features, and the known features of the others.
+
+    Documents without any known feature differ only in label and sentences, and are counted in ``n``.
+    """
     sent = training.sparkSession.sparkContext.broadcast(Model(index, np.zeros(len(index))))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +222,10 @@ def bags(training: DataFrame, index: dict[str, int]) -> DataFrame:
                 sizes.append(counts.astype(np.int32))
             yield pd.DataFrame({"toxic": batch["toxic"], "plain": plain_ones, "ids": pd.Series(ids, dtype=object), "sizes": pd.Series(sizes, dtype=object)})
 
-    return training.mapInPandas(rows, "toxic int, plain long, ids array<int>, sizes array<int>")
+    found = saved(training.mapInPandas(rows, "toxic int, plain long, ids array<int>, sizes array<int>"), "toxicity-documents")
+    empty = F.array().cast("array<int>")
+    without = found.where(F.size("ids") == 0).groupBy("toxic", "plain").agg(F.count(F.lit(1)).alias("n")).select("toxic", "plain", empty.alias("ids"), empty.alias("sizes"), "n")
+    return found.where(F.size("ids") > 0).withColumn("n", F.lit(1).cast("bigint")).unionByName(without)
 
 
 def loss_and_gradient(batch: pd.DataFrame, weights: np.ndarray, bias: float, leak: float) -> tuple[float, np.ndarray]:
@@ -231,10 +239,10 @@ def loss_and_gradient(batch: pd.DataFrame, weights: np.ndarray, bias: float, lea
     p0, q0 = _sigmoid(bias), _sigmoid(leak)
     plain = batch["plain"].to_numpy(np.float64)
     none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n) + plain * np.log1p(-p0) + np.log1p(-q0)
-    toxic = batch["toxic"].to_numpy() > 0
+    toxic, times = batch["toxic"].to_numpy() > 0, batch["n"].to_numpy(np.float64)
     some = np.maximum(-np.expm1(none), 1e-12)
-    loss = np.where(toxic, -np.log(some), -none).sum()
-    pull = np.where(toxic, -np.exp(none) / some, 1.0)
+    loss = (times * np.where(toxic, -np.log(some), -none)).sum()
+    pull = times * np.where(toxic, -np.exp(none) / some, 1.0)
     by_sentence = pull[doc] * p
     out = np.zeros(width + 2)
     out[:width] = np.bincount(ids, by_sentence[sentence], width)

@@ -42,19 +42,19 @@ def none(spark):
 # 11
 def test_gradient_is_that_of_the_noisy_or():
     rng = np.random.default_rng(4)
-    batch = pd.DataFrame({"toxic": [1, 0, 1, 0], "plain": [2, 0, 1, 40], "ids": [[0, 1, 1], [2], [], [0, 2, 1]], "sizes": [[2, 1], [1], [], [1, 2]]})
+    batch = pd.DataFrame({"toxic": [1, 0, 1, 0], "plain": [2, 0, 1, 40], "ids": [[0, 1, 1], [2], [], [0, 2, 1]], "sizes": [[2, 1], [1], [], [1, 2]], "n": [1, 1, 3, 2]})
     at = rng.normal(size=5)
 
     def brute(x):
         total = 0.0
-        for toxic, plain, ids, sizes in batch.itertuples(index=False):
+        for toxic, plain, ids, sizes, n in batch.itertuples(index=False):
             p = [1 / (1 + math.exp(-x[3]))] * plain
             k = 0
             for s in sizes:
                 p.append(1 / (1 + math.exp(-(x[3] + sum(x[j] for j in ids[k : k + s])))))
                 k += s
             clean = math.prod([1 - v for v in p]) * (1 - 1 / (1 + math.exp(-x[4])))
-            total -= math.log(1 - clean if toxic else clean)
+            total -= n * math.log(1 - clean if toxic else clean)
         return total
 
     loss, gradient = toxicity.loss_and_gradient(batch, at[:3], at[3], at[4])
