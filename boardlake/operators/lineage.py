@@ -38,26 +38,6 @@ def outbox_events(runs: DataFrame, stored_keys: DataFrame | None = None) -> Data
     return events.join(stored_keys.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
-def export_lines(versions: DataFrame) -> DataFrame:
-    """Settings versions as JSON lines with their place in the total order."""
-    line = F.to_json(F.struct(
-        F.col("created_by").alias("createdBy"), F.col("document_id").alias("documentId"), F.col("id").alias("id"),
-        F.col("revision").alias("revision"),
-    ), {"ignoreNullFields": "false"})
-    return versions.select("document_id", "revision", "id", line.alias("line"))
-
-
-def export_envelope(versions: DataFrame) -> DataFrame:
-    """Counts and one checksum over all lines in (document, revision, id) order."""
-    lines = export_lines(versions)
-    digest = tree_digest(lines, [], ["document_id", "revision", "id"], F.col("line"))
-    documents = lines.agg(F.countDistinct("document_id")).scalar()
-    return digest.select(
-        F.lit(1).alias("schema_version"), documents.alias("document_count"),
-        F.col("item_count").alias("version_count"), F.col("digest").alias("checksum_sha256"),
-    )
-
-
 def null_safe_lookup(requests: DataFrame, documents: DataFrame, identity: list[str]) -> DataFrame:
     """Left join on an identity whose parts may be null."""
     right = documents.select(*[F.col(c).alias(f"_r_{c}") if c in identity else F.col(c) for c in documents.columns])

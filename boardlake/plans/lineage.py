@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import audit, scoring
 from ..functions.digests import canonical_flat_json, canonical_json, canonical_settings_json, tree_digest_sql
 from ..functions.documents import document_diff, flatten
 from ..operators import lineage as op
+from ..operators import settings
 from ..sources.storage import fresh_path
 from .catalog import query
 from .views import TABLES
 
+EXPORTED_AT = "2026-01-01T00:00:00Z"
+
+
+def settings_sources(t):
+    """Documents, versions with their checksums, and activations."""
+    versions = t.v_stored_version.drop("l_returnflag", "l_quantity")
+    return t.v_stored_document, versions.withColumn("checksum", settings.payload_checksum(F.col("payload"))), t.v_stored_activation
+
+
+def exported(t, documents, versions, activations):
+    root = fresh_path(t.spark, "settings-export")
+    settings.write_export(documents, versions, activations, root, EXPORTED_AT)
+    return root
+
+
 @query("a04_envelope_scan", """
-SELECT 'versions' AS collection, count(*) AS row_count, count(DISTINCT document_id) AS document_count FROM v_settings_version
-UNION ALL SELECT 'activations', count(*), count(DISTINCT document_id) FROM v_settings_version WHERE revision = 1
+SELECT 'documents' AS collection, count(*) AS row_count, count(DISTINCT id) AS document_count, sum(current_revision)::bigint AS revision_sum, count(owner_user_id) AS n_texts FROM v_stored_document
+UNION ALL SELECT 'versions', count(*), count(DISTINCT document_id), sum(revision)::bigint, count(reason) FROM v_stored_version
+UNION ALL SELECT 'activations', count(*), count(DISTINCT document_id), sum(observed_target_revision)::bigint, count(completed_at) FROM v_stored_activation
 """)
 def envelope_scan(t):
-    root = fresh_path(t.spark, "settings-export")
-    versions = t.v_settings_version.select("document_id", "revision", "id")
-    both = versions.withColumn("collection", F.lit("versions")).unionByName(
-        versions.where("revision = 1").withColumn("collection", F.lit("activations"))
-    )
-    both.hint("rebalance", "collection").write.partitionBy("collection").json(root)
-    back = t.spark.read.schema("document_id bigint, revision int, id bigint, collection string").json(root)
-    return back.groupBy("collection").agg(
-        F.count(F.lit(1)).alias("row_count"), F.countDistinct("document_id").alias("document_count")
-    )
+    back = settings.read_export(t.spark, exported(t, *settings_sources(t)))
+
+    def told(name, rows, document, revision, text):
+        return rows.agg(
+            F.lit(name).alias("collection"), F.count(F.lit(1)).alias("row_count"), F.countDistinct(document).alias("document_count"),
+            F.sum(revision).alias("revision_sum"), F.count(text).alias("n_texts"),
+        )
+
+    return told("documents", back.documents, "id", "current_revision", "owner_user_id").unionByName(
+        told("versions", back.versions, "document_id", "revision", "reason")).unionByName(
+        told("activations", back.activations, "document_id", "observed_target_revision", "completed_at"))
 
 
 KEYS_SQL = """
@@ -46,17 +66,64 @@ def outbox_events(t):
     return op.outbox_events(runs, stored)
 
 
-LINE_SQL = """(SELECT document_id, revision, id, '{"createdBy":' || created_by || ',"documentId":' || document_id || ',"id":' || id ||
- ',"revision":' || revision || '}' AS line FROM v_settings_version)"""
+def _item_sql(alias: str, collection: str, **texts: str) -> str:
+    """Canonical JSON of a row in SQL; ``texts`` gives fields that are JSON or computed."""
+    out = []
+    for name, column, kind, type_ in sorted(settings.COLLECTIONS[collection]):
+        value = f"{alias}.{column}"
+        if column in texts:
+            text = texts[column]
+        elif kind == settings.TIME:
+            text = f"""'"' || strftime({value}, '%Y-%m-%dT%H:%M:%S') || '"'"""
+        elif type_ == "string":
+            text = f"""'"' || replace({value}, '"', '\\"') || '"'"""
+        else:
+            text = f"{value}::varchar"
+        out.append(f"""'"{name}":' || coalesce({text}, 'null')""")
+    return "'{' || " + " || ',' || ".join(out) + " || '}'"
+
+
+PAYLOAD_SQL = """'{"limits":{"max":' || v.l_quantity::int || ',"min":' || v.revision || '},"mode":"' || v.l_returnflag || '"}'"""
+ARTIFACT_SQL = f"""
+docs AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY scope, subject_id, document_key, owner_user_id NULLS FIRST, id) AS nth FROM v_stored_document),
+items AS MATERIALIZED (
+  SELECT 'd' AS c, nth, {_item_sql('d', 'documents')} AS item FROM docs d
+  UNION ALL SELECT 'v', row_number() OVER (ORDER BY d.nth, v.revision, v.id), {_item_sql('v', 'versions', payload=PAYLOAD_SQL, checksum=f"""'"' || sha256({PAYLOAD_SQL}) || '"'""")}
+    FROM v_stored_version v JOIN docs d ON d.id = v.document_id
+  UNION ALL SELECT 'a', row_number() OVER (ORDER BY d.nth, a.created_at, a.id), {_item_sql('a', 'activations', diagnostics="""CASE a.status WHEN 'failed' THEN '["slow",1]' ELSE '[]' END""")}
+    FROM v_stored_activation a JOIN docs d ON d.id = a.document_id),
+parts AS MATERIALIZED (SELECT (nth - 1) // {settings.PART_ITEMS} AS part, '{{"activations":[' || coalesce(string_agg(item, ',' ORDER BY nth) FILTER (c = 'a'), '')
+   || '],"documents":[' || coalesce(string_agg(item, ',' ORDER BY nth) FILTER (c = 'd'), '') || '],"exportedAt":"{EXPORTED_AT}","formatVersion":1,"part":'
+   || (nth - 1) // {settings.PART_ITEMS} || ',"versions":[' || coalesce(string_agg(item, ',' ORDER BY nth) FILTER (c = 'v'), '') || ']}}' AS line FROM items GROUP BY part)
+"""
 
 
 @query("a09_settings_export", f"""
-SELECT cast(1 AS int) AS schema_version, (SELECT count(DISTINCT document_id) FROM v_settings_version) AS document_count,
-       item_count AS version_count, digest AS checksum_sha256
-FROM ({tree_digest_sql(LINE_SQL, [], 'document_id, revision, id', 'line')})
+WITH {ARTIFACT_SQL} SELECT 'sha256' AS algorithm, 1::int AS "formatVersion", item_count AS "partCount", (SELECT count(*) FROM items WHERE c = 'd') AS "documentCount",
+  (SELECT count(*) FROM items WHERE c = 'v') AS "versionCount", (SELECT count(*) FROM items WHERE c = 'a') AS "activationCount", digest AS checksum
+FROM ({tree_digest_sql('parts', [], 'part', 'line')})
 """)
 def settings_export(t):
-    return op.export_envelope(t.v_settings_version)
+    return settings.read_export(t.spark, exported(t, *settings_sources(t))).manifest
+
+
+@query("h15_artifact_issues", f"""
+WITH {ARTIFACT_SQL.replace("v.l_quantity::int", "(v.l_quantity::int + CASE WHEN v.id % 97 = 0 THEN 1 ELSE 0 END)", 1)},
+ k AS (SELECT v.id, d.document_key || '/' || v.schema_version AS actual FROM v_stored_version v JOIN v_stored_document d ON d.id = v.document_id WHERE d.document_key = 'recipe-7' AND v.schema_version = 2)
+SELECT 'version-checksum' AS issue, 'versions' AS collection, id::varchar AS id, sha256({PAYLOAD_SQL}) AS declared, sha256({PAYLOAD_SQL.replace('v.l_quantity::int', '(v.l_quantity::int + 1)')}) AS actual
+  FROM v_stored_version v WHERE id % 97 = 0
+UNION ALL SELECT 'count', 'activations', NULL, ((SELECT count(*) FROM v_stored_activation) + 3)::varchar, (SELECT count(*) FROM v_stored_activation)::varchar
+UNION ALL SELECT 'unknown-schema', 'versions', id::varchar, NULL, actual FROM k
+""")
+def artifact_issues(t):
+    """Changed payloads, a wrong count and a schema that is not known, found in an artifact."""
+    documents, versions, activations = settings_sources(t)
+    changed = F.when(F.col("id") % 97 == 0, F.regexp_replace("payload", r'"max": \d+', F.concat(F.lit('"max": '), (F.regexp_extract("payload", r'"max": (\d+)', 1).cast("int") + 1).cast("string"))))
+    back = settings.read_export(t.spark, exported(t, documents, versions.withColumn("payload", F.coalesce(changed, "payload")), activations))
+    told = back.manifest.withColumn("activationCount", F.col("activationCount") + 3)
+    known = documents.select("document_key").distinct().withColumn("schema_version", F.explode(F.array(F.lit(1), F.lit(2))))
+    known = known.where("not (document_key = 'recipe-7' and schema_version = 2)")
+    return settings.verify_export(replace(back, manifest=told), known)
 
 
 @query("c06_exported_documents", """

@@ -67,6 +67,27 @@ FROM supplier""",
 SELECT l_orderkey AS document_id, l_linenumber AS revision,
        l_orderkey * 100 + line_no AS id, l_partkey AS created_by, l_shipdate AS created_at
 FROM v_line""",
+    "v_stored_version": """
+SELECT l_orderkey * 100 + line_no AS id, l_orderkey AS document_id, l_linenumber AS revision, cast(1 + l_linenumber % 2 AS int) AS schema_version,
+       concat(chr(123), '"mode": "', l_returnflag, '", "limits": ', chr(123), '"min": ', cast(l_linenumber AS string), ', "max": ', cast(cast(l_quantity AS int) AS string), chr(125), chr(125)) AS payload,
+       l_partkey AS created_by, CASE WHEN l_linenumber % 3 = 0 THEN concat('lô "', cast(l_suppkey AS string), '"') END AS reason,
+       CASE WHEN l_linenumber > 4 THEN l_orderkey * 100 + 1 END AS source_version_id, l_shipdate AS created_at, l_returnflag, l_quantity
+FROM v_line""",
+    "v_stored_document": """
+SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'global' WHEN 1 THEN 'station' ELSE 'user' END AS scope,
+       concat('station-', cast(o_custkey % 8 AS string)) AS subject_id, concat('recipe-', cast(o_orderkey % 25 AS string)) AS document_key,
+       CASE WHEN o_orderkey % 3 = 2 THEN o_custkey END AS owner_user_id, coalesce(last_revision, 0) AS current_revision,
+       last_version AS current_version_id, first_version AS active_version_id, o_orderdate AS created_at, o_orderdate AS updated_at
+FROM orders LEFT JOIN (
+  SELECT document_id, max(revision) AS last_revision, max(id) AS last_version, min(id) AS first_version FROM v_stored_version GROUP BY document_id) v
+  ON o_orderkey = document_id""",
+    "v_stored_activation": """
+SELECT l_orderkey * 100 + line_no AS id, l_orderkey AS document_id, l_orderkey * 100 + line_no AS requested_version_id,
+       concat('activate-', cast(l_orderkey AS string), '-', cast(line_no AS string)) AS idempotency_key, concat('r', cast(l_partkey AS string)) AS request_checksum,
+       CASE l_returnflag WHEN 'R' THEN 'failed' ELSE 'applied' END AS status, l_linenumber AS observed_target_revision,
+       CASE l_returnflag WHEN 'R' THEN '[ "slow",  1 ]' ELSE '[]' END AS diagnostics, l_suppkey AS requested_by, cast(NULL AS string) AS reason,
+       l_shipdate AS created_at, CASE WHEN l_returnflag <> 'R' THEN l_shipdate END AS completed_at
+FROM v_line WHERE l_linenumber % 2 = 1""",
     "v_model_version": """
 SELECT o_orderkey AS id, concat('model-', cast(o_custkey % 20 AS string)) AS model_name,
        row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS version,
@@ -94,14 +115,17 @@ SELECT l_orderkey AS image_id, line_no AS det_id,
        cast(l_quantity AS int) AS x, cast(l_linenumber * 7 AS int) AS y,
        cast(l_partkey % 40 + 1 AS int) AS width, cast(l_suppkey % 40 + 1 AS int) AS height
 FROM v_line""",
+    "v_board": "SELECT o_orderkey AS board_id, o_orderkey % 4 AS board_type, o_orderstatus = 'O' AS good FROM orders",
     "v_component_golden": """
-SELECT l_partkey % 50 AS board_type, l_linenumber AS ref, l_returnflag AS kind,
-       avg(l_quantity) AS x, avg(l_tax * 100) AS y, cast(0 AS double) AS angle
-FROM lineitem GROUP BY l_partkey % 50, l_linenumber, l_returnflag""",
+SELECT l_orderkey % 4 AS board_type, cast(line_no AS int) AS ref, l_returnflag AS kind, l_quantity AS x, l_tax * 600 AS y, cast(0 AS double) AS angle,
+       l_extendedprice / 2000 AS size
+FROM v_line JOIN (
+  SELECT min(l_orderkey) AS first FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) c WHERE n = 7 GROUP BY l_orderkey % 4) t
+  ON l_orderkey = t.first""",
     "v_component_obs": """
-SELECT l_orderkey AS board_id, l_partkey % 50 AS board_type, line_no AS det_id,
-       l_returnflag AS kind, l_quantity AS x, l_tax * 100 AS y,
-       cast((l_suppkey * 37) % 360 AS double) AS angle
+SELECT l_orderkey AS board_id, l_orderkey % 4 AS board_type, line_no AS det_id,
+       l_returnflag AS kind, l_quantity AS x, l_tax * 600 AS y,
+       cast((l_suppkey * 37) % 360 AS double) AS angle, l_extendedprice / 2000 AS size
 FROM v_line""",
     "v_roi": """
 SELECT e.vec_id AS image_id, q.roi_id, q.x, q.y, 4 AS width, 4 AS height

@@ -1,4 +1,7 @@
+import itertools
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,8 +190,89 @@ def test_listed_boards_without_detections_miss_everything(spark):
     assert counts == {(7, 0), (8, 1)}
 
 
-def test_export_lines_keep_a_null_creator(spark):
-    from boardlake.operators.lineage import export_lines
-
-    df = spark.createDataFrame([(1, 2, 3, None)], "document_id long, revision int, id long, created_by long")
-    assert export_lines(df).first()["line"] == '{"createdBy":null,"documentId":1,"id":3,"revision":2}'
+def _pieces(spark, golden, seen):
+    columns = "board_type int, ref int, kind string, x double, y double, angle double, size double"
+    g = spark.createDataFrame([(1, *r, 0.0, 1.0) for r in golden], columns)
+    o = spark.createDataFrame([(b, 1, d, k, x, y, 0.0, 1.0) for b, d, k, x, y in seen],
+                              "board_id int, board_type int, det_id long, kind string, x double, y double, angle double, size double")
+    return g, o
+
+
+def test_assignment_has_the_least_total_cost(spark):
+    rng = random.Random(11)
+    golden = [(r, rng.choice("ab"), rng.uniform(0, 10), rng.uniform(0, 10)) for r in range(1, 6)]
+    seen = [(b, d, rng.choice("ab"), rng.uniform(0, 10), rng.uniform(0, 10)) for b in range(60) for d in range(rng.randrange(0, 7))]
+    cost = comp.MatchCost(tolerance=6.0, kind=1.5, unmatched=5.0)
+    g, o = _pieces(spark, golden, seen)
+    got = {}
+    for r in comp.match_components(o, g, cost).collect():
+        got.setdefault(r["board_id"], {})[r["ref"]] = r["det_id"]
+    for b in range(60):
+        dets = [(d, k, x, y) for bb, d, k, x, y in seen if bb == b]
+
+        def total(pairs):
+            out = 0.0
+            for (r, gk, gx, gy), pick in zip(golden, pairs):
+                if pick is not None:
+                    d, k, x, y = pick
+                    dist = math.hypot(x - gx, y - gy)
+                    if dist > 6.0:
+                        return math.inf
+                    out += dist + 1.5 * (k != gk) - 5.0
+            return out
+
+        options = itertools.permutations([*dets, *[None] * 5], 5)
+        best = min(total(p) for p in set(options))
+        mine = got.get(b, {})
+        pairs = [next((d for d in dets if d[0] == mine.get(r)), None) for r, *_ in golden]
+        assert len(set(mine.values())) == len(mine)
+        assert total(pairs) == pytest.approx(best, abs=1e-5)
+
+
+def test_far_exchanges_are_found():
+    # Every reference wants the detection of the next one; only the last has another choice.
+    refs, dets, costs = [], [], []
+    for r in range(50):
+        refs += [r, r]
+        dets += [r, r + 1]
+        costs += [10 if r else 1000, 1]
+    pairs = comp.least_assignment(refs, dets, costs, 10_000)
+    assert pairs == [(r, r + 1) for r in range(50)]
+    refs, dets, costs = [*refs, 50], [*dets, 50], [*costs, 1]
+    assert sum(c for r, d, c in zip(refs, dets, costs) if (r, d) in comp.least_assignment(refs, dets, costs, 10_000)) == 1000 + 49 * 10 + 1
+    assert comp.least_assignment([1, 1, 2], ["a", "b", "a"], [1, 2, 2], 2) == [(1, "a")]
+
+
+def test_a_wrong_object_is_named(spark):
+    g, o = _pieces(spark, [(1, "r", 0.0, 0.0), (2, "c", 9.0, 0.0)], [(7, 10, "c", 0.5, 0.0), (7, 11, "r", 30.0, 0.0)])
+    boards = spark.createDataFrame([(7, 1), (8, 1)], "board_id int, board_type int")
+    got = {(r["board_id"], r["ref"], r["state"], r["seen_kind"]) for r in comp.component_report(o, g, comp.MatchCost(4.0, kind=1.0), boards).collect()}
+    assert got == {(7, 1, "wrong", "c"), (7, 2, "missing", None), (7, -1, "extra", "r"), (8, 1, "missing", None), (8, 2, "missing", None)}
+
+
+def test_candidates_of_a_component_are_bounded(spark):
+    g, o = _pieces(spark, [(1, "r", 0.0, 0.0), (2, "r", 1.0, 0.0)], [(7, d, "r", d / 1000, 0.0) for d in range(500)])
+    assert comp.pair_costs(o, g, comp.MatchCost(5.0)).count() == 4
+    assert {(r["ref"], r["det_id"]) for r in comp.match_components(o, g, 5.0).collect()} == {(1, 0), (2, 499)}
+
+
+def test_a_misplaced_component_breaks_its_edges(spark):
+    rng = random.Random(3)
+    golden = [(r, "r", 10.0 * (r % 3), 10.0 * (r // 3)) for r in range(9)]
+    seen = []
+    for b in range(60):
+        for r, k, x, y in golden:
+            off = 4.0 if (b, r) == (59, 4) else 0.0
+            seen.append((b, r, k, x + rng.gauss(0, 0.2) + off, y + rng.gauss(0, 0.2)))
+    g, o = _pieces(spark, golden, seen)
+    edges = comp.relation_graph(g, 12.0, 4)
+    assert {(r["ref"], r["other"]) for r in edges.collect()} == {(r, r + d) for r in range(9) for d in (1, 3) if r + d < 9 and (d == 3 or r % 3 < 2)}
+    f = comp.edge_features(comp.match_components(o, g, 5.0), edges)
+    model = comp.fit_relations(f.where("board_id < 50"))
+    assert model.agg(F.min("samples")).first()[0] == 50
+    suspects = comp.relation_suspects(comp.relation_scores(f.where("board_id >= 50"), model), 6.0)
+    assert [(r["board_id"], r["ref"]) for r in suspects.where("suspect").collect()] == [(59, 4)]
+    assert comp.relation_scores(f, comp.fit_relations(f.where("board_id < 20"))).count() == 0
+    spots = comp.fit_positions(comp.match_components(o, g, 5.0).where("board_id < 50"), 0.01)
+    far = comp.position_deviation(comp.match_components(o, g, 5.0), spots).where("deviation > 8").select("board_id", "ref").collect()
+    assert [tuple(r) for r in far] == [(59, 4)]
