@@ -111,10 +111,42 @@ def vocabulary(train: DataFrame, column: str, limit: int = 1000) -> list[str]:
     vocabulary over ``limit`` is an error, not a truncation."""
     values = train.where(F.coalesce(F.col(column), F.lit("")) != "").select(column).distinct().limit(limit + 1).collect()
     if len(values) > limit:
-        raise ValueError(f"Column {column} has more than {limit} categories; encode it by code instead.")
+        raise ValueError(f"Column {column} has more than {limit} categories; use sparse_one_hot instead.")
     return sorted(r[0] for r in values)
 
 
+def filled_category(train: DataFrame, column: str, missing: str | None) -> Column:
+    """The category with nulls and empty texts replaced as the policy says."""
+    fill = F.lit(MISSING)
+    if missing == "most-frequent":
+        best = fit_categories(train, column).where("is_most_frequent").select("value").scalar()
+        fill = F.coalesce(best, F.lit(MISSING))
+    return F.coalesce(F.nullif(F.col(column), F.lit("")), fill)
+
+
+def sparse_one_hot(df: DataFrame, train: DataFrame, categorical: list[str], missing: str | None = "most-frequent", name: str = "encoded") -> DataFrame:
+    """``df`` with the struct ``name`` of a sparse vector: ``size``, ``indices`` ascending and ``values``.
+
+    Each column takes a run of indices as long as its vocabulary, fitted on ``train`` and sorted. Codes are
+    joined from the vocabulary tables, whatever their size; no list of categories reaches the driver. A
+    category that training has not seen has no index.
+    """
+    out, indices, sizes = df, [], []
+    for k, column in enumerate(categorical):
+        base = sum(sizes[1:], sizes[0]) if sizes else F.lit(0)
+        fitted = fit_categories(train, column)
+        codes = fitted.select(F.col("value").alias(f"_value{k}"), F.col("code").alias(f"_code{k}"))
+        out = out.withColumn(f"_filled{k}", filled_category(train, column, missing))
+        out = out.join(codes, F.col(f"_filled{k}") == F.col(f"_value{k}"), "left")
+        indices.append((F.col(f"_code{k}") + base).cast("int"))
+        distinct = train.where(F.coalesce(F.col(column), F.lit("")) != "").agg(F.countDistinct(column))
+        sizes.append(distinct.scalar())
+    size = (sum(sizes[1:], sizes[0]) if sizes else F.lit(0)).cast("int")
+    found = F.array_compact(F.array(*indices)) if indices else F.array().cast("array<int>")
+    vector = F.struct(size.alias("size"), found.alias("indices"), F.array_repeat(F.lit(1.0), F.size(found)).alias("values"))
+    return out.select(*df.columns, vector.alias(name))
+
+
 def check_policy(policy: dict[str, str], numeric: list[str], categorical: list[str]) -> None:
     """Reject unknown keys or values, scaling without numbers, one-hot without categories."""
     unknown = set(policy) - set(POLICY_CHOICES)
@@ -155,11 +187,7 @@ def apply_preprocessing(
             out = out.withColumn(c, scaled)
         out = out.drop("_fit")
     for c in categorical:
-        fill = F.lit(MISSING)
-        if policy.get("categorical_missing") == "most-frequent":
-            best = fit_categories(train, c).where("is_most_frequent").select("value").scalar()
-            fill = F.coalesce(best, F.lit(MISSING))
-        filled = F.coalesce(F.nullif(F.col(c), F.lit("")), fill)
+        filled = filled_category(train, c, policy.get("categorical_missing"))
         if policy.get("categorical_encoding") == "one-hot":
             out = out.withColumn(f"_{c}", filled)
             for value in vocabulary(train, c):

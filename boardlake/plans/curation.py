@@ -214,7 +214,7 @@ SELECT count(*) FILTER (WHERE c_mktsegment <> 'BUILDING') AS row_count,
        count(*) FILTER (WHERE c_mktsegment <> 'BUILDING' AND c_acctbal < 0) AS ragged_count FROM customer
 """)
 def ragged_rows(t):
-    line = F.when(F.col("c_mktsegment") == "BUILDING", F.lit(",,")).otherwise(
+    line = F.when(F.col("c_mktsegment") == "BUILDING", F.when(F.col("c_custkey") % 2 == 0, "").otherwise(",,")).otherwise(
         F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"a,b '), "c_name", F.lit('"')),
                     F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("string")))
     )
@@ -518,6 +518,28 @@ def preprocessed_splits(t):
     return done.select("c_custkey", "split", F.round("c_acctbal", 6).alias("c_acctbal"), *[F.col(f"`{c}`") for c in hot])
 
 
+WIDE_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE cast(l_partkey AS varchar) END AS part,
+  concat('s', cast(l_suppkey AS varchar)) AS supplier, l_shipdate < TIMESTAMP '1999-01-01' AS is_train FROM lineitem"""
+PART_CODES = "SELECT part AS value, count(*) AS n, row_number() OVER (ORDER BY part) - 1 AS code FROM w WHERE is_train AND part IS NOT NULL GROUP BY part"
+SUPPLIER_CODES = "SELECT supplier AS value, row_number() OVER (ORDER BY supplier) - 1 AS code FROM w WHERE is_train GROUP BY supplier"
+
+
+@query("g19_sparse_one_hot", f"""
+WITH w AS MATERIALIZED ({WIDE_SQL}), p AS MATERIALIZED ({PART_CODES}), s AS MATERIALIZED ({SUPPLIER_CODES}),
+ best AS (SELECT min(value) AS best FROM p WHERE n = (SELECT max(n) FROM p))
+SELECT l_orderkey, l_linenumber, cast((SELECT count(*) FROM p) + (SELECT count(*) FROM s) AS int) AS size,
+  concat_ws(',', p.code, s.code + (SELECT count(*) FROM p)) AS indices
+FROM w CROSS JOIN best LEFT JOIN p ON p.value = coalesce(part, best) LEFT JOIN s ON s.value = supplier
+""")
+def wide_one_hot(t):
+    rows = t.lineitem.select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 11 != 0, F.col("l_partkey").cast("string")).alias("part"),
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("supplier"), (F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")).alias("is_train"),
+    )
+    done = op.sparse_one_hot(rows, rows.where("is_train"), ["part", "supplier"])
+    return done.select("l_orderkey", "l_linenumber", "encoded.size", F.array_join("encoded.indices", ",").alias("indices"))
+
+
 @query("h05_tabular_knn_accuracy", f"""
 WITH f AS (SELECT avg(c_acctbal) AS m1, stddev_pop(c_acctbal) AS s1, avg(c_nationkey) AS m2, stddev_pop(c_nationkey) AS s2
            FROM ({SPLIT_SQL}) WHERE split = 'train'),

@@ -168,3 +168,75 @@ def test_document_diff_with_a_document_on_one_side_only(spark):
     df = spark.createDataFrame([(1, '{"a": 1}', None), (2, None, "[1]"), (3, None, None), (4, "null", None)], "id int, s string, c string")
     got = {tuple(r) for r in document_diff(df, "id", "s", "c").collect()}
     assert got == {(1, "$", '{"a":1}', None), (2, "$", None, "[1]"), (4, "$", "null", None)}
+
+
+def test_wide_categories_are_encoded_without_a_list(spark):
+    n = 100_000
+    rows = spark.range(n).select((F.col("id") % 90_000).cast("string").alias("v"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("w"))
+    done = op.sparse_one_hot(rows, rows, ["v", "w"])
+    assert done.select("encoded.size").distinct().collect() == [(90_002,)]
+    assert done.agg(F.min(F.size("encoded.indices")), F.countDistinct(F.col("encoded.indices")[0])).first() == (2, 90_000)
+    with pytest.raises(ValueError):
+        op.vocabulary(rows, "v")
+
+
+def test_sparse_codes_follow_the_training_rows(spark):
+    train = spark.createDataFrame([("b", "x"), ("a", "y"), ("b", None)], "v string, w string")
+    df = spark.createDataFrame([(1, "a", "y"), (2, "new", "x"), (3, None, ""), (4, "b", "new")], "id int, v string, w string")
+    got = {r["id"]: (r["encoded"]["size"], r["encoded"]["indices"], r["encoded"]["values"]) for r in op.sparse_one_hot(df, train, ["v", "w"]).collect()}
+    assert got == {1: (4, [0, 3], [1.0, 1.0]), 2: (4, [2], [1.0]), 3: (4, [1, 2], [1.0, 1.0]), 4: (4, [1], [1.0])}
+    assert op.sparse_one_hot(df, train, []).select("encoded.size").first()[0] == 0
+
+
+def test_documents_by_level(spark):
+    from boardlake.functions.documents import document_diff, flatten
+
+    rows = [
+        (1, '{"a":{"b":[1,{"c":null}],"d":{}},"e":"x\\"{[","f":[]}', '{"a":{"b":[1,{"c":2},3],"d":[]},"g":1}'),
+        (2, "3", "3.0"), (3, None, '{"a":1}'), (4, "[1,2]", '{"a":1}'), (5, "null", "null"), (6, "null", None), (7, None, None),
+        (8, '{"k":1000}', '{"k":1e3}'), (9, "[[[]]]", "[[[1]]]"), (10, '{"a":"12"}', '{"a":12}'), (11, '{"z":{"y":[]}, "a":"é"}', '{"a":"é","z":{"y":[]}}'),
+    ]
+    df = spark.createDataFrame(rows, "id int, s string, c string")
+    flat = flatten(df, ["id"], "s")
+    assert {tuple(r) for r in flat.collect()} == {
+        (1, "$.a.b[0]", "1"), (1, "$.a.b[1].c", "null"), (1, "$.a.d", "{}"), (1, "$.e", '"x\\"{["'), (1, "$.f", "[]"), (2, "$", "3"),
+        (4, "$[0]", "1"), (4, "$[1]", "2"), (5, "$", "null"), (6, "$", "null"), (8, "$.k", "1000"), (9, "$[0][0]", "[]"), (10, "$.a", '"12"'),
+        (11, "$.z.y", "[]"), (11, "$.a", '"é"'),
+    }
+    found = document_diff(df, "id", "s", "c")
+    assert {tuple(r) for r in found.collect()} == {
+        (1, "$.a.b[1].c", "null", "2"), (1, "$.a.b[2]", None, "3"), (1, "$.a.d", "{}", "[]"), (1, "$.e", '"x\\"{["', None), (1, "$.f", "[]", None),
+        (1, "$.g", None, "1"), (3, "$", None, '{"a":1}'), (4, "$", "[1,2]", '{"a":1}'), (6, "$", "null", None), (9, "$[0][0][0]", None, "1"), (10, "$.a", '"12"', "12"),
+    }
+    for made in (flat, found):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
+    assert flatten(df.limit(0), ["id"], "s").count() == document_diff(df.limit(0), "id", "s", "c").count() == 0
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text("a,b\n1,2\n")
+    (folder / "b.csv").write_text("a,b\n3,4\n")
+    assert sorted(tuple(r) for r in lf.read_csv(spark, str(folder)).collect()) == [("1", "2"), ("3", "4")]
+    (folder / "c.csv").write_text("b,a\n5,6\n")
+    with pytest.raises(Exception, match="CSV"):
+        lf.read_csv(spark, str(folder)).collect()
+
+
+def test_empty_lines_are_blank_rows(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("1,2\n\n,\n   \n3,4\n")
+    assert tuple(lf.csv_shape(spark, str(tmp_path / "x.csv"), ",", 2).first()) == (2, 3, 0)
+
+
+def test_only_files_of_datasets_and_categories_are_listed(spark, tmp_path):
+    for name in ("top.png", "d/one.png", "d/cat/two.png", "d/cat/deep/three.png"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x")
+    got = {(r["dataset"], r["category"], r["filename"]) for r in lf.scan_tree(spark, str(tmp_path), ["png"]).collect()}
+    assert got == {("d", None, "one.png"), ("d", "cat", "two.png")}
+    (tmp_path / "d" / "cat" / "_x.png").write_bytes(b"x")
+    with pytest.raises(ValueError, match="_x.png"):
+        lf.scan_tree(spark, str(tmp_path), ["png"])
