@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import events as st
-from ..streaming.replay import latest_state, replay
+from ..operators import lineage as op
+from ..sources.storage import fresh_path
+from ..streaming.replay import latest_state, replay, replayed
+from ..streaming.sinks import append_new_keys
 from .catalog import query
 from .lineage import ALIAS_SQL, METHOD_CASE, PAIRS, STATE_CASE
 
-WHOLE_LOG = "60 days"
+LATENESS, LATENESS_MS, HOUR_MS = "1 hour", 3_600_000, 3_600_000
+TTL_MS = 36 * HOUR_MS
 
 
 @query("m01_audit_stream", f"""
@@ -29,7 +33,8 @@ def audit_stream(t):
 def once_per_key(t):
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", "props").alias("idempotency_key")
     first = replay(
-        t.events, lambda e: st.once_per_key(e.select("ts", key), "idempotency_key", "ts", WHOLE_LOG), "once"
+        t.events, lambda e: st.once_per_key(e.select("ts", key), "idempotency_key", "ts", LATENESS), "once",
+        sink=st.outbox_sink("idempotency_key"),
     )
     return first.select("idempotency_key")
 
@@ -38,18 +43,35 @@ def once_per_key(t):
 SELECT event_id, CASE WHEN value - 5 < 0 OR value - 5 > 60 THEN 'stale' ELSE 'accepted' END AS route FROM events
 """)
 def freshness_gate(t):
+    """Both tables read back; the route is the name of the table."""
     observed = F.expr("timestamp_micros(unix_micros(ts) - cast(round((value - 5) * 1000000) AS bigint))")
-    routed = replay(t.events, lambda e: st.freshness_route(e, F.col("ts"), observed, 60.0), "freshness")
-    return routed.select("event_id", "route")
+    folder = replayed(
+        t.events, lambda e: st.freshness_route(e, F.col("ts"), observed, 60.0).select("event_id", "route"), "freshness", sink=st.route_sink
+    )
+    tables = [t.spark.read.parquet(f"{folder}/{r}").select("event_id", F.lit(r).alias("route")) for r in ("accepted", "stale")]
+    return tables[0].unionByName(tables[1])
+
+
+@query("a08_outbox_sink", f"""
+SELECT id || ':' || channel || ':inspection-completed:v1' AS idempotency_key, result_id, channel FROM (
+ SELECT id, result_id, 'plc' AS channel FROM v_run WHERE status = 'completed' AND plc_enabled
+ UNION ALL SELECT id, result_id, 'mes' FROM v_run WHERE status = 'completed' AND mes_enabled)
+""")
+def outbox_sink(t):
+    """Three deliveries of runs that overlap, the second one twice, appended to the outbox."""
+    folder = fresh_path(t.spark, "outbox")
+    third = F.pmod(F.xxhash64("result_id"), F.lit(3))
+    for batch_id, part in ((0, third <= 1), (1, third >= 1), (1, third >= 1), (2, third != 1)):
+        append_new_keys(op.outbox_events(t.v_run.where(part)), batch_id, folder, "idempotency_key")
+    return t.spark.read.parquet(folder).select("idempotency_key", "result_id", "channel")
 
 
 def kpis(t, *window):
     result = F.when(F.col("value") < 20, "PASS").otherwise("FAIL")
-    updates = replay(
-        t.events, lambda e: st.windowed_kpis(e.withColumn("result", result), "ts", WHOLE_LOG, *window), "kpis", "update"
+    closed = replay(
+        t.events, lambda e: st.windowed_kpis(e.withColumn("result", result), "ts", LATENESS, *window), "kpis", close_after="3 DAYS"
     )
-    folded = latest_state(updates, ["window_start", "window_end"])
-    return folded.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "total", "pass_count", "fail_count")
+    return closed.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "total", "pass_count", "fail_count")
 
 
 @query("m04_tumbling_kpis", """
@@ -70,41 +92,39 @@ def sliding_kpis(t):
 
 @query("m05_activity_sessions", """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
- s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
- a AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS event_count FROM s GROUP BY user_id, n)
-SELECT user_id, session_start, session_end, event_count FROM a WHERE epoch_ms(session_end) <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)
+ s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS event_count FROM s GROUP BY user_id, n
 """)
 def activity_sessions(t):
-    closed = replay(t.events, lambda e: st.activity_sessions(e, "user_id", "ts", "6 hours", "1 hour"), "sessions")
+    closed = replay(t.events, lambda e: st.activity_sessions(e, "user_id", "ts", "6 hours", LATENESS), "sessions", close_after="3 DAYS")
     return closed.select(
         "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
         F.col("session_end").cast("timestamp_ntz").alias("session_end"), "event_count",
     )
 
 
+def job_events(e):
+    return e.select("user_id", "event_id", F.unix_millis("ts").alias("at"), F.expr(STATE_CASE).alias("status"))
+
+
 @query("m06_transition_stream", f"""
-SELECT event_id, user_id, status, CASE WHEN p IS NULL THEN 'ok' WHEN p IN ('completed', 'failed', 'cancelled') THEN 'after-terminal'
+SELECT event_id, user_id, status, CASE WHEN p IS NULL OR t_ms - p_ms > {TTL_MS} THEN 'ok' WHEN p IN ('completed', 'failed', 'cancelled') THEN 'after-terminal'
   WHEN p || '>' || status IN ({PAIRS}) THEN 'ok' ELSE 'illegal-transition' END AS issue
-FROM (SELECT event_id, user_id, {STATE_CASE} AS status, lag({STATE_CASE}) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
+FROM (SELECT event_id, user_id, {STATE_CASE} AS status, epoch_ms(ts) AS t_ms, lag({STATE_CASE}) OVER w AS p, lag(epoch_ms(ts)) OVER w AS p_ms FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id))
 """)
 def transition_stream(t):
-    status = F.expr(STATE_CASE).alias("status")
-    issues = replay(t.events, lambda e: st.transition_issues(e.select("user_id", "event_id", status)), "transitions")
+    issues = replay(t.events, job_events, "transitions", sink=st.transition_sink(TTL_MS))
     return issues.select("event_id", "user_id", "status", "issue")
 
 
 @query("m07_orphan_timeout", f"""
-WITH n AS (SELECT event_id, user_id, {STATE_CASE} AS status, epoch_ms(ts) AS t_ms, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
+WITH n AS (SELECT event_id, user_id, {STATE_CASE} AS status, epoch_ms(ts) AS t_ms, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS nxt FROM events)
 SELECT event_id, user_id, 'failed' AS recovered_status FROM n WHERE status NOT IN ('completed', 'failed', 'cancelled')
-  AND coalesce(nxt - t_ms >= 43200000, t_ms + 43200000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events))
+  AND coalesce(nxt - t_ms >= {12 * 3_600_000}, TRUE)
 """)
 def orphan_timeout(t):
-    status = F.expr(STATE_CASE).alias("status")
-    orphans = replay(
-        t.events,
-        lambda e: st.orphaned_jobs(e.select("user_id", "event_id", "ts", status), "ts", "1 hour", 12 * 3600 * 1000),
-        "orphans",
-    )
+    orphans = replay(t.events, job_events, "orphans", sink=st.orphan_sink(12 * HOUR_MS, LATENESS_MS), close_after="3 DAYS")
     return orphans.select("event_id", "user_id", "recovered_status")
 
 
