@@ -6,12 +6,11 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .images import (
-    DERIVE, IMAGE, SMOOTH, gaussian_kernel, neighbours, on_rows, pixels, separable,
-)
+from .images import DERIVE, SMOOTH, gaussian_kernel, on_strips, pixels, separable, strips
 from .quantiles import exact_quantiles
 
 POSITION = ["grp", "ch", "y", "x"]
@@ -34,10 +33,6 @@ def image_scores(maps: DataFrame) -> DataFrame:
     return maps.groupBy("image_id").agg((F.sum(total) / F.sum(F.size("map"))).alias("score"))
 
 
-def pixel_scores(maps: DataFrame) -> DataFrame:
-    return maps.groupBy("image_id").agg(F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("anomaly")))).alias("score"))
-
-
 # ---------------------------------------------------------------- fitted models
 
 def fit_median_mad(scanlines: DataFrame) -> DataFrame:
@@ -53,11 +48,15 @@ def fit_gaussian(scanlines: DataFrame) -> DataFrame:
     return pixels(scanlines, ["grp"]).groupBy(*POSITION).agg(F.avg("v").alias("mean"), F.var_pop("v").alias("variance"))
 
 
-def _colour_pixels(scanlines: DataFrame) -> DataFrame:
-    planes = scanlines.groupBy("image_id", "grp", "y").agg(
+def _colour_lines(scanlines: DataFrame) -> DataFrame:
+    """The three channels of each scanline side by side."""
+    return scanlines.groupBy("image_id", "grp", "y").agg(
         *[F.max(F.when(F.col("ch") == c, F.col("row"))).alias(f"c{c}") for c in range(3)]
     )
-    return planes.select("image_id", "grp", "y", F.posexplode(F.arrays_zip("c0", "c1", "c2")).alias("x", "_z")).select(
+
+
+def _colour_pixels(scanlines: DataFrame) -> DataFrame:
+    return _colour_lines(scanlines).select("image_id", "grp", "y", F.posexplode(F.arrays_zip("c0", "c1", "c2")).alias("x", "_z")).select(
         "image_id", "grp", "y", "x", "_z.c0", "_z.c1", "_z.c2"
     )
 
@@ -73,38 +72,49 @@ def fit_colour_gaussian(scanlines: DataFrame) -> DataFrame:
     )
 
 
+def as_lines(model: DataFrame, keys: list[str]) -> DataFrame:
+    """A model per pixel as one row per scanline, each value an array over ``x``."""
+    values = [c for c in model.columns if c not in (*keys, "x")]
+    lines = model.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", *values))).alias("_m"))
+    return lines.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in values])
+
+
 def robust_map(scanlines: DataFrame, model: DataFrame, epsilon: float = 0.001) -> DataFrame:
-    z = F.abs(F.col("v") - F.col("median")) / (1.4826 * F.col("mad") + epsilon)
-    return pixels(scanlines, ["grp"]).join(model, POSITION).select(
-        "image_id", "ch", "y", "x", (1.0 - F.exp(-z)).alias("anomaly")
-    )
+    """Anomaly map per scanline; ``model`` has ``median`` and ``mad`` per pixel, joined as scanlines."""
+    z = lambda c: F.abs(c["row"] - c["median"]) / (1.4826 * c["mad"] + epsilon)
+    cells = F.transform(F.arrays_zip("row", "median", "mad"), lambda c: 1.0 - F.exp(-z(c)))
+    return scanlines.join(as_lines(model, LINE), LINE).select("image_id", "ch", "y", cells.alias("map"))
 
 
 def mahalanobis_map(scanlines: DataFrame, model: DataFrame, ridge: float = 0.001) -> DataFrame:
-    d = F.col("v") - F.col("mean")
-    d2 = F.greatest(d * d / (F.col("variance") + ridge), F.lit(0.0))
-    return pixels(scanlines, ["grp"]).join(model, POSITION).select(
-        "image_id", "ch", "y", "x", (1.0 - F.exp(-0.5 * d2)).alias("anomaly")
-    )
+    """Anomaly map per scanline; ``model`` has ``mean`` and ``variance`` per pixel, joined as scanlines."""
+    def anomaly(c):
+        d = c["row"] - c["mean"]
+        return 1.0 - F.exp(-0.5 * F.greatest(d * d / (c["variance"] + ridge), F.lit(0.0)))
+
+    cells = F.transform(F.arrays_zip("row", "mean", "variance"), anomaly)
+    return scanlines.join(as_lines(model, LINE), LINE).select("image_id", "ch", "y", cells.alias("map"))
 
 
 def colour_mahalanobis_map(scanlines: DataFrame, model: DataFrame, ridge: float = 0.001) -> DataFrame:
-    """Three channels with the inverse of the symmetric 3 x 3 covariance written out."""
-    s = {(i, j): F.col(f"s{i}{j}") + (ridge if i == j else 0.0) for i, j in PAIRS}
-    a, b, c, d, e, f = (s[p] for p in PAIRS)
-    inverse = {
-        (0, 0): d * f - e * e, (0, 1): c * e - b * f, (0, 2): b * e - c * d,
-        (1, 1): a * f - c * c, (1, 2): b * c - a * e, (2, 2): a * d - b * b,
-    }
-    det = a * inverse[0, 0] + b * inverse[0, 1] + c * inverse[0, 2]
-    diff = [F.col(f"c{i}") - F.col(f"m{i}") for i in range(3)]
-    total = F.lit(0.0)
-    for i, j in PAIRS:
-        total = total + (1.0 if i == j else 2.0) * inverse[i, j] * diff[i] * diff[j]
-    d2 = F.greatest(total / det, F.lit(0.0))
-    return _colour_pixels(scanlines).join(model, ["grp", "y", "x"]).select(
-        "image_id", "y", "x", (1.0 - F.exp(-0.5 * d2)).alias("anomaly")
-    )
+    """Three channels with the inverse of the symmetric 3 x 3 covariance written out, per scanline."""
+    def anomaly(z):
+        s = {(i, j): z[f"s{i}{j}"] + (ridge if i == j else 0.0) for i, j in PAIRS}
+        a, b, c, d, e, f = (s[p] for p in PAIRS)
+        inverse = {
+            (0, 0): d * f - e * e, (0, 1): c * e - b * f, (0, 2): b * e - c * d,
+            (1, 1): a * f - c * c, (1, 2): b * c - a * e, (2, 2): a * d - b * b,
+        }
+        det = a * inverse[0, 0] + b * inverse[0, 1] + c * inverse[0, 2]
+        diff = [z[f"c{i}"] - z[f"m{i}"] for i in range(3)]
+        total = F.lit(0.0)
+        for i, j in PAIRS:
+            total = total + (1.0 if i == j else 2.0) * inverse[i, j] * diff[i] * diff[j]
+        return 1.0 - F.exp(-0.5 * F.greatest(total / det, F.lit(0.0)))
+
+    values = [f"c{i}" for i in range(3)] + [f"m{i}" for i in range(3)] + [f"s{i}{j}" for i, j in PAIRS]
+    both = _colour_lines(scanlines).join(as_lines(model, ["grp", "y"]), ["grp", "y"])
+    return both.select("image_id", F.lit(0).alias("ch"), "y", F.transform(F.arrays_zip(*values), anomaly).alias("map"))
 
 
 # ---------------------------------------------------------------- comparisons with a reference
@@ -117,9 +127,8 @@ def absolute_difference(scanlines: DataFrame, golden: DataFrame) -> DataFrame:
 
 def _compared(scanlines: DataFrame, golden: DataFrame, radius: int, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Anomaly map from the neighbourhoods of both images."""
-    both = neighbours(against_golden(scanlines, golden), radius, "reflect101", name="nb_a")
-    both = neighbours(both.withColumn("row", F.col("other_row")), radius, "reflect101", name="nb_b")
-    return both.select("image_id", "ch", "y", on_rows(kernel, 2 * radius + 1, "nb_a", "nb_b").alias("map"))
+    both = against_golden(scanlines, golden)
+    return on_strips(both, radius, "reflect101", kernel, columns=("row", "other_row"), out="map").select("image_id", "ch", "y", "map")
 
 
 def _moments(a: np.ndarray, b: np.ndarray, k: list[float]) -> tuple[np.ndarray, ...]:
@@ -193,29 +202,25 @@ def mask_xor(masks: DataFrame, golden: DataFrame) -> DataFrame:
 def template_matches(scanlines: DataFrame, templates: DataFrame, height: int, method: str) -> DataFrame:
     """Best placement of the group's template in every image.
 
-    ``templates`` has one row per group: ``template`` as ``height`` rows, of one size. Each
-    output line gathers as many rows as the template is high; sums run over shifted slices.
+    ``templates`` has one row per group: ``template`` as ``height`` rows, of one size. A strip gets as
+    many rows below it as the template is high, and the template once; sums run over shifted slices.
     """
     if method not in ("sqdiff", "sqdiff-normed", "ccorr-normed", "ccoeff-normed"):
         raise ValueError("no such way to compare with a template")
     t = templates.select(
-        "grp", "template", F.size("template").alias("height"), F.size(F.col("template")[0]).alias("width")
-    )
-    over = Window.partitionBy(*IMAGE).orderBy("y").rowsBetween(0, height - 1)
-    placed = scanlines.drop("width").join(t, "grp").withColumn("_rows", F.collect_list("row").over(over)).where(
-        F.size("_rows") == height
+        "grp", F.flatten("template").alias("template"), F.size("template").alias("height"), F.size(F.col("template")[0]).alias("wide")
     )
+    gathered = strips(scanlines, 0, height - 1).withColumn("grp", F.col("lines")[0]["grp"]).join(t, "grp")
 
-    def match(lines: np.ndarray, patches: np.ndarray) -> np.ndarray:
-        # Rows of a batch may belong to groups with different templates of one size.
-        wide = patches.shape[2]
-        out = lines.shape[2] - wide + 1
+    def quality_map(cells: np.ndarray, patch: np.ndarray) -> np.ndarray:
+        high, wide = patch.shape
+        rows, cols = cells.shape[0] - high + 1, cells.shape[1] - wide + 1
         vt = vv = v1 = 0.0
-        for dy in range(height):
+        for dy in range(high):
             for dx in range(wide):
-                v, w = lines[:, dy, dx:dx + out], patches[:, dy, dx:dx + 1]
+                v, w = cells[dy:dy + rows, dx:dx + cols], patch[dy, dx]
                 vt, vv, v1 = vt + v * w, vv + v * v, v1 + v
-        n, t1, t2 = height * wide, patches.sum(axis=(1, 2))[:, None], (patches**2).sum(axis=(1, 2))[:, None]
+        n, t1, t2 = patch.size, patch.sum(), (patch**2).sum()
         if method == "sqdiff":
             return vv - 2.0 * vt + t2
         if method == "sqdiff-normed":
@@ -226,12 +231,24 @@ def template_matches(scanlines: DataFrame, templates: DataFrame, height: int, me
         flat = spread <= 1e-12
         return np.where(flat, 0.0, (vt - v1 * t1 / n) / np.where(flat, 1.0, spread))
 
-    cells = placed.select(
-        "image_id", "y", "height", "width", F.posexplode(on_rows(match, height, "_rows", "template")).alias("x", "m")
-    )
     lower_is_better = method.startswith("sqdiff")
-    score = F.round(F.col("m"), 9) if lower_is_better else -F.round(F.col("m"), 9)
-    best = cells.groupBy("image_id").agg(F.min(F.struct(score.alias("s"), "y", "x", "height", "width")).alias("b"))
+
+    @F.pandas_udf("s double, y int, x int")
+    def best_of(ys: pd.Series, flat: pd.Series, starts: pd.Series, owns: pd.Series, patches: pd.Series, wides: pd.Series) -> pd.DataFrame:
+        out = []
+        for y, cells, start, own, patch, wide in zip(ys, flat, starts, owns, patches, wides):
+            block, template = cells.reshape(len(y), -1), patch.reshape(height, wide)
+            if block.shape[0] < height or block.shape[1] < wide:
+                out.append((None, None, None))
+                continue
+            found = np.round(quality_map(block, template), 9)[:own]
+            score = found if lower_is_better else -found
+            at = int(np.argmin(score))  # the first, in order of y and x
+            out.append((float(score.flat[at]), start + at // score.shape[1], at % score.shape[1]))
+        return pd.DataFrame(out, columns=["s", "y", "x"]).astype({"s": "float64", "y": "Int32", "x": "Int32"})
+
+    found = gathered.select("image_id", "height", F.col("wide").alias("width"), best_of("_ys", "_row", "_from", F.size("lines"), "template", "wide").alias("p"))
+    best = found.where("p.s IS NOT NULL").groupBy("image_id").agg(F.min(F.struct("p.s", "p.y", "p.x", "height", "width")).alias("b"))
     m = F.col("b.s")
     quality = {
         "sqdiff": F.when(m <= 1e-12, 1.0).otherwise(1.0 / (1.0 + m)), "sqdiff-normed": 1.0 - m,

@@ -1,10 +1,9 @@
 """Image operators over a scanline table.
 
 Scanlines are rows ``(image_id, ch, y, width, row ARRAY<DOUBLE>)``. Point operators change
-``row`` in place; neighbourhood operators gather the rows above and below with one window
-per image, so a chain of them needs one shuffle. The rows of one image are bounded by the
-image height. The arithmetic over gathered rows runs on NumPy blocks in Arrow batches: per
-cell it is many times cheaper than nested array functions.
+``row`` in place. Neighbourhood operators gather strips: runs of scanlines of one image, with as many rows
+of the strips beside them as the neighbourhood reaches. So each row is shuffled once, a few twice, a
+task holds strips of a bounded number of cells however high the image, and one NumPy call serves a strip.
 """
 
 from __future__ import annotations
@@ -327,71 +326,104 @@ def tiles(scanlines: DataFrame, size: int) -> DataFrame:
 
 # ---------------------------------------------------------------- neighbourhoods
 
-def neighbours(scanlines: DataFrame, radius: int, border: str, value: float = 0.0, name: str = "nb") -> DataFrame:
-    """Add ``nb``: the 2 * radius + 1 rows around each row, each widened by ``radius`` cells."""
-    sized = with_height(scanlines)
-    n, w = F.col("height").cast("int"), F.size("row")
-    over = Window.partitionBy(*IMAGE).orderBy("y").rowsBetween(-radius, radius)
-    at = F.sequence(F.lit(-radius), w - 1 + radius)
-    if border == "constant":
-        wide = F.transform(at, lambda j: F.coalesce(F.get(F.col("row"), source_index(j, w, border).cast("int")), F.lit(value)))
-        blank = F.transform(at, lambda j: F.lit(value))
-    else:
-        wide = F.transform(at, lambda j: F.get(F.col("row"), source_index(j, w, border).cast("int")))
-    gathered = sized.withColumn("_wide", wide).withColumn("_near", F.collect_list("_wide").over(over))
-    first = F.greatest(F.lit(0), F.col("y") - radius)
-
-    def row_at(k: Column) -> Column:
-        picked = F.get(F.col("_near"), (source_index(F.col("y") + k, n, border) - first).cast("int"))
-        return F.coalesce(picked, blank) if border == "constant" else picked
-
-    rows = F.transform(F.sequence(F.lit(-radius), F.lit(radius)), row_at)
-    return gathered.withColumn(name, rows).drop("_wide", "_near", "height")
-
-
-def _on_blocks(kernel: Callable[..., np.ndarray], height: int, *flat: pd.Series) -> pd.Series:
-    """Run a kernel on gathered rows as blocks (rows, height, width), one block per width."""
-    out = np.empty(len(flat[0]), dtype=object)
-    sizes = flat[0].map(len).to_numpy()
-    for size in np.unique(sizes):
-        at = np.flatnonzero(sizes == size)
-        blocks = [np.stack(f.to_numpy()[at]).reshape(len(at), height, -1) for f in flat]
-        for i, row in zip(at, kernel(*blocks)):
-            out[i] = row
-    return pd.Series(out)
-
-
-def on_rows(kernel: Callable[..., np.ndarray], height: int, *gathered: str) -> Column:
-    """Column with one output row per set of ``height`` gathered rows (one or two sets)."""
-    if len(gathered) == 2:
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return _on_blocks(kernel, height, a, b)
-    else:
-        def run(a: pd.Series) -> pd.Series:
-            return _on_blocks(kernel, height, a)
+#: Scanlines of a strip; fewer where they are wide, but never fewer than the neighbourhood needs.
+STRIP_ROWS = 64
+STRIP_CELLS = 65_536
+BORDERS = {"reflect101": "reflect", "replicate": "edge", "constant": "constant"}
+
+
+def strips(scanlines: DataFrame, above: int, below: int, columns: Sequence[str] = ("row",)) -> DataFrame:
+    """Strips of each image: ``lines`` (its scanlines in order, structs), ``_ys`` and one flat array per column
+    of all gathered rows, those of the strips beside it included, and ``_from``, its own first ``y``."""
+    reach = max(above, below)
+    size = F.greatest(F.lit(max(4 * reach, 1)), F.least(F.lit(STRIP_ROWS), F.ceil(F.lit(STRIP_CELLS) / F.greatest(F.col("width"), F.lit(1))))).cast("int")
+    # A row also goes to the strips that it is within reach of.
+    first, last = F.floor((F.col("y") - below) / size), F.floor((F.col("y") + above) / size)
+    at = F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("_strip")
+    placed = scanlines.select(*IMAGE, "y", F.struct("y", *[c for c in scanlines.columns if c not in (*IMAGE, "y")]).alias("_line"), size.alias("_size"), at)
+    grouped = placed.groupBy(*IMAGE, "_strip", "_size").agg(F.array_sort(F.collect_list("_line")).alias("_all"))
+    start = (F.col("_strip") * F.col("_size")).cast("int")
+    own = F.filter("_all", lambda x: (x["y"] >= start) & (x["y"] < start + F.col("_size")))
+    flat = [F.flatten(F.col(f"_all.{c}")).alias(f"_{c}") for c in columns]
+    return grouped.select(*IMAGE, own.alias("lines"), F.col("_all.y").alias("_ys"), *flat, start.alias("_from")).where(F.size("lines") > 0)
+
+
+def _padded(cells: np.ndarray, ys: np.ndarray, start: int, own: int, above: int, below: int, sides: int, border: str, value: float) -> np.ndarray:
+    """A strip with its neighbourhood; what lies outside the image follows the border rule."""
+    block = cells.reshape(len(ys), -1)
+    over, under = max(0, above - (start - int(ys[0]))), max(0, below - (int(ys[-1]) - (start + own - 1)))
+    fill = {"constant_values": value} if border == "constant" else {}
+    return np.pad(block, ((over, under), (sides, sides)), BORDERS[border], **fill)
+
+
+def on_strips(
+    scanlines: DataFrame, radius: int, border: str, kernel: Callable[..., np.ndarray], value: float = 0.0,
+    columns: Sequence[str] = ("row",), out: str = "row",
+) -> DataFrame:
+    """``scanlines`` with ``out`` computed from the neighbourhoods in ``columns``.
+
+    ``kernel`` takes a block per column, ``radius`` cells larger than the strip on each side, and gives one as large as the strip.
+    All scanlines of an image are as wide as each other.
+    """
+
+    def blocks(ys: pd.Series, starts: pd.Series, owns: pd.Series, *flat: pd.Series) -> pd.Series:
+        found = np.empty(len(ys), dtype=object)
+        for i, (y, start, own) in enumerate(zip(ys, starts, owns)):
+            parts = [_padded(f.iloc[i], y, start, own, radius, radius, radius, border, value) for f in flat]
+            found[i] = np.ascontiguousarray(kernel(*parts), dtype=np.float64).ravel()
+        return pd.Series(found)
+
+    udf = _flat_udf(blocks, len(columns))
+    gathered = strips(scanlines, radius, radius, columns)
+    flat = gathered.withColumn("_out", udf("_ys", "_from", F.size("lines"), *[f"_{c}" for c in columns]))
+    width = (F.size("_out") / F.size("lines")).cast("int")
+    rows = F.transform("lines", lambda x, i: F.struct(x.alias("line"), F.slice("_out", i * width + 1, width).alias("out")))
+    kept = [c for c in scanlines.columns if c != out]
+    found = flat.select(*IMAGE, F.explode(rows).alias("_x"))
+    return found.select(*[F.col(c) if c in IMAGE else F.col(f"_x.line.{c}").alias(c) for c in kept], F.col("_x.out").alias(out))
 
-    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(*[F.flatten(g) for g in gathered])
+
+def _flat_udf(run: Callable[..., pd.Series], inputs: int) -> Callable[..., Column]:
+    """``run`` as a pandas UDF of the strip's place and one or two flat arrays."""
+    if inputs == 2:
+        def two(ys: pd.Series, starts: pd.Series, owns: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+            return run(ys, starts, owns, a, b)
+        return F.pandas_udf(two, T.ArrayType(T.DoubleType()))
+
+    def one(ys: pd.Series, starts: pd.Series, owns: pd.Series, a: pd.Series) -> pd.Series:
+        return run(ys, starts, owns, a)
+    return F.pandas_udf(one, T.ArrayType(T.DoubleType()))
 
 
 def separable(block: np.ndarray, vertical: Sequence[float], horizontal: Sequence[float]) -> np.ndarray:
     """Weighted sum with a kernel that is the product of two vectors."""
-    lines = sum(w * block[:, k] for k, w in enumerate(vertical) if w)
-    width = block.shape[2] - len(horizontal) + 1
+    height, width = block.shape[0] - len(vertical) + 1, block.shape[1] - len(horizontal) + 1
+    lines = sum(w * block[k:k + height] for k, w in enumerate(vertical) if w)
     return sum(w * lines[:, k:k + width] for k, w in enumerate(horizontal) if w)
 
 
 def windowed(block: np.ndarray, kernel: Sequence[Sequence[float]]) -> np.ndarray:
     """Weighted sum with any small kernel, given row by row."""
-    width = block.shape[2] - len(kernel[0]) + 1
-    return sum(
-        w * block[:, i, j:j + width] for i, line in enumerate(kernel) for j, w in enumerate(line) if w
-    )
+    height, width = block.shape[0] - len(kernel) + 1, block.shape[1] - len(kernel[0]) + 1
+    return sum(w * block[i:i + height, j:j + width] for i, line in enumerate(kernel) for j, w in enumerate(line) if w)
 
 
 def shifted(block: np.ndarray, size: int) -> np.ndarray:
     """All cells of each window, stacked on a new first axis."""
-    width = block.shape[2] - size + 1
-    return np.stack([block[:, i, j:j + width] for i in range(size) for j in range(size)])
+    height, width = block.shape[0] - size + 1, block.shape[1] - size + 1
+    return np.stack([block[i:i + height, j:j + width] for i in range(size) for j in range(size)])
+
+
+def extreme(block: np.ndarray, size: int, pick: Callable) -> np.ndarray:
+    """Largest or smallest cell of each window, along one side and then along the other."""
+    height, width = block.shape[0] - size + 1, block.shape[1] - size + 1
+    lines = block[:height]
+    for k in range(1, size):
+        lines = pick(lines, block[k:k + height])
+    out = lines[:, :width]
+    for k in range(1, size):
+        out = pick(out, lines[:, k:k + width])
+    return out
 
 
 def gaussian_kernel(size: int, sigma: float) -> list[float]:
@@ -415,34 +447,27 @@ def _odd(size: int) -> int:
 
 def gaussian_blur(scanlines: DataFrame, size: int, sigma: float, border: str = "reflect101") -> DataFrame:
     k = gaussian_kernel(_odd(size), sigma)
-    return _apply(neighbours(scanlines, size // 2, border), size, lambda b: separable(b, k, k))
+    return on_strips(scanlines, size // 2, border, lambda b: separable(b, k, k))
 
 
 def box_blur(scanlines: DataFrame, size: int) -> DataFrame:
     k = [1.0 / _odd(size)] * size
-    return _apply(neighbours(scanlines, size // 2, "reflect101"), size, lambda b: separable(b, k, k))
-
-
-def _apply(gathered: DataFrame, size: int, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    return gathered.withColumn("row", on_rows(kernel, size, "nb")).drop("nb")
+    return on_strips(scanlines, size // 2, "reflect101", lambda b: separable(b, k, k))
 
 
 def median_blur(scanlines: DataFrame, size: int) -> DataFrame:
     if _odd(size) < 3:
         raise ValueError("Median blur needs a kernel of at least three.")
     middle = (size * size) // 2
-    return _apply(
-        neighbours(scanlines, size // 2, "replicate"), size,
-        lambda b: np.partition(shifted(b, size), middle, axis=0)[middle],
+    return on_strips(
+        scanlines, size // 2, "replicate", lambda b: np.partition(shifted(b, size), middle, axis=0)[middle]
     )
 
 
 def _extreme(scanlines: DataFrame, size: int, largest: bool) -> DataFrame:
-    pick = np.max if largest else np.min
+    pick = np.maximum if largest else np.minimum
     outside = float("-inf") if largest else float("inf")
-    return _apply(
-        neighbours(scanlines, size // 2, "constant", outside), size, lambda b: pick(shifted(b, size), axis=0)
-    )
+    return on_strips(scanlines, size // 2, "constant", lambda b: extreme(b, size, pick), outside)
 
 
 def erode(mask: DataFrame, size: int = 3, iterations: int = 1) -> DataFrame:
@@ -493,19 +518,19 @@ def _absolute(values: np.ndarray) -> np.ndarray:
 
 def sobel(scanlines: DataFrame, dx: int, dy: int) -> DataFrame:
     v, h = DERIVATIVES[dy], DERIVATIVES[dx]
-    return _apply(neighbours(scanlines, 1, "reflect101"), 3, lambda b: _absolute(separable(b, v, h)))
+    return on_strips(scanlines, 1, "reflect101", lambda b: _absolute(separable(b, v, h)))
 
 
 def scharr(scanlines: DataFrame, axis: str) -> DataFrame:
     v, h = (SCHARR_SMOOTH, DERIVE) if axis == "x" else (DERIVE, SCHARR_SMOOTH)
-    return _apply(neighbours(scanlines, 1, "reflect101"), 3, lambda b: _absolute(separable(b, v, h)))
+    return on_strips(scanlines, 1, "reflect101", lambda b: _absolute(separable(b, v, h)))
 
 
 def laplacian(scanlines: DataFrame, size: int = 1) -> DataFrame:
     if size not in LAPLACIAN:
         raise ValueError("Laplacian kernels of size one and three are offered.")
     kernel = LAPLACIAN[size]
-    return _apply(neighbours(scanlines, 1, "reflect101"), 3, lambda b: _absolute(windowed(b, kernel)))
+    return on_strips(scanlines, 1, "reflect101", lambda b: _absolute(windowed(b, kernel)))
 
 
 def adaptive_threshold(scanlines: DataFrame, block: int, constant: float) -> DataFrame:
@@ -514,11 +539,11 @@ def adaptive_threshold(scanlines: DataFrame, block: int, constant: float) -> Dat
     delta, r = float(math.ceil(constant)), block // 2
 
     def compare(b: np.ndarray) -> np.ndarray:
-        own = b[:, r, r:b.shape[2] - r]
+        own = b[r:b.shape[0] - r, r:b.shape[1] - r]
         mean = np.clip(np.rint(separable(b, k, k)), 0.0, 255.0)
         return np.where(own > mean - delta, 255.0, 0.0)
 
-    return _apply(neighbours(scanlines, r, "replicate"), block, compare)
+    return on_strips(scanlines, r, "replicate", compare)
 
 
 # ---------------------------------------------------------------- components and lines
@@ -544,56 +569,97 @@ def runs(mask: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(mask: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(mask: DataFrame) -> DataFrame:
     """8-way components of a mask: runs with the smallest node id of their component.
 
-    Touching runs of neighbouring scanlines are edges. Each round points every node at its
-    smallest neighbour, follows those pointers, and contracts the edges, so the edge set
-    shrinks until none is left; edges and pointers are checkpointed per round.
+    Inside a strip, which is bounded, runs are united where they touch. Strips then meet only at their
+    borders: a run on a strip's last line and one on the next strip's first line that touch are an edge between
+    what the strips call them. Those edges are contracted, in as many rounds as they take; runs are joined
+    with the outcome once.
+    """
+    from ..sources.storage import written
+
+    # Each strip also gets the line below it, for its border edges.
+    lines = runs(mask)
+    size = F.lit(STRIP_ROWS)
+    own = F.floor(F.col("y") / size).cast("int")
+    both = F.when((F.pmod("y", size) == 0) & (F.col("y") > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    placed = lines.select("image_id", "y", F.explode(both).alias("strip"), "runs").select("image_id", "y", "strip", F.explode("runs").alias("r"))
+    grouped = placed.groupBy("image_id", "strip").agg(F.array_sort(F.collect_list(F.struct("y", F.col("r.first").alias("first"), F.col("r.last").alias("last"), F.col("r.node").alias("node")))).alias("runs"))
+
+    @F.pandas_udf("labels array<bigint>, a array<bigint>, b array<bigint>")
+    def united(strip: pd.Series, y: pd.Series, first: pd.Series, last: pd.Series, node: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([unite((int(s) + 1) * STRIP_ROWS, *(x.tolist() for x in r)) for s, *r in zip(strip, y, first, last, node)], columns=["labels", "a", "b"])
+
+    local = written(grouped.withColumn("_u", united("strip", *[F.col(f"runs.{c}") for c in ("y", "first", "last", "node")])).select("image_id", "strip", "runs", "_u.labels", "_u.a", "_u.b"), "strip-runs")
+    inside = local.select("image_id", "strip", F.inline(F.arrays_zip("runs", "labels"))).select("image_id", "strip", "runs.*", F.col("labels").alias("label"))
+    inside = inside.where(F.floor(F.col("y") / size) == F.col("strip"))
+    # The lower end of an edge is a run of the next strip; that strip knows its label.
+    ends = local.select("image_id", F.explode(F.arrays_zip("a", "b")).alias("e"))
+    top = inside.where(F.pmod("y", size) == 0).select("image_id", "node", F.col("label").alias("b"))
+    edges = ends.select("image_id", F.col("e.a").alias("a"), F.col("e.b").alias("node")).join(top, ["image_id", "node"]).select("image_id", "a", "b")
+    moved = contracted(edges)
+    settled = moved.select("image_id", F.col("node").alias("label"), F.col("to").alias("_to"))
+    return inside.join(settled, ["image_id", "label"], "left").select(
+        "image_id", "y", "node", "first", "last", F.coalesce("_to", "label").alias("component"))
+
+
+def unite(end: int, ys: list, firsts: list, lasts: list, nodes: list) -> tuple[list, list, list]:
+    """Labels (smallest node) of a strip's runs in order of y and position, and edges to the line at ``end``, which is the next strip's."""
+    parent = list(range(len(ys)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    above, line, border = [], [], []
+    for i, y in enumerate(ys):
+        if line and y != ys[line[0]]:
+            above, line = line if ys[line[0]] == y - 1 else [], []
+        for j in above:
+            if firsts[j] <= lasts[i] + 1 and firsts[i] <= lasts[j] + 1:
+                if y == end:
+                    border.append((j, i))
+                else:
+                    a, b = sorted((root(j), root(i)))
+                    parent[b] = a
+        line.append(i)
+    # Runs come in order, so a root is the first run of its component and has the smallest node.
+    labels = [nodes[root(i)] for i in range(len(ys))]
+    return labels, [labels[j] for j, _ in border], [nodes[i] for _, i in border]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """``node`` and ``to``, the smallest node it is connected with, for every node of an edge (``image_id, a, b``).
+
+    Each round, every node moves to the neighbour that comes first in an order drawn anew by hash, or stays if it comes first itself,
+    and the edges between the new places are kept, until none is left. So a long chain shrinks by a share of
+    its length each round, whatever its numbers.
     """
     from ..sources.storage import checkpoint
 
-    lines = checkpoint(runs(mask))
-    below = F.lead("runs").over(Window.partitionBy("image_id").orderBy("y"))
-    next_y = F.lead("y").over(Window.partitionBy("image_id").orderBy("y"))
-    touching = F.flatten(
-        F.transform(
-            "runs",
-            lambda a: F.transform(
-                F.filter("_below", lambda b: (b["first"] <= a["last"] + 1) & (a["first"] <= b["last"] + 1)),
-                lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b")),
-            ),
-        )
-    )
-    edges = (
-        lines.withColumn("_below", below).withColumn("_next", next_y).where(F.col("_next") == F.col("y") + 1)
-        .select("image_id", F.inline(touching))
-    )
-    labelled = lines.select("image_id", "y", F.inline("runs")).withColumn("component", F.col("node"))
-    edges = checkpoint(edges)
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            return labelled
-        low, high = F.least("a", "b"), F.greatest("a", "b")
-        pointers = edges.groupBy("image_id", high.alias("node")).agg(F.min(low).alias("to"))
-        for _ in range(3):
-            onward = pointers.select("image_id", F.col("node").alias("to"), F.col("to").alias("_next"))
-            pointers = pointers.join(onward, ["image_id", "to"], "left").select(
-                "image_id", "node", F.coalesce("_next", "to").alias("to")
-            )
-        pointers = checkpoint(pointers)
-        p = pointers.select("image_id", F.col("node").alias("component"), F.col("to").alias("_to"))
-        labelled = labelled.join(p, ["image_id", "component"], "left").select(
-            "image_id", "y", "node", "first", "last", F.coalesce("_to", "component").alias("component")
-        )
+    edges = checkpoint(edges.select("image_id", "a", "b").where("a <> b").distinct())
+    moved, turn = None, 0
+    while True:
+        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), F.col(c).alias("to"))
+        ends = edges.unionByName(edges.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        step = ends.groupBy("image_id", F.col("a").alias("node")).agg(F.min(drawn("b")).alias("m"))
+        step = checkpoint(step.select("image_id", "node", F.least("m", drawn("node"))["to"].alias("to")))
+        if moved is None:
+            moved = step
+        else:
+            onward = step.select("image_id", F.col("node").alias("to"), F.col("to").alias("_next"))
+            moved = checkpoint(moved.join(onward, ["image_id", "to"], "left").select("image_id", "node", F.coalesce("_next", "to").alias("to")))
         for side in ("a", "b"):
-            s = pointers.select("image_id", F.col("node").alias(side), F.col("to").alias("_to"))
-            other = "b" if side == "a" else "a"
-            edges = edges.join(s, ["image_id", side], "left").select(
-                "image_id", F.coalesce("_to", side).alias(side), other
-            )
-        edges = checkpoint(edges.where("a <> b").distinct())
-    raise RuntimeError("Components did not settle within the allowed rounds.")
+            edges = edges.join(step.select("image_id", F.col("node").alias(side), F.col("to").alias(f"_{side}")), ["image_id", side])
+        edges = checkpoint(edges.select("image_id", F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a <> b").distinct())
+        if edges.isEmpty():
+            break
+        turn += 1
+    least = moved.groupBy("image_id", "to").agg(F.min("node").alias("least"))
+    return moved.join(least, ["image_id", "to"]).select("image_id", "node", F.col("least").alias("to"))
 
 
 def component_shapes(labelled: DataFrame) -> DataFrame:
@@ -609,11 +675,25 @@ def component_shapes(labelled: DataFrame) -> DataFrame:
 
 
 def line_votes(mask: DataFrame, minimum: int, steps: int = 180) -> DataFrame:
-    """Votes of foreground pixels for lines (rho, theta), kept from ``minimum`` upwards."""
-    cells = mask.select("image_id", "y", F.posexplode("row").alias("x", "v")).where("v <> 0")
-    cells = cells.withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    angle = F.col("theta") * F.lit(math.pi / steps)
-    rho = F.rint(F.col("x") * F.round(F.cos(angle), 9) + F.col("y") * F.round(F.sin(angle), 9))
-    return cells.groupBy("image_id", "theta", rho.cast("int").alias("rho")).agg(F.count(F.lit(1)).alias("votes")).where(
-        F.col("votes") >= minimum
-    )
+    """Votes of foreground pixels for lines (rho, theta), kept from ``minimum`` upwards.
+
+    Tasks count the votes of each image's scanlines in their batch, so counts are shuffled, not pixels.
+    """
+    turns = math.pi / steps * np.arange(steps)
+    cos, sin = np.round(np.cos(turns), 9), np.round(np.sin(turns), 9)
+
+    def count(batches):
+        for batch in batches:
+            for image, lines in batch.groupby("image_id", sort=False):
+                found = []
+                for y, row in zip(lines["y"], lines["row"]):
+                    x = np.flatnonzero(row)
+                    rho = np.rint(np.outer(cos, x) + (y * sin)[:, None]).astype(np.int64)
+                    found.append((rho + (np.arange(steps) << 32)[:, None]).ravel())
+                keys, votes = np.unique(np.concatenate(found), return_counts=True)
+                theta = (keys + (1 << 31)) >> 32
+                yield pd.DataFrame({"image_id": image, "theta": theta, "rho": keys - (theta << 32), "votes": votes})
+
+    kind = dict(mask.dtypes)["image_id"]
+    parts = mask.select("image_id", "y", "row").mapInPandas(count, f"image_id {kind}, theta int, rho int, votes long")
+    return parts.groupBy("image_id", "theta", "rho").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= minimum)

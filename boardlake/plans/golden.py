@@ -152,7 +152,7 @@ FROM v_pixel p JOIN m USING (grp, ch, y, x) JOIN d USING (grp, ch, y, x) GROUP B
 """)
 def robust_score(t):
     lines = t.v_scanline
-    return rounded(op.pixel_scores(op.robust_map(lines, op.fit_median_mad(lines))), "score")
+    return rounded(op.image_scores(op.robust_map(lines, op.fit_median_mad(lines))), "score")
 
 
 @query("l09_mahalanobis_score", """
@@ -161,7 +161,7 @@ SELECT image_id, round(avg(1 - exp(-0.5 * (v - mu) * (v - mu) / (var + 0.001::do
 """)
 def mahalanobis_score(t):
     lines = t.v_scanline
-    return rounded(op.pixel_scores(op.mahalanobis_map(lines, op.fit_gaussian(lines))), "score")
+    return rounded(op.image_scores(op.mahalanobis_map(lines, op.fit_gaussian(lines))), "score")
 
 
 @query("l09_colour_mahalanobis_score", f"""
@@ -173,7 +173,7 @@ SELECT image_id, round(avg(1 - exp(-0.5 * greatest((i00 * p * p + i11 * q * q +
 """)
 def colour_mahalanobis_score(t):
     lines = unit_colour(t)
-    return rounded(op.pixel_scores(op.colour_mahalanobis_map(lines, op.fit_colour_gaussian(lines))), "score")
+    return rounded(op.image_scores(op.colour_mahalanobis_map(lines, op.fit_colour_gaussian(lines))), "score")
 
 
 def masks(t):

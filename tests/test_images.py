@@ -56,7 +56,8 @@ def test_median_mad_map(spark):
     bad[4:8, 4:8] = 0.9
     model = gold.fit_median_mad(scanlines(spark, ok))
     assert model.first()["median"] == pytest.approx(0.25) and model.first()["mad"] == pytest.approx(0.02)
-    cells = gold.robust_map(scanlines(spark, [bad]), model).toPandas().pivot(index="y", columns="x", values="anomaly").to_numpy()
+    cells = gold.robust_map(scanlines(spark, [bad]), model)
+    cells = as_array(cells, column="map")
     assert cells[4:8, 4:8].mean() > 0.9 and cells[12:, 12:].max() == pytest.approx(0.0)
 
 
@@ -65,7 +66,8 @@ def test_colour_mahalanobis_matches_numpy(spark):
     images = rng.random((12, 3, 4, 5))
     rows = [(i, 0, c, y, 5, images[i, c, y].tolist()) for i in range(12) for c in range(3) for y in range(4)]
     lines = spark.createDataFrame(rows, "image_id bigint, grp int, ch int, y int, width int, row array<double>")
-    got = gold.colour_mahalanobis_map(lines, gold.fit_colour_gaussian(lines)).toPandas().set_index(["image_id", "y", "x"])["anomaly"]
+    got = gold.colour_mahalanobis_map(lines, gold.fit_colour_gaussian(lines))
+    got = np.stack([as_array(got, i, "map") for i in range(12)])
     for y in range(4):
         for x in range(5):
             v = images[:, :, y, x]
@@ -161,3 +163,67 @@ def test_hsv_of_primary_colours(spark):
 def test_shape_mismatch_is_reported(spark):
     a, b = scanlines(spark, [np.zeros((3, 3)), np.zeros((4, 3)), np.zeros((3, 2))]), golden_of(spark, np.zeros((3, 3)))
     assert sorted(r[0] for r in im.shape_mismatches(a, b, ["grp", "ch"]).collect()) == [1, 2]
+
+
+def big(seed, shape=(333, 70)):
+    return np.random.default_rng(seed).integers(0, 256, shape).astype(float)
+
+
+@pytest.mark.parametrize("rows", [7, 64])
+@pytest.mark.parametrize("size", [3, 11])
+def test_strips_give_what_the_whole_image_gives(spark, monkeypatch, rows, size):
+    """Many strips, fewer rows than the neighbourhood in the last one."""
+    monkeypatch.setattr(im, "STRIP_ROWS", rows)
+    image, r = big(1), size // 2
+    lines = scanlines(spark, [image, image[:5], image[:1]]).withColumn("note", F.lit("kept"))
+    k = im.gaussian_kernel(size, 2.0)
+    for i, part in enumerate([image, image[:5], image[:1]]):
+        wide = np.pad(part, r, "reflect" if min(part.shape) > 1 else "reflect")
+        want = im.separable(wide, k, k)
+        got = im.gaussian_blur(lines, size, 2.0)
+        assert got.columns == [c for c in lines.columns if c != "row"] + ["row"]
+        assert np.allclose(as_array(got, i), want)
+    want = im.extreme(np.pad(image, r, constant_values=-np.inf), size, np.maximum)
+    assert np.array_equal(as_array(im._extreme(lines, size, True)), want)
+    assert np.array_equal(want, np.max(im.shifted(np.pad(image, r, constant_values=-np.inf), size), axis=0))
+
+
+def test_a_strip_brings_each_row_once_and_its_halo(spark, monkeypatch):
+    monkeypatch.setattr(im, "STRIP_ROWS", 32)
+    lines = scanlines(spark, [big(2, (128, 8))])
+    gathered = im.strips(lines, 2, 2)
+    assert gathered.count() == 4
+    assert gathered.agg(F.sum(F.size("_ys"))).first()[0] == 128 + 3 * 4
+
+
+def test_components_across_many_strips(spark, monkeypatch):
+    monkeypatch.setattr(im, "STRIP_ROWS", 4)
+    rng = np.random.default_rng(9)
+    masks = [snake(61), (rng.random((80, 40)) < 0.4) * 255.0, np.full((40, 3), 255.0)]
+    labelled = im.connected_components(scanlines(spark, masks))
+    got = im.component_shapes(labelled).toPandas()
+    for i, m in enumerate(masks):
+        areas = sorted(np.bincount(flood(m).ravel())[1:].tolist())
+        assert sorted(got[got["image_id"] == i]["area"].tolist()) == areas
+    first = labelled.groupBy("image_id", "component").agg(F.min("node").alias("n")).where("n <> component")
+    assert first.count() == 0
+
+
+def test_templates_across_strips(spark, monkeypatch):
+    monkeypatch.setattr(im, "STRIP_ROWS", 8)
+    rng = np.random.default_rng(6)
+    image, patch = np.full((64, 30), 0.1), rng.random((10, 12))
+    image[37:47, 15:27] = patch
+    templates = spark.createDataFrame([(0, patch.tolist())], "grp int, template array<array<double>>")
+    r = gold.template_matches(scanlines(spark, [image]), templates, 10, "sqdiff").first()
+    assert (r["x"], r["y"], r["quality"]) == (15, 37, 1.0)
+
+
+def test_line_votes_count_every_pixel(spark):
+    mask = (np.random.default_rng(5).random((20, 30)) < 0.2) * 255.0
+    got = im.line_votes(scanlines(spark, [mask, mask]), 1).toPandas()
+    assert got[got["image_id"] == 1].groupby("theta")["votes"].sum().eq(int((mask > 0).sum())).all()
+    straight = np.zeros((20, 30))
+    straight[7] = 255
+    best = im.line_votes(scanlines(spark, [straight]), 25).toPandas()
+    assert (90, 7, 30) in set(best[["theta", "rho", "votes"]].itertuples(index=False, name=None))
