@@ -98,7 +98,7 @@ found AS ({" UNION ALL ".join(_matches(*x) for x in (
 ),
 parts AS (
   SELECT doc_id, k, kind, cast(s AS bigint) AS s, cast(e AS bigint) AS e, CASE WHEN k IN (1, 3) THEN 'id' WHEN k = 5 THEN 'at' ELSE 'secret' END AS role
-  FROM found WHERE k <> 4 OR (length(regexp_replace(run, '[^0-9]', '', 'g')) >= 3 AND regexp_matches(run, '[A-Za-z]'))
+  FROM found
 ),
 met AS (
   SELECT w.doc_id, w.k, w.kind, w.s, w.e, list(DISTINCT o.role) AS met

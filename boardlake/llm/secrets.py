@@ -4,12 +4,14 @@ Three kinds are reported by themselves: secret assignments, access key identifie
 hex runs. Parts that mean little alone (an identifier, an opaque value, an endpoint) are weak
 candidates. They are placed in scopes, stretches of ``SCOPE`` code points, and joined as
 intervals: a part meets the parts of its own and the two adjoining scopes, and is linked when
-the gap between them is at most ``SCOPE``. A weak value is reported when an identifier (weak or
+the gap between them is at most ``SCOPE``. Any run of 20 characters or more is a weak value, a plain long word too: that an identifier
+is near is what tells them apart. A weak value is reported when an identifier (weak or
 access) is that near; an identifier when a value or base secret is; an endpoint when both are.
 A scope holds a bounded number of parts, so no group grows with a document.
 
-Positions are code points, ends exclusive. Null texts are empty. Rows with equal doc_id and
-text get equal results; rows without doc_id are scanned like all others. Only doc_id and text
+Positions are code points, ends exclusive. Null texts are empty and have no spans. Rows with equal doc_id and
+text get equal results; rows without doc_id are scanned like all others. Spans that start together are
+listed in the order of their kinds. An empty table gives an empty result. Only doc_id and text
 are read, so further columns cannot clash.
 """
 
@@ -59,12 +61,6 @@ def spans(text: Column, pattern: str, kind: str, counted: int | None = None, lea
     return F.when(text.rlike(pattern), let(found, lambda f: place(f, F.split(text, pattern), parts))).otherwise(F.array().cast(SPAN))
 
 
-def opaque(text: Column, span: Column) -> Column:
-    """Whether a run looks drawn at random: letters and at least three digits, no plain words."""
-    run = F.substring(text, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
-    return (F.regexp_count(run, F.lit("[0-9]")) >= 3) & run.rlike("[A-Za-z]")
-
-
 def parts_of(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, a hash of the text, the base spans and the weak parts."""
     text = F.col("_text")
@@ -76,14 +72,16 @@ def parts_of(docs: DataFrame) -> DataFrame:
     )
     return found.select(
         "doc_id", "_th", "_len", "_assign", "_access", "_hex",
-        F.concat("_ident", F.filter("_runs", lambda s: opaque(text, s)), "_endpoint").alias("_weak"),
+        F.concat("_ident", "_runs", "_endpoint").alias("_weak"),
+        # Nothing weak is reported without an identifier, so other texts have nothing to link.
+        ((F.size("_access") > 0) | (F.size("_ident") > 0)).alias("_named"),
     )
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Weak parts that complementary parts confirm, one row per document that has any."""
     key = ["doc_id", "_th", "_len"]
-    some = found.where(F.size("_weak") > 0).select(*key, F.concat("_assign", "_access", "_hex", "_weak").alias("_all")).dropDuplicates(key)
+    some = found.where(F.col("_named") & (F.size("_weak") > 0)).select(*key, F.concat("_assign", "_access", "_hex", "_weak").alias("_all")).dropDuplicates(key)
     parts = some.select(*key, F.explode("_all").alias("s")).select(*key, "s.*")
     names = dict(zip(KINDS, range(len(KINDS))))
     role = F.when(F.col("kind").isin(names["access"], names["ident"]), "id").when(F.col("kind") == names["endpoint"], "at").otherwise("secret")
