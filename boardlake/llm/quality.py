@@ -1,10 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a predicate that rejects a text. On a bounded sample the operator estimates what
-a rule costs (characters and words it visits, times a unit weight) and which rows it rejects,
+Each rule is a predicate that rejects a text. On a bounded sample the operator measures how long each
+rule's measures take and which rows it rejects,
 and then orders the rules greedily: always the rule next that rejects most of the rows still
-left per unit of cost. The ordered rules become one CASE expression, so an expensive rule is
-only evaluated for texts that every earlier rule let pass. The order changes the work, never
+left per second. The ordered rules become one CASE expression over a text and its words, which are split
+once, so an expensive rule is only evaluated for texts that every earlier rule let pass. The order changes the work, never
 the verdict.
 
 Nulls and empty texts have no words and are rejected by ``few_words``. Rows are judged one by
@@ -14,6 +14,7 @@ columns, whatever their names, pass through.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -61,14 +62,14 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(SPACE)) != "")
 
 
-#: name: (measure of text and words, weight per character, weight per word)
-MEASURES: dict[str, tuple[Callable[[Column, Column], Column], float, float]] = {
-    "n_words": (lambda t, w: F.size(w).cast("bigint"), 0.2, 0.0),
-    "word_chars": (lambda t, w: F.length(F.array_join(w, "")).cast("bigint"), 0.2, 0.5),
-    "n_symbols": (lambda t, w: (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"), 1.0, 0.0),
-    "n_text_lines": (lambda t, w: F.size(_lines(t)).cast("bigint"), 0.5, 0.0),
-    "n_dup_lines": (lambda t, w: let(_lines(t), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")), 0.7, 0.0),
-    "n_repeat_words": (lambda t, w: repeated_words(w), 0.2, 10.0),
+#: Measures of a text and its words.
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w).cast("bigint"),
+    "word_chars": lambda t, w: F.length(F.array_join(w, "")).cast("bigint"),
+    "n_symbols": lambda t, w: (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"),
+    "n_text_lines": lambda t, w: F.size(_lines(t)).cast("bigint"),
+    "n_dup_lines": lambda t, w: let(_lines(t), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")),
+    "n_repeat_words": lambda t, w: repeated_words(w),
 }
 
 
@@ -95,11 +96,28 @@ def with_measures(docs: DataFrame, names: list[str] | None = None, text: str = "
     """``_row`` and the measures of every whole text."""
     names = names or list(MEASURES)
     rows = packed(docs, text_of(text).alias("_text")).select("_row", "_text", words(F.col("_text")).alias("_words"))
-    return rows.select("_row", *[MEASURES[n][0](F.col("_text"), F.col("_words")).alias(n) for n in names])
+    return rows.select("_row", *[MEASURES[n](F.col("_text"), F.col("_words")).alias(n) for n in names])
+
+
+def measure_seconds(rows: DataFrame, names: list[str], runs: int = 2) -> dict[str, float]:
+    """How long each measure takes over ``rows`` (held in memory), beyond what a pass takes anyway."""
+
+    def seconds(value: Column) -> float:
+        taken = []
+        for _ in range(runs):
+            start = time.perf_counter()
+            rows.agg(F.sum(value)).collect()
+            taken.append(time.perf_counter() - start)
+        return min(taken)
+
+    text, held = F.col("_text"), F.col("_words")
+    rows.agg(F.sum(F.size(held))).collect()  # fills the memory
+    empty = seconds(F.size(held))
+    return {n: max(seconds(MEASURES[n](text, held)) - empty, 1e-3) for n in names}
 
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
-    """The rules, those first that reject most of the rows still left per unit of cost.
+    """The rules, those first that reject most of the rows still left per second.
 
     The sample takes about ``sample_rows`` rows by a hash of id and text, so that copies with
     ids of their own are not taken or left together. What reaches the driver
@@ -107,22 +125,23 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     """
     every = max(1, count_rows(docs) // sample_rows)
     key = [F.col(c) for c in ("doc_id", text) if c in docs.columns]
-    sample = docs.where(F.pmod(F.xxhash64(*key), F.lit(every)) == 0)
-    needs = sorted({n for r in rules for n in r.needs})
-    rows = with_measures(sample, needs, text)
-    measures = {n: F.col(n) for n in needs}
-    length = F.length(text_of(f"_row.{text}"))
-    failed = rows.select(
-        F.array(*[r.rejects(measures) for r in rules]).alias("fails"), length.alias("chars"), F.col("n_words") if "n_words" in needs else F.lit(0).alias("n_words"),
-    ).groupBy("fails").agg(F.count(F.lit(1)).alias("rows"), F.sum("chars").alias("chars"), F.sum("n_words").alias("words")).collect()
-    left, order, rest = [(list(r["fails"]), r["rows"], r["chars"], r["words"]) for r in failed], [], list(range(len(rules)))
+    sample = docs.where(F.pmod(F.xxhash64(*key), F.lit(every)) == 0).select(text_of(text).alias("_text"))
+    rows = sample.select("_text", words(F.col("_text")).alias("_words")).persist()
+    try:
+        needs = sorted({n for r in rules for n in r.needs})
+        seconds = measure_seconds(rows, needs)
+        measures = {n: F.col(n) for n in needs}
+        measured = rows.select(F.length("_text").alias("_chars"), *[MEASURES[n](F.col("_text"), F.col("_words")).alias(n) for n in needs])
+        failed = measured.select(F.array(*[r.rejects(measures) for r in rules]).alias("fails"), "_chars").groupBy("fails").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("_chars").alias("chars")).collect()
+    finally:
+        rows.unpersist()
+    every_char = sum(r["chars"] for r in failed) or 1
+    left, order, rest = [(list(r["fails"]), r["rows"], r["chars"]) for r in failed], [], list(range(len(rules)))
 
     def rate(k: int) -> float:
-        cost = sum(
-            chars * sum(MEASURES[n][1] for n in rules[k].needs) + n_words * sum(MEASURES[n][2] for n in rules[k].needs)
-            for _, _, chars, n_words in left
-        )
-        return sum(n for fails, n, _, _ in left if fails[k]) / (cost + 1.0)
+        cost = sum(seconds[n] for n in rules[k].needs) * sum(chars for _, _, chars in left) / every_char
+        return sum(n for fails, n, _ in left if fails[k]) / (cost + 1e-9)
 
     while rest:
         best = max(rest, key=lambda k: (rate(k), -k))
@@ -143,10 +162,14 @@ def cascade(measures: dict[str, Column], ordered: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``_row`` and ``rejected_by``: the verdict of the cascade, measures evaluated as it goes."""
-    ordered = plan_cascade(docs, rules, text=text)
-    rows = packed(docs, text_of(text).alias("_text")).select("_row", "_text", words(F.col("_text")).alias("_words"))
-    lazy = {n: f(F.col("_text"), F.col("_words")) for n, (f, _, _) in MEASURES.items()}
-    return rows.select("_row", cascade(lazy, ordered).alias("rejected_by"))
+    return judged_by(docs, plan_cascade(docs, rules, text=text), text)
+
+
+def judged_by(docs: DataFrame, ordered: list[Rule], text: str = "text") -> DataFrame:
+    """``_row`` and ``rejected_by`` under rules in a given order; the words are split once, where the cascade is."""
+    value = F.col("_text")
+    verdict = let(words(value), lambda w: cascade({n: f(value, w) for n, f in MEASURES.items()}, ordered))
+    return packed(docs, text_of(text).alias("_text")).select("_row", verdict.alias("rejected_by"))
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
