@@ -32,7 +32,7 @@ from .common import checkpoint, count_rows, packed, text_of
 
 BLOCK_ROWS = 8
 CYCLE = 1000
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 SEED = "mix-1"
 
 
@@ -79,7 +79,8 @@ def schedule(plan: DataFrame) -> DataFrame:
 
 
 def _order_key(seed: str) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_doc").cast("string"), F.lit(""))))
+    """Rows without doc_id take their text's hash, so that they are spread as well."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_doc").cast("string"), F.col("_th").cast("string"))))
 
 
 def small(df: DataFrame, limit: int = 200_000) -> DataFrame:
@@ -130,9 +131,15 @@ def mixed(docs: DataFrame, shares: dict[str, int] | None = None, *, cycle: int =
     ``shares`` maps source names to integer weights; without it, shares follow the square root
     of the sources' sizes. Only tables with a row per source, slot or slice are gathered.
     """
-    plan = _plan(docs, shares, cycle)
     narrow = docs.select("doc_id", "source", F.xxhash64(text_of()).cast("string").alias("text"))
-    rows = numbered(narrow, plan, seed, slice_rows).select("_source", "_doc", "_nth")
+    found = with_position(narrow, shares, cycle=cycle, block_rows=block_rows, seed=seed, slice_rows=slice_rows)
+    return found.select("_row.doc_id", F.col("_row.source").cast("string").alias("source"), "block", "cycle", "slot", "position")
+
+
+def with_position(docs: DataFrame, shares: dict[str, int] | None = None, *, cycle: int = CYCLE, block_rows: int = BLOCK_ROWS, seed: str = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``_row``, the whole row, and its ``block``, ``cycle``, ``slot`` and ``position``."""
+    plan = _plan(docs, shares, cycle)
+    rows = numbered(docs, plan, seed, slice_rows).select("_row", "_source", "_nth")
     # Places of the blocks: one row per block, made from the counts alone.
     last, run = F.ceil(F.col("n") / block_rows), 10_000
     runs = plan.select(F.col("source").alias("_p"), "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((last - 1) / run))).alias("_run")).repartition("_p", "_run")
@@ -148,7 +155,7 @@ def mixed(docs: DataFrame, shares: dict[str, int] | None = None, *, cycle: int =
     rows = rows.withColumn("block", F.floor((F.col("_nth") - 1) / block_rows) + 1)
     on = rows["_source"].eqNullSafe(placed["_bs"]) & (rows["block"] == placed["_bb"])
     return rows.join(placed, on).select(
-        F.col("_doc").alias("doc_id"), F.col("_source").alias("source"), "block", "cycle", "slot",
+        "_row", "block", "cycle", "slot",
         (F.col("_at") + F.pmod(F.col("_nth") - 1, F.lit(block_rows))).alias("position"),
     )
 
