@@ -102,13 +102,15 @@ def full_sets(docs: DataFrame, nodes: DataFrame, length: int = LENGTH) -> DataFr
                     node.append(name)
                     digests.append(digest)
                     sets.append(values)
-            yield pd.DataFrame({"node": node, "set": sets})
+            if node:
+                yield pd.DataFrame({"node": node, "set": pd.Series(sets, dtype=object)})
 
-    wanted = nodes.select("node", "digest", F.col("first").alias("_first"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
-    found = texts.join(small(wanted, SENT_ROWS // 4), F.col("_doc").eqNullSafe(F.col("_first"))).select("node", "digest", "text")
-    sets = found.mapInPandas(rows, "node long, set array<long>")
-    return sets.dropDuplicates(["node"]) if count_rows(wanted.where("_first is null")) else sets
+    wanted = nodes.select("node", "digest", F.col("first").alias("_first"), F.col("th").alias("_th"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_dh"), F.col("text").cast("string").alias("text"))
+    # By the text's hash too: a class meets its own text, not all texts that share a doc_id or have none.
+    mine = F.col("_doc").eqNullSafe(F.col("_first")) & (F.col("_dh") == F.col("_th"))
+    found = texts.join(small(wanted, SENT_ROWS // 4), mine).select("node", "digest", "text")
+    return found.mapInPandas(rows, "node long, set array<long>").dropDuplicates(["node"])
 
 
 def shared_values(classes: DataFrame, k: int = K) -> DataFrame:
@@ -289,14 +291,16 @@ def components(links: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, ``th``, n_shingles and component_id of every row."""
     rows = saved(sketches(docs), "near-sketches")
-    first = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
+    # The row that stands for a class: of those with the smallest doc_id, the one with the smallest text hash.
+    first = rows.where("n_shingles > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("first"), F.min_by("th", F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("th"), F.first("sketch").alias("sketch"))
     classes = saved(first.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     lists, central = index(shared_values(classes), percent)
     short, long = _sized(lists, ["value"], LIST_ROWS)
     pairs = saved(plausible(list_pairs(short, ["value"]), classes, least=least_shared(percent)), "near-pairs")
     long = checkpoint(long.select("value", "node"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long.select("node")).distinct()
-    sets = saved(full_sets(docs, checkpoint(classes.join(wanted, "node").select("node", "digest", "first"))), "near-sets")
+    sets = saved(full_sets(docs, checkpoint(classes.join(wanted, "node").select("node", "digest", "first", "th"))), "near-sets")
     links, more = around_pivots(long, sets, central, percent)
     found = confirmed(pairs, sets, percent)
     for extra in more:
