@@ -17,7 +17,8 @@
    toward the others linked with it, and goes on to be asked, in a group of its own, against the
    members closed before that may still be linked with it: Jaccard distance is a metric, so their
    distances to each pivot differ by no more than a link has; and two that are connected by links
-   found so far need no test. The bounds are exact, no link is lost.
+   found so far need no test. What a member alone has or lacks against the first pivot tells it from every other, so members with much
+   of that go at once, and pairs that have too much of it together are not made. The bounds are exact, no link is lost.
 4. Pairs pass the union-sketch estimate, then 100 * intersection >= 85 * union on full sets.
 5. Links are contracted to components, round by round, in tables.
 
@@ -55,7 +56,8 @@ PAIRS_AT_ONCE = 2_000_000
 #: Groups within groups that take pivots; what is left of deeper ones is asked pair by pair.
 TURNS_DEEP = 4
 #: Of members whose core alone may do: in each group, those ``open`` are asked against those ``other``.
-HEAVY = ("group", "node", "central", "open", "other", "far", "label")
+#: ``size`` is the set's, ``own`` what no other member has or lacks against the pivot, ``common`` the rest of that difference.
+HEAVY = ("group", "node", "central", "open", "other", "far", "label", "size", "own", "common")
 
 
 def least_shared(percent: int, k: int = K) -> int:
@@ -179,12 +181,12 @@ def _possible(shared: Column, percent: int) -> Column:
 
 
 def _against(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``rows`` (``pivot``, ``node``, ...) with the set size ``n``, ``both``, ``linked``, the distance ``apart`` and ``more``, what the pivot lacks."""
+    """``rows`` (``pivot``, ``node``, ...) with the set size ``n``, ``both``, ``linked``, the distance ``apart``, ``more``, what the pivot lacks, and ``less``, what it has alone."""
     held = sets.select(F.col("node").alias("_n"), "set")
     theirs = sets.select(F.col("node").alias("_p"), F.col("set").alias("pset"))
     found = rows.join(held, F.col("node") == F.col("_n")).join(theirs, F.col("pivot") == F.col("_p"))
-    more, n = F.array_except("set", "pset"), F.size("set")
-    found = found.select(*rows.columns, n.alias("n"), F.size("pset").alias("_pn"), more.alias("more")).withColumn("both", F.col("n") - F.size("more"))
+    more, less, n = F.array_except("set", "pset"), F.array_except("pset", "set"), F.size("set")
+    found = found.select(*rows.columns, n.alias("n"), F.size("pset").alias("_pn"), more.alias("more"), less.alias("less")).withColumn("both", F.col("n") - F.size("more"))
     union = F.col("n") + F.col("_pn") - F.col("both")
     return found.withColumn("linked", 100 * F.col("both") >= percent * union).withColumn("apart", 1 - F.col("both") / union).drop("_pn")
 
@@ -230,9 +232,20 @@ def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent
     # Members whose core alone may do: pivots in turn, until the pairs left are few.
     reach = 1 - percent / 100 + 1e-9
     heavy = facts.where("heavy").select(
-        F.col("_fp").cast("string").alias("group"), F.col("_fn").alias("node"), "central", "open", F.lit(True).alias("other"),
+        "_fp", F.col("_fp").cast("string").alias("group"), F.col("_fn").alias("node"), "central", "open", F.lit(True).alias("other"),
         F.array("apart").alias("far"), F.col("_fn").alias("label"),
     )
+    # Two members differ in all that is one's own, and in as much of the rest as one has more of than the other.
+    differs = rows.join(heavy.select("_fp", F.col("node").alias("_hn")), (F.col("pivot") == F.col("_fp")) & (F.col("node") == F.col("_hn")))
+    differs = saved(differs.select(F.col("pivot").alias("_dp"), F.col("node").alias("_dn"), F.col("n").alias("size"), F.concat("more", "less").alias("_d")), "near-differences")
+    held_by = differs.select("_dp", "_dn", F.explode("_d").alias("_v")).groupBy("_dp", "_v").agg(F.count(F.lit(1)).alias("_c"), F.min("_dn").alias("_on"))
+    alone = held_by.where("_c = 1").groupBy(F.col("_dp").alias("_op"), "_on").agg(F.count(F.lit(1)).alias("_alone"))
+    own = F.coalesce("_alone", F.lit(0))
+    measured = differs.join(alone, (F.col("_dp") == F.col("_op")) & (F.col("_dn") == F.col("_on")), "left").select(
+        "_dp", "_dn", "size", own.alias("own"), (F.size("_d") - own).alias("common"))
+    heavy = heavy.join(measured, (F.col("_fp") == F.col("_dp")) & (F.col("node") == F.col("_dn"))).select(*HEAVY)
+    largest = F.col("size") * (1 + 100 / percent) * (100 - percent) / (100 + percent) + 1e-6  # difference with the largest partner there is
+    heavy = saved(heavy.where(F.col("own") <= largest), "near-heavy")
     labels = None
     while True:
         asks = F.sum(F.col("open").cast("long")) * F.sum(F.col("other").cast("long"))
@@ -244,7 +257,7 @@ def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent
         kept, heavy = heavy.where(~may_turn), heavy.where(may_turn)
         turn = saved(heavy.where("open").groupBy(F.col("group").alias("_g")).agg(F.max_by("node", F.struct("central", "node")).alias("pivot")), "near-turn")
         asked = heavy.join(turn, F.col("group") == F.col("_g")).select(*HEAVY, "pivot")
-        asked = saved(_against(asked, sets, percent).drop("more").withColumn("far", F.concat("far", F.array("apart"))), "near-asked")
+        asked = saved(_against(asked, sets, percent).drop("more", "less").withColumn("far", F.concat("far", F.array("apart"))), "near-asked")
         found = asked.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).where("a <> b")
         links.append(found)
         not_pivot = F.col("node") != F.col("pivot")
@@ -257,12 +270,14 @@ def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent
         known = [x.select("a", "b") for x in ([labels.select(F.col("node").alias("a"), F.col("label").alias("b"))] if labels is not None else links[:1])]
         labels = components(reduce(DataFrame.unionByName, [*known, found]))
         heavy = _unconnected(rest.select(*HEAVY).unionByName(apart.select(*HEAVY)).unionByName(kept), labels)
-    asking = heavy.where("open").select(F.col("group").alias("_g"), F.col("node").alias("x"), F.col("far").alias("_far"), F.col("label").alias("_label"))
+    asking = heavy.where("open").select(F.col("group").alias("_g"), F.col("node").alias("x"), F.col("far").alias("_far"), F.col("label").alias("_label"), *[F.col(c).alias(f"_{c}") for c in ("size", "own", "common")])
     crossed = heavy.where("other").join(saved(asking, "near-open"), F.col("group") == F.col("_g")).where(F.col("node") != F.col("x"))
     if labels is not None:
         crossed = crossed.where(F.col("label") != F.col("_label"))
     near = ~F.exists(F.zip_with("far", "_far", lambda p, q: F.abs(p - q)), lambda gap: gap > reach)
-    pairs.append(crossed.where(near).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct())
+    differ = F.col("own") + F.col("_own") + F.abs(F.col("common") - F.col("_common"))
+    alike = differ * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("_size"))
+    pairs.append(crossed.where(near & alike).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct())
     return links, pairs
 
 
