@@ -39,6 +39,7 @@ SEED = 1
 SPACE_SIGN = "▁"
 BATCH_CHARS = 2_000_000
 SHORT = 64
+PREFIX = -2
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _BASE = 0x9FB21C651E98DF25
@@ -73,14 +74,17 @@ class Vocabulary:
     def __post_init__(self):
         self.longest = max(map(len, self.texts))
         self.single = {t for t in self.texts if len(t) == 1}
-        keys = np.array([self.hash(t) for t in self.texts], _U)
         self.by_text = dict(zip(self.texts, range(len(self.texts))))
-        self.low = _U((1 << 20) - 1)
-        self.keys, self.at = np.zeros(1 << 20, _U), np.zeros(1 << 20, np.int32)
-        for k, key in enumerate(keys):
-            slot = int(key & self.low)
+        # Beginnings of pieces are held too, so that a search ends where no piece goes on.
+        held = {t[:n]: PREFIX for t in self.texts for n in range(1, len(t))} | self.by_text
+        slots = 1 << max(20, (4 * len(held)).bit_length())
+        self.low = _U(slots - 1)
+        self.keys, self.at = np.zeros(slots, _U), np.zeros(slots, np.int32)
+        for text, k in held.items():
+            key = self.hash(text)
+            slot = key & (slots - 1)
             while self.keys[slot]:
-                slot = (slot + 1) & int(self.low)
+                slot = (slot + 1) & (slots - 1)
             self.keys[slot], self.at[slot] = key, k
 
     @staticmethod
@@ -89,7 +93,7 @@ class Vocabulary:
         return int(splitmix(sums[-1:] + _U(len(text)))[0])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Number of the piece with each key, -1 if there is none."""
+        """Number of the piece with each key, PREFIX if pieces only begin like that, -1 if none does."""
         slot = keys & self.low
         out = np.full(len(keys), -1, np.int32)
         left = np.arange(len(keys))
@@ -162,13 +166,14 @@ def lattices(chunks: list[str], vocab: Vocabulary) -> Lattices:
     place = np.arange(len(points))
     start_all, end_all, piece_all, weight_all = [], [], [], []
     covered = np.zeros(len(points), bool)
+    going = place
     for length in range(1, vocab.longest + 1):
-        start = place[place + length <= ends]
+        start = going[going + length <= ends[going]]
         if not len(start):
             break
         keys = splitmix((sums[start + length] - sums[start]) * undo[start] + _U(length))
         found = vocab.find(keys)
-        hit = found >= 0
+        going, hit = start[found != -1], found >= 0
         start, found = start[hit], found[hit]
         if length == 1:
             covered[start] = True
@@ -255,9 +260,8 @@ def sampled(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed: int = S
     counts = np.array([len(s) for s in split], np.int64)
     if not counts.sum():
         return [np.zeros(0, np.int32) for _ in texts]
-    distinct: dict[str, int] = {}
-    codes = np.fromiter((distinct.setdefault(c, len(distinct)) for s in split for c in s), np.int64, counts.sum())
-    grid = lattices(list(distinct), vocab)
+    codes, distinct = pd.factorize(np.array([c for s in split for c in s], dtype=object))
+    grid = lattices(distinct.tolist(), vocab)
     lengths = grid.size[codes]
     offset = np.cumsum(lengths) - lengths
     firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -301,10 +305,14 @@ def sampled(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed: int = S
     return [next(found) if n else np.zeros(0, np.int32) for n in counts]
 
 
+def spelled(ids, vocab: Vocabulary) -> bytes:
+    """The bytes of a sequence of piece ids, with the space in front."""
+    return b"".join(map(vocab.sounds.__getitem__, ids))
+
+
 def decoded(ids, vocab: Vocabulary) -> str:
     """The text of a sequence of piece ids."""
-    sounds = vocab.sounds
-    return b"".join([sounds[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
+    return spelled(ids, vocab)[1:].decode("utf-8", "surrogatepass")
 
 
 def encode(docs: DataFrame, *, model_file: str = MODEL, alpha: float = ALPHA, seed: int = SEED, check: bool = True) -> DataFrame:
@@ -322,7 +330,7 @@ def encode(docs: DataFrame, *, model_file: str = MODEL, alpha: float = ALPHA, se
             rows = sampled([texts.iloc[i] for i in held], keys.iloc[held].to_numpy(np.int64), vocab, seed)
             for i, ids in zip(held, rows):
                 found[i] = ids
-                same[i] = decoded(ids.tolist(), vocab) == texts.iloc[i] if check else None
+                same[i] = spelled(ids.tolist(), vocab)[1:] == texts.iloc[i].encode("utf-8", "surrogatepass") if check else None
             held.clear()
 
         for i, text in enumerate(texts):
