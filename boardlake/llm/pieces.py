@@ -260,8 +260,15 @@ def sampled(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed: int = S
     counts = np.array([len(s) for s in split], np.int64)
     if not counts.sum():
         return [np.zeros(0, np.int32) for _ in texts]
-    codes, distinct = pd.factorize(np.array([c for s in split for c in s], dtype=object))
-    grid = lattices(distinct.tolist(), vocab)
+    chunks = [c for s in split for c in s]
+    if any("\0" in t for t in texts):  # factorize takes texts that differ after a NUL for equal
+        numbers: dict[str, int] = {}
+        codes = np.fromiter((numbers.setdefault(c, len(numbers)) for c in chunks), np.int64, len(chunks))
+        distinct = list(numbers)
+    else:
+        codes, found = pd.factorize(np.array(chunks, dtype=object))
+        distinct = found.tolist()
+    grid = lattices(distinct, vocab)
     lengths = grid.size[codes]
     offset = np.cumsum(lengths) - lengths
     firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
