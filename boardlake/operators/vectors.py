@@ -270,6 +270,29 @@ def object_vote(found: DataFrame, query_id: str, weighted: bool = False) -> Data
     )
 
 
+def neighbour_lists(found: DataFrame, query_id: str) -> DataFrame:
+    """The neighbours of each query, nearest first, with id, label and distance; as many as the search has found."""
+    entry = F.struct("rank", F.col("neighbour_id").alias("id"), "label", "distance")
+    lists = found.groupBy(query_id).agg(F.array_sort(F.collect_list(entry)).alias("_n"))
+    return lists.select(query_id, F.transform("_n", lambda n: F.struct(n["id"].alias("id"), n["label"].alias("label"), n["distance"].alias("distance"))).alias("neighbours"))
+
+
+def neighbour_classification(found: DataFrame, query_id: str, weighted: bool = False) -> DataFrame:
+    """The vote of a query's neighbours together with the neighbours themselves."""
+    lists = neighbour_lists(found, query_id).withColumnRenamed(query_id, "_q")
+    return object_vote(found, query_id, weighted).join(lists, F.col(query_id) == F.col("_q")).drop("_q")
+
+
+def neighbour_segmentation(
+    cells: DataFrame, samples: DataFrame, cell_id: str, sample_id: str, features: str, k: int,
+    foreground: list[str], least_confidence: float, weighted: bool = False,
+) -> DataFrame:
+    """``mask`` of each cell: 255 where its neighbours agree on a foreground label with enough confidence."""
+    vote = object_vote(nearest(cells, samples, cell_id, sample_id, features, k), cell_id, weighted)
+    inside = F.col("predicted").isin(*foreground) & (F.col("confidence") >= least_confidence)
+    return vote.select(cell_id, "predicted", "confidence", F.when(inside, 255).otherwise(0).alias("mask"))
+
+
 # ---------------------------------------------------------------- class models
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -69,7 +69,7 @@ def outbox_sink(t):
 def kpis(t, *window):
     result = F.when(F.col("value") < 20, "PASS").otherwise("FAIL")
     closed = replay(
-        t.events, lambda e: st.windowed_kpis(e.withColumn("result", result), "ts", LATENESS, *window), "kpis", close_after="3 DAYS"
+        t.events, lambda e: st.windowed_kpis(e.withColumn("result", result), "ts", LATENESS, *window), "kpis", slices=2, close_after="3 DAYS"
     )
     return closed.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "total", "pass_count", "fail_count")
 

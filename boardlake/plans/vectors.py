@@ -96,6 +96,19 @@ def weighted_neighbour_vote(t):
     return v.select("vec_id", "predicted", F.round("confidence", 6).alias("confidence"))
 
 
+@query("i03_neighbour_list", f"""
+WITH k AS ({ranked_sql(L2, 5)}), p AS ({VOTE_SQL.strip()})
+SELECT p.vec_id, p.predicted, p.confidence, string_agg(k.label, ',' ORDER BY k.d, k.sid) AS labels, round(max(k.d), 6) AS farthest
+FROM p JOIN k ON k.qid = p.vec_id GROUP BY ALL
+""")
+def neighbour_list(t):
+    v = op.neighbour_classification(neighbours(t, 5), "vec_id", weighted=True)
+    return v.select(
+        "vec_id", "predicted", F.round("confidence", 6).alias("confidence"), F.array_join("neighbours.label", ",").alias("labels"),
+        F.round(F.array_max("neighbours.distance"), 6).alias("farthest"),
+    )
+
+
 @query("i04_tabular_neighbour_vote", f"""
 WITH k AS ({ranked_sql(L2, 7, 'label,')}), v AS (SELECT qid, label, count(*) AS c FROM k GROUP BY qid, label)
 SELECT qid AS vec_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, label) AS n FROM v) WHERE n = 1
@@ -198,10 +211,10 @@ def neighbour_segmentation(t):
         F.array(F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda a, v: a + (v.cast("double") + 1) / 2) / 8).alias("f"),
     )
     cells = t.v_pixel.select((F.col("image_id") * 64 + F.col("y") * 8 + F.col("x")).alias("pid"), F.array("v").alias("f"))
-    votes = op.nearest(cells, samples, "pid", "sid", "f", 5).groupBy("pid").agg(F.count_if(F.col("label") == "part").alias("c"))
-    return votes.select(
+    found = op.neighbour_segmentation(cells, samples, "pid", "sid", "f", 5, ["part"], 0.8)
+    return found.select(
         F.floor(F.col("pid") / 64).alias("image_id"), F.floor(F.pmod("pid", F.lit(64)) / 8).cast("int").alias("y"),
-        F.pmod("pid", F.lit(8)).cast("int").alias("x"), F.when(F.col("c") / 5.0 >= 0.8, 255).otherwise(0).alias("mask"),
+        F.pmod("pid", F.lit(8)).cast("int").alias("x"), "mask",
     )
 
 
