@@ -3,7 +3,7 @@
 from .mixing import BLOCK_ROWS, CYCLE, SEED
 from .resampling import BUCKETS, DRAWN_PERCENT, LEAST_WORDS
 from .resampling import SEED as DRAW_SEED
-from .reputation import MAX_BAD, SECOND_LEVEL, Z
+from .reputation import ADDRESS, DOTS, MAX_BAD, PORT, SECOND_LEVEL, USER, Z
 from .secrets import ACCESS, ASSIGN, ENDPOINT, HEX, IDENT, SCOPE, VALUE
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -152,9 +152,11 @@ WITH urls AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_LOWER}) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
 ),
 named AS (
-  SELECT host, suffix, array_to_string(l[greatest(len(l) - d + 1, 1):], '.') AS domain FROM (
-    SELECT host, l, suffix, len(string_split(suffix, '.')) + 1 AS d FROM (
-      SELECT host, l, {_HIER} AS suffix FROM (SELECT DISTINCT host, string_split(host, '.') AS l FROM urls)))
+  SELECT host, suffix, CASE WHEN regexp_matches(place, '{ADDRESS}') THEN place ELSE array_to_string(l[greatest(len(l) - d + 1, 1):], '.') END AS domain FROM (
+    SELECT host, place, l, suffix, len(string_split(suffix, '.')) + 1 AS d FROM (
+      SELECT host, place, l, CASE WHEN regexp_matches(place, '{ADDRESS}') THEN place ELSE {_HIER} END AS suffix FROM (
+        SELECT host, place, string_split(place, '.') AS l FROM (
+          SELECT DISTINCT host, regexp_replace(regexp_replace(regexp_replace(host, '{USER}', ''), '{PORT}', ''), '{DOTS}', '') AS place FROM urls))))
 ),
 counted AS (
   SELECT host, suffix, domain, count(*) AS n, count(*) FILTER (bad) AS bad FROM (

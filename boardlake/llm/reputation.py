@@ -8,7 +8,8 @@ of moments). A url is blocked when even the lower bound of its host's posterior
 deviations) is above ``max_bad``; hosts without labels inherit the posterior of the next level.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is
-judged by the overall rate. Null labels and ids are no outcomes. Repeated rows count as often as
+judged by the overall rate. Users, ports and dots at the end of a host do not count for its domain; an address
+is a domain of its own. An empty table gives an empty result. Null labels and ids are no outcomes. Repeated rows count as often as
 they occur. No labels at all: everything is allowed. Only the columns used are read.
 """
 
@@ -22,6 +23,8 @@ from .common import checkpoint, lower_ascii
 #: Second-level labels that, before a two-letter country, belong to the suffix.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: What a host may have besides its place among domains, and addresses in numbers.
+USER, PORT, DOTS, ADDRESS = "^.*@", ":[0-9]*$", "[.]+$", r"^([0-9]{1,3}([.][0-9]{1,3}){3}|\[.*\])$"
 MAX_BAD = 0.5
 Z = 2.0
 
@@ -34,17 +37,25 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def place_of(host: Column) -> Column:
+    """The host's place among domains: without a user, a port and dots at the end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, USER, ""), PORT, ""), DOTS, "")
+
+
 def suffix_of(host: Column) -> Column:
-    labels = F.split(host, r"\.")
+    """The public suffix; an address is its own."""
+    place = place_of(host)
+    labels = F.split(place, r"\.")
     last, before = F.element_at(labels, -1), F.try_element_at(labels, F.lit(-2))
     two = (F.length(last) == 2) & before.isin(*SECOND_LEVEL) & (F.size(labels) > 2)
-    return F.when(two, F.concat_ws(".", before, last)).otherwise(last)
+    return F.when(place.rlike(ADDRESS), place).when(two, F.concat_ws(".", before, last)).otherwise(last)
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
-    """The suffix and one label more; the host itself where it has no more."""
-    labels, depth = F.split(host, r"\."), F.size(F.split(suffix, r"\.")) + 1
-    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - depth + 1, F.lit(1)), depth), ".")
+    """The suffix and one label more; the host's place itself where it has no more, or is an address."""
+    place = place_of(host)
+    labels, depth = F.split(place, r"\."), F.size(F.split(suffix, r"\.")) + 1
+    return F.when(place.rlike(ADDRESS), place).otherwise(F.array_join(F.slice(labels, F.greatest(F.size(labels) - depth + 1, F.lit(1)), depth), "."))
 
 
 def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:

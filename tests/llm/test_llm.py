@@ -364,6 +364,17 @@ def test_rules_and_reputation(spark):
     assert {r["verdict"] for r in reputation.judged(pages.where("page_id > 3"), outcomes.limit(0)).collect()} == {"allow"}
 
 
+def test_places_of_hosts(spark):
+    hosts = {"a.example.org:8080": ("org", "example.org"), "10.1.2.3": ("10.1.2.3", "10.1.2.3"), "example.org.": ("org", "example.org"),
+             "user@x.co.uk": ("co.uk", "x.co.uk"), "me:pw@10.1.2.3:80": ("10.1.2.3", "10.1.2.3"), "[::1]:80": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    suffix = reputation.suffix_of(F.col("h"))
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", suffix.alias("s"), reputation.domain_of(F.col("h"), suffix).alias("d"))
+    assert {r["h"]: (r["s"], r["d"]) for r in rows.collect()} == hosts
+    pages = spark.createDataFrame([(1, "http://x.org/")] * 3, "page_id long, url string").withColumn("bad", F.lit("clash")).withColumn("host", F.lit(1))
+    outcomes = spark.createDataFrame([(1, True), (1, None), (2, False)], "page_id long, bad boolean")
+    assert reputation.judged(pages, outcomes).count() == 3 and reputation.judged(pages.limit(0), outcomes).count() == 0
+
+
 # 10
 def test_cascade_order_never_changes_the_verdict(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "fine plain words that nobody should ever want to reject here"), (3, "one two three four five " * 9), (4, "##$ %%& " * 20)], "doc_id long, text string")
