@@ -120,3 +120,23 @@ def test_unknown_schemas_are_found(spark, root):
 def test_an_empty_export_verifies(spark, tables, tmp_path):
     settings.write_export(*[t.limit(0) for t in tables], str(tmp_path / "none"), "2026-02-03T00:00:00Z")
     assert issues(spark, tmp_path / "none") == []
+
+
+def test_a_packed_export_verifies_and_leaves_no_lines_behind(spark, tables, tmp_path):
+    from boardlake.sources.storage import shared_folder
+
+    before = {p.name for p in pathlib.Path(shared_folder(spark)).glob("settings-lines-*")}
+    settings.write_export(*tables, str(tmp_path / "packed"), "2026-02-03T00:00:00Z", part_items=2, compression="gzip")
+    assert all(p.name.endswith(".gz") for p in part_files(tmp_path / "packed"))
+    assert issues(spark, tmp_path / "packed") == []
+    assert {p.name for p in pathlib.Path(shared_folder(spark)).glob("settings-lines-*")} == before
+
+
+def test_items_are_numbered_within_their_documents(spark, tables):
+    """Documents that come twice, under another key, hold their versions twice; a version of no document is left out."""
+    documents, versions, activations = tables
+    twice = documents.unionByName(documents.where("id = 2").withColumn("document_key", F.lit("recipe-0")))
+    items = settings.numbered_items(twice, versions, activations).collect()
+    got = sorted((r["collection"], r["at"], json.loads(r["item"])["id"]) for r in items)
+    assert [g for g in got if g[0] == "versions"] == [("versions", 1, 10), ("versions", 2, 20), ("versions", 3, 21), ("versions", 4, 20), ("versions", 5, 21)]
+    assert [g[2] for g in got if g[0] == "documents"] == [1, 2, 3, 2] and [g[1] for g in got if g[0] == "activations"] == [1, 2]
