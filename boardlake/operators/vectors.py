@@ -15,6 +15,10 @@ from .quantiles import exact_quantiles
 SMALL_SIDE_BYTES = 64 << 20
 PIVOTS = 64
 BLOCK_ROWS = 20_000
+MAX_BLOCKS = 16
+FEW_DIMENSIONS = 8
+TASK_PAIRS = 2_000_000_000
+TASK_QUERIES = 20_000
 METRICS = ("euclidean", "squared", "manhattan", "cosine")
 
 
@@ -29,55 +33,202 @@ def _exact(metric: str, q: np.ndarray, s: np.ndarray) -> np.ndarray:
     return squared if metric == "squared" else np.sqrt(squared)
 
 
-def _block_nearest(metric: str, queries: np.ndarray, samples: np.ndarray, k: int):
-    """Indices and distances of the k nearest samples per query; samples come in tie order.
+def _paired(metric: str, q: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Distance of each row of ``q`` from the row of ``s`` beside it; equal vectors get equal distances."""
+    if metric == "manhattan":
+        return np.abs(s - q).sum(axis=1)
+    if metric == "cosine":
+        return 1.0 - (s * q).sum(axis=1) / (np.sqrt((s * s).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
+    squared = ((s - q) ** 2).sum(axis=1)
+    return squared if metric == "squared" else np.sqrt(squared)
+
+
+def _halved(v: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers in runs of at most ``size`` rows that lie close together, cut in halves along the widest side."""
+    todo, out = [np.arange(len(v))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        part, half = v[rows], len(rows) // 2
+        side = part[:, np.argmax(part.max(axis=0) - part.min(axis=0))]
+        order = np.argpartition(side, half)
+        todo += [rows[order[half:]], rows[order[:half]]]
+    return out
+
 
-    A matrix product narrows the candidates, their distances are then computed directly, so
-    equal vectors get equal distances.
+def _sample_leaves(metric: str, samples: np.ndarray, k: int) -> dict:
+    """Samples, which come in tie order, as leaves with their bounds, ready to be searched for ``k`` neighbours.
+
+    Of equal samples only the first ``k`` can be among a query's neighbours. Beyond ``FEW_DIMENSIONS`` distances
+    are narrowed in short numbers, whose error is kept: single precision for products, and for sums of differences
+    whole numbers, as ``|a - b| = 2 max(a, b) - a - b``.
     """
-    k = min(k, len(samples))
-    step = max(1, 4_000_000 // max(len(samples), 1))
-    s = samples
-    if metric == "cosine":
-        s = samples / np.maximum(np.sqrt((samples * samples).sum(axis=1, keepdims=True)), 1e-300)
-    norms = (s * s).sum(axis=1)
-    for start in range(0, len(queries), step):
-        part = queries[start:start + step]
-        if metric == "manhattan":
-            rough = np.stack([np.abs(s - q).sum(axis=1) for q in part])
-            slack = np.zeros(len(part))
-        else:
-            p = part
-            if metric == "cosine":
-                p = part / np.maximum(np.sqrt((part * part).sum(axis=1, keepdims=True)), 1e-300)
-            own = (p * p).sum(axis=1)
-            rough = norms[None, :] - 2.0 * (p @ s.T)
-            slack = 1e-9 * (1.0 + own + norms.max(initial=0.0))
-        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        for i in range(len(part)):
-            near = np.flatnonzero(rough[i] <= kth[i] + slack[i])
-            d = _exact(metric, part[i], samples[near])
-            best = np.lexsort((near, d))[:k]
-            yield start + i, near[best], d[best]
+    whole = np.ascontiguousarray(samples)
+    _, same = np.unique(whole.view(np.dtype((np.void, whole.dtype.itemsize * whole.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    starts = np.flatnonzero(np.diff(same[order], prepend=-1))
+    nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    kept = np.sort(order[nth < k])
+    v = _prepared(whole[kept], metric)
+    width = v.shape[1]
+    few = width <= FEW_DIMENSIONS
+    leaves = _halved(v, 64 if few else 512)
+    at = np.concatenate(leaves)
+    v = v[at]
+    ends = np.cumsum([len(x) for x in leaves])
+    begins = np.append(0, ends[:-1])
+    index = {
+        "few": few, "rank": kept[at], "exact": whole[kept[at]], "begins": begins, "ends": ends,
+        "low": np.minimum.reduceat(v, begins), "high": np.maximum.reduceat(v, begins),
+    }
+    if few:
+        return index | {"v": v}
+    if metric == "manhattan":
+        least, most = float(v.min()), float(v.max())
+        step = max((most - least) / (65535 // width), 1e-300)
+        whole_v = np.clip(np.rint((v - least) / step), 0, 65535 // width).astype(np.uint16)
+        # What a sample loses at most, with the rounding of the sums.
+        error = np.abs(v - least - step * whole_v).sum(axis=1).max(initial=0.0) + 0.05 * step
+        return index | {"least": least, "step": step, "v": whole_v, "error": error, "sums": whole_v.sum(axis=1, dtype=np.int64).astype(np.float32)}
+    centre = v.mean(axis=0)
+    v = v - centre
+    short = np.float32 if np.abs(v).max(initial=0.0) < 1e15 else np.float64
+    v = v.astype(short)
+    return index | {"centre": centre, "v": v, "norms": (v * v).sum(axis=1)}
+
+
+def _rough_distances(metric: str, index: dict, q: np.ndarray):
+    """A function from places of samples to narrowed distances, what to add to them per query, and their error."""
+    v = index["v"]
+    zero = np.zeros(len(q))
+    if index["few"]:
+        def direct(cols):
+            out = np.zeros((len(q), len(cols)))
+            for j in range(q.shape[1]):
+                d = q[:, j, None] - v[cols, j][None, :]
+                out += np.abs(d) if metric == "manhattan" else d * d
+            return out
+
+        # Cosines of vectors that lie one behind the other differ by rounding alone.
+        return direct, zero, zero + (1e-13 if metric == "cosine" else 0.0)
+    if metric == "manhattan":
+        step = index["step"]
+        whole_q = np.clip(np.rint((q - index["least"]) / step), 0, 65535 // q.shape[1]).astype(np.uint16)
+        error = np.abs(q - index["least"] - step * whole_q).sum(axis=1) + index["error"]
+        sums = whole_q.sum(axis=1, dtype=np.int64).astype(np.float32)
+
+        def by_larger(cols):
+            out = np.empty((len(q), len(cols)), dtype=np.float32)
+            for at in range(0, len(cols), 4096):  # NumPy is several times slower on longer rows
+                columns = np.ascontiguousarray(v[cols[at:at + 4096]].T)
+                larger = np.empty_like(columns)
+                for i in range(len(q)):
+                    np.maximum(columns, whole_q[i][:, None], out=larger)
+                    out[i, at:at + 4096] = np.add.reduce(larger, axis=0, dtype=np.uint16)
+            out *= 2.0
+            out -= sums[:, None]
+            out -= index["sums"][cols][None, :]
+            out *= np.float32(step)
+            return out
+
+        return by_larger, zero, error
+    c = q - index["centre"]
+    own = (c * c).sum(axis=1)
+    short_q = (-2.0 * c).astype(v.dtype)
+    norms = index["norms"]
+    reach = float(norms.max(initial=0.0))
+    error = (q.shape[1] + 8) * float(np.finfo(v.dtype).eps) * (np.sqrt(own) + np.sqrt(reach)) ** 2
+
+    def product(cols):
+        out = short_q @ v[cols].T
+        out += norms[cols][None, :]
+        return out
+
+    return product, own, error
+
+
+def _group_nearest(metric: str, index: dict, queries: np.ndarray, k: int):
+    """Query, sample and distance of the ``k`` nearest samples of a few queries that lie close together.
+
+    Leaves are visited by their least possible distance, until none can hold anything closer.
+    """
+    q = _prepared(queries, metric)
+    rough, own, error = _rough_distances(metric, index, q)
+    gap = np.maximum(np.maximum(index["low"] - q.max(axis=0), q.min(axis=0) - index["high"]), 0.0)
+    floor = (gap if metric == "manhattan" else gap * gap).sum(axis=1) * (1 - 1e-9) - error.max()
+    order = np.argsort(floor, kind="stable")
+    floor = floor[order]
+    begins, ends = index["begins"][order], index["ends"][order]
+    filled = np.cumsum(ends - begins)
+    run = 1024 if index["few"] else 4096
+    best = np.full((len(q), k), np.inf)
+    limit = np.full(len(q), np.inf)
+    found, at = [], 0
+    while at < len(order):
+        reach = (limit + own).max()
+        if floor[at] > reach:
+            break
+        before = filled[at - 1] if at else 0
+        stop = min(np.searchsorted(filled, before + run) + 1, np.searchsorted(floor, reach, side="right"))
+        cols = np.concatenate([np.arange(b, e) for b, e in zip(begins[at:stop], ends[at:stop])])
+        at = stop
+        near = rough(cols)
+        if len(found) == 0 and len(cols) > k:
+            first = np.partition(near, k - 1, axis=1)[:, k - 1].astype(np.float64)
+            limit = first + 2 * error + 1e-9 * np.abs(first)
+        # Rounded up, as narrowed distances are compared in their own precision.
+        row, col = np.nonzero(near <= np.nextafter(limit.astype(near.dtype), np.array(np.inf, dtype=near.dtype))[:, None])
+        if not len(row):
+            continue
+        value = near[row, col].astype(np.float64)
+        found.append((row, cols[col], value))
+        counts = np.bincount(row, minlength=len(q))
+        more = np.full((len(q), counts.max()), np.inf)
+        more[row, np.arange(len(row)) - (np.cumsum(counts) - counts)[row]] = value
+        best = np.partition(np.concatenate([best, more], axis=1), k - 1, axis=1)[:, :k]
+        kth = best.max(axis=1)
+        limit = np.minimum(limit, kth + 2 * error + 1e-9 * np.abs(kth))
+    if not found:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+    row, col, value = (np.concatenate(x) for x in zip(*found))
+    kept = value <= limit[row]
+    row, col = row[kept], col[kept]
+    d = _paired(metric, queries[row], index["exact"][col])
+    rank = index["rank"][col]
+    order = np.lexsort((rank, d, row))
+    row = row[order]
+    first = np.searchsorted(row, row, side="left")
+    kept = np.arange(len(row)) - first < k
+    return row[kept], rank[order][kept], d[order][kept]
+
+
+def _leaves_nearest(metric: str, index: dict, queries: np.ndarray, k: int):
+    """Query, sample (its place in tie order) and distance of the ``k`` nearest samples per query."""
+    out = []
+    for rows in _halved(_prepared(queries, metric), 64 if index["few"] else 256):
+        row, near, d = _group_nearest(metric, index, queries[rows], k)
+        out.append((rows[row], near, d))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
-def _pairs(metric, k, q_ids, q, sample_frame, s, same_side) -> pd.DataFrame:
+def _pairs(metric, k, q_ids, q, sample_frame, index, same_side) -> pd.DataFrame:
     ids = sample_frame["_sid"].to_numpy()
     labels = sample_frame["_label"].to_numpy()
-    out = []
-    for i, near, d in _block_nearest(metric, q, s, k + 1 if same_side else k):
-        if same_side:
-            keep = ids[near] != q_ids[i]
-            near, d = near[keep][:k], d[keep][:k]
-        out.append((np.repeat(q_ids[i], len(near)), ids[near], labels[near], d))
-    if not out:
-        return pd.DataFrame({"_qid": [], "_sid": [], "_label": [], "distance": []})
-    q_col, s_col, l_col, d_col = (np.concatenate(c) for c in zip(*out))
-    return pd.DataFrame({"_qid": q_col, "_sid": s_col, "_label": l_col, "distance": d_col})
+    row, near, d = _leaves_nearest(metric, index, q, min(k + 1 if same_side else k, len(ids)))
+    if same_side:
+        other = ids[near] != q_ids[row]
+        row, near, d = row[other], near[other], d[other]
+        # Queries come one after the other, their neighbours nearest first.
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        nth = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+        row, near, d = row[nth < k], near[nth < k], d[nth < k]
+    return pd.DataFrame({"_qid": q_ids[row], "_sid": ids[near], "_label": labels[near], "distance": d})
 
 
 def nearest(
@@ -100,7 +251,9 @@ def nearest(
     Ties go to the smaller sample id, or to the smaller label when ``order="label"``. The
     sample side is counted first: within ``small_side_bytes`` it is broadcast; beyond that
     both sides are partitioned around pivots and cells are skipped by the triangle
-    inequality, with every cell and every query group cut into blocks of bounded size.
+    inequality. Cells share blocks of at least ``block_rows`` rows; there are about
+    ``MAX_BLOCKS`` on a side, more only where blocks would exceed ``SMALL_SIDE_BYTES``. Where no cell can be
+    skipped every query meets every block, so each side moves as often as the other has blocks.
     """
     if metric not in METRICS:
         raise ValueError(f"no distance named {metric!r}")
@@ -131,26 +284,48 @@ def _tie_sorted(frame: pd.DataFrame, by_label: bool) -> pd.DataFrame:
 
 
 def _nearest_broadcast(q, s, k, metric, by_label, exclude_self, schema):
-    """Sample side within the checked size: one broadcast block, no shuffle of the queries."""
+    """Sample side within the checked size: one broadcast block; queries are spread over tasks by the work they make."""
     block = _tie_sorted(s.toPandas(), by_label)
-    shared = q.sparkSession.sparkContext.broadcast((block[["_sid", "_label"]], _matrix(block["_f"])))
+    index = _sample_leaves(metric, _matrix(block["_f"]), k + 1 if exclude_self else k)
+    shared = q.sparkSession.sparkContext.broadcast((block[["_sid", "_label"]], index))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame, matrix = shared.value
-        for batch in batches:
-            if len(batch):
-                yield _pairs(metric, k, batch["_qid"].to_numpy(), _matrix(batch["_f"]), frame, matrix, exclude_self)
+        frame, leaves = shared.value
+        for batch in _gathered(batches, TASK_QUERIES):
+            yield _pairs(metric, k, batch["_qid"].to_numpy(), _matrix(batch["_f"]), frame, leaves, exclude_self)
+
+    total = q.count()
+    tasks = max(1, min(-(-total * len(block) // TASK_PAIRS), -(-total // TASK_QUERIES)), min(8, total // 1000))
+    return q.repartition(tasks, "_qid").mapInPandas(search, schema)
+
+
+def _gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows in batches of about ``rows``."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += len(batch)
+        if count >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, count = [], 0
+    if count:
+        yield pd.concat(held, ignore_index=True)
 
-    return q.mapInPandas(search, schema)
+
+def _rows_per_block(rows: int, width: int, block_rows: int) -> int:
+    return max(block_rows, min(-(-rows // MAX_BLOCKS), SMALL_SIDE_BYTES // (width * 8 + 64)))
 
 
 def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, block_rows):
-    """Partitioned search. Round one looks into each query's own cell and gives an upper
-    bound; round two visits only cells that may hold something closer than that bound."""
+    """Partitioned search. Round one looks into the block of each query's own cell and gives an upper
+    bound; round two visits only blocks with a cell that may hold something closer than that bound."""
     # Cosine order equals Euclidean order of unit vectors; other distances are metrics.
     bound_metric = "manhattan" if metric == "manhattan" else "euclidean"
     chosen = s.orderBy(F.xxhash64("_sid"), "_sid").limit(pivots).select("_f").toPandas()
     centres = _prepared(_matrix(chosen["_f"]), metric)
+    width = centres.shape[1]
+    # Cells are numbered along the side on which the pivots differ most, so neighbours in number lie close.
+    centres = centres[np.argsort(centres[:, np.argmax(centres.max(axis=0) - centres.min(axis=0))], kind="stable")]
 
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for f in batches:
@@ -164,43 +339,54 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
     s = checkpoint(s.withColumn("_p", placed("_f")).select("_sid", "_label", "_f", "_p.cell", "_p.d"))
     cells = s.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
     info = {r["cell"]: (r["n"], r["radius"]) for r in cells.collect()}  # at most one row per pivot
-    blocks = {c: -(-n // block_rows) for c, (n, _) in info.items()}
-    block_of = F.create_map(*[F.lit(x) for c in blocks for x in (c, blocks[c])])
-    s = s.withColumn("s_block", F.pmod(F.xxhash64("_sid"), block_of[F.col("cell")]).cast("int")).drop("d")
-    total = q.count()
-    q_blocks = max(1, -(-total // block_rows))
+    occupied = sorted(info)
+    most = _rows_per_block(sum(n for n, _ in info.values()), width, block_rows)
+    # Cells in a row share a group while they fit one block; a larger cell is a group of several blocks.
+    group_of, sizes = {}, []
+    for c in occupied:
+        if not sizes or sizes[-1] + info[c][0] > most:
+            sizes.append(0)
+        sizes[-1] += info[c][0]
+        group_of[c] = len(sizes) - 1
+
+    def lookup(values: dict) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+    groups = lookup(group_of)
+    blocks = lookup({g: -(-n // most) for g, n in enumerate(sizes)})
+    s = s.withColumn("group", groups[F.col("cell")]).drop("d", "cell")
+    s = s.withColumn("s_block", F.pmod(F.xxhash64("_sid"), blocks[F.col("group")]).cast("int"))
     q = checkpoint(q.withColumn("_p", placed("_f")).select(
-        "_qid", "_f", F.col("_p.cell").alias("home"), F.col("_p.all").alias("all"),
-        F.pmod(F.xxhash64("_qid"), F.lit(q_blocks)).cast("int").alias("q_block"),
+        "_qid", "_f", F.coalesce(groups[F.col("_p.cell")], F.lit(0)).alias("home"), F.col("_p.all").alias("all"),
     ))
+    homes = {r["home"]: r["n"] for r in q.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row per group
+    if not homes:
+        return q.sparkSession.createDataFrame([], schema)
+    q_most = _rows_per_block(sum(homes.values()), width, block_rows)
+    shares = lookup({h: -(-n // q_most) for h, n in homes.items()})
+    q = q.withColumn("q_block", F.pmod(F.xxhash64("_qid"), shares[F.col("home")]).cast("int"))
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"_qid": [], "_sid": [], "_label": [], "distance": []})
         right = _tie_sorted(right, by_label)
-        return _pairs(
-            metric, k, left["_qid"].to_numpy(), _matrix(left["_f"]), right[["_sid", "_label"]],
-            _matrix(right["_f"]), exclude_self,
-        )
+        leaves = _sample_leaves(metric, _matrix(right["_f"]), k + 1 if exclude_self else k)
+        return _pairs(metric, k, left["_qid"].to_numpy(), _matrix(left["_f"]), right[["_sid", "_label"]], leaves, exclude_self)
+
+    keys = ["k_group", "k_sample", "k_home", "k_query"]
 
     def visit(targets: DataFrame) -> DataFrame:
-        """targets: (_qid, _f, q_block, cell), one row per cell a query must look into."""
-        wanted = targets.select(F.col("cell").alias("w_cell"), F.col("q_block").alias("w_block")).distinct()
+        """targets: (_qid, _f, home, q_block, group), one row per group a query must look into."""
+        wanted = targets.select(F.col("group").alias("k_group"), F.col("home").alias("k_home"), F.col("q_block").alias("k_query")).distinct()
         left = targets.select(
-            "_qid", "_f", F.col("cell").alias("k_cell"), F.col("q_block").alias("k_query"),
-            F.explode(F.sequence(F.lit(0), (block_of[F.col("cell")] - 1).cast("int"))).alias("k_sample"),
-        )
-        right = s.join(wanted, F.col("cell") == F.col("w_cell")).select(
-            "_sid", "_label", "_f", F.col("w_cell").alias("k_cell"), F.col("w_block").alias("k_query"),
-            F.col("s_block").alias("k_sample"),
+            "_qid", "_f", F.col("group").alias("k_group"), F.col("home").alias("k_home"), F.col("q_block").alias("k_query"),
+            F.explode(F.sequence(F.lit(0), (blocks[F.col("group")] - 1).cast("int"))).alias("k_sample"),
         )
-        keys = ["k_cell", "k_sample", "k_query"]
+        right = s.join(wanted, F.col("group") == F.col("k_group")).select("_sid", "_label", "_f", F.col("s_block").alias("k_sample"), "k_group", "k_home", "k_query")
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
 
-    occupied = sorted(info)
-    at_home = q.where(F.col("home").isin(occupied)).select("_qid", "_f", "q_block", F.col("home").alias("cell"))
-    first = checkpoint(visit(at_home))
-    # With several blocks per home cell the k-th distance over all of them is wanted.
+    first = checkpoint(visit(q.select("_qid", "_f", "home", "q_block", F.col("home").alias("group"))))
+    # With several blocks per home group the k-th distance over all of them is wanted.
     kth = top_rows(first, ["_qid"], [F.asc("distance")], k).groupBy("_qid").agg(
         F.count(F.lit(1)).alias("n"), F.max("distance").alias("reach")
     )
@@ -209,20 +395,19 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
         reach = F.sqrt(reach)
     elif metric == "cosine":
         reach = F.sqrt(2.0 * reach)
-    radius = F.create_map(*[F.lit(x) for c in occupied for x in (c, float(info[c][1]))])
+    radius = lookup({c: float(r) for c, (_, r) in info.items()})
     bounded = q.join(kth.select("_qid", reach.alias("reach")), "_qid", "left")
     slack = F.lit(1e-9)
+
+    def within(cell: Column) -> Column:
+        to_pivot = F.get("all", cell)
+        return F.col("reach").isNull() | (to_pivot - radius[cell] <= F.col("reach") + slack * (1 + to_pivot))
+
+    near = F.filter(F.array(*[F.lit(c) for c in occupied]), within)
     others = bounded.select(
-        "_qid", "_f", "q_block", "home", "reach", F.posexplode("all").alias("cell", "to_pivot")
-    ).where(
-        F.col("cell").isin(occupied)
-        & (F.col("cell") != F.col("home"))
-        & (
-            F.col("reach").isNull()
-            | (F.col("to_pivot") - radius[F.col("cell")] <= F.col("reach") + slack * (1 + F.col("to_pivot")))
-        )
-    )
-    return first.unionByName(visit(others.select("_qid", "_f", "q_block", "cell")))
+        "_qid", "_f", "home", "q_block", F.explode(F.array_distinct(F.transform(near, lambda c: groups[c]))).alias("group")
+    ).where(F.col("group") != F.col("home"))
+    return first.unionByName(visit(others))
 
 
 def _prepared(v: np.ndarray, metric: str) -> np.ndarray:

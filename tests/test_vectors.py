@@ -129,3 +129,36 @@ def test_failed_items_policy(spark):
     assert good.count() == 2 and failed.count() == 2
     with pytest.raises(ValueError):
         op.split_failed_items(df, {"odd": F.col("id") % 2 == 1}, policy="fail")
+
+
+@pytest.mark.parametrize("metric", op.METRICS)
+@pytest.mark.parametrize("width", [1, 2, 20])
+def test_leaves_give_the_neighbours_of_a_full_scan_ties_included(metric, width):
+    rng = np.random.default_rng(width)
+    x = rng.integers(1, 9, size=(1500, width)).astype(float)
+    x[700:900] = x[0]
+    q = np.concatenate([x[:60], rng.normal(size=(60, width)) * 20])
+    row, near, d = op._leaves_nearest(metric, op._sample_leaves(metric, x, 5), q, 5)
+    for i in range(len(q)):
+        full = op._paired(metric, np.repeat(q[i:i + 1], len(x), axis=0), x)
+        assert near[row == i].tolist() == np.lexsort((np.arange(len(x)), full))[:5].tolist()
+
+
+def test_few_dimensions_visit_few_samples(monkeypatch):
+    seen = []
+    make = op._rough_distances
+
+    def counted(metric, index, q):
+        rough, own, error = make(metric, index, q)
+        return lambda cols: (seen.append(len(q) * len(cols)), rough(cols))[1], own, error
+
+    monkeypatch.setattr(op, "_rough_distances", counted)
+    x = np.random.default_rng(0).normal(size=(50_000, 2))
+    op._leaves_nearest("euclidean", op._sample_leaves("euclidean", x, 3), x[:5000], 3)
+    assert sum(seen) < 0.1 * 5000 * 50_000
+
+
+def test_blocks_grow_with_the_rows_up_to_a_size():
+    assert op._rows_per_block(1000, 64, 400) == 400
+    assert op._rows_per_block(720_000, 64, 400) == 45_000
+    assert op._rows_per_block(10**9, 64, 400) == op.SMALL_SIDE_BYTES // (64 * 8 + 64)
