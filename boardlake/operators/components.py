@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
 #: Costs are compared in millionths; within one, pairs are told apart by a small term of their numbers.
 COST_UNIT = 1_000_000
 TIE_UNIT = 1024
@@ -146,23 +148,30 @@ def match_components(observed: DataFrame, golden: DataFrame, tolerance: float |
     cost = tolerance if isinstance(tolerance, MatchCost) else MatchCost(float(tolerance))
     apart = _whole(cost.apart)
     near = pair_costs(observed, golden, cost)
-    kept = ["det_id", "ref", "cost", "distance", "g_kind", "kind", "x", "y", "gx", "gy", "angle", "g_angle", "size", "g_size"]
-    boards = near.groupBy("board_id", "board_type").agg(F.collect_list(F.struct(*kept)).alias("pairs"))
+    kept = ["ref", "cost", "det_id", "distance", "g_kind", "kind", "x", "y", "gx", "gy", "angle", "g_angle", "size", "g_size"]
+    boards = near.groupBy("board_id", "board_type").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("pairs"))
+    # Pairs come by reference, each one's cheapest first.
+    first = F.filter("pairs", lambda p, i: (i == 0) | (F.get("pairs", i - 1)["ref"] != p["ref"]))
+    boards = boards.withColumn("first", first)
 
     @F.pandas_udf("array<int>")
     def chosen(refs: pd.Series, dets: pd.Series, costs: pd.Series) -> pd.Series:
         out = []
         for r, d, c in zip(refs, dets, costs):
+            if r is None:
+                out.append(None)
+                continue
             r, d = r.tolist(), d.tolist()
             at = {pair: k for k, pair in enumerate(zip(r, d))}
             out.append([at[pair] for pair in least_assignment(r, d, c.tolist(), apart)])
         return pd.Series(out, dtype=object)
 
-    # A board with one pair needs no choice.
-    single = boards.where(F.size("pairs") == 1).select("board_id", "board_type", F.col("pairs")[0].alias("p"))
-    picked = chosen("pairs.ref", "pairs.det_id", "pairs.cost")
-    several = boards.where(F.size("pairs") > 1).select("board_id", "board_type", F.explode(F.transform(picked, lambda k: F.get("pairs", k))).alias("p"))
-    return single.unionByName(several).select(
+    # Where the cheapest pairs take different detections nobody is in another's way, and no choice is needed.
+    crowded = F.size(F.array_distinct("first.det_id")) < F.size("first")
+    picked = chosen(*[F.when(crowded, F.col(f"pairs.{c}")) for c in ("ref", "det_id", "cost")])
+    boards = boards.withColumn("_picked", picked)
+    matched = F.when(F.col("_picked").isNull(), F.col("first")).otherwise(F.transform("_picked", lambda k: F.get("pairs", k)))
+    return boards.select("board_id", "board_type", F.explode(matched).alias("p")).select(
         "board_id", "board_type", F.col("p.g_kind").alias("kind"), "p.ref", "p.det_id", "p.distance", "p.x", "p.y", "p.gx", "p.gy",
         "p.angle", "p.g_angle", F.col("p.kind").alias("seen_kind"), (F.floor(F.col("p.cost") / TIE_UNIT) / COST_UNIT).alias("cost"),
     )
@@ -179,13 +188,19 @@ def expected_components(observed: DataFrame, golden: DataFrame, boards: DataFram
     return boards.join(golden.select("board_type", "ref", "kind"), "board_type")
 
 
-def component_report(observed: DataFrame, golden: DataFrame, tolerance: float | MatchCost, boards: DataFrame | None = None) -> DataFrame:
+def component_report(
+    observed: DataFrame, golden: DataFrame, tolerance: float | MatchCost, boards: DataFrame | None = None, matched: DataFrame | None = None,
+) -> DataFrame:
     """Golden components matched, taken by a wrong object or missing, and extra detections.
 
     ``kind`` is that of the golden component, for extra ones the detection's; ``seen_kind`` is what was found.
+    ``matched`` is what ``match_components`` has found for the same tables; it is read twice, so without it the
+    pairs are worked out once and stored.
     """
     keys = ["board_id", "board_type"]
-    matched = match_components(observed, golden, tolerance)
+    if matched is None:
+        found = match_components(observed, golden, tolerance).select(*keys, "ref", "det_id", "seen_kind")
+        matched = written(found, "component-pairs", compression="zstd")
     pairs = matched.select(*keys, F.col("ref").alias("_ref"), F.col("det_id").alias("_det"), "seen_kind")
     want = expected_components(observed, golden, boards)
     on_ref = [want[k] == pairs[k] for k in keys] + [want["ref"] == pairs["_ref"]]

@@ -123,7 +123,7 @@ def saved_matches(t):
     """The matches, stored: models are fitted on some boards and applied to others."""
     from ..sources.storage import written
 
-    return written(matched_components(t), "matched-components")
+    return written(matched_components(t), "matched-components", compression="zstd")
 
 
 def features(t, matched):
@@ -191,7 +191,7 @@ def logic_score(t):
     placed = op.position_deviation(matched, op.fit_positions(good_only(matched, t), RIDGE))
     poses = placed.withColumn("turn", op.angle_deviation(F.col("angle"), F.col("g_angle")))
     s = op.logic_score(
-        op.component_report(observed, golden, COST, t.v_board), poses, op.count_deviation(observed, golden, t.v_board),
+        op.component_report(observed, golden, COST, t.v_board, matched), poses, op.count_deviation(observed, golden, t.v_board),
         missing=1.0, extra=0.5, wrong=0.75, position=0.1, angle=0.2, count=0.3,
     )
     return s.select("board_id", F.round("score", 5).alias("score"))

@@ -276,3 +276,21 @@ def test_a_misplaced_component_breaks_its_edges(spark):
     spots = comp.fit_positions(comp.match_components(o, g, 5.0).where("board_id < 50"), 0.01)
     far = comp.position_deviation(comp.match_components(o, g, 5.0), spots).where("deviation > 8").select("board_id", "ref").collect()
     assert [tuple(r) for r in far] == [(59, 4)]
+
+
+def test_the_report_reads_matches_it_is_given_and_finds_them_once_itself(spark, monkeypatch):
+    g = spark.createDataFrame([(0, 1, "R", 0.0, 0.0, 0.0), (0, 2, "R", 3.0, 0.0, 0.0), (0, 3, "R", 40.0, 0.0, 0.0)], "board_type int, ref int, kind string, x double, y double, angle double")
+    # On board 1 both want detection 1, on board 2 nobody is in another's way.
+    o = spark.createDataFrame(
+        [(1, 0, 1, "R", 1.0, 0.0, 0.0), (1, 0, 2, "R", 6.0, 0.0, 0.0), (2, 0, 1, "R", 0.5, 0.0, 0.0), (2, 0, 2, "R", 3.5, 0.0, 0.0), (2, 0, 3, "R", 40.0, 1.0, 0.0)],
+        "board_id int, board_type int, det_id int, kind string, x double, y double, angle double")
+    asked = []
+    choose = comp.match_components
+    monkeypatch.setattr(comp, "match_components", lambda *a: asked.append(1) or choose(*a))
+    cost = comp.MatchCost(5.0, unmatched=20.0)
+    alone = comp.component_report(o, g, cost)
+    rows = sorted((r["board_id"], r["ref"], r["det_id"], r["state"]) for r in alone.collect())
+    assert rows == [(1, 1, 1, "matched"), (1, 2, 2, "matched"), (1, 3, -1, "missing"), (2, 1, 1, "matched"), (2, 2, 2, "matched"), (2, 3, 3, "matched")]
+    assert "ArrowEvalPython" not in alone._jdf.queryExecution().executedPlan().toString() and len(asked) == 1
+    given = comp.component_report(o, g, cost, None, choose(o, g, cost))
+    assert sorted(map(tuple, given.collect())) == sorted(map(tuple, alone.collect())) and len(asked) == 1
