@@ -15,6 +15,7 @@ import traceback
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+from pandas.api.types import is_extension_array_dtype  # noqa: E402
 
 from boardlake.plans import load  # noqa: E402
 from boardlake.plans.catalog import QUERIES  # noqa: E402
@@ -37,7 +38,14 @@ def rows_of(pdf):
     return cols, sorted(tuple(cell(v) for v in r) for r in pdf[cols].astype(object).itertuples(index=False))
 
 
+def plain(pdf):
+    """Whole numbers with nulls come from Spark as floats and from newer DuckDB as nullable integers: floats for both."""
+    nullable = [c for c in pdf.columns if is_extension_array_dtype(pdf[c].dtype) and pdf[c].dtype.kind in "iu" and pdf[c].isna().any()]
+    return pdf.astype({c: "float64" for c in nullable})
+
+
 def compare(left, right):
+    left, right = plain(left), plain(right)
     lc, lr = rows_of(left)
     rc, rr = rows_of(right)
     if lc != rc:
