@@ -60,6 +60,13 @@ def good_only(matched, t):
     return matched.join(t.v_board.where("good").select("board_id"), "board_id", "left_semi")
 
 
+def stored_sides(t):
+    """Detections and golden components, stored: a report reads both several times, and numbering the lines sorts them all."""
+    from ..sources.storage import written
+
+    return tuple(written(x, "components", compression="zstd") for x in (t.v_component_obs, t.v_component_golden))
+
+
 def matched_components(t):
     return op.match_components(t.v_component_obs, t.v_component_golden, COST)
 
@@ -67,7 +74,7 @@ def matched_components(t):
 @query("j01_component_report", f"""WITH {MATCHED}, {REPORT} SELECT board_type, kind, ref, state, seen_kind, count(*) AS n, sum(board_id)::bigint AS board_sum,
   sum(det_id)::bigint AS det_sum FROM report GROUP BY ALL""")
 def component_report(t):
-    report = op.component_report(t.v_component_obs, t.v_component_golden, COST, t.v_board)
+    report = op.component_report(*stored_sides(t), COST, t.v_board)
     return report.groupBy("board_type", "kind", "ref", "state", "seen_kind").agg(
         F.count(F.lit(1)).alias("n"), F.sum("board_id").alias("board_sum"), F.sum("det_id").alias("det_sum")
     )
@@ -121,9 +128,13 @@ f AS MATERIALIZED (SELECT a.board_id, a.board_type, e.ref, e.other, b.x - a.x AS
 
 def saved_matches(t):
     """The matches, stored: models are fitted on some boards and applied to others."""
+    return stored_matches(matched_components(t))
+
+
+def stored_matches(matched):
     from ..sources.storage import written
 
-    return written(matched_components(t), "matched-components", compression="zstd")
+    return written(matched, "matched-components", compression="zstd")
 
 
 def features(t, matched):
@@ -186,8 +197,8 @@ SELECT board_id, round(cast(1.0 * m + 0.5 * e + 0.75 * w AS double) + 0.1::doubl
 FROM a LEFT JOIN b USING (board_id) LEFT JOIN c USING (board_id)
 """)
 def logic_score(t):
-    observed, golden = t.v_component_obs, t.v_component_golden
-    matched = saved_matches(t)
+    observed, golden = stored_sides(t)
+    matched = stored_matches(op.match_components(observed, golden, COST))
     placed = op.position_deviation(matched, op.fit_positions(good_only(matched, t), RIDGE))
     poses = placed.withColumn("turn", op.angle_deviation(F.col("angle"), F.col("g_angle")))
     s = op.logic_score(
