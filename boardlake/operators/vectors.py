@@ -61,11 +61,15 @@ def _halved(v: np.ndarray, size: int) -> list[np.ndarray]:
 def _sample_leaves(metric: str, samples: np.ndarray, k: int) -> dict:
     """Samples, which come in tie order, as leaves with their bounds, ready to be searched for ``k`` neighbours.
 
-    Of equal samples only the first ``k`` can be among a query's neighbours. Beyond ``FEW_DIMENSIONS`` distances
+    Samples with a component that is no number take no part. Of equal samples only the first ``k`` can be among a
+    query's neighbours. Beyond ``FEW_DIMENSIONS`` distances
     are narrowed in short numbers, whose error is kept: single precision for products, and for sums of differences
     whole numbers, as ``|a - b| = 2 max(a, b) - a - b``.
     """
-    whole = np.ascontiguousarray(samples)
+    numbers = np.flatnonzero(np.isfinite(samples).all(axis=1))
+    whole = np.ascontiguousarray(samples[numbers])
+    if not len(whole):
+        return {"few": True, "rank": numbers}
     _, same = np.unique(whole.view(np.dtype((np.void, whole.dtype.itemsize * whole.shape[1]))).ravel(), return_inverse=True)
     order = np.argsort(same, kind="stable")
     starts = np.flatnonzero(np.diff(same[order], prepend=-1))
@@ -80,7 +84,7 @@ def _sample_leaves(metric: str, samples: np.ndarray, k: int) -> dict:
     ends = np.cumsum([len(x) for x in leaves])
     begins = np.append(0, ends[:-1])
     index = {
-        "few": few, "rank": kept[at], "exact": whole[kept[at]], "begins": begins, "ends": ends,
+        "few": few, "rank": numbers[kept[at]], "exact": whole[kept[at]], "begins": begins, "ends": ends,
         "low": np.minimum.reduceat(v, begins), "high": np.maximum.reduceat(v, begins),
     }
     if few:
@@ -206,10 +210,13 @@ def _group_nearest(metric: str, index: dict, queries: np.ndarray, k: int):
 
 def _leaves_nearest(metric: str, index: dict, queries: np.ndarray, k: int):
     """Query, sample (its place in tie order) and distance of the ``k`` nearest samples per query."""
-    out = []
-    for rows in _halved(_prepared(queries, metric), 64 if index["few"] else 256):
-        row, near, d = _group_nearest(metric, index, queries[rows], k)
-        out.append((rows[row], near, d))
+    numbers = np.flatnonzero(np.isfinite(queries).all(axis=1))
+    out = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+    if len(numbers) and len(index["rank"]):
+        for rows in _halved(_prepared(queries[numbers], metric), 64 if index["few"] else 256):
+            rows = numbers[rows]
+            row, near, d = _group_nearest(metric, index, queries[rows], k)
+            out.append((rows[row], near, d))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 

@@ -162,3 +162,16 @@ def test_blocks_grow_with_the_rows_up_to_a_size():
     assert op._rows_per_block(1000, 64, 400) == 400
     assert op._rows_per_block(720_000, 64, 400) == 45_000
     assert op._rows_per_block(10**9, 64, 400) == op.SMALL_SIDE_BYTES // (64 * 8 + 64)
+
+
+@pytest.mark.parametrize("metric", op.METRICS)
+@pytest.mark.parametrize("width", [2, 20])
+def test_vectors_that_are_no_numbers_take_no_part(metric, width):
+    x = np.random.default_rng(3).normal(size=(400, width))
+    y = x.copy()
+    y[::7, 0] = np.nan
+    row, near, _ = op._leaves_nearest(metric, op._sample_leaves(metric, y, 3), y, 3)
+    good = np.flatnonzero(np.arange(400) % 7 != 0)
+    assert set(row) == set(good) == set(near[np.append(True, np.diff(row) != 0)]) and np.bincount(row)[good].tolist() == [3] * len(good)
+    nothing = op._sample_leaves(metric, y[::7], 3)
+    assert len(op._leaves_nearest(metric, nothing, x, 3)[0]) == 0
