@@ -140,3 +140,13 @@ def test_items_are_numbered_within_their_documents(spark, tables):
     got = sorted((r["collection"], r["at"], json.loads(r["item"])["id"]) for r in items)
     assert [g for g in got if g[0] == "versions"] == [("versions", 1, 10), ("versions", 2, 20), ("versions", 3, 21), ("versions", 4, 20), ("versions", 5, 21)]
     assert [g[2] for g in got if g[0] == "documents"] == [1, 2, 3, 2] and [g[1] for g in got if g[0] == "activations"] == [1, 2]
+
+
+def test_stored_lines_come_in_small_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    lines = spark.range(0, 240, numPartitions=1).select(F.repeat(F.sha2(F.col("id").cast("string"), 256), 10_000).alias("line"))
+    lines.write.options(**settings.LINE_FILES).parquet(str(tmp_path / "lines"))
+    (path,) = (tmp_path / "lines").glob("part-*")
+    meta = pq.ParquetFile(path).metadata
+    assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 64 << 20
