@@ -18,7 +18,8 @@
    members closed before that may still be linked with it: Jaccard distance is a metric, so their
    distances to each pivot differ by no more than a link has; and two that are connected by links
    found so far need no test. What a member alone has or lacks against the first pivot tells it from every other, so members with much
-   of that go at once, and pairs that have too much of it together are not made. The bounds are exact, no link is lost.
+   of that go at once. Those left are compared by their differences from the first pivot, which say as much as the full sets, so
+   only links come out. The bounds are exact, no link is lost.
 4. Pairs pass the union-sketch estimate, then 100 * intersection >= 85 * union on full sets.
 5. Links are contracted to components, round by round, in tables.
 
@@ -270,14 +271,22 @@ def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent
         known = [x.select("a", "b") for x in ([labels.select(F.col("node").alias("a"), F.col("label").alias("b"))] if labels is not None else links[:1])]
         labels = components(reduce(DataFrame.unionByName, [*known, found]))
         heavy = _unconnected(rest.select(*HEAVY).unionByName(apart.select(*HEAVY)).unionByName(kept), labels)
-    asking = heavy.where("open").select(F.col("group").alias("_g"), F.col("node").alias("x"), F.col("far").alias("_far"), F.col("label").alias("_label"), *[F.col(c).alias(f"_{c}") for c in ("size", "own", "common")])
-    crossed = heavy.where("other").join(saved(asking, "near-open"), F.col("group") == F.col("_g")).where(F.col("node") != F.col("x"))
-    if labels is not None:
-        crossed = crossed.where(F.col("label") != F.col("_label"))
+    # What a member shares with another is told by their differences from the first pivot, whole sets on both sides.
+    first = F.split("group", "/")[0].cast("long")
+    shapes = heavy.withColumn("_root", first).join(differs.drop("size"), (F.col("_root") == F.col("_dp")) & (F.col("node") == F.col("_dn")))
+    heavy = saved(shapes.select(*HEAVY, F.col("_d").alias("diff")), "near-last")
+    asking = heavy.where("open").select(F.col("group").alias("_g"), F.col("node").alias("x"), *[F.col(c).alias(f"_{c}") for c in ("other", "far", "label", "size", "own", "common", "diff")])
     near = ~F.exists(F.zip_with("far", "_far", lambda p, q: F.abs(p - q)), lambda gap: gap > reach)
-    differ = F.col("own") + F.col("_own") + F.abs(F.col("common") - F.col("_common"))
-    alike = differ * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("_size"))
-    pairs.append(crossed.where(near & alike).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct())
+    sizes = F.col("size") + F.col("_size")
+
+    def linked(differ: Column) -> Column:
+        return differ * (100 + percent) <= (100 - percent) * sizes
+
+    alike = linked(F.col("own") + F.col("_own") + F.abs(F.col("common") - F.col("_common")))
+    differ = F.size("diff") + F.size("_diff") - 2 * F.size(F.array_intersect("diff", "_diff"))
+    once = (F.col("node") < F.col("x")) | ~(F.col("open") & F.col("_other")) & (F.col("node") != F.col("x"))
+    asked = (F.col("group") == F.col("_g")) & once & (F.col("label") != F.col("_label")) & near & alike & linked(differ)
+    links.append(saved(heavy.where("other").join(asking, asked).select(F.col("node").alias("a"), F.col("x").alias("b")), "near-last-links"))
     return links, pairs
 
 

@@ -232,6 +232,28 @@ def test_links_between_members_of_different_pivots(spark, states, pivots):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_a_family_of_near_copies_makes_links_only(spark):
+    prepare(spark)
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(150)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 200):  # two passages left out: far from the whole text, and alike in how much is missing alone
+        a, b = rng.randrange(65), rng.randrange(75, 140)
+        docs.append((i, " ".join(base[:a] + base[a + 10 : b] + base[b + 10 :])))
+    want, numbers, sets = brute_force(docs), {}, []
+    for i, text in docs:
+        w = text.split()
+        sets.append((i, sorted(numbers.setdefault(tuple(w[k : k + 5]), len(numbers)) for k in range(len(w) - 4))))
+    frame = spark.createDataFrame(sets, "node long, set array<long>").cache()
+    lists = frame.select(F.lit(0).cast("long").alias("value"), "node")
+    links, pairs = near_dups.around_pivots(lists, frame, frame.select("node", (F.col("node") == 0).cast("long").alias("central")))
+    asked = sum(p.count() for p in pairs)
+    found = functools.reduce(lambda x, y: x.unionByName(y), [*links, *[near_dups.confirmed(p, frame) for p in pairs]])
+    got = {r["node"]: r["label"] for r in near_dups.components(found).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+    assert asked + found.count() <= 5 * len(docs)
+
+
 def test_pipeline_takes_copies_from_four_fifths(spark):
     import corpus_pipeline
 
