@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,9 +184,10 @@ def _group_nearest(metric: str, index: dict, queries: np.ndarray, k: int):
             first = np.partition(near, k - 1, axis=1)[:, k - 1].astype(np.float64)
             limit = first + 2 * error + 1e-9 * np.abs(first)
         # Rounded up, as narrowed distances are compared in their own precision.
-        row, col = np.nonzero(near <= np.nextafter(limit.astype(near.dtype), np.array(np.inf, dtype=near.dtype))[:, None])
-        if not len(row):
+        hits = np.flatnonzero(near <= np.nextafter(limit.astype(near.dtype), np.array(np.inf, dtype=near.dtype))[:, None])
+        if not len(hits):
             continue
+        row, col = np.divmod(hits, len(cols))
         value = near[row, col].astype(np.float64)
         found.append((row, cols[col], value))
         counts = np.bincount(row, minlength=len(q))
@@ -224,6 +226,23 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
+def _stored(v: np.ndarray) -> list[bytes]:
+    """Each vector as bytes: single precision where that is the same number in every component, else double."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        short = v.astype("<f4")
+    same = (short == v).all(axis=1)
+    return [a.tobytes() if x else b.tobytes() for x, a, b in zip(same, short, v.astype("<f8"))]
+
+
+def _restored(column: pd.Series, width: int) -> np.ndarray:
+    data = column.to_numpy()
+    short = np.fromiter((len(x) == 4 * width for x in data), dtype=bool, count=len(data))
+    out = np.empty((len(data), width))
+    for rows, kind in ((short, "<f4"), (~short, "<f8")):
+        out[rows] = np.frombuffer(b"".join(data[rows]), dtype=kind).reshape(-1, width)
+    return out
+
+
 def _pairs(metric, k, q_ids, q, sample_frame, index, same_side) -> pd.DataFrame:
     ids = sample_frame["_sid"].to_numpy()
     labels = sample_frame["_label"].to_numpy()
@@ -319,8 +338,8 @@ def _gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFra
         yield pd.concat(held, ignore_index=True)
 
 
-def _rows_per_block(rows: int, width: int, block_rows: int) -> int:
-    return max(block_rows, min(-(-rows // MAX_BLOCKS), SMALL_SIDE_BYTES // (width * 8 + 64)))
+def _rows_per_block(rows: int, width: int, block_rows: int, blocks: int = MAX_BLOCKS) -> int:
+    return max(block_rows, min(-(-rows // blocks), SMALL_SIDE_BYTES // (width * 8 + 64)))
 
 
 def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, block_rows):
@@ -328,26 +347,37 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
     bound; round two visits only blocks with a cell that may hold something closer than that bound."""
     # Cosine order equals Euclidean order of unit vectors; other distances are metrics.
     bound_metric = "manhattan" if metric == "manhattan" else "euclidean"
+    # Vectors with a component that is no number are nobody's neighbour and have none.
+    in_numbers = F.forall("_f", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
+    s, q = s.where(in_numbers), q.where(in_numbers)
     chosen = s.orderBy(F.xxhash64("_sid"), "_sid").limit(pivots).select("_f").toPandas()
+    if not len(chosen):
+        return q.sparkSession.createDataFrame([], schema)
     centres = _prepared(_matrix(chosen["_f"]), metric)
     width = centres.shape[1]
     # Cells are numbered along the side on which the pivots differ most, so neighbours in number lie close.
     centres = centres[np.argsort(centres[:, np.argmax(centres.max(axis=0) - centres.min(axis=0))], kind="stable")]
 
+    def to_pivots(v: np.ndarray) -> np.ndarray:
+        v = _prepared(v, metric)
+        return np.stack([_exact(bound_metric, c, v) for c in centres], axis=1)
+
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            v = _prepared(_matrix(f), metric)
-            d = np.stack([_exact(bound_metric, c, v) for c in centres], axis=1)
-            yield pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "d": d.min(axis=1), "all": list(d)})
+            v = _matrix(f)
+            d = to_pivots(v) if len(v) else np.empty((0, len(centres)))
+            yield pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "d": d.min(axis=1), "v": pd.Series(_stored(v), dtype=object)})
 
     from ..sources.storage import checkpoint
 
-    placed = F.pandas_udf("struct<cell int, d double, all array<double>>")(place)
-    s = checkpoint(s.withColumn("_p", placed("_f")).select("_sid", "_label", "_f", "_p.cell", "_p.d"))
+    placed = F.pandas_udf("struct<cell int, d double, v binary>")(place)
+    s = checkpoint(s.withColumn("_p", placed("_f")).select("_sid", "_label", "_p.v", "_p.cell", "_p.d"))
     cells = s.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
     info = {r["cell"]: (r["n"], r["radius"]) for r in cells.collect()}  # at most one row per pivot
     occupied = sorted(info)
-    most = _rows_per_block(sum(n for n, _ in info.values()), width, block_rows)
+    # As many blocks as keep all tasks busy, whatever the rows: what moves grows with the rows.
+    on_a_side = min(MAX_BLOCKS, max(4, math.ceil(math.sqrt(3 * s.sparkSession.sparkContext.defaultParallelism))))
+    most = _rows_per_block(sum(n for n, _ in info.values()), width, block_rows, on_a_side)
     # Cells in a row share a group while they fit one block; a larger cell is a group of several blocks.
     group_of, sizes = {}, []
     for c in occupied:
@@ -360,39 +390,41 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
         return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
     groups = lookup(group_of)
-    blocks = lookup({g: -(-n // most) for g, n in enumerate(sizes)})
+    counts = {g: -(-n // most) for g, n in enumerate(sizes)}
+    blocks = lookup(counts)
     s = s.withColumn("group", groups[F.col("cell")]).drop("d", "cell")
     s = s.withColumn("s_block", F.pmod(F.xxhash64("_sid"), blocks[F.col("group")]).cast("int"))
-    q = checkpoint(q.withColumn("_p", placed("_f")).select(
-        "_qid", "_f", F.coalesce(groups[F.col("_p.cell")], F.lit(0)).alias("home"), F.col("_p.all").alias("all"),
-    ))
+    q = checkpoint(q.withColumn("_p", placed("_f")).select("_qid", "_p.v", F.coalesce(groups[F.col("_p.cell")], F.lit(0)).alias("home")))
     homes = {r["home"]: r["n"] for r in q.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row per group
     if not homes:
         return q.sparkSession.createDataFrame([], schema)
-    q_most = _rows_per_block(sum(homes.values()), width, block_rows)
-    shares = lookup({h: -(-n // q_most) for h, n in homes.items()})
-    q = q.withColumn("q_block", F.pmod(F.xxhash64("_qid"), shares[F.col("home")]).cast("int"))
+    q_most = _rows_per_block(sum(homes.values()), width, block_rows, on_a_side)
+    parts = {h: -(-n // q_most) for h, n in homes.items()}
+    q = q.withColumn("q_block", F.pmod(F.xxhash64("_qid"), lookup(parts)[F.col("home")]).cast("int"))
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"_qid": [], "_sid": [], "_label": [], "distance": []})
         right = _tie_sorted(right, by_label)
-        leaves = _sample_leaves(metric, _matrix(right["_f"]), k + 1 if exclude_self else k)
-        return _pairs(metric, k, left["_qid"].to_numpy(), _matrix(left["_f"]), right[["_sid", "_label"]], leaves, exclude_self)
+        leaves = _sample_leaves(metric, _restored(right["v"], width), k + 1 if exclude_self else k)
+        return _pairs(metric, k, left["_qid"].to_numpy(), _restored(left["v"], width), right[["_sid", "_label"]], leaves, exclude_self)
 
     keys = ["k_group", "k_sample", "k_home", "k_query"]
 
-    def visit(targets: DataFrame) -> DataFrame:
-        """targets: (_qid, _f, home, q_block, group), one row per group a query must look into."""
+    def visit(targets: DataFrame, meetings: int) -> DataFrame:
+        """targets: (_qid, v, home, q_block, group), one row per group a query must look into."""
         wanted = targets.select(F.col("group").alias("k_group"), F.col("home").alias("k_home"), F.col("q_block").alias("k_query")).distinct()
         left = targets.select(
-            "_qid", "_f", F.col("group").alias("k_group"), F.col("home").alias("k_home"), F.col("q_block").alias("k_query"),
+            "_qid", "v", F.col("group").alias("k_group"), F.col("home").alias("k_home"), F.col("q_block").alias("k_query"),
             F.explode(F.sequence(F.lit(0), (blocks[F.col("group")] - 1).cast("int"))).alias("k_sample"),
         )
-        right = s.join(wanted, F.col("group") == F.col("k_group")).select("_sid", "_label", "_f", F.col("s_block").alias("k_sample"), "k_group", "k_home", "k_query")
+        right = s.join(wanted, F.col("group") == F.col("k_group")).select("_sid", "_label", "v", F.col("s_block").alias("k_sample"), "k_group", "k_home", "k_query")
+        # More partitions than meetings of blocks, so that few meetings share a task.
+        left, right = (side.repartition(3 * meetings, *keys) for side in (left, right))
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
 
-    first = checkpoint(visit(q.select("_qid", "_f", "home", "q_block", F.col("home").alias("group"))))
+    at_home = sum(n * counts[h] for h, n in parts.items())
+    first = checkpoint(visit(q.select("_qid", "v", "home", "q_block", F.col("home").alias("group")), at_home))
     # With several blocks per home group the k-th distance over all of them is wanted.
     kth = top_rows(first, ["_qid"], [F.asc("distance")], k).groupBy("_qid").agg(
         F.count(F.lit(1)).alias("n"), F.max("distance").alias("reach")
@@ -401,20 +433,25 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
     if metric == "squared":
         reach = F.sqrt(reach)
     elif metric == "cosine":
-        reach = F.sqrt(2.0 * reach)
-    radius = lookup({c: float(r) for c, (_, r) in info.items()})
+        reach = F.sqrt(F.greatest(2.0 * reach, F.lit(0.0)) + 1e-12)
+    radius = np.array([info[c][1] for c in occupied], dtype=float)
+    group_at = np.array([group_of[c] for c in occupied])
     bounded = q.join(kth.select("_qid", reach.alias("reach")), "_qid", "left")
-    slack = F.lit(1e-9)
-
-    def within(cell: Column) -> Column:
-        to_pivot = F.get("all", cell)
-        return F.col("reach").isNull() | (to_pivot - radius[cell] <= F.col("reach") + slack * (1 + to_pivot))
 
-    near = F.filter(F.array(*[F.lit(c) for c in occupied]), within)
-    others = bounded.select(
-        "_qid", "_f", "home", "q_block", F.explode(F.array_distinct(F.transform(near, lambda c: groups[c]))).alias("group")
-    ).where(F.col("group") != F.col("home"))
-    return first.unionByName(visit(others))
+    def groups_within(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for v, far in batches:
+            if not len(v):
+                yield pd.Series([], dtype=object)
+                continue
+            d = to_pivots(_restored(v, width))[:, occupied]
+            with np.errstate(invalid="ignore"):
+                # No bound, where fewer than k were found, leaves nothing out.
+                beyond = d - radius > far.to_numpy(dtype=float)[:, None] + 1e-9 * (1 + d)
+            yield pd.Series([np.unique(group_at[~x]).astype("int32") for x in beyond])
+
+    near = F.pandas_udf("array<int>")(groups_within)
+    others = bounded.select("_qid", "v", "home", "q_block", F.explode(near("v", "reach")).alias("group")).where(F.col("group") != F.col("home"))
+    return first.unionByName(visit(others, max(1, sum(parts.values()) * sum(counts.values()) - at_home)))
 
 
 def _prepared(v: np.ndarray, metric: str) -> np.ndarray:

@@ -175,3 +175,29 @@ def test_vectors_that_are_no_numbers_take_no_part(metric, width):
     assert set(row) == set(good) == set(near[np.append(True, np.diff(row) != 0)]) and np.bincount(row)[good].tolist() == [3] * len(good)
     nothing = op._sample_leaves(metric, y[::7], 3)
     assert len(op._leaves_nearest(metric, nothing, x, 3)[0]) == 0
+
+
+def test_vectors_move_in_single_precision_only_where_that_is_the_same_number():
+    v = np.array([[0.5, -2.0, 3.0], [0.1, 0.5, 1.0], [np.float32(0.1), 1.0, 0.0], [1e300, 1.0, 0.0], [-0.0, 1e-50, 1.0]])
+    stored = op._stored(v)
+    assert [len(x) for x in stored] == [12, 24, 12, 24, 24]
+    back = op._restored(pd.Series(stored, dtype=object), 3)
+    assert (back == v).all() and (np.signbit(back) == np.signbit(v)).all()
+    assert op._restored(pd.Series([], dtype=object), 3).shape == (0, 3)
+
+
+def test_blocks_on_a_side_do_not_grow_with_the_rows():
+    for rows in (120_000, 720_000):
+        assert -(-rows // op._rows_per_block(rows, 64, op.BLOCK_ROWS, 6)) <= 7
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf")])
+def test_rows_without_numbers_hide_no_neighbours_in_cells(spark, bad):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2)).round(3)
+    x[::40, 0] = bad
+    df = spark.createDataFrame(pd.DataFrame({"id": range(400), "f": list(x)}), "id bigint, f array<double>").cache()
+    one = op.nearest(df, df, "id", "id", "f", 5, exclude_self=True)
+    two = op.nearest(df, df, "id", "id", "f", 5, exclude_self=True, small_side_bytes=0, pivots=16, block_rows=30)
+    a, b = (d.toPandas().sort_values(["id", "rank"], ignore_index=True) for d in (one, two))
+    pd.testing.assert_frame_equal(a, b)
