@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,9 +244,8 @@ def _restored(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _pairs(metric, k, q_ids, q, sample_frame, index, same_side) -> pd.DataFrame:
-    ids = sample_frame["_sid"].to_numpy()
-    labels = sample_frame["_label"].to_numpy()
+def _neighbours(metric, k, q_ids, q, ids, index, same_side):
+    """Query, sample (its place among ``ids``, which are in tie order) and distance of the ``k`` nearest, nearest first."""
     row, near, d = _leaves_nearest(metric, index, q, min(k + 1 if same_side else k, len(ids)))
     if same_side:
         other = ids[near] != q_ids[row]
@@ -254,6 +254,13 @@ def _pairs(metric, k, q_ids, q, sample_frame, index, same_side) -> pd.DataFrame:
         starts = np.flatnonzero(np.diff(row, prepend=-1))
         nth = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
         row, near, d = row[nth < k], near[nth < k], d[nth < k]
+    return row, near, d
+
+
+def _pairs(metric, k, q_ids, q, sample_frame, index, same_side) -> pd.DataFrame:
+    ids = sample_frame["_sid"].to_numpy()
+    labels = sample_frame["_label"].to_numpy()
+    row, near, d = _neighbours(metric, k, q_ids, q, ids, index, same_side)
     return pd.DataFrame({"_qid": q_ids[row], "_sid": ids[near], "_label": labels[near], "distance": d})
 
 
@@ -277,9 +284,10 @@ def nearest(
     Ties go to the smaller sample id, or to the smaller label when ``order="label"``. The
     sample side is counted first: within ``small_side_bytes`` it is broadcast; beyond that
     both sides are partitioned around pivots and cells are skipped by the triangle
-    inequality. Cells share blocks of at least ``block_rows`` rows; there are about
-    ``MAX_BLOCKS`` on a side, more only where blocks would exceed ``SMALL_SIDE_BYTES``. Where no cell can be
-    skipped every query meets every block, so each side moves as often as the other has blocks.
+    inequality. Cells share blocks of at least ``block_rows`` rows; there are at most
+    ``MAX_BLOCKS``, more only where blocks would exceed ``SMALL_SIDE_BYTES``. Two blocks meet once, for the
+    queries of both. Where no cell can be skipped every row therefore moves as often as there are blocks, and
+    rows that are query and sample at a time (the same table and id on both sides) move once for both.
     """
     if metric not in METRICS:
         raise ValueError(f"no distance named {metric!r}")
@@ -297,7 +305,8 @@ def nearest(
     if count * (width * 8 + 64) <= small_side_bytes:
         found = _nearest_broadcast(q, s, k, metric, by_label, exclude_self, schema)
     else:
-        found = _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, block_rows)
+        one_table = queries is samples and query_id == sample_id
+        found = _nearest_cells(None if one_table else q, s, k, metric, by_label, exclude_self, schema, pivots, block_rows)
     ties = [F.asc("distance"), *([F.asc("_label")] if by_label else []), F.asc("_sid")]
     ranked = top_rows(found, ["_qid"], ties, k)
     return ranked.select(
@@ -342,17 +351,60 @@ def _rows_per_block(rows: int, width: int, block_rows: int, blocks: int = MAX_BL
     return max(block_rows, min(-(-rows // blocks), SMALL_SIDE_BYTES // (width * 8 + 64)))
 
 
+def _blocks_for(tasks: int) -> int:
+    """Blocks whose meetings, one of each two, keep ``tasks`` tasks busy."""
+    return min(MAX_BLOCKS, max(4, (1 + math.isqrt(1 + 8 * tasks)) // 2))
+
+
+def _shared_blocks(sizes: dict[int, int], most: int) -> tuple[dict[int, int], list[int]]:
+    """Group of each cell and number of blocks of each group; a block has about ``most`` rows, at most half as many again.
+
+    Cells in a row share a group, which is one block if they are small; a cell larger than a block is a group of its own.
+    """
+    numbers, totals, group_of, before = {}, [], {}, 0
+    for cell, n in sorted(sizes.items()):
+        share = ("large", cell) if n > most else ("small", (2 * before + n) // (2 * most))
+        before += 0 if n > most else n
+        group_of[cell] = numbers.setdefault(share, len(numbers))
+        totals += [0] * (len(numbers) - len(totals))
+        totals[group_of[cell]] += n
+    return group_of, [max(1, round(n / most)) for n in totals]
+
+
+def _to_meetings(home: DataFrame) -> DataFrame:
+    """Rows as often as their block has meetings with others that they ask, or where they are asked for.
+
+    ``home``: rows with their ``block`` and the blocks they must look into (``near``).
+    """
+    # At most one row per block.
+    wanted = home.select(F.col("block").alias("asker"), F.explode("near").alias("block")).distinct().groupBy("block").agg(
+        F.collect_set("asker").alias("askers")
+    )
+    asked_by = F.coalesce(F.when(F.col("held"), F.col("askers")), F.array().cast("array<int>"))
+    sent = home.join(F.broadcast(wanted), "block", "left").select(
+        "_qid", "_sid", "_label", "v", "held", "block", "reach", "near", F.explode(F.array_union("near", asked_by)).alias("other")
+    )
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return sent.select(
+        "_qid", "_sid", "_label", "v", "held", "block", "reach", F.array_contains("near", F.col("other")).alias("asks"),
+        (F.floor(high * (high - 1) / 2) + low).cast("int").alias("meeting"),
+    )
+
+
 def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, block_rows):
-    """Partitioned search. Round one looks into the block of each query's own cell and gives an upper
-    bound; round two visits only blocks with a cell that may hold something closer than that bound."""
+    """Partitioned search. Round one looks into each query's own block and gives an upper bound; round two visits
+    only blocks with a cell that may hold something closer than that bound. Without ``q`` the samples are the queries."""
+    from ..sources.storage import checkpoint
+
     # Cosine order equals Euclidean order of unit vectors; other distances are metrics.
     bound_metric = "manhattan" if metric == "manhattan" else "euclidean"
     # Vectors with a component that is no number are nobody's neighbour and have none.
     in_numbers = F.forall("_f", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
-    s, q = s.where(in_numbers), q.where(in_numbers)
+    s = s.where(in_numbers)
+    spark = s.sparkSession
     chosen = s.orderBy(F.xxhash64("_sid"), "_sid").limit(pivots).select("_f").toPandas()
     if not len(chosen):
-        return q.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     centres = _prepared(_matrix(chosen["_f"]), metric)
     width = centres.shape[1]
     # Cells are numbered along the side on which the pivots differ most, so neighbours in number lie close.
@@ -368,90 +420,110 @@ def _nearest_cells(q, s, k, metric, by_label, exclude_self, schema, pivots, bloc
             d = to_pivots(v) if len(v) else np.empty((0, len(centres)))
             yield pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "d": d.min(axis=1), "v": pd.Series(_stored(v), dtype=object)})
 
-    from ..sources.storage import checkpoint
-
+    id_type, sample_type = (x.split()[1] for x in schema.split(", ")[:2])
+    if q is None:
+        rows = s.select(F.col("_sid").alias("_qid"), "_sid", "_label", "_f", F.lit(True).alias("asks"), F.lit(True).alias("held"))
+    else:
+        rows = q.where(in_numbers).select(
+            "_qid", F.lit(None).cast(sample_type).alias("_sid"), F.lit(None).cast("string").alias("_label"), "_f",
+            F.lit(True).alias("asks"), F.lit(False).alias("held"),
+        ).unionByName(s.select(F.lit(None).cast(id_type).alias("_qid"), "_sid", "_label", "_f", F.lit(False).alias("asks"), F.lit(True).alias("held")))
     placed = F.pandas_udf("struct<cell int, d double, v binary>")(place)
-    s = checkpoint(s.withColumn("_p", placed("_f")).select("_sid", "_label", "_p.v", "_p.cell", "_p.d"))
-    cells = s.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
+    rows = checkpoint(rows.withColumn("_p", placed("_f")).select("_qid", "_sid", "_label", "asks", "held", "_p.v", "_p.cell", "_p.d"))
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("held"), F.col("d"))).alias("radius"))
     info = {r["cell"]: (r["n"], r["radius"]) for r in cells.collect()}  # at most one row per pivot
-    occupied = sorted(info)
     # As many blocks as keep all tasks busy, whatever the rows: what moves grows with the rows.
-    on_a_side = min(MAX_BLOCKS, max(4, math.ceil(math.sqrt(3 * s.sparkSession.sparkContext.defaultParallelism))))
-    most = _rows_per_block(sum(n for n, _ in info.values()), width, block_rows, on_a_side)
-    # Cells in a row share a group while they fit one block; a larger cell is a group of several blocks.
-    group_of, sizes = {}, []
-    for c in occupied:
-        if not sizes or sizes[-1] + info[c][0] > most:
-            sizes.append(0)
-        sizes[-1] += info[c][0]
-        group_of[c] = len(sizes) - 1
+    most = _rows_per_block(sum(n for n, _ in info.values()), width, block_rows, _blocks_for(spark.sparkContext.defaultParallelism))
+    group_of, counts = _shared_blocks({c: n for c, (n, _) in info.items()}, most)
+    total = sum(counts)
+    begins = np.append(0, np.cumsum(counts))
 
     def lookup(values: dict) -> Column:
-        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-
-    groups = lookup(group_of)
-    counts = {g: -(-n // most) for g, n in enumerate(sizes)}
-    blocks = lookup(counts)
-    s = s.withColumn("group", groups[F.col("cell")]).drop("d", "cell")
-    s = s.withColumn("s_block", F.pmod(F.xxhash64("_sid"), blocks[F.col("group")]).cast("int"))
-    q = checkpoint(q.withColumn("_p", placed("_f")).select("_qid", "_p.v", F.coalesce(groups[F.col("_p.cell")], F.lit(0)).alias("home")))
-    homes = {r["home"]: r["n"] for r in q.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row per group
-    if not homes:
-        return q.sparkSession.createDataFrame([], schema)
-    q_most = _rows_per_block(sum(homes.values()), width, block_rows, on_a_side)
-    parts = {h: -(-n // q_most) for h, n in homes.items()}
-    q = q.withColumn("q_block", F.pmod(F.xxhash64("_qid"), lookup(parts)[F.col("home")]).cast("int"))
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"_qid": [], "_sid": [], "_label": [], "distance": []})
-        right = _tie_sorted(right, by_label)
-        leaves = _sample_leaves(metric, _restored(right["v"], width), k + 1 if exclude_self else k)
-        return _pairs(metric, k, left["_qid"].to_numpy(), _restored(left["v"], width), right[["_sid", "_label"]], leaves, exclude_self)
-
-    keys = ["k_group", "k_sample", "k_home", "k_query"]
-
-    def visit(targets: DataFrame, meetings: int) -> DataFrame:
-        """targets: (_qid, v, home, q_block, group), one row per group a query must look into."""
-        wanted = targets.select(F.col("group").alias("k_group"), F.col("home").alias("k_home"), F.col("q_block").alias("k_query")).distinct()
-        left = targets.select(
-            "_qid", "v", F.col("group").alias("k_group"), F.col("home").alias("k_home"), F.col("q_block").alias("k_query"),
-            F.explode(F.sequence(F.lit(0), (blocks[F.col("group")] - 1).cast("int"))).alias("k_sample"),
-        )
-        right = s.join(wanted, F.col("group") == F.col("k_group")).select("_sid", "_label", "v", F.col("s_block").alias("k_sample"), "k_group", "k_home", "k_query")
-        # More partitions than meetings of blocks, so that few meetings share a task.
-        left, right = (side.repartition(3 * meetings, *keys) for side in (left, right))
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
-
-    at_home = sum(n * counts[h] for h, n in parts.items())
-    first = checkpoint(visit(q.select("_qid", "v", "home", "q_block", F.col("home").alias("group")), at_home))
-    # With several blocks per home group the k-th distance over all of them is wanted.
-    kth = top_rows(first, ["_qid"], [F.asc("distance")], k).groupBy("_qid").agg(
-        F.count(F.lit(1)).alias("n"), F.max("distance").alias("reach")
-    )
-    reach = F.when(F.col("n") >= k, F.col("reach"))
-    if metric == "squared":
-        reach = F.sqrt(reach)
-    elif metric == "cosine":
-        reach = F.sqrt(F.greatest(2.0 * reach, F.lit(0.0)) + 1e-12)
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("cell")]
+
+    share = F.pmod(F.xxhash64("_qid", "_sid"), lookup({c: counts[g] for c, g in group_of.items()}))
+    block = (lookup({c: int(begins[g]) for c, g in group_of.items()}) + share).cast("int")
+    rows = rows.withColumn("block", block).drop("d", "cell")
+
+    # Cells with samples.
+    occupied = sorted(c for c, (_, radius) in info.items() if radius is not None)
     radius = np.array([info[c][1] for c in occupied], dtype=float)
     group_at = np.array([group_of[c] for c in occupied])
-    bounded = q.join(kth.select("_qid", reach.alias("reach")), "_qid", "left")
-
-    def groups_within(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for v, far in batches:
-            if not len(v):
-                yield pd.Series([], dtype=object)
-                continue
-            d = to_pivots(_restored(v, width))[:, occupied]
-            with np.errstate(invalid="ignore"):
-                # No bound, where fewer than k were found, leaves nothing out.
-                beyond = d - radius > far.to_numpy(dtype=float)[:, None] + 1e-9 * (1 + d)
-            yield pd.Series([np.unique(group_at[~x]).astype("int32") for x in beyond])
 
-    near = F.pandas_udf("array<int>")(groups_within)
-    others = bounded.select("_qid", "v", "home", "q_block", F.explode(near("v", "reach")).alias("group")).where(F.col("group") != F.col("home"))
-    return first.unionByName(visit(others, max(1, sum(parts.values()) * sum(counts.values()) - at_home)))
+    def search(asking: pa.Table, held: pa.Table):
+        if not len(asking) or not len(held):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        names = _tie_sorted(held.select(["_sid", "_label"]).to_pandas().assign(at=np.arange(len(held))), by_label)
+        at = names["at"].to_numpy()
+        leaves = _sample_leaves(metric, _restored(held["v"].to_pandas(), width)[at], k + 1 if exclude_self else k)
+        q_ids = asking["_qid"].to_pandas().to_numpy()
+        row, near, d = _neighbours(metric, k, q_ids, _restored(asking["v"].to_pandas(), width), names["_sid"].to_numpy(), leaves, exclude_self)
+        return row, at[near], d
+
+    def blocks_within(v: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Blocks (across) that may hold something closer than ``far`` to a vector (down)."""
+        d = to_pivots(v)[:, occupied]
+        with np.errstate(invalid="ignore"):
+            # No bound, where fewer than k were found, leaves nothing out.
+            inside = ~(d - radius > far[:, None] + 1e-9 * (1 + d))
+        groups = np.stack([inside[:, group_at == g].any(axis=1) for g in range(len(counts))], axis=1)
+        return np.repeat(groups, counts, axis=1)
+
+    def listed(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), values)
+
+    def at_home(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy()
+        asking, held = table.filter(table["asks"]), table.filter(table["held"])
+        row, at, d = search(asking, held)
+        order = np.argsort(row, kind="stable")
+        row, at, d = row[order], at[order], d[order]
+        found = np.bincount(row, minlength=len(asking))
+        reach = np.full(len(asking), np.nan)
+        full = found >= k
+        reach[full] = d[(np.cumsum(found) - found)[full] + k - 1]
+        far = reach
+        if metric == "squared":
+            far = np.sqrt(reach)
+        elif metric == "cosine":
+            far = np.sqrt(np.maximum(2.0 * reach, 0.0) + 1e-12)
+        near = np.zeros((len(table), total), dtype=bool)
+        if len(asking):
+            near[asks] = blocks_within(_restored(asking["v"].to_pandas(), width), far)
+        near[np.arange(len(table)), table["block"].to_numpy()] = False
+        lengths, bounds = np.zeros(len(table), dtype=np.int64), np.full(len(table), np.nan)
+        lengths[asks], bounds[asks] = found, reach
+        out = {c: table[c] for c in ("_qid", "_sid", "_label", "v", "held", "block")}
+        return pa.table(out | {
+            "reach": bounds, "near": listed(near.sum(axis=1), pa.array(np.nonzero(near)[1], pa.int32())),
+            "n_sid": listed(lengths, held["_sid"].take(pa.array(at)).combine_chunks()),
+            "n_label": listed(lengths, held["_label"].take(pa.array(at)).combine_chunks()), "n_distance": listed(lengths, pa.array(d)),
+        })
+
+    def meet(table: pa.Table) -> pa.Table:
+        blocks, asks, held = (table[c].to_numpy() for c in ("block", "asks", "held"))
+        out = []
+        for mine in np.unique(blocks):
+            asking, others = table.filter(pa.array((blocks == mine) & asks)), table.filter(pa.array((blocks != mine) & held))
+            row, at, d = search(asking, others)
+            with np.errstate(invalid="ignore"):
+                kept = ~(d > asking["reach"].to_numpy()[row])
+            row, at, d = pa.array(row[kept]), pa.array(at[kept]), pa.array(d[kept])
+            out.append(pa.table({"_qid": asking["_qid"].take(row), "_sid": others["_sid"].take(at), "_label": others["_label"].take(at), "distance": d}))
+        return pa.concat_tables(out)
+
+    home = checkpoint(rows.repartitionById(total, "block").groupBy("block").applyInArrow(
+        at_home, f"_qid {id_type}, _sid {sample_type}, _label string, v binary, held boolean, block int, reach double, near array<int>, "
+        f"n_sid array<{sample_type}>, n_label array<string>, n_distance array<double>",
+    ))
+    first = home.select("_qid", F.explode(F.arrays_zip("n_sid", "n_label", "n_distance")).alias("n")).select(
+        "_qid", F.col("n.n_sid").alias("_sid"), F.col("n.n_label").alias("_label"), F.col("n.n_distance").alias("distance")
+    )
+    if total == 1:
+        return first
+    # A partition per meeting, so that no two share a task.
+    sent = _to_meetings(home).repartitionById(total * (total - 1) // 2, "meeting")
+    return first.unionByName(sent.groupBy("meeting").applyInArrow(meet, schema))
 
 
 def _prepared(v: np.ndarray, metric: str) -> np.ndarray:

@@ -201,3 +201,43 @@ def test_rows_without_numbers_hide_no_neighbours_in_cells(spark, bad):
     two = op.nearest(df, df, "id", "id", "f", 5, exclude_self=True, small_side_bytes=0, pivots=16, block_rows=30)
     a, b = (d.toPandas().sort_values(["id", "rank"], ignore_index=True) for d in (one, two))
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_rows_that_ask_and_are_asked_move_once_per_meeting(spark, monkeypatch):
+    sent = []
+    make = op._to_meetings
+    monkeypatch.setattr(op, "_to_meetings", lambda home: sent.append(make(home)) or sent[-1])
+    x = np.random.default_rng(7).normal(size=(1200, 20))
+    df = spark.createDataFrame(pd.DataFrame({"id": range(1200), "f": list(x)}), "id bigint, f array<double>").cache()
+    got = op.nearest(df, df, "id", "id", "f", 4, exclude_self=True, small_side_bytes=0, pivots=64, block_rows=240)
+    want = brute(x, "euclidean", 4)
+    for i, group in got.toPandas().sort_values(["id", "rank"]).groupby("id"):
+        assert np.allclose(group["distance"].to_numpy(), want[i], atol=1e-8)
+    moved = sent[0].toPandas()
+    # Five blocks at most, and in 20 dimensions no bound skips one: a row goes to the meetings with the other four.
+    assert moved["block"].nunique() <= 5 and len(moved) <= 4 * 1200
+    assert not moved.duplicated(["_sid", "meeting"]).any()
+
+
+@pytest.mark.parametrize("metric", op.METRICS)
+def test_queries_and_samples_of_two_tables_keep_their_ids(spark, metric):
+    rng = np.random.default_rng(9)
+    s, q = rng.normal(size=(500, 3)), rng.normal(size=(90, 3)) * 2
+    s[50:250] = s[0]
+    big = 2**60 + 1
+    samples = spark.createDataFrame(pd.DataFrame({"sid": big + np.arange(500), "f": list(s)}), "sid bigint, f array<double>").cache()
+    queries = spark.createDataFrame(pd.DataFrame({"qid": [f"q{i}" for i in range(90)], "f": list(q)}), "qid string, f array<double>").cache()
+    one = op.nearest(queries, samples, "qid", "sid", "f", 3, metric=metric)
+    two = op.nearest(queries, samples, "qid", "sid", "f", 3, metric=metric, small_side_bytes=0, pivots=9, block_rows=40)
+    assert one.dtypes == two.dtypes
+    a, b = (d.toPandas().sort_values(["qid", "rank"], ignore_index=True) for d in (one, two))
+    assert len(a) == 270 and a["neighbour_id"].min() >= big
+    pd.testing.assert_frame_equal(a, b)
+
+
+def test_small_cells_share_a_block_and_large_ones_are_cut():
+    group_of, counts = op._shared_blocks({c: 10 for c in range(64)}, 128)
+    assert counts == [1] * 5 and list(group_of) == sorted(group_of) and sorted(set(group_of.values())) == [0, 1, 2, 3, 4]
+    group_of, counts = op._shared_blocks({0: 30, 1: 500, 2: 40, 3: 90}, 100)
+    assert group_of[1] not in (group_of[0], group_of[2], group_of[3]) and counts[group_of[1]] == 5
+    assert op._blocks_for(12) == 5 and op._blocks_for(1) == 4 and op._blocks_for(10_000) == op.MAX_BLOCKS
