@@ -134,6 +134,53 @@ def test_pieces_follow_the_row_key(spark, vocab):
     assert len({tuple(x[:6]) for x in a.values()}) > 1
 
 
+def odd_texts(n, seed):
+    rng = random.Random(seed)
+    words = ["the", "quick", "brown", "", "fox\n", "a\0b", "a\0c", "▁x", "日本", "\U0001d518", "é" * 70, *(f"w{rng.randrange(400)}" for _ in range(60))]
+    return [" ".join(rng.choices(words, k=rng.randrange(40))) for _ in range(n)]
+
+
+def test_a_chunk_is_filtered_once_for_many_batches(vocab, monkeypatch):
+    texts, asked, real = odd_texts(300, 1), [], pieces.filtered
+    monkeypatch.setattr(pieces, "filtered", lambda chunks, v: asked.extend(chunks) or real(chunks, v))
+    held = pieces.Lattices(vocab)
+    for a in range(0, 300, 20):
+        pieces.drawn(texts[a : a + 20], np.arange(a, a + 20), held)
+    assert len(asked) == len(set(asked)) == len(held.size)
+
+
+def test_draws_do_not_depend_on_what_is_held(vocab, monkeypatch):
+    texts, keys = odd_texts(300, 2), np.arange(300)
+    want = [r.tolist() for r in pieces.sampled(texts, keys, vocab)]
+    for limit in (0, 300, 2000):
+        monkeypatch.setattr(pieces, "HELD_EDGES", limit)
+        held, got, most = pieces.Lattices(vocab), {}, 0
+        for a in reversed(range(0, 300, 10)):
+            ids, cuts = pieces.drawn(texts[a : a + 10], keys[a : a + 10], held)
+            got |= {a + i: ids[cuts[i] : cuts[i + 1]].tolist() for i in range(10)}
+            most = max(most, len(held.low))
+        assert [got[i] for i in range(300)] == want
+        assert most < limit + 4000 and len(held.numbers) == len(held.size) == len(held.edge) - 1
+
+
+def test_wrong_pieces_are_seen(vocab):
+    texts = ["", "one two", "é\0 ▁", "", "three"]
+    ids, cuts = pieces.drawn(texts, np.arange(5), pieces.Lattices(vocab))
+    assert pieces.lossless(texts, ids, cuts, vocab).all()
+    assert pieces.lossless(["", "one twp", "é\0 ▁", "", "three"], ids, cuts, vocab).tolist() == [True, False, True, True, True]
+    assert pieces.lossless(["x", "one two", "é\0 ▁", "", "thre"], ids, cuts, vocab).tolist() == [False, True, True, True, False]
+
+
+def test_pieces_of_null_and_empty_texts(spark, vocab):
+    texts = [None, "", " ", "a\0b", "a\0c", None, "x"]
+    docs = spark.createDataFrame([(i if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = {r["_row"]["text"]: (r["pieces"], r["lossless"]) for r in pieces.encode(docs).collect()}
+    assert rows[None] == (None, None) and rows[""] == ([], True)
+    assert all(pieces.decoded(ids, vocab) == text and same for text, (ids, same) in rows.items() if text is not None)
+    assert {r["lossless"] for r in pieces.encode(docs, check=False).collect()} == {None}
+    assert pieces.encode(docs.where("false")).count() == 0
+
+
 # 3
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(5)
