@@ -13,13 +13,14 @@
    have. Two members share no more than the smaller of their parts in the core, and what they share
    outside it. So a pair either meets in a short list outside the core, or both have enough
    of the core for a link by itself. The latter are compared with one pivot of theirs after the
-   other until few pairs are left, and those are asked. A member linked with a pivot is closed
+   other until few pairs are left, or a pivot no longer takes a quarter of them away, and those are asked. A member linked with a pivot is closed
    toward the others linked with it, and goes on to be asked, in a group of its own, against the
    members closed before that may still be linked with it: Jaccard distance is a metric, so their
    distances to each pivot differ by no more than a link has; and two that are connected by links
    found so far need no test. What a member alone has or lacks against the first pivot tells it from every other, so members with much
-   of that go at once. Those left are compared by their differences from the first pivot, which say as much as the full sets, so
-   only links come out. The bounds are exact, no link is lost.
+   of that go at once. Those left are compared by their differences from the first pivot, which say as much as the full sets, block
+   by block of a group's members: a block of those that ask meets one of those asked in NumPy, a task never holds more, and of what
+   it finds only links come out that connect what was not connected. The bounds are exact, no connection is lost.
 4. Pairs pass the union-sketch estimate, then 100 * intersection >= 85 * union on full sets.
 5. Links are contracted to components, round by round, in tables.
 
@@ -36,7 +37,7 @@ all. Ties cannot matter: components do not depend on order. Only doc_id and text
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -54,6 +55,11 @@ PERCENT = 85
 LIST_ROWS = 64
 SENT_ROWS = 500_000
 PAIRS_AT_ONCE = 2_000_000
+#: A turn is a pass over tables, worth taking if it saves so many comparisons, or a quarter of them.
+TURN_SAVES = 200_000_000
+#: Members, and values of their differences, in a block of the last comparison.
+BLOCK_MEMBERS = 2_000
+BLOCK_VALUES = 2_000_000
 #: Groups within groups that take pivots; what is left of deeper ones is asked pair by pair.
 TURNS_DEEP = 4
 #: Of members whose core alone may do: in each group, those ``open`` are asked against those ``other``.
@@ -204,6 +210,62 @@ def _unconnected(heavy: DataFrame, labels: DataFrame) -> DataFrame:
     return saved(rows.where("open or other"), "near-heavy")
 
 
+def _block_links(percent: int, reach: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Compares the members of a block that ask (``asks``) with those of another: links ``a``, ``b`` that connect labels not connected in the block yet."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows["asks"]], rows[~rows["asks"]]
+        a, b = [], []
+        if len(x) and len(y):
+            label = np.unique(np.concatenate([x["label"], y["label"]]), return_inverse=True)[1]
+            root, lx, ly = np.arange(label.max() + 1), label[: len(x)], label[len(x) :]
+            nx, ny = x["node"].to_numpy(np.int64), y["node"].to_numpy(np.int64)
+            both_x, both_y = ((part["open"] & part["other"]).to_numpy(bool) for part in (x, y))
+            far_x, far_y = np.stack(x["far"].to_list()), np.stack(y["far"].to_list())
+            (size_x, own_x, common_x), (size_y, own_y, common_y) = (part[["size", "own", "common"]].to_numpy(np.int64).T for part in (x, y))
+            # Members asked by the values of their differences.
+            lengths = y["diff"].map(len).to_numpy(np.int64)
+            values, owner = np.concatenate(y["diff"].to_list()), np.repeat(np.arange(len(y)), lengths)
+            order = np.argsort(values, kind="stable")
+            owner = owner[order]
+            values, starts = np.unique(values[order], return_index=True)
+            ends = np.append(starts[1:], len(owner))
+            for i, diff in enumerate(x["diff"]):
+                room = (100 - percent) * (size_y + size_x[i])
+                may = (root[ly] != root[lx[i]]) & ((ny < nx[i]) | ~(both_y & both_x[i]) & (ny != nx[i]))
+                may &= (own_y + own_x[i] + np.abs(common_y - common_x[i])) * (100 + percent) <= room
+                may &= (np.abs(far_y - far_x[i]) <= reach).all(axis=1)
+                if not may.any():
+                    continue
+                at = np.searchsorted(values, diff)
+                at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == diff)] if len(values) else at[:0]
+                met = np.concatenate([owner[starts[k] : ends[k]] for k in at]) if len(at) else owner[:0]
+                differ = lengths + len(diff) - 2 * np.bincount(met, minlength=len(y))
+                for k in np.flatnonzero(may & (differ * (100 + percent) <= room)):
+                    if root[ly[k]] != root[lx[i]]:
+                        a.append(ny[k])
+                        b.append(nx[i])
+                        root[root == root[ly[k]]] = root[lx[i]]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return links
+
+
+def _blocks_of(side: str, members: int = BLOCK_MEMBERS, values: int = BLOCK_VALUES) -> Column:
+    """Blocks for the members of a group that are ``open`` or ``other``."""
+    held = F.col(side).cast("long")
+    return F.ceil(F.greatest(F.sum(held) / members, F.sum(held * (F.col("own") + F.col("common"))) / values)).cast("int")
+
+
+def _asked_in_blocks(heavy: DataFrame, blocks: DataFrame, percent: int, reach: float) -> DataFrame:
+    """Links of each group's open members with the others, from ``HEAVY`` and ``diff``; a pair of blocks is compared at once. ``blocks``: their numbers ``_x`` and ``_y`` for the group ``_s``."""
+    dealt = heavy.join(blocks.select("_s", "_x", "_y"), F.col("group") == F.col("_s")).drop("_s")
+    mine = F.xxhash64("node")
+    x = dealt.where("open").withColumn("asks", F.lit(True)).withColumn("i", F.pmod(mine, F.col("_x")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_y") - 1)))
+    y = dealt.where("other").withColumn("asks", F.lit(False)).withColumn("j", F.pmod(mine, F.col("_y")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_x") - 1)))
+    return x.unionByName(y).drop("_x", "_y").groupBy("group", "i", "j").applyInPandas(_block_links(percent, reach), "a long, b long")
+
+
 def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent: int = PERCENT, limit: int = LIST_ROWS, at_once: int = PAIRS_AT_ONCE) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links and further candidate pairs of long lists (``value``, ``node``); see the module's text."""
     if not count_rows(lists):
@@ -234,7 +296,7 @@ def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent
     reach = 1 - percent / 100 + 1e-9
     heavy = facts.where("heavy").select(
         "_fp", F.col("_fp").cast("string").alias("group"), F.col("_fn").alias("node"), "central", "open", F.lit(True).alias("other"),
-        F.array("apart").alias("far"), F.col("_fn").alias("label"),
+        F.array("apart").alias("far"), F.when(F.col("open"), F.col("_fn")).otherwise(F.col("_fp")).alias("label"),
     )
     # Two members differ in all that is one's own, and in as much of the rest as one has more of than the other.
     differs = rows.join(heavy.select("_fp", F.col("node").alias("_hn")), (F.col("pivot") == F.col("_fp")) & (F.col("node") == F.col("_hn")))
@@ -247,14 +309,16 @@ def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent
     heavy = heavy.join(measured, (F.col("_fp") == F.col("_dp")) & (F.col("node") == F.col("_dn"))).select(*HEAVY)
     largest = F.col("size") * (1 + 100 / percent) * (100 - percent) / (100 + percent) + 1e-6  # difference with the largest partner there is
     heavy = saved(heavy.where(F.col("own") <= largest), "near-heavy")
-    labels = None
+    labels, before = None, None
     while True:
         asks = F.sum(F.col("open").cast("long")) * F.sum(F.col("other").cast("long"))
-        sizes = checkpoint(heavy.groupBy(F.col("group").alias("_s")).agg(asks.alias("_asks")).where("_asks > 0"))
+        sizes = checkpoint(heavy.groupBy(F.col("group").alias("_s")).agg(asks.alias("_asks"), _blocks_of("open").alias("_x"), _blocks_of("other").alias("_y")).where("_asks > 0"))
         may_turn = F.size(F.split("group", "/")) <= TURNS_DEEP
-        if (sizes.withColumnRenamed("_s", "group").where(may_turn).agg(F.sum("_asks")).first()[0] or 0) <= at_once:
+        left = sizes.withColumnRenamed("_s", "group").where(may_turn).agg(F.sum("_asks")).first()[0] or 0
+        if left <= at_once or before is not None and before - left < min(before / 4, TURN_SAVES):
             break
-        heavy = saved(heavy.join(small(sizes), F.col("group") == F.col("_s"), "left_semi"), "near-asking")
+        before = left
+        heavy = saved(heavy.join(small(sizes.select("_s")), F.col("group") == F.col("_s"), "left_semi"), "near-asking")
         kept, heavy = heavy.where(~may_turn), heavy.where(may_turn)
         turn = saved(heavy.where("open").groupBy(F.col("group").alias("_g")).agg(F.max_by("node", F.struct("central", "node")).alias("pivot")), "near-turn")
         asked = heavy.join(turn, F.col("group") == F.col("_g")).select(*HEAVY, "pivot")
@@ -265,8 +329,8 @@ def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent
         rest = asked.where(not_pivot).withColumn("open", F.col("open") & ~F.col("linked"))
         # Those closed now have not met the members closed before that are not linked with this pivot;
         # the next pivot is one of the latter.
-        before = F.col("other") & ~F.col("open") & ~F.col("linked") & (F.col("apart") <= 2 * reach)
-        apart = asked.where(not_pivot & ((F.col("open") & F.col("linked")) | before)).withColumn("other", F.col("open")).withColumn("open", ~F.col("other"))
+        earlier = F.col("other") & ~F.col("open") & ~F.col("linked") & (F.col("apart") <= 2 * reach)
+        apart = asked.where(not_pivot & ((F.col("open") & F.col("linked")) | earlier)).withColumn("other", F.col("open")).withColumn("open", ~F.col("other"))
         apart = apart.withColumn("group", F.concat_ws("/", "group", F.col("pivot").cast("string")))
         known = [x.select("a", "b") for x in ([labels.select(F.col("node").alias("a"), F.col("label").alias("b"))] if labels is not None else links[:1])]
         labels = components(reduce(DataFrame.unionByName, [*known, found]))
@@ -275,18 +339,7 @@ def around_pivots(lists: DataFrame, sets: DataFrame, central: DataFrame, percent
     first = F.split("group", "/")[0].cast("long")
     shapes = heavy.withColumn("_root", first).join(differs.drop("size"), (F.col("_root") == F.col("_dp")) & (F.col("node") == F.col("_dn")))
     heavy = saved(shapes.select(*HEAVY, F.col("_d").alias("diff")), "near-last")
-    asking = heavy.where("open").select(F.col("group").alias("_g"), F.col("node").alias("x"), *[F.col(c).alias(f"_{c}") for c in ("other", "far", "label", "size", "own", "common", "diff")])
-    near = ~F.exists(F.zip_with("far", "_far", lambda p, q: F.abs(p - q)), lambda gap: gap > reach)
-    sizes = F.col("size") + F.col("_size")
-
-    def linked(differ: Column) -> Column:
-        return differ * (100 + percent) <= (100 - percent) * sizes
-
-    alike = linked(F.col("own") + F.col("_own") + F.abs(F.col("common") - F.col("_common")))
-    differ = F.size("diff") + F.size("_diff") - 2 * F.size(F.array_intersect("diff", "_diff"))
-    once = (F.col("node") < F.col("x")) | ~(F.col("open") & F.col("_other")) & (F.col("node") != F.col("x"))
-    asked = (F.col("group") == F.col("_g")) & once & (F.col("label") != F.col("_label")) & near & alike & linked(differ)
-    links.append(saved(heavy.where("other").join(asking, asked).select(F.col("node").alias("a"), F.col("x").alias("b")), "near-last-links"))
+    links.append(saved(_asked_in_blocks(heavy, small(sizes), percent, reach), "near-last-links"))
     return links, pairs
 
 

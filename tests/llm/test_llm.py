@@ -301,6 +301,32 @@ def test_a_family_of_near_copies_makes_links_only(spark):
     assert asked + found.count() <= 5 * len(docs)
 
 
+def test_a_large_family_takes_few_turns(spark, monkeypatch):
+    """Members alike to few others are not asked pivot after pivot, and blocks find what all pairs would."""
+    prepare(spark)
+    rng = random.Random(21)
+    base, docs = [f"t{i}" for i in range(150)], []
+    for i in range(400):  # up to nine words changed: those with three or more are far from the whole text
+        words = list(base)
+        for k in rng.sample(range(150), rng.randrange(10) if i else 0):
+            words[k] = f"n{rng.randrange(30)}"
+        docs.append((i, " ".join(words)))
+    want, numbers, sets = brute_force(docs), {}, []
+    for i, text in docs:
+        w = text.split()
+        sets.append((i, sorted(numbers.setdefault(tuple(w[k : k + 5]), len(numbers)) for k in range(len(w) - 4))))
+    frame = spark.createDataFrame(sets, "node long, set array<long>").cache()
+    lists = frame.select(F.lit(0).cast("long").alias("value"), "node")
+    turns, saved = [], near_dups.saved
+    monkeypatch.setattr(near_dups, "saved", lambda df, name: (turns.append(name), saved(df, name))[1])
+    monkeypatch.setattr(near_dups._blocks_of, "__defaults__", (40, 3000))
+    links, pairs = near_dups.around_pivots(lists, frame, frame.select("node", (F.col("node") == 0).cast("long").alias("central")), at_once=20)
+    assert turns.count("near-turn") <= 6
+    found = functools.reduce(lambda x, y: x.unionByName(y), [*links, *[near_dups.confirmed(p, frame) for p in pairs]])
+    got = {r["node"]: r["label"] for r in near_dups.components(found).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
 def test_pipeline_takes_copies_from_four_fifths(spark):
     import corpus_pipeline
 
