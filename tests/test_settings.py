@@ -150,3 +150,33 @@ def test_stored_lines_come_in_small_groups(spark, tmp_path):
     (path,) = (tmp_path / "lines").glob("part-*")
     meta = pq.ParquetFile(path).metadata
     assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 64 << 20
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {p for p in (blocks.apply(i).getName() for i in range(blocks.size())) if p.startswith("shuffle_")}
+
+
+def test_an_export_moves_a_slice_at_a_time_and_keeps_no_shuffles(spark, tables, tmp_path, monkeypatch):
+    documents, versions, activations = tables
+    more = spark.range(100, 160).select(F.col("id"), F.lit(1).alias("document_id"), F.col("id").cast("int").alias("revision"), F.lit(1).alias("schema_version"),
+        F.lit("{}").alias("payload"), F.lit(None).cast("long").alias("created_by"), F.lit("x").alias("reason"), F.lit(None).cast("long").alias("source_version_id"), F.lit(DAY).cast("timestamp_ntz").alias("created_at"))
+    tables = documents, versions.unionByName(more.withColumn("checksum", settings.payload_checksum(F.col("payload")))), activations
+    settings.write_export(*tables, str(tmp_path / "one"), "2026-02-03T00:00:00Z", part_items=2)
+    asked, part_lines = [], settings.part_lines
+
+    def counted(items, *rest):
+        asked.append(items.count())
+        return part_lines(items, *rest)
+
+    monkeypatch.setattr(settings, "part_lines", counted)
+    monkeypatch.setattr(settings, "SLICE_PARTS", 4)
+    before, setting = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    settings.write_export(*tables, str(tmp_path / "many"), "2026-02-03T00:00:00Z", part_items=2)
+    assert len(asked) == settings.MAX_SLICES and max(asked) <= 14 and sum(asked) == 67
+    assert not shuffle_files(spark) - before and spark.conf.get(setting) == was
+    one, many = (sorted(line for p in part_files(tmp_path / name) for line in p.read_text(encoding="utf-8").splitlines()) for name in ("one", "many"))
+    assert one == many and len(one) == 32
+    manifests = [settings.read_export(spark, str(tmp_path / name)).manifest.collect() for name in ("one", "many")]
+    assert manifests[0] == manifests[1] and issues(spark, tmp_path / "many") == []
